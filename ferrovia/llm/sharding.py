@@ -51,9 +51,10 @@ def shuffled_shards(docs: DataFrame, shards: int = 40, seed: int = 20_260_101, b
     # within a bucket the order before the shuffle must not depend on arrival
     order = F.struct(F.xxhash64(F.lit(seed + 2), "record.doc_id", "record.text").alias("h"), F.col("record"))
     one = F.array_sort(F.collect_list(order))
-    turned = dealt.groupBy("shard", "bucket").agg(one.alias("records")).select(
-        "shard", "bucket", F.posexplode(F.shuffle(F.col("records"), F.lit(seed))).alias("at", "item")
-    )
+    # Spark seeds its shuffle by partition, so buckets are put into fixed places: reruns agree
+    parts = max(1, -(-shards * per_shard // 4))
+    buckets = dealt.repartition(parts, "shard", "bucket").groupBy("shard", "bucket").agg(one.alias("records")).sortWithinPartitions("shard", "bucket")
+    turned = buckets.select("shard", "bucket", F.posexplode(F.shuffle(F.col("records"), F.lit(seed))).alias("at", "item"))
     folder = path or new_path(spark, "shards")
     turned.select(F.col("item.record").alias("record"), "bucket", "at", "shard").write.partitionBy("shard").parquet(folder)
     back = spark.read.parquet(folder)
