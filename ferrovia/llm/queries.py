@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, sharding
-from .common import documents
+from . import gru, iblt, jaccard, langid, licenses, mixing, mjpeg, packing, sharding, warc
+from .common import documents, held_out
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +65,71 @@ def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    back = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_revisit_bytes=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = f"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+o AS (SELECT h, max(page_id) AS owner FROM p GROUP BY h),
+g AS (
+  SELECT p.*, o.owner, {", ".join(f"CAST(concat('0x', substr(p.h, {5 * i + 1}, 5)) AS BIGINT) AS g{i}" for i in range(8))}
+  FROM p JOIN o ON p.h = o.h)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  concat({", ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(g{i} // {32**j} % 32 + 1 AS INT), 1)" for i in range(8) for j in (3, 2, 1, 0))}) AS payload_digest,
+  CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = owner THEN NULL ELSE owner END AS refers_to
+FROM g
+"""
+
+
+def op5_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    packed = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=2048, end_id=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; those whose remainder modulo 5 is not 0 teach."""
+    docs = documents(spark, sf_dir)
+    out = held_out(F.col("doc_id"), 5)
+    model = langid.learn(docs.where(~out).select("doc_id", "text", "lang"))
+    found = langid.label(docs.select("doc_id", "text").withColumn("held_out", out).select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op7_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and model log-likelihoods of every document."""
+    return gru.score_documents(documents(spark, sf_dir), parts=10)
+
+
+def op8_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an AVI file, read back, and its shots."""
+    return mjpeg.features(mjpeg.to_media(documents(spark, sf_dir)))
+
+
+def op9_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likeness."""
+    return iblt.compare_versions(documents(spark, sf_dir))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op3_ngram_jaccard, op4_external_shuffle)}
+    every = (
+        op1_source_mixing, op2_warc_round_trip, op3_ngram_jaccard, op4_external_shuffle, op5_cost_balanced_packing,
+        op6_language_id, op7_gated_recurrent_lm, op8_motion_jpeg, op9_iblt_fingerprint, op10_license_scan,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op2_warc_round_trip": OP2_SQL}
