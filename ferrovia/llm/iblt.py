@@ -38,6 +38,9 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     before[1:] = data[:-1]
     earlier = np.zeros(n, np.uint32)
     earlier[2:] = data[:-2]
+    heads = offsets[:-1][np.diff(offsets) > 0]  # what stands before a text doesn't count
+    before[heads] = earlier[heads] = 0
+    earlier[np.minimum(heads + 1, n - 1)] = 0
     mix = before * np.uint32(2654435761) + earlier * np.uint32(40503)
     stop = (data == 10) | ((data == 32) & ((mix >> np.uint32(13)) % np.uint32(CUT) == 0))
     inside = ~stop

@@ -56,8 +56,9 @@ def shuffled_shards(docs: DataFrame, shards: int = 40, seed: int = 20_260_101, b
     buckets = dealt.repartition(parts, "shard", "bucket").groupBy("shard", "bucket").agg(one.alias("records")).sortWithinPartitions("shard", "bucket")
     turned = buckets.select("shard", "bucket", F.posexplode(F.shuffle(F.col("records"), F.lit(seed))).alias("at", "item"))
     folder = path or new_path(spark, "shards")
-    turned.select(F.col("item.record").alias("record"), "bucket", "at", "shard").write.partitionBy("shard").parquet(folder)
-    back = spark.read.parquet(folder)
+    turned = turned.select(F.col("item.record").alias("record"), "bucket", "at", "shard")
+    turned.write.partitionBy("shard").parquet(folder)
+    back = spark.read.schema(turned.schema).parquet(folder)
     counts = written(back.groupBy("shard", "bucket").count(), "shard-buckets")
     starts = counts.select("shard", "bucket", (F.sum("count").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("count")).alias("start"))
     placed = back.join(broadcast_if(written(starts, "shard-starts"), BROADCAST_BUCKETS), ["shard", "bucket"])
