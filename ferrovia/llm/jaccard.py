@@ -1,12 +1,13 @@
 """Similarity join on word n-grams by Jaccard similarity, exact.
 
-1. One pass turns each text into the sorted set of its shingle hashes; equal sets fall
-   together under a digest.
+1. A text becomes the sorted set of its shingle hashes; equal sets fall together under a
+   digest. Sets are hashed anew in each of three passes, which takes less than storing them.
 2. Blocks. Two sets of at least the wanted similarity differ in at most d shingles, d
    following from their sizes. Shingles are dealt by hash over d + 2 parts, so two parts
    at least are equal in both: sets that share the digest of a whole part meet. A passage
    that many documents share fills no part on its own, so it draws no block together.
    Sizes go by bands of ratio t, and a set takes part in its own band and the next one up.
+   Sets that meet, directly or through others, are a block, unless they are too many.
 3. In a block: T-occurrence search. Short inverted lists are merged by a heap, long
    ones set aside by DivideSkip and probed by binary search, and sets that reach the
    overlap that the sizes ask for are linked. A large block is cut by size into chunks
@@ -34,6 +35,8 @@ from .components import components
 CHUNK = 1 << 20
 #: What a set counts besides its shingles.
 SET_COST = 64
+#: A component of up to so many shingles is one block.
+MOST_IN_COMPONENT = 32 * CHUNK
 #: Sets whose digests are kept in a task to leave out repeats; then it starts anew.
 KEPT_SETS = 500_000
 #: Sets that take part in blocks are broadcast up to this many (about 40 bytes each).
@@ -90,45 +93,64 @@ def part_digests(hashes: np.ndarray, percent: int, ends: list[int]) -> np.ndarra
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-SETS = "doc_id {id}, n int, set_id binary, hashes binary, parts array<bigint>"
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray], list[bytes | None]]]:
+    """(ids, sets, digests of the sets) of batches of (doc_id, text), by slices; an empty set has no digest."""
+    for batch in batches:
+        for i, j, data, offsets in tv.texts(batch.column(1)):
+            starts, stops, first = tv.words(data, offsets)
+            sets = tv.shingles(tv.segment_hashes(tv.LOWER[data], starts, stops), first, k)
+            keys = [np.array([x.sum(), tv.scramble(x ^ np.uint64(0xA5A51234)).sum()], np.uint64).tobytes() if len(x) else None for x in sets]
+            yield batch.column(0).slice(i, j - i), sets, keys
 
 
-def set_rows(percent: int, k: int):
-    """Arrow batches of (doc_id, text) to rows of SETS. hashes and parts stand with the first
-    row of a set that a task sees; in its other rows they are null."""
+def _fresh(slices, kept: int = KEPT_SETS) -> Iterator[list[tuple[bytes, np.ndarray]]]:
+    """The sets that a task hasn't seen before, by slices: a third of all rows may be copies."""
+    seen: set[bytes] = set()
+    for _, sets, keys in slices:
+        out = []
+        for x, key in zip(sets, keys, strict=True):
+            if key is not None and key not in seen:
+                if len(seen) >= kept:
+                    seen.clear()
+                seen.add(key)
+                out.append((key, x))
+        if out:
+            yield out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+
+def sizes(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, set_id) of every row."""
+
+    def run(batches):
+        for ids, sets, keys in _sets(batches, k):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n", "set_id"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, set_id binary")
+
+
+def digests(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(set_id, n, part): the digests of the parts of every set; a task repeats none."""
+
+    def run(batches):
         ends = bands(percent, 1 << 40)
-        for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
-            for i, j, data, offsets in tv.texts(text):
-                starts, stops, first = tv.words(data, offsets)
-                hashed = tv.segment_hashes(tv.LOWER[data], starts, stops)
-                ns, keys, sets, parts = [], [], [], []
-                for x in tv.shingles(hashed, first, k):
-                    ns.append(len(x))
-                    key = None
-                    if len(x):
-                        sums = np.array([x.sum(), tv.scramble(x ^ np.uint64(0xA5A5_1234)).sum()], np.uint64)
-                        key = sums.tobytes()
-                    keys.append(key)
-                    fresh = key is not None and key not in seen
-                    if fresh:
-                        if len(seen) >= KEPT_SETS:
-                            seen.clear()
-                        seen.add(key)
-                    sets.append(x.tobytes() if fresh else None)
-                    parts.append(part_digests(x, percent, ends).view(np.int64) if fresh else None)
-                flat = np.concatenate([p for p in parts if p is not None] or [np.zeros(0, np.int64)])
-                lens = np.array([0, *(0 if p is None else len(p) for p in parts)], np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lens, dtype=np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(ns, pa.int32()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary()), lists],
-                    ["doc_id", "n", "set_id", "hashes", "parts"],
-                )
-
-    return run
+        for slice_ in _fresh(_sets(batches, k)):
+            parts = [part_digests(x, percent, ends) for _, x in slice_]
+            lens = np.array([len(p) for p in parts])
+            which = pa.array(np.repeat(np.arange(len(parts)), lens))
+            columns = [pa.array([key for key, _ in slice_], pa.binary()), pa.array([len(x) for _, x in slice_], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(c.take(which) for c in columns), pa.array(np.concatenate(parts).view(np.int64))], ["set_id", "n", "part"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "set_id binary, n int, part bigint")
+
+
+def contents(docs: DataFrame, k: int) -> DataFrame:
+    """(set_id, hashes) of every set; a task repeats none."""
+
+    def run(batches):
+        for slice_ in _fresh(_sets(batches, k)):
+            yield pa.RecordBatch.from_arrays([pa.array([key for key, _ in slice_], pa.binary()), pa.array([x.tobytes() for _, x in slice_], pa.binary())], ["set_id", "hashes"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "set_id binary, hashes binary")
 
 
 def search(sets: list[np.ndarray], percent: int, split: int | None = None, mu: float = 0.01, spanning: bool = True) -> list[tuple[int, int]]:
@@ -208,12 +230,19 @@ def search(sets: list[np.ndarray], percent: int, split: int | None = None, mu: f
     return links
 
 
-def set_links(sets: DataFrame, percent: int, spanning: bool = True) -> DataFrame:
-    """(a, b): links between the different sets of a table of SETS."""
-    digests = sets.where(F.col("parts").isNotNull()).select("set_id", "n", F.explode("parts").alias("part"))
+def set_links(docs: DataFrame, k: int, percent: int, spanning: bool = True) -> DataFrame:
+    """(a, b): links between the different sets of docs."""
     same = Window.partitionBy("part")
-    met = digests.select("set_id", "n", F.min("set_id").over(same).alias("leader"), F.max("set_id").over(same).alias("last")).where(F.col("leader") != F.col("last"))
-    members = written(met.select("leader", "set_id", "n").distinct(), "members")
+    met = digests(docs, k, percent).select("set_id", "n", F.min("set_id").over(same).alias("leader"), F.max("set_id").over(same).alias("last")).where(F.col("leader") != F.col("last"))
+    met = written(met.select("leader", "set_id", "n").distinct(), "met")
+    # A block is a component of the sets that meet: each set is in one block. The sets of a
+    # larger component are in a block for each leader that they meet.
+    whole = written(components(met.select(F.col("leader").alias("a"), F.col("set_id").alias("b"))), "met-components")
+    sized = met.select("set_id", "n").distinct().join(whole.withColumnRenamed("node", "set_id"), "set_id")
+    weights = sized.groupBy("component").agg((F.sum(F.col("n").cast("long") + F.lit(SET_COST)) <= MOST_IN_COMPONENT).alias("one"))
+    sized = written(sized.join(weights, "component"), "met-sizes")
+    led = met.join(sized.where(~F.col("one")).select("set_id"), "set_id", "left_semi").select("leader", "set_id", "n")
+    members = written(sized.where("one").select(F.col("component").alias("leader"), "set_id", "n").union(led), "members")
     by_size = Window.partitionBy("leader").orderBy("n", "set_id").rowsBetween(Window.unboundedPreceding, -1)
     cut = members.select("leader", "set_id", "n", F.floor(F.coalesce(F.sum(F.col("n").cast("long") + F.lit(SET_COST)).over(by_size), F.lit(0)) / F.lit(CHUNK)).cast("int").alias("chunk"))
     spans = cut.groupBy("leader", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -223,8 +252,7 @@ def set_links(sets: DataFrame, percent: int, spanning: bool = True) -> DataFrame
     sides = pairs.select("leader", "a", "b", F.col("a").alias("chunk")).union(pairs.where("a < b").select("leader", "a", "b", F.col("b").alias("chunk")))
     seats = sides.join(cut, ["leader", "chunk"])
     wanted = written(members.select("set_id").distinct(), "wanted")
-    stored = sets.where(F.col("hashes").isNotNull()).select("set_id", "hashes")
-    stored = stored.join(F.broadcast(wanted) if fits(wanted, BROADCAST_SETS) else wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
+    stored = contents(docs, k).join(F.broadcast(wanted) if fits(wanted, BROADCAST_SETS) else wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["chunk", "n", "set_id"], kind="stable")
@@ -248,14 +276,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     component, equal texts link at any length. Null ids are passed over when the least is
     taken; a component of null ids has a null id. Rows that repeat are kept.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = written(docs.select("doc_id", "text").mapInArrow(set_rows(percent, k), SETS.format(id=kind)), "sets")
-    links = components(set_links(sets, percent))
+    sets = written(sizes(docs, k), "sets")
+    links = components(set_links(docs, k, percent))
     classes = sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("least"))
     labelled = classes.join(links.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("component", "set_id").alias("component"))
     labelled = written(labelled, "classes")
     many = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     final = written(labelled.join(many, "component").select("set_id", "component_id"), "components")
-    own = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_id")
+    own = sets.select("doc_id", F.col("n").alias("n_shingles"), "set_id")
     empty = own.where(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return own.join(final, "set_id").select("doc_id", "n_shingles", "component_id").union(empty)

@@ -71,9 +71,11 @@ def test_components_equal_brute_force(spark, k, percent):
     assert sorted((tuple(x) for x in got), key=str) == brute(rows, k, percent)
 
 
-def test_small_chunks_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1 << 25, 2000])
+def test_small_chunks_give_the_same(spark, monkeypatch, most):
     rows = made_rows(11)
     monkeypatch.setattr(jaccard, "CHUNK", 400)
+    monkeypatch.setattr(jaccard, "MOST_IN_COMPONENT", most)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = jaccard.near_duplicates(docs, 3, 90).collect()
     assert sorted((tuple(x) for x in got), key=str) == brute(rows, 3, 90)
