@@ -3,9 +3,10 @@
 1. A text becomes the sorted set of its shingle hashes; equal sets fall together under a
    digest. Sets are hashed anew in each of three passes, which takes less than storing them.
 2. Blocks. Two sets of at least the wanted similarity differ in at most d shingles, d
-   following from their sizes. Shingles are dealt by hash over d + 2 parts, so two parts
-   at least are equal in both: sets that share the digest of a whole part meet. A passage
-   that many documents share fills no part on its own, so it draws no block together.
+   following from their sizes. Shingles are dealt by hash over d + m + 1 parts, so m + 1
+   parts at least are equal in both. Each set sets aside its m parts with the longest lists,
+   and sets that share the digest of one of the others meet: a passage or line that
+   many documents share draws none together.
    Sizes go by bands of ratio t, and a set takes part in its own band and the next one up.
    Sets that meet, directly or through others, are a block, unless they are too many.
 3. In a block: T-occurrence search. Short inverted lists are merged by a heap, long
@@ -67,13 +68,19 @@ def most_differences(upper: int, percent: int) -> int:
     return 2 * upper * (100 - percent) // (100 + percent)
 
 
-def part_digests(hashes: np.ndarray, percent: int, ends: list[int]) -> np.ndarray:
-    """The digests of the parts of a set, for its own band and the next one.
+def set_aside(differ: int) -> int:
+    """How many parts of a set are set aside, where two sets may differ in `differ` shingles."""
+    return max(1, differ // 3)
 
-    Two sets that differ in at most d shingles are equal in two of d + 2 parts at least. A
-    set with more than one empty part also gives the digests of its empty parts, so that no
-    pair is lost that agrees in nothing but those. Bands in which only equal sets can link
-    need none."""
+
+def part_digests(hashes: np.ndarray, percent: int, ends: list[int]) -> list[tuple[int, np.ndarray, int]]:
+    """(0 or 1, digests, m) of the parts of a set, for its own band and for the next one.
+
+    Two sets that differ in at most d shingles are equal in m + 1 of d + m + 1 parts at
+    least. If each sets aside the m parts of lowest rank, in a ranking by what is in a part,
+    then the highest-ranked equal part stays in both: m equal parts rank below it. Empty parts rank
+    lowest; what is left of m is for the other parts. Only a set with more than m empty
+    parts gives digests of those. Bands in which only equal sets can link need none."""
     band = int(np.searchsorted(ends, len(hashes), "right")) - 1
     spread = tv.scramble(hashes ^ np.uint64(0x5BF03635))
     out = []
@@ -81,16 +88,20 @@ def part_digests(hashes: np.ndarray, percent: int, ends: list[int]) -> np.ndarra
         differ = most_differences(ends[j + 1] - 1, percent)
         if not differ:
             continue
+        m = set_aside(differ)
+        parts = differ + m + 1
         tag = np.uint64((j + 1) * 0x1000193)
-        part = (tv.scramble(hashes + np.uint64(j + 1)) % np.uint64(differ + 2)).astype(np.int64)
+        part = (tv.scramble(hashes + np.uint64(j + 1)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         used, at = np.unique(part[order], return_index=True)
         sums = np.add.reduceat(spread[order], at)
-        out.append(tv.scramble(sums + (used + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tag))
-        if differ + 2 - len(used) > 1:
-            empty = np.setdiff1d(np.arange(differ + 2), used)
-            out.append(tv.scramble(tv.scramble((empty + 1).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) + tag))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        found = tv.scramble(sums + (used + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tag)
+        n_empty = parts - len(used)
+        if n_empty > m:
+            empty = np.setdiff1d(np.arange(parts), used)
+            found = np.concatenate([found, tv.scramble(tv.scramble((empty + 1).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) + tag)])
+        out.append((j - band, found, max(0, m - n_empty)))
+    return out
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray], list[bytes | None]]]:
@@ -129,18 +140,35 @@ def sizes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def digests(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(set_id, n, part): the digests of the parts of every set; a task repeats none."""
+    """(set_id, n, up, aside, part): the digests of the parts of every set, for its band (up 0) and the
+    next (1), and how many of those are to be set aside; a task repeats none."""
 
     def run(batches):
         ends = bands(percent, 1 << 40)
         for slice_ in _fresh(_sets(batches, k)):
-            parts = [part_digests(x, percent, ends) for _, x in slice_]
-            lens = np.array([len(p) for p in parts])
-            which = pa.array(np.repeat(np.arange(len(parts)), lens))
-            columns = [pa.array([key for key, _ in slice_], pa.binary()), pa.array([len(x) for _, x in slice_], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*(c.take(which) for c in columns), pa.array(np.concatenate(parts).view(np.int64))], ["set_id", "n", "part"])
+            rows = [(i, *r) for i, (_, x) in enumerate(slice_) for r in part_digests(x, percent, ends)]
+            if not rows:
+                continue
+            lens = np.array([len(r[2]) for r in rows])
+            which = pa.array(np.repeat(np.array([r[0] for r in rows]), lens))
+            columns = [pa.array([key for key, _ in slice_], pa.binary()).take(which), pa.array([len(x) for _, x in slice_], pa.int32()).take(which)]
+            columns += [pa.array(np.repeat(np.array([r[i] for r in rows], np.int32), lens)) for i in (1, 3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([r[2] for r in rows]).view(np.int64))], ["set_id", "n", "up", "aside", "part"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "set_id binary, n int, part bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "set_id binary, n int, up int, aside int, part bigint")
+
+
+def meetings(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(leader, set_id, n): sets with the least set that shares one of their parts, after each set
+    has set aside its most frequent parts. Parts that are in one set only don't travel on."""
+    same = Window.partitionBy("part")
+    least, most = F.min("set_id").over(same).alias("least"), F.max("set_id").over(same).alias("most")
+    shared = digests(docs, k, percent).select("*", F.count(F.lit(1)).over(same).alias("often"), least, most).where(F.col("least") != F.col("most"))
+    own = shared.select("set_id", "n", "up", "aside", "part", "often").repartition("set_id", "up").groupBy("set_id", "up", "part", "n", "aside", "often").agg(F.lit(1).alias("one"))
+    rank = F.row_number().over(Window.partitionBy("set_id", "up").orderBy(F.col("often").desc(), "part"))
+    kept = own.withColumn("rank", rank).where(F.col("rank") > F.col("aside")).select("set_id", "n", "part")
+    met = kept.select("set_id", "n", least, most).where(F.col("least") != F.col("most"))
+    return written(met.select(F.col("least").alias("leader"), "set_id", "n").distinct(), "met")
 
 
 def contents(docs: DataFrame, k: int) -> DataFrame:
@@ -232,9 +260,7 @@ def search(sets: list[np.ndarray], percent: int, split: int | None = None, mu: f
 
 def set_links(docs: DataFrame, k: int, percent: int, spanning: bool = True) -> DataFrame:
     """(a, b): links between the different sets of docs."""
-    same = Window.partitionBy("part")
-    met = digests(docs, k, percent).select("set_id", "n", F.min("set_id").over(same).alias("leader"), F.max("set_id").over(same).alias("last")).where(F.col("leader") != F.col("last"))
-    met = written(met.select("leader", "set_id", "n").distinct(), "met")
+    met = meetings(docs, k, percent)
     # A block is a component of the sets that meet: each set is in one block. The sets of a
     # larger component are in a block for each leader that they meet.
     whole = written(components(met.select(F.col("leader").alias("a"), F.col("set_id").alias("b"))), "met-components")
