@@ -50,9 +50,14 @@ def trains_passing(requests: DataFrame, stops: DataFrame) -> DataFrame:
 
     last = stops.select("train_code", "ord", "depart", plain("station").alias("station")).groupBy("train_code", "station").agg(F.max_by("depart", "ord").alias("depart"), F.max("ord").alias("ord"))
     asked = requests.select(plain("from_station").alias("from_station"), plain("to_station").alias("to_station")).distinct()
-    start = asked.join(last.withColumnRenamed("station", "from_station"), "from_station")
-    end = last.select("train_code", F.col("station").alias("to_station"), F.col("ord").alias("to_ord"))
-    return start.join(end, ["train_code", "to_station"]).where(F.col("to_ord") > F.col("ord")).select("from_station", "to_station", "train_code", "depart", (F.col("to_ord") - F.col("ord")).alias("hops"))
+    # pairs of stops of a train, at stations that are asked for, then the requests: a hub's
+    # trains never meet all the requests that name the hub
+    ends = asked.select(F.explode(F.array("from_station", "to_station")).alias("station")).distinct()
+    last = last.join(ends, "station", "left_semi")
+    a = last.select("train_code", F.col("station").alias("from_station"), "depart", "ord")
+    b = last.select("train_code", F.col("station").alias("to_station"), F.col("ord").alias("to_ord"))
+    rides = a.join(b, "train_code").where(F.col("to_ord") > F.col("ord"))
+    return rides.join(asked, ["from_station", "to_station"]).select("from_station", "to_station", "train_code", "depart", (F.col("to_ord") - F.col("ord")).alias("hops"))
 
 
 def train_legs_with_coords(stops: DataFrame, coords: DataFrame) -> DataFrame:
