@@ -8,6 +8,10 @@ import struct
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+POINT = T.StructType([T.StructField("lng", T.DoubleType()), T.StructField("lat", T.DoubleType())])
+LINE = T.ArrayType(POINT)
 
 #: Bytes of the envelope by the code in bits 1 to 3 of the flags.
 ENVELOPE = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
@@ -64,12 +68,12 @@ def lines_of(blob: bytes | None) -> list[list[dict]]:
     return [[{"lng": x, "lat": y} for x, y in line] for line in out if line]
 
 
-@F.pandas_udf("struct<lng:double,lat:double>")
+@F.pandas_udf(POINT)
 def decode_point(geom: pd.Series) -> pd.DataFrame:
     found = [point_of(x) for x in geom]
     return pd.DataFrame({k: [None if p is None else p[k] for p in found] for k in ("lng", "lat")}, dtype="float64")
 
 
-@F.pandas_udf("array<array<struct<lng:double,lat:double>>>")
+@F.pandas_udf(T.ArrayType(LINE))
 def decode_lines(geom: pd.Series) -> pd.Series:
     return pd.Series([lines_of(x) for x in geom])

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import chat, journeys, lines, network, profile, retrieval, timetable
+from ..operators import chat, journeys, lines, network, profile, retrieval, timetable, trajectories
+from ..streaming import pages
 from .views import duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -415,3 +416,33 @@ def g17_match_lines(spark, sf_dir):
     table = ordered.select("line_name", F.hash("line_name").alias("line_ord"), F.transform("s", lambda x: x["name"]).alias("stations"))
     rides = named_stops(spark, sf_dir).groupBy("train_code").agg(F.array_sort(F.collect_list(F.struct("ord", "station"))).alias("s"))
     return lines.match_lines(rides.select("train_code", F.transform("s", lambda x: x["station"]).alias("stations")), table)
+
+
+def route_lines(spark, sf_dir):
+    """Each route as sub-lines of 50 vertices, every third turned round and one repeated."""
+    points = view(spark, sf_dir, "v_route_points")
+    part = points.groupBy("route", F.floor(F.col("idx") / 50).cast("int").alias("ord")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "lng", "lat"))), lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("points"))
+    part = part.withColumn("points", F.when(F.col("ord") % 3 == 2, F.reverse("points")).otherwise(F.col("points")))
+    return part.union(part.where("ord = 4").select("route", F.lit(99).alias("ord"), F.reverse("points")))
+
+
+@query(POINTS + "SELECT route, CAST(count(*) AS BIGINT) AS points FROM v_route_points GROUP BY route")
+def g3_denoise_route(spark, sf_dir):
+    """Sub-lines without repeats, denoised to one trajectory: all vertices are found again but the shared ones."""
+    once = trajectories.dedup_reversed_sublines(route_lines(spark, sf_dir))
+    whole = once.groupBy("route").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "points"))), lambda x: x["points"]).alias("sublines"), F.count(F.lit(1)).alias("n"))
+    return whole.select("route", (F.size(trajectories.denoise_route("sublines")) + F.col("n") - 1).cast("long").alias("points"))
+
+
+@query()
+def g14_stitch_trip(spark, sf_dir):
+    """Trips of all trains over stations with coordinates, as straight legs put together."""
+    legs = journeys.train_legs_with_coords(named_stops(spark, sf_dir), view(spark, sf_dir, "v_coords"))
+    trips = trajectories.stitch_trip(trajectories.straight_legs(legs))
+    return trips.select("train_code", "legs", F.size("points").alias("points"), F.round("km", 3).alias("km"))
+
+
+@query("SELECT page_id, CAST((length(html) - length(replace(html, '<li>', ''))) // 4 AS BIGINT) AS items FROM pages")
+def h2_extract_list_items(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return rows.select("page_id", F.size(pages.extract_list_items("html")).cast("long").alias("items"))

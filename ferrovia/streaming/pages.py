@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class _Stops(HTMLParser):
@@ -74,12 +75,15 @@ def items_of(html: str | None) -> list[str]:
     return [x.strip() for x in parser.items]
 
 
-@F.pandas_udf("array<struct<seq:int,name:string>>")
+STOPS = T.ArrayType(T.StructType([T.StructField("seq", T.IntegerType()), T.StructField("name", T.StringType())]))
+
+
+@F.pandas_udf(STOPS)
 def extract_stop_table(html: pd.Series) -> pd.Series:
     return html.map(stops_of, na_action=None)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def extract_list_items(html: pd.Series) -> pd.Series:
     return html.map(items_of, na_action=None)
 
