@@ -53,18 +53,24 @@ def is_route_feature(name: Column, tags: Column) -> Column:
     return tags.contains('"route"=>"railway"') & (F.coalesce(name, F.lit("")) != "")
 
 
-#: (name, pattern, replacement) in order; (?m) with (?d): a line ends at \n alone.
-HEADINGS_KEPT = ((r"(?md)^##\s*(.+)$", "\n=== $1 ===\n"), (r"(?md)^###\s*(.+)$", "\n--- $1 ---\n"), (r"(?md)^####\s*(.+)$", "\n*** $1 ***\n"))
-HEADINGS_DROPPED = ((r"(?md)^#{1,6}\s*", ""),)
+#: The cleaning rules, (pattern, replacement) in order. (?m) with (?d): a line ends at \n alone.
+HEADINGS_KEPT = ((r"(?mdU)^##\s*(.+)$", "\n=== $1 ===\n"), (r"(?mdU)^###\s*(.+)$", "\n--- $1 ---\n"), (r"(?mdU)^####\s*(.+)$", "\n*** $1 ***\n"))
+HEADINGS_DROPPED = ((r"(?mdU)^#{1,6}\s*", ""),)
 RULES = (
-    (r"\[([^\]]+)\]\(https?://[^)]+\)", "$1"),
-    (r"!\[[^\]]*\]\([^)]*\)", ""),
-    (r"\[\[\d+\]\]\([^)]*\)", ""), (r"\[\[\d+\]\]", ""),
+    (r"\[([^\]]+)\]\(https?://[^\)]+\)", "$1"),
+    (r"\[!\[[^\]]*\]\([^\)]+\)\]\([^\)]+\)", ""),
+    (r"\[!\[[^\]]*\]\([^\)]+\)", ""),
+    (r"!\[[^\]]*\]\([^\)]+\)", ""),
+    (r"\[\[\d+\]\]\(https?://[^\)]+\)", ""),
+    (r"\[\[\d+\]\]", ""),
     (r"<[^>]+>", ""),
-    (r"[\x{200B}-\x{200D}\x{FEFF}]", ""), (r" +", " "), (r"\t", "    "),
+    (r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", ""),
+    (r" {2,}", " "),
+    (r"\t", "    "),
     (r"\n{3,}", "\n\n"),
-    (r"(?md)^\s*[-*]\s*\[\d+(\.\d+)*[^\]]*\]\s*$", ""),
-)
+    (r"(?mdU)^-\s*\[\d+\.?\d*\s*[^\]]*\]\(https?://[^\)]+\)\s*$", ""),
+    (r"(?mdU)^-\s*\[\d+\.?\d*\s*[^\]]*\]\s*$", ""),
+)
 
 
 def clean_text(text: Column, keep_structure: bool = True) -> Column:

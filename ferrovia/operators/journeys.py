@@ -9,6 +9,13 @@ from ..functions.geo import distance_km
 
 #: Order of classes in answers.
 PRIORITY = ("G", "D", "C", "Z", "T", "K")
+#: City prefixes that a station name may have in front.
+CITY_PREFIXES = (
+    "北京", "上海", "广州", "深圳", "天津", "重庆", "成都",
+    "武汉", "南京", "杭州", "西安", "郑州", "长沙", "沈阳",
+    "哈尔滨", "长春", "济南", "青岛", "大连", "昆明", "贵阳",
+    "南宁", "兰州", "太原", "石家庄", "合肥", "南昌", "福州",
+)
 
 
 def priority(code: Column) -> Column:
@@ -76,9 +83,9 @@ def station_coverage(stops: DataFrame, coords: DataFrame) -> DataFrame:
     return hits.agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("found")).withColumn("percent", F.when(F.col("total") > 0, F.floor(F.col("found") * 100 / F.col("total"))).otherwise(0))
 
 
-def resolve_station(names: DataFrame, coords: DataFrame, prefixes: list[str] = ()) -> DataFrame:
+def resolve_station(names: DataFrame, coords: DataFrame, prefixes: tuple[str, ...] = CITY_PREFIXES) -> DataFrame:
     """names (name) with resolved: the first of the name without spaces, with the station sign, without
-    trailing signs, or without one of the prefixes, that coords has; else null."""
+    trailing signs, or without the first fitting of the prefixes, that coords has; else null."""
     plain = F.replace(F.col("name"), F.lit(" "), F.lit(""))
     bare = F.regexp_replace(plain, "站+$", "")
     tries = [plain, F.concat(plain, F.lit("站")), bare] + [F.when(bare.startswith(p), F.substring(bare, len(p) + 1, 1000)) for p in prefixes]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEGREE, distance_km, in_bounds
+from ..functions.text import alt_line_name, normalize_station_name
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -121,3 +122,63 @@ def graph_edges(points: DataFrame) -> DataFrame:
     both = points.select(u.alias("u"), v.alias("v")).where(F.col("v.lng").isNotNull())
     edges = both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     return edges.select(F.col("u.lng").alias("u_lng"), F.col("u.lat").alias("u_lat"), F.col("v.lng").alias("v_lng"), F.col("v.lat").alias("v_lat")).withColumn("km", distance_km(F.col("u_lng"), F.col("u_lat"), F.col("v_lng"), F.col("v_lat")))
+
+
+def nearest_node(stations: DataFrame, nodes: DataFrame, cell: float = 0.5) -> DataFrame:
+    """(name, lng, lat, degrees): the nearest of nodes (lng, lat) to each station, by Euclid in degrees, ties by
+    coordinates. Nodes of the nine cells around answer where the hit is nearer than a cell; what is left
+    looks again with cells of ten times the width, the last of 500 degrees."""
+    todo, out = stations.select("name", F.col("lng").alias("slng"), F.col("lat").alias("slat")).distinct(), None
+    nodes = nodes.select("lng", "lat").distinct()
+    d = F.sqrt(F.pow(F.col("lng") - F.col("slng"), 2) + F.pow(F.col("lat") - F.col("slat"), 2))
+    while cell < 1000:
+        near = nodes.withColumn("cx", _cell(F.col("lng"), cell)).withColumn("cy", _cell(F.col("lat"), cell))
+        met = _around(todo.withColumnsRenamed({"slng": "lng", "slat": "lat"}), cell).withColumnsRenamed({"lng": "slng", "lat": "slat"}).join(near, ["cx", "cy"])
+        best = met.groupBy("name", "slng", "slat").agg(F.min(F.struct(d.alias("degrees"), "lng", "lat")).alias("b")).where(F.col("b.degrees") <= cell)
+        found = best.select("name", "b.lng", "b.lat", "b.degrees")
+        out = found if out is None else out.union(found)
+        todo = todo.join(best.select("name"), "name", "left_anti")
+        cell *= 10
+    return out
+
+
+def station_coords(features: DataFrame) -> DataFrame:
+    """features (fid, name, point) of stations to one coordinate per normalized name: the first by fid, in bounds."""
+    named = features.withColumn("name", normalize_station_name(F.col("name"))).where((F.col("name") != "") & in_bounds(F.col("point.lng"), F.col("point.lat")))
+    return named.groupBy("name").agg(F.min_by("point", "fid").alias("p")).select("name", "p.lng", "p.lat")
+
+
+def route_geometries(routes: DataFrame) -> DataFrame:
+    """routes (fid, name, points) of two points and more: the last by fid of each name."""
+    return routes.where(F.size("points") >= 2).groupBy("name").agg(F.max_by("points", "fid").alias("points"))
+
+
+def match_routes_to_lines(routes: DataFrame, lines: DataFrame) -> DataFrame:
+    """(route, line): lines of the route's name, else of its name without the sign for line."""
+    names = lines.select(F.col("name").alias("line")).distinct()
+    exact = routes.select(F.col("name").alias("route")).distinct().join(names, F.col("route") == F.col("line"))
+    rest = routes.select(F.col("name").alias("route")).distinct().join(exact.select("route"), "route", "left_anti")
+    return exact.select("route", "line").union(rest.withColumn("alt", alt_line_name(F.col("route"))).join(names, F.col("alt") == F.col("line")).select("route", "line"))
+
+
+def route_line_points(routes: DataFrame, coords: DataFrame) -> DataFrame:
+    """routes (route, stations) to (route, at, name, lng, lat) of the stations with coordinates, in order."""
+    return routes.select("route", F.posexplode("stations").alias("at", "name")).join(coords.select("name", "lng", "lat"), "name").select("route", "at", "name", "lng", "lat")
+
+
+def routes_in_common(pairs: DataFrame, station_routes: DataFrame) -> DataFrame:
+    """pairs (a, b) with the routes that pass both; station_routes: (name, route)."""
+    one = station_routes.select(F.col("name").alias("a"), "route").distinct()
+    two = station_routes.select(F.col("name").alias("b"), "route").distinct()
+    return pairs.select("a", "b").distinct().join(one, "a").join(two, ["b", "route"]).select("a", "b", "route")
+
+
+def routes_by_name(points: DataFrame, keyword: str) -> DataFrame:
+    """Points, km and span of latitude of the routes whose name has the keyword."""
+    own = cumulative_km(points.where(F.col("route").contains(keyword)))
+    return own.groupBy("route").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("step_km"), 1).alias("km"), F.min("lat").alias("south"), F.max("lat").alias("north"))
+
+
+def first_lines(lines: DataFrame, n: int = 10) -> DataFrame:
+    """The first n lines (route, fid, ...) of each route."""
+    return lines.withColumn("at", F.row_number().over(Window.partitionBy("route").orderBy("fid"))).where(F.col("at") <= n).drop("at")

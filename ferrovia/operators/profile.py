@@ -35,3 +35,18 @@ def cleaning_report(cleaned_docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("files"), F.count("text").alias("ok"), total.alias("original_size"), new.alias("new_size"),
         F.when(total > 0, F.round((1 - new / total) * 100, 4)).otherwise(0.0).alias("reduction"), F.round(F.avg("reduction"), 4).alias("mean_reduction"),
     )
+
+
+#: Run codes of documents and their labels.
+RUN_LABELS = {"0": "UNSTART", "1": "RUNNING", "2": "CANCEL", "3": "DONE", "4": "FAIL"}
+
+
+def parse_status_counts(docs: DataFrame) -> DataFrame:
+    """docs (run) counted by run code, with labels and zeros."""
+    labels = docs.sparkSession.createDataFrame(list(RUN_LABELS.items()), "run string, label string")
+    return labels.join(docs.groupBy("run").agg(F.count(F.lit(1)).alias("n")), "run", "left").fillna(0, ["n"])
+
+
+def top_names(features: DataFrame, n: int = 30) -> DataFrame:
+    counted = features.where(F.coalesce("name", F.lit("")) != "").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return counted.orderBy(F.col("n").desc(), "name").limit(n)

@@ -446,3 +446,40 @@ def g14_stitch_trip(spark, sf_dir):
 def h2_extract_list_items(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return rows.select("page_id", F.size(pages.extract_list_items("html")).cast("long").alias("items"))
+
+
+@query(TAGGED + "SELECT name, CAST(count(*) AS BIGINT) AS n FROM v_tagged_points WHERE name <> '' GROUP BY name ORDER BY n DESC, name LIMIT 30")
+def t4_top_names(spark, sf_dir):
+    return profile.top_names(view(spark, sf_dir, "v_tagged_points"))
+
+
+@query(duck("v_route_points", "v_coords") + """, d AS (SELECT c.name, p.lng, p.lat, sqrt(pow(p.lng - c.lng, 2) + pow(p.lat - c.lat, 2)) AS degrees FROM v_coords c CROSS JOIN v_route_points p)
+SELECT name, round(min(degrees), 6) AS degrees FROM d GROUP BY name""")
+def j10_nearest_node(spark, sf_dir):
+    found = network.nearest_node(view(spark, sf_dir, "v_coords"), view(spark, sf_dir, "v_route_points"))
+    return found.select("name", F.round("degrees", 6).alias("degrees"))
+
+
+@query(STEPS + ", k AS (SELECT route, CAST(count(*) AS BIGINT) AS points, round(sum(step_km), 1) AS km FROM s WHERE contains(route, 'N_2') GROUP BY route)\nSELECT k.route, k.points, k.km, min(p.lat) AS south, max(p.lat) AS north FROM k JOIN v_route_points p ON k.route = p.route GROUP BY k.route, k.points, k.km")
+def a27_routes_by_name(spark, sf_dir):
+    return network.routes_by_name(view(spark, sf_dir, "v_route_points"), "N_2")
+
+
+@query(POINTS + "SELECT route, idx FROM v_route_points WHERE idx < 10")
+def w5_first_lines(spark, sf_dir):
+    points = view(spark, sf_dir, "v_route_points").select("route", "idx", F.col("idx").alias("fid"))
+    return network.first_lines(points).select("route", "idx")
+
+
+@query(MATCHED + ", k AS (SELECT route, name FROM m WHERE km < 5) SELECT DISTINCT x.name AS a, y.name AS b, x.route FROM k x JOIN k y ON x.route = y.route WHERE x.name < y.name")
+def s3_routes_in_common(spark, sf_dir):
+    found = matches(spark, sf_dir).select("name", "route")
+    both = found.join(found.withColumnRenamed("name", "b"), "route").where("name < b").select(F.col("name").alias("a"), "b")
+    return network.routes_in_common(both, found)
+
+
+@query(NAMED + "SELECT n.train_code AS route, n.ord - 1 AS at, n.station AS name, c.lng, c.lat FROM named n JOIN v_coords c ON n.station = c.name")
+def j16_route_line_points(spark, sf_dir):
+    routes = named_stops(spark, sf_dir).groupBy(F.col("train_code").alias("route")).agg(F.array_sort(F.collect_list(F.struct("ord", "station"))).alias("s"))
+    placed = network.route_line_points(routes.select("route", F.transform("s", lambda x: x["station"]).alias("stations")), view(spark, sf_dir, "v_coords"))
+    return placed.withColumn("at", F.col("at").cast("long"))

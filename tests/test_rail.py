@@ -19,7 +19,7 @@ def one(spark, value, f):
     ("raw", "keep", "clean"),
     [
         ("## A", True, "=== A ==="), ("### A", True, "=== # A ==="), ("# A\n## B", False, "A\nB"), ("[t](http://u) x", True, "t x"), ("![a](http://u)", True, "!a"),
-        ("![a](/r.png)z", True, "z"), ("f [[3]](https://y) [[4]]", True, "f"), ("<b>x</b>", True, "x"), ("a   b\tc", True, "a b c"), ("a​b", True, "ab"),
+        ("![a](/r.png)z", True, "z"), ("f [[3]](https://y) [[4]]", True, "f"), ("- [1.1 Title]\nz", True, "z"), ("- [1.1 Title](http://u)\nz", True, "- 1.1 Title\nz"), ("<b>x</b>", True, "x"), ("a   b\tc", True, "a b c"), ("a​b", True, "ab"),
         ("a\n\n\n\nb", True, "a\nb"), ("a\n-----\n| |\nb", True, "a\nb"), ("a\nhttps://z/only\nb", True, "a\nb"), ("", True, ""),
     ],
 )
@@ -158,3 +158,18 @@ def test_resumed_ingest_equals_one_run(spark, tmp_path):
     pages.ingest_pages(spark, source, target, mark, files_at_once=1)
     assert sorted((r.page_id, [tuple(s) for s in r.stops]) for r in spark.read.parquet(f"{target}/stops").collect()) == [(1, [(1, "丙")]), (3, [(1, "丙")])]
     assert [r.page_id for r in spark.read.parquet(f"{target}/failed").collect()] == [2]
+
+
+def test_nearest_node_far_and_near(spark):
+    nodes = spark.createDataFrame([(100.0, 30.0), (130.0, 50.0), (130.0, 50.0)], "lng double, lat double")
+    places = spark.createDataFrame([("near", 100.1, 30.0), ("far", 120.0, 20.0)], "name string, lng double, lat double")
+    assert {r.name: (r.lng, r.lat) for r in network.nearest_node(places, nodes).collect()} == {"near": (100.0, 30.0), "far": (100.0, 30.0)}
+
+
+def test_first_and_last_of_a_name(spark):
+    points = spark.createDataFrame([(2, "甲站", (100.0, 30.0)), (1, "甲", (101.0, 31.0)), (0, "甲", (10.0, 31.0)), (3, "", (100.0, 30.0))], "fid int, name string, point struct<lng:double,lat:double>")
+    assert [tuple(r) for r in network.station_coords(points).collect()] == [("甲", 101.0, 31.0)]
+    routes = spark.createDataFrame([(1, "r", [1, 2]), (2, "r", [3, 4]), (3, "r", [5])], "fid int, name string, points array<int>")
+    assert [tuple(r) for r in network.route_geometries(routes).collect()] == [("r", [3, 4])]
+    names = [spark.createDataFrame([(x,) for x in y], "name string") for y in (["京九线", "甲线", "乙"], ["京九线", "甲", "京九"])]
+    assert sorted(map(tuple, network.match_routes_to_lines(*names).collect())) == [("京九线", "京九线"), ("甲线", "甲")]
