@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if, fits, written
+from .common import WORD, fits, written
 
 #: Rows of the source table up to which it is broadcast (about 60 bytes each).
 BROADCAST_SOURCES = 50_000
