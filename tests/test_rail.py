@@ -173,3 +173,36 @@ def test_first_and_last_of_a_name(spark):
     assert [tuple(r) for r in network.route_geometries(routes).collect()] == [("r", [3, 4])]
     names = [spark.createDataFrame([(x,) for x in y], "name string") for y in (["京九线", "甲线", "乙"], ["京九线", "甲", "京九"])]
     assert sorted(map(tuple, network.match_routes_to_lines(*names).collect())) == [("京九线", "京九线"), ("甲线", "甲")]
+
+
+def test_statuses_and_direct_segments(spark):
+    from ferrovia.operators import profile
+
+    runs = spark.createDataFrame([("1",), ("3",), ("3",), ("9",)], "run string")
+    assert sorted((r.run, r.label, r.n) for r in profile.parse_status_counts(runs).collect()) == [("0", "UNSTART", 0), ("1", "RUNNING", 1), ("2", "CANCEL", 0), ("3", "DONE", 2), ("4", "FAIL", 0)]
+    stored = spark.createDataFrame([("a", "b", [(0.0, 0.0), (1.0, 0.0)]), ("b", "a", [(1.0, 0.0), (0.5, 2.0), (0.0, 0.0)])], f"station_a string, station_b string, points {trajectories.POINTS}")
+    asked = spark.createDataFrame([("b", "a"), ("a", "z")], "a string, b string")
+    got = {(r.a, r.b): r.points and [tuple(p) for p in r.points] for r in trajectories.direct_segments(asked, stored).collect()}
+    assert got == {("b", "a"): [(1.0, 0.0), (0.0, 0.0)], ("a", "z"): None}
+
+
+def test_boxes_and_line_statistics(spark):
+    rows = [("r", [[(0.0, 0.0), (1.0, 1.0)], [(9.0, 9.0), (9.0, 9.0)]]), ("s", [[(9.0, 9.0)]]), ("t", [[(9.0, 9.0)]])]
+    routes = spark.createDataFrame(rows, f"route string, sublines array<{trajectories.POINTS}>")
+    boxes = spark.createDataFrame([("r", 0.0, 1.0, 0.0, 1.0), ("s", 0.0, 1.0, 0.0, 1.0)], "route string, minx double, maxx double, miny double, maxy double")
+    assert {r.route: (len(r.sublines), r.removed) for r in trajectories.filter_sublines_by_bbox(routes, boxes).collect()} == {"r": (1, 1), "s": (1, 0), "t": (1, 0)}
+    both = spark.createDataFrame([("1", ["a", "b"], ["b", "a"]), ("2", ["a"], ["a", "b"]), ("3", ["a"], [])], "train_code string, expected array<string>, found array<string>")
+    assert sorted(map(tuple, lines.line_match_stats(both).collect())) == [("exact", 1), ("none", 1), ("partial", 1)]
+
+
+def test_corpus_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.b.txt").write_text("x\ny")
+    (tmp_path / "in" / "c.md").write_text("z")
+    corpus = files.read_text_corpus(spark, str(tmp_path / "in"))
+    assert [tuple(r) for r in corpus.collect()] == [("a.b.txt", "x\ny")]
+    files.write_cleaned_corpus(corpus, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).first().out_name == "a.b_cleaned.txt"
+    files.write_tables({"one": corpus, "two": corpus.withColumn("n", F.lit(1)).drop("text")}, str(tmp_path / "t"))
+    got = files.read_union_shards(spark, [str(tmp_path / "t" / "one"), str(tmp_path / "t" / "two")]).collect()
+    assert sorted(((r.text, r.n) for r in got), key=str) == [("x\ny", None), (None, 1)]
