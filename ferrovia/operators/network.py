@@ -9,15 +9,42 @@ from ..functions.geo import KM_PER_DEGREE, distance_km, in_bounds
 from ..functions.text import alt_line_name, normalize_station_name
 
 
-def _cell(value: Column, size: float) -> Column:
+def cell_of(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(size)).cast("long")
 
 
-def _around(df: DataFrame, size: float) -> DataFrame:
+def around(df: DataFrame, size: float) -> DataFrame:
     """Rows of df (lng, lat) in their own grid cell and the eight around it, as cx and cy."""
     by = [F.lit(-1), F.lit(0), F.lit(1)]
-    wide = df.withColumn("cx", F.explode(F.array(*[_cell(F.col("lng"), size) + d for d in by])))
-    return wide.withColumn("cy", F.explode(F.array(*[_cell(F.col("lat"), size) + d for d in by])))
+    wide = df.withColumn("cx", F.explode(F.array(*[cell_of(F.col("lng"), size) + d for d in by])))
+    return wide.withColumn("cy", F.explode(F.array(*[cell_of(F.col("lat"), size) + d for d in by])))
+
+
+def locate_stations(stations: DataFrame, points: DataFrame, max_km: float = 5.0) -> DataFrame:
+    """(route, name, idx, km): the nearest vertex, in km, of its own route to each of stations (route, name, lng, lat),
+    the first of equals; stations farther than max_km from their route are left out."""
+    size = max_km / (KM_PER_DEGREE * 0.5)  # to 60 degrees
+    near = points.select("route", "idx", F.col("lng").alias("plng"), F.col("lat").alias("plat"), cell_of(F.col("lng"), size).alias("cx"), cell_of(F.col("lat"), size).alias("cy"))
+    met = around(stations.select("route", "name", "lng", "lat"), size).join(near, ["route", "cx", "cy"])
+    best = met.groupBy("route", "name").agg(F.min(F.struct(distance_km(F.col("lng"), F.col("lat"), F.col("plng"), F.col("plat")).alias("km"), "idx")).alias("b"))
+    return best.where(F.col("b.km") <= max_km).select("route", "name", "b.idx", "b.km")
+
+
+def stations_near_lines(routes: DataFrame, lines: DataFrame, stations: DataFrame, margin: float = 0.015, cell: float = 0.5) -> DataFrame:
+    """(route, stations): from_station and to_station of routes (route, from_station, to_station), then the stations inside the
+    box (route, fid, minx, maxx, miny, maxy) and margin of a line of the route, by fid and name, each name once. Routes
+    without ends have no stations. See first_lines for a limit on lines."""
+    ended = routes.where(F.concat_ws("", "from_station", "to_station") != "")
+    low, high = (lambda c: cell_of(F.col(c) - margin, cell)), (lambda c: cell_of(F.col(c) + margin, cell))
+    boxes = lines.join(ended.select("route"), "route", "left_semi").withColumn("cx", F.explode(F.sequence(low("minx"), high("maxx"))))
+    boxes = boxes.withColumn("cy", F.explode(F.sequence(low("miny"), high("maxy"))))
+    placed = stations.select("name", "lng", "lat", cell_of(F.col("lng"), cell).alias("cx"), cell_of(F.col("lat"), cell).alias("cy"))
+    inside = F.col("lng").between(F.col("minx") - margin, F.col("maxx") + margin) & F.col("lat").between(F.col("miny") - margin, F.col("maxy") + margin)
+    first = boxes.join(placed, ["cx", "cy"]).where(inside).groupBy("route", "name").agg(F.min("fid").alias("fid"))
+    found = first.groupBy("route").agg(F.transform(F.array_sort(F.collect_list(F.struct("fid", "name"))), lambda x: x["name"]).alias("found"))
+    ends = F.filter(F.array("from_station", "to_station"), lambda x: F.coalesce(x, F.lit("")) != "")
+    with_found = routes.join(found, "route", "left")
+    return with_found.select("route", F.array_distinct(F.concat(ends, F.coalesce("found", F.array().cast("array<string>")))).alias("stations"))
 
 
 def line_bboxes(points: DataFrame) -> DataFrame:
@@ -60,8 +87,8 @@ def stations_on_route(stations: DataFrame, points: DataFrame, max_km: float = 5.
     n = F.count(F.lit(1)).over(Window.partitionBy("route"))
     thin = points.withColumn("n", n).where((F.col("n") <= most_points) | (F.col("idx") % F.greatest(F.floor(F.col("n") / most_points), F.lit(1)) == 0)).drop("n")
     cell = max_km / (KM_PER_DEGREE * 0.5)  # to 60 degrees
-    near = thin.withColumn("cx", _cell(F.col("lng"), cell)).withColumn("cy", _cell(F.col("lat"), cell)).withColumnsRenamed({"lng": "plng", "lat": "plat"})
-    met = _around(stations.select("name", "lng", "lat"), cell).join(near, ["cx", "cy"])
+    near = thin.withColumn("cx", cell_of(F.col("lng"), cell)).withColumn("cy", cell_of(F.col("lat"), cell)).withColumnsRenamed({"lng": "plng", "lat": "plat"})
+    met = around(stations.select("name", "lng", "lat"), cell).join(near, ["cx", "cy"])
     d2 = F.pow(F.col("plng") - F.col("lng"), 2) + F.pow(F.col("plat") - F.col("lat"), 2)
     best = met.groupBy("route", "name").agg(F.min_by(F.struct("idx", "plng", "plat", "lng", "lat"), F.struct(d2, "idx")).alias("b"))
     km = distance_km(F.col("b.lng"), F.col("b.lat"), F.col("b.plng"), F.col("b.plat"))
@@ -73,8 +100,8 @@ def stations_on_route(stations: DataFrame, points: DataFrame, max_km: float = 5.
 def routes_near_point(places: DataFrame, points: DataFrame, max_km: float = 15.0) -> DataFrame:
     """(place, route, km): routes with a vertex nearer than max_km to a place, longitude by the place's latitude."""
     cell = max_km / (KM_PER_DEGREE * 0.5)
-    near = points.withColumn("cx", _cell(F.col("lng"), cell)).withColumn("cy", _cell(F.col("lat"), cell)).withColumnsRenamed({"lng": "plng", "lat": "plat"})
-    met = _around(places.select("place", "lng", "lat"), cell).join(near, ["cx", "cy"])
+    near = points.withColumn("cx", cell_of(F.col("lng"), cell)).withColumn("cy", cell_of(F.col("lat"), cell)).withColumnsRenamed({"lng": "plng", "lat": "plat"})
+    met = around(places.select("place", "lng", "lat"), cell).join(near, ["cx", "cy"])
     north = (F.col("plat") - F.col("lat")) * KM_PER_DEGREE
     east = (F.col("plng") - F.col("lng")) * KM_PER_DEGREE * F.cos(F.radians("lat"))
     return met.groupBy("place", "route").agg(F.min(F.sqrt(north * north + east * east)).alias("km")).where(F.col("km") < max_km)
@@ -94,15 +121,50 @@ def adjacency_stats(adjacency: DataFrame) -> DataFrame:
     return adjacency.agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.size("routes")).cast("long").alias("edges"), F.count_if(F.size("routes") > 1).alias("shared"))
 
 
-def build_segments(matches: DataFrame, points: DataFrame, min_km: float = 0.1, most: float = 3.0) -> DataFrame:
-    """(station_a, station_b, route, i, j, direct_km, km) of stations that follow each other on a route
-    (by vertex, then name); those on one vertex, nearer than min_km or longer than `most` times the direct way go."""
+def consecutive_stations(matches: DataFrame, points: DataFrame) -> DataFrame:
+    """(station_a, station_b, route, i, j, direct_km, km) of stations that follow each other on a route (by vertex, then name)."""
     km = cumulative_km(points)
     at = matches.join(km.select("route", "idx", "lng", "lat", F.col("km").alias("at")), ["route", "idx"])
     line = Window.partitionBy("route").orderBy("idx", "name")
     both = at.select("route", F.col("name").alias("station_a"), F.col("idx").alias("i"), "lng", "lat", "at", *[F.lead(c).over(line).alias(x) for c, x in (("name", "station_b"), ("idx", "j"), ("lng", "lng_b"), ("lat", "lat_b"), ("at", "at_b"))])
     both = both.withColumn("direct_km", distance_km(F.col("lng"), F.col("lat"), F.col("lng_b"), F.col("lat_b"))).withColumn("km", F.col("at_b") - F.col("at"))
-    return both.where((F.col("j") > F.col("i")) & (F.col("direct_km") >= min_km) & (F.col("km") <= most * F.col("direct_km"))).select("station_a", "station_b", "route", "i", "j", "direct_km", "km")
+    return both.where(F.col("station_b").isNotNull()).select("station_a", "station_b", "route", "i", "j", "direct_km", "km")
+
+
+def _segment_kind(min_km: float, most: float) -> Column:
+    return F.when(F.col("j") <= F.col("i"), "same_vertex").when(F.col("direct_km") < min_km, "too_near").when(F.col("km") > most * F.col("direct_km"), "too_long").otherwise("kept")
+
+
+def build_segments(matches: DataFrame, points: DataFrame, min_km: float = 0.1, most: float = 3.0) -> DataFrame:
+    """consecutive_stations without those on one vertex, nearer than min_km or longer than `most` times the direct way."""
+    return consecutive_stations(matches, points).where(_segment_kind(min_km, most) == "kept")
+
+
+def segment_counters(matches: DataFrame, points: DataFrame, min_km: float = 0.1, most: float = 3.0) -> DataFrame:
+    """How many pairs that follow each other are kept and why the others go; stations and routes that kept ones cover."""
+    kinds = consecutive_stations(matches, points).withColumn("kind", _segment_kind(min_km, most))
+    kept = F.col("kind") == "kept"
+    return kinds.agg(
+        F.count_if(kept).alias("kept"), F.count_if(F.col("kind") == "same_vertex").alias("same_vertex"), F.count_if(F.col("kind") == "too_near").alias("too_near"),
+        F.count_if(F.col("kind") == "too_long").alias("too_long"), F.count_distinct(F.when(kept, F.col("route"))).alias("routes"),
+    )
+
+
+def route_counters(routes: DataFrame) -> DataFrame:
+    """routes (route, sublines as read, removed by their boxes, points of the trajectory) counted: without geometry, empty
+    (fewer than two points), successful; all sub-lines, those removed, and points of successful routes."""
+    lines, n = F.coalesce(F.size("sublines"), F.lit(0)), F.coalesce(F.size("points"), F.lit(0))
+    return routes.agg(
+        F.count_if((lines > 0) & (n >= 2)).alias("success"), F.count_if(lines <= 0).alias("no_geom"), F.count_if((lines > 0) & (n < 2)).alias("empty"),
+        F.coalesce(F.sum(F.greatest(lines, F.lit(0))), F.lit(0)).alias("sublines"), F.coalesce(F.sum("removed"), F.lit(0)).cast("long").alias("removed"),
+        F.coalesce(F.sum(F.when((lines > 0) & (n >= 2), n)), F.lit(0)).alias("points"),
+    )
+
+
+def build_station_index(segments: DataFrame) -> DataFrame:
+    """Sorted routes of each station that a segment begins or ends at."""
+    ends = segments.select(F.explode(F.array("station_a", "station_b")).alias("station"), "route").distinct()
+    return ends.groupBy("station").agg(F.array_sort(F.collect_list("route")).alias("routes"))
 
 
 def build_pair_index(segments: DataFrame) -> DataFrame:
@@ -132,8 +194,8 @@ def nearest_node(stations: DataFrame, nodes: DataFrame, cell: float = 0.5) -> Da
     nodes = nodes.select("lng", "lat").distinct()
     d = F.sqrt(F.pow(F.col("lng") - F.col("slng"), 2) + F.pow(F.col("lat") - F.col("slat"), 2))
     while cell < 1000:
-        near = nodes.withColumn("cx", _cell(F.col("lng"), cell)).withColumn("cy", _cell(F.col("lat"), cell))
-        met = _around(todo.withColumnsRenamed({"slng": "lng", "slat": "lat"}), cell).withColumnsRenamed({"lng": "slng", "lat": "slat"}).join(near, ["cx", "cy"])
+        near = nodes.withColumn("cx", cell_of(F.col("lng"), cell)).withColumn("cy", cell_of(F.col("lat"), cell))
+        met = around(todo.withColumnsRenamed({"slng": "lng", "slat": "lat"}), cell).withColumnsRenamed({"lng": "slng", "lat": "slat"}).join(near, ["cx", "cy"])
         best = met.groupBy("name", "slng", "slat").agg(F.min(F.struct(d.alias("degrees"), "lng", "lat")).alias("b")).where(F.col("b.degrees") <= cell)
         found = best.select("name", "b.lng", "b.lat", "b.degrees")
         out = found if out is None else out.union(found)

@@ -1,12 +1,15 @@
 """Sub-lines of a route to one trajectory. Lines are arrays of (lng, lat) structs; what depends on the
-order of vertices is done per row in Arrow batches."""
+order of vertices is done per row in Arrow batches, which lists of lines of unlike lengths pass whole."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geo import distance_km, trajectory_km
 from ..functions.wkb import LINE
@@ -24,6 +27,30 @@ def _structs(xy: np.ndarray) -> list[dict]:
     return [{"lng": x, "lat": y} for x, y in xy.tolist()]
 
 
+def _parts(array: pa.ListArray, items) -> list:
+    """items, those of the lists of array one after the other, by list; None for a null list."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False))
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    return [items[i:j] if valid else None for i, j, valid in zip(starts, ends, array.is_valid().to_pylist(), strict=True)]
+
+
+def lines_in(array: pa.ListArray) -> list[np.ndarray | None]:
+    """An Arrow array of lines as an (n, 2) array for each."""
+    lng, lat = array.flatten().flatten()
+    return _parts(array, np.stack([lng.to_numpy(zero_copy_only=False), lat.to_numpy(zero_copy_only=False)], 1))
+
+
+def line_lists_in(array: pa.ListArray) -> list[list[np.ndarray | None] | None]:
+    return _parts(array, lines_in(array.flatten()))
+
+
+def lines_out(lines: list[np.ndarray | None]) -> pa.ListArray:
+    ends = np.cumsum([0] + [0 if x is None else len(x) for x in lines])
+    offsets = pa.array([None if i < len(lines) and lines[i] is None else int(e) for i, e in enumerate(ends)], pa.int32())
+    xy = np.concatenate([np.zeros((0, 2)), *[x for x in lines if x is not None]])
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["lng", "lat"]))
+
+
 def km_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = b - a
     return np.hypot(d[..., 1] * 111, d[..., 0] * 111 * np.cos(np.radians((a[..., 1] + b[..., 1]) / 2)))
@@ -44,11 +71,10 @@ def simplified(xy: np.ndarray, limit: float = 0.0005) -> np.ndarray:
     return xy[[*kept, len(xy) - 1]]
 
 
-def merged(lines: list[np.ndarray], threshold_km: float) -> np.ndarray:
-    """From the longest line (by vertices; the first of equals) on, the line whose end is closest to a free
-    end is joined while it is nearer than the threshold; a joined line loses its meeting vertex."""
-    left = sorted(lines, key=len, reverse=True)
-    out = left.pop(0)
+def attached(lines: list[np.ndarray], threshold_km: float) -> np.ndarray:
+    """To the first line, again and again, the one whose end is closest to a free end is joined while that is
+    nearer than the threshold; a joined line loses its meeting vertex."""
+    out, left = lines[0], list(lines[1:])
     while left:
         starts, ends = np.array([x[0] for x in left]), np.array([x[-1] for x in left])
         ways = np.stack([km_between(out[-1], starts), km_between(out[-1], ends), km_between(out[0], ends), km_between(out[0], starts)])
@@ -61,6 +87,67 @@ def merged(lines: list[np.ndarray], threshold_km: float) -> np.ndarray:
     return out
 
 
+def merged(lines: list[np.ndarray], threshold_km: float) -> np.ndarray:
+    """Lines attached to the longest of them (by vertices; the first of equals)."""
+    return attached(sorted(lines, key=len, reverse=True), threshold_km)
+
+
+def middles(lines: list[np.ndarray]) -> np.ndarray:
+    return np.array([x[len(x) // 2] for x in lines])
+
+
+def merged_along(lines: list[np.ndarray], threshold_km: float = 30.0) -> np.ndarray:
+    """Lines of two vertices and more attached to the outermost of them on the axis in which their middles spread most."""
+    lines = [x for x in lines if len(x) >= 2]
+    if not lines:
+        return np.zeros((0, 2))
+    mid = middles(lines)
+    lng, lat = np.ptp(mid, axis=0)
+    return attached([lines[i] for i in np.argsort(mid[:, int(lat >= lng)], kind="stable")], threshold_km)
+
+
+def capped(xy: np.ndarray) -> np.ndarray:
+    return xy[:: len(xy) // MOST_POINTS][:MOST_POINTS] if len(xy) > MOST_POINTS else xy
+
+
+def without_neighbours(lines: list[np.ndarray], near_km: float = 0.2, least: int = 10) -> list[np.ndarray]:
+    """In order of their middles (3 places; latitude, longitude), lines whose middle is nearer than near_km to that of the
+    last one that was new count as its second track: the one with more vertices stays. Where
+    that leaves at most `least` lines, all stay."""
+    mid = middles(lines)
+    kept, last = [], None
+    for i in np.lexsort((mid[:, 0].round(3), mid[:, 1].round(3))):
+        if last is None or km_between(last, mid[i]) >= near_km:
+            kept.append(lines[i])
+            last = mid[i]
+        elif len(lines[i]) > len(kept[-1]):
+            kept[-1] = lines[i]
+    return kept if len(kept) > least else lines
+
+
+def chained(lines: list[np.ndarray]) -> np.ndarray:
+    """Lines in order of their middles on the axis in which their ends spread most, each put on by its nearer end."""
+    ends = np.array([x[[0, -1]] for x in lines]).reshape(-1, 2)
+    lng, lat = np.ptp(ends, axis=0)
+    parts: list[np.ndarray] = []
+    for i in np.argsort(middles(lines)[:, int(lat >= lng)], kind="stable"):
+        line = lines[i]
+        if parts:
+            tail = parts[-1][-1]
+            line = (line if km_between(tail, line[0]) <= km_between(tail, line[-1]) else line[::-1])[1:]
+        parts.append(line)
+    return np.concatenate(parts)
+
+
+def parallel(sub: np.ndarray, main: np.ndarray, near_km: float = 1.5, share: float = 0.3) -> bool:
+    """Whether a line of at least `share` of main has start, middle and end nearer than near_km to vertices of main,
+    of which every 50th counts where there are over 500."""
+    if len(sub) < 2 or not len(main) or length_km(sub) < share * length_km(main):
+        return False
+    seen = main[::50] if len(main) > 500 else main
+    return all(km_between(seen, sub[i]).min() < near_km for i in (0, len(sub) // 2, -1))
+
+
 def denoised(lines: list[np.ndarray]) -> np.ndarray:
     """Lines of 5 km and more (else the five longest) merged with growing thresholds until the result has
     70 % of their length; the longest result is simplified and capped."""
@@ -76,8 +163,7 @@ def denoised(lines: list[np.ndarray]) -> np.ndarray:
             best = found
         if length_km(best) >= 0.7 * total:
             break
-    best = simplified(best)
-    return best[:: len(best) // MOST_POINTS][:MOST_POINTS] if len(best) > MOST_POINTS else best
+    return capped(simplified(best))
 
 
 def downsampled(xy: np.ndarray, per_100_km: int = 25) -> np.ndarray:
@@ -96,19 +182,48 @@ def downsampled(xy: np.ndarray, per_100_km: int = 25) -> np.ndarray:
     return xy[[*kept, n - 1]]
 
 
-@F.pandas_udf(LINE)
-def denoise_route(sublines: pd.Series) -> pd.Series:
-    return pd.Series([_structs(denoised([_xy(x) for x in lines])) if lines is not None else None for lines in sublines])
+def _each(f, values: list) -> pa.ListArray:
+    return lines_out([None if x is None else f(x) for x in values])
+
+
+@F.arrow_udf(LINE)
+def denoise_route(sublines: pa.Array) -> pa.Array:
+    return _each(lambda lines: denoised([x for x in lines if x is not None]), line_lists_in(sublines))
+
+
+@F.arrow_udf(LINE)
+def merge_sublines_spatial(sublines: pa.Array) -> pa.Array:
+    return _each(lambda lines: merged_along([x for x in lines if x is not None]), line_lists_in(sublines))
+
+
+@F.arrow_udf(T.BooleanType())
+def is_parallel(sub: pa.Array, main: pa.Array) -> pa.Array:
+    return pa.array([a is not None and b is not None and parallel(a, b) for a, b in zip(lines_in(sub), lines_in(main), strict=True)], pa.bool_())
 
 
-@F.pandas_udf(LINE)
-def simplify_trajectory(points: pd.Series) -> pd.Series:
-    return pd.Series([_structs(simplified(_xy(p))) if p is not None else None for p in points])
+@F.arrow_udf(LINE)
+def simplify_trajectory(points: pa.Array) -> pa.Array:
+    return _each(simplified, lines_in(points))
 
 
-@F.pandas_udf(LINE)
-def downsample(points: pd.Series) -> pd.Series:
-    return pd.Series([_structs(downsampled(_xy(p))) if p is not None else None for p in points])
+@F.arrow_udf(LINE)
+def downsample(points: pa.Array) -> pa.Array:
+    return _each(downsampled, lines_in(points))
+
+
+def stitched(legs: list[np.ndarray | None]) -> np.ndarray:
+    line = np.zeros((0, 2))
+    for leg in legs:
+        if leg is None or not len(leg):
+            continue
+        xy = downsampled(leg)
+        line = np.concatenate([line, xy[1:] if len(line) and np.abs(xy[0] - line[-1]).max() < 0.001 else xy])
+    return line
+
+
+@F.arrow_udf(LINE)
+def stitch_legs(parts: pa.Array) -> pa.Array:
+    return _each(stitched, line_lists_in(parts))
 
 
 def dedup_reversed_sublines(sublines: DataFrame) -> DataFrame:
@@ -138,6 +253,40 @@ def filter_sublines_by_bbox(routes: DataFrame, boxes: DataFrame, margin: float =
     return joined.select("route", out.alias("kept"), (F.size("sublines") - F.size(out)).alias("removed")).withColumnRenamed("kept", "sublines")
 
 
+def rebuild_from_lines(lines: DataFrame, most_lines: int = 10_000) -> DataFrame:
+    """(route, points) put together from the ways of a route's name, lines (route, ord, points): turned repeats and second
+    tracks go, the others are chained, simplified and capped. The first most_lines of a route by ord count, as its
+    ways are one task's; routes that come to fewer than two points are left out."""
+    first = F.row_number().over(Window.partitionBy("route").orderBy("ord"))
+    few = lines.where(F.size("points") >= 2).withColumn("first", first).where(F.col("first") <= most_lines).select("route", "ord", "points")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [_xy(p) for p in pdf.sort_values("ord")["points"]]
+        xy = capped(simplified(chained(without_neighbours(parts))))
+        return pd.DataFrame({"route": pdf["route"].iloc[:1], "points": [_structs(xy)]})
+
+    once = dedup_reversed_sublines(few)
+    name = lines.schema["route"].dataType.simpleString()
+    return once.groupBy("route").applyInPandas(build, f"route {name}, points {POINTS}").where(F.size("points") >= 2)
+
+
+def complete_route(routes: DataFrame, boxes: DataFrame, lines: DataFrame) -> DataFrame:
+    """routes (route, points) with rebuilt: a trajectory that spans less than half of its route's box (route, minx, maxx, miny,
+    maxy) on an axis gives way to the one rebuilt from lines if that is more than 1.2 times as long.
+    Only such routes are rebuilt. Routes of fewer than two points go."""
+    axis = lambda c: F.transform("points", lambda p: p[c])
+    span = lambda c: F.array_max(axis(c)) - F.array_min(axis(c))
+    ratio = lambda part, whole: F.when(whole > 0, part / whole).otherwise(1.0)
+    seen = routes.select("route", "points").join(boxes, "route", "left")
+    short = (ratio(span("lng"), F.col("maxx") - F.col("minx")) < 0.5) | (ratio(span("lat"), F.col("maxy") - F.col("miny")) < 0.5)
+    poor = seen.where((F.size("points") > 0) & short).select("route")
+    anew = rebuild_from_lines(lines.join(poor, "route", "left_semi")).withColumnRenamed("points", "anew")
+    both = routes.select("route", "points").join(anew, "route", "left")
+    better = F.coalesce(trajectory_km(F.col("anew")) > trajectory_km(F.col("points")) * 1.2, F.lit(False))
+    out = both.select("route", F.when(better, F.col("anew")).otherwise(F.col("points")).alias("points"), better.alias("rebuilt"))
+    return out.where(F.size("points") >= 2)
+
+
 def direct_segments(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """pairs (a, b) with the shortest stored segment (station_a, station_b, points), turned round if needed."""
     there = segments.select(F.col("station_a").alias("a"), F.col("station_b").alias("b"), "points")
@@ -149,22 +298,8 @@ def direct_segments(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 def stitch_trip(legs: DataFrame) -> DataFrame:
     """Legs (train_code, seq, points) to a line per train: legs are thinned out and put together, the first vertex
     of a leg left out where it is within 0.001 degrees of the last one; km is along the whole line."""
-
-    @F.pandas_udf(LINE)
-    def joined(parts: pd.Series) -> pd.Series:
-        out = []
-        for legs_ in parts:
-            line = np.zeros((0, 2))
-            for leg in legs_:
-                xy = downsampled(_xy(leg))
-                if len(line) and len(xy) and np.abs(xy[0] - line[-1]).max() < 0.001:
-                    xy = xy[1:]
-                line = np.concatenate([line, xy])
-            out.append(_structs(line))
-        return pd.Series(out)
-
     ordered = legs.groupBy("train_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "points"))), lambda x: x["points"]).alias("parts"))
-    lines = ordered.select("train_code", F.size("parts").alias("legs"), joined("parts").alias("points"))
+    lines = ordered.select("train_code", F.size("parts").alias("legs"), stitch_legs("parts").alias("points"))
     return lines.withColumn("km", trajectory_km(F.col("points")))
 
 

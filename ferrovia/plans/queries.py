@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import chat, journeys, lines, network, profile, retrieval, timetable, trajectories
+from ..operators import chat, journeys, lines, network, profile, retrieval, segments as track, timetable, trajectories
+from ..sources.stored import stored
 from ..streaming import pages
 from .views import duck, view
 
@@ -289,6 +290,16 @@ seg AS (SELECT station_a, station_b, route, i, j, direct_km, km FROM dk WHERE j
 """
 
 
+NEAREST = duck("v_route_points", "v_coords") + f""", d AS (SELECT c.name AS place, p.route, p.idx, c.lng, c.lat, {KM.format(lng1="c.lng", lat1="c.lat", lng2="p.lng", lat2="p.lat")} AS km FROM v_coords c JOIN v_route_points p ON abs(p.lng - c.lng) < 0.5 AND abs(p.lat - c.lat) < 0.5),
+box AS (SELECT route, min(lng) AS w, max(lng) AS e, min(lat) AS s, max(lat) AS n FROM v_route_points GROUP BY route),
+p1 AS (SELECT d.*, row_number() OVER (PARTITION BY place, d.route ORDER BY km, idx) AS rk FROM d JOIN box b ON d.route = b.route
+WHERE km <= 15 AND d.lng BETWEEN b.w - 15 / 111e0 AND b.e + 15 / 111e0 AND d.lat BETWEEN b.s - 15 / 111e0 AND b.n + 15 / 111e0)
+"""
+LOCATED = duck("v_route_points", "v_coords") + f""", d AS (SELECT p.route, c.name, p.idx, {KM.format(lng1="c.lng", lat1="c.lat", lng2="p.lng", lat2="p.lat")} AS km FROM v_coords c JOIN v_route_points p ON abs(p.lng - c.lng) < 0.3 AND abs(p.lat - c.lat) < 0.3),
+w AS (SELECT *, row_number() OVER (PARTITION BY route, name ORDER BY km, idx) AS rk FROM d)
+"""
+
+
 def segments(spark, sf_dir):
     return network.build_segments(matches(spark, sf_dir), view(spark, sf_dir, "v_route_points"))
 
@@ -483,3 +494,123 @@ def j16_route_line_points(spark, sf_dir):
     routes = named_stops(spark, sf_dir).groupBy(F.col("train_code").alias("route")).agg(F.array_sort(F.collect_list(F.struct("ord", "station"))).alias("s"))
     placed = network.route_line_points(routes.select("route", F.transform("s", lambda x: x["station"]).alias("stations")), view(spark, sf_dir, "v_coords"))
     return placed.withColumn("at", F.col("at").cast("long"))
+
+
+def both_ways(spark, sf_dir):
+    found = segments(spark, sf_dir)
+    return found.select(F.col("station_a").alias("a"), F.col("station_b").alias("b")).union(found.select("station_b", "station_a")).distinct()
+
+
+def stored_segments(spark, sf_dir):
+    kept = segments(spark, sf_dir).select("station_a", "station_b", "route", "i", "j")
+    return track.segment_points(kept, view(spark, sf_dir, "v_route_points")).select("station_a", "station_b", "route", "points")
+
+
+@query(SEGMENTS + ", u AS (SELECT station_a AS a, station_b AS b, km FROM seg UNION ALL SELECT station_b, station_a, km FROM seg)\nSELECT a, b, round(min(km), 6) AS km FROM u GROUP BY a, b")
+def j12_direct_segment(spark, sf_dir):
+    found = trajectories.direct_segments(both_ways(spark, sf_dir), stored_segments(spark, sf_dir))
+    return found.select("a", "b", F.round(geo.trajectory_km(F.col("points")), 6).alias("km"))
+
+
+def route_stations(spark, sf_dir):
+    order = Window.partitionBy("route").orderBy("idx", "name")
+    return matches(spark, sf_dir).select("route", "name", F.row_number().over(order).alias("at"))
+
+
+def train_stations(spark, sf_dir):
+    rides = named_stops(spark, sf_dir).groupBy("train_code").agg(F.array_sort(F.collect_list(F.struct("ord", "station"))).alias("s"))
+    return rides.select("train_code", F.transform("s", lambda x: x["station"]).alias("stations"))
+
+
+def named_legs(spark, sf_dir):
+    line = Window.partitionBy("train_code").orderBy("ord")
+    legs = named_stops(spark, sf_dir).select("train_code", F.col("ord").alias("seq"), F.col("station").alias("a"), F.lead("station").over(line).alias("b"))
+    return legs.where("b IS NOT NULL")
+
+
+@query(MATCHED + """, k AS (SELECT route, name, row_number() OVER (PARTITION BY route ORDER BY idx, name) AS at FROM m WHERE km < 5),
+named AS (SELECT CAST(l_orderkey AS VARCHAR) AS train_code, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS ord, concat('S', lpad(CAST(l_suppkey AS VARCHAR), 5, '0')) AS station FROM lineitem),
+leg AS (SELECT DISTINCT train_code, station AS a, b FROM (SELECT *, lead(station) OVER (PARTITION BY train_code ORDER BY ord) AS b FROM named) x WHERE b IS NOT NULL AND b <> station),
+cov AS (SELECT n.train_code, k.route, count(DISTINCT k.name) AS cov FROM named n JOIN k ON n.station = k.name GROUP BY n.train_code, k.route),
+r AS (SELECT l.train_code, l.a, l.b, x.route, abs(x.at - y.at) + 1 AS stations, row_number() OVER (PARTITION BY l.train_code, l.a, l.b ORDER BY 100 * c.cov - abs(x.at - y.at) - 1 DESC, x.route) AS rk
+FROM leg l JOIN k x ON l.a = x.name JOIN k y ON l.b = y.name AND x.route = y.route JOIN cov c ON c.train_code = l.train_code AND c.route = x.route)
+SELECT train_code, a, b, route, CAST(stations AS BIGINT) AS stations FROM r WHERE rk = 1""")
+def j13_common_routes(spark, sf_dir):
+    found = track.common_routes(named_legs(spark, sf_dir), train_stations(spark, sf_dir), route_stations(spark, sf_dir))
+    return found.withColumn("stations", F.size("stations").cast("long"))
+
+
+def found_legs(spark, sf_dir):
+    return track.find_segments(
+        named_legs(spark, sf_dir), train_stations(spark, sf_dir), stored(view(spark, sf_dir, "v_coords")), stored(stored_segments(spark, sf_dir)),
+        stored(route_stations(spark, sf_dir)), stored(view(spark, sf_dir, "v_route_points")),
+    )
+
+
+@query()
+def g13_find_segments(spark, sf_dir):
+    """Every leg of every train, with what its track was found by and the vertices of that."""
+    return found_legs(spark, sf_dir).select("train_code", "seq", "a", "b", "source", F.size("points").cast("long").alias("points"))
+
+
+@query()
+def a22_trip_summary(spark, sf_dir):
+    return track.trip_summary(found_legs(spark, sf_dir)).withColumn("km", F.round("km", 3))
+
+
+@query(NEAREST + "SELECT place, route, idx, round(km, 6) AS km FROM p1 WHERE rk = 1")
+def g10_nearby_vertices(spark, sf_dir):
+    """Of the vertices near each station the first of each route: the nearest one."""
+    near = track.nearby_vertices(view(spark, sf_dir, "v_coords").withColumnRenamed("name", "place"), view(spark, sf_dir, "v_route_points"))
+    return near.groupBy("place", "route").agg(F.min(F.struct("km", "idx")).alias("v")).select("place", "route", "v.idx", F.round("v.km", 6).alias("km"))
+
+
+@query()
+def g11_trajectory_segment(spark, sf_dir):
+    """The best stretch between the stations of every leg."""
+    pairs = named_legs(spark, sf_dir).where("a <> b").select("a", "b").distinct()
+    found = track.trajectory_segment(pairs, view(spark, sf_dir, "v_coords"), view(spark, sf_dir, "v_route_points"))
+    return found.withColumn("km", F.round("km", 6))
+
+
+@query(LOCATED + "SELECT route, name, idx, round(km, 6) AS km FROM w WHERE rk = 1 AND km <= 5")
+def w4_locate_stations(spark, sf_dir):
+    """Every station on each of the routes that come within 15 km of it, by the nearest vertex."""
+    points, coords = view(spark, sf_dir, "v_route_points"), view(spark, sf_dir, "v_coords")
+    near = network.routes_near_point(coords.withColumnRenamed("name", "place"), points).select("route", F.col("place").alias("name"))
+    return network.locate_stations(near.join(coords, "name"), points).withColumn("km", F.round("km", 6))
+
+
+@query(duck("v_route_points", "v_coords") + """, b AS (SELECT route, idx // 50 AS fid, min(lng) AS minx, max(lng) AS maxx, min(lat) AS miny, max(lat) AS maxy FROM v_route_points GROUP BY route, idx // 50),
+f AS (SELECT b.route, c.name, min(b.fid) AS fid FROM b JOIN v_coords c ON c.lng BETWEEN minx - 0.015e0 AND maxx + 0.015e0 AND c.lat BETWEEN miny - 0.015e0 AND maxy + 0.015e0 GROUP BY b.route, c.name),
+s AS (SELECT route, string_agg(name, ',' ORDER BY fid, name) AS names FROM f GROUP BY route), r AS (SELECT DISTINCT route FROM v_route_points)
+SELECT r.route, concat_ws(',', concat(r.route, '-from'), concat(r.route, '-to'), s.names) AS stations FROM r LEFT JOIN s ON r.route = s.route""")
+def j8_stations_near_lines(spark, sf_dir):
+    """Routes in lines of 50 vertices, with the stations in the lines' boxes."""
+    points = view(spark, sf_dir, "v_route_points")
+    routes = points.select("route", F.concat("route", F.lit("-from")).alias("from_station"), F.concat("route", F.lit("-to")).alias("to_station")).distinct()
+    boxes = points.groupBy("route", F.floor(F.col("idx") / 50).alias("fid")).agg(F.min("lng").alias("minx"), F.max("lng").alias("maxx"), F.min("lat").alias("miny"), F.max("lat").alias("maxy"))
+    return network.stations_near_lines(routes, boxes, view(spark, sf_dir, "v_coords")).withColumn("stations", F.array_join("stations", ","))
+
+
+@query(SEGMENTS + """, kind AS (SELECT route, CASE WHEN j <= i THEN 'v' WHEN direct_km < 0.1 THEN 'n' WHEN km > 3 * direct_km THEN 'l' ELSE 'k' END AS k FROM dk)
+SELECT CAST(sum(CASE WHEN k = 'k' THEN 1 ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN k = 'v' THEN 1 ELSE 0 END) AS BIGINT) AS same_vertex, CAST(sum(CASE WHEN k = 'n' THEN 1 ELSE 0 END) AS BIGINT) AS too_near,
+CAST(sum(CASE WHEN k = 'l' THEN 1 ELSE 0 END) AS BIGINT) AS too_long, CAST(count(DISTINCT CASE WHEN k = 'k' THEN route END) AS BIGINT) AS routes FROM kind""")
+def a26_segment_counters(spark, sf_dir):
+    return network.segment_counters(matches(spark, sf_dir), view(spark, sf_dir, "v_route_points"))
+
+
+@query(SEGMENTS + ", u AS (SELECT station_a AS station, route FROM seg UNION SELECT station_b, route FROM seg)\nSELECT station, string_agg(route, ',' ORDER BY route) AS routes FROM u GROUP BY station")
+def a17_build_station_index(spark, sf_dir):
+    return network.build_station_index(segments(spark, sf_dir)).withColumn("routes", F.array_join("routes", ","))
+
+
+@query(POINTS + "SELECT route, CAST(count(*) AS BIGINT) AS points FROM v_route_points GROUP BY route")
+def g5_rebuild_from_lines(spark, sf_dir):
+    """Ways of 5 vertices that share their ends, some turned round and one repeated, chained to the whole route again."""
+    points = view(spark, sf_dir, "v_route_points")
+    seats = points.withColumn("ord", F.explode(F.array(F.floor(F.col("idx") / 4), F.floor((F.col("idx") - 1) / 4)))).where("ord >= 0").distinct()
+    ways = seats.groupBy("route", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "lng", "lat"))), lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("points"))
+    ways = ways.withColumn("points", F.when(F.col("ord") % 3 == 2, F.reverse("points")).otherwise(F.col("points")))
+    ways = ways.union(ways.where("ord = 4").select("route", F.lit(999).alias("ord"), F.reverse("points")))
+    return trajectories.rebuild_from_lines(ways).select("route", F.size("points").cast("long").alias("points"))

@@ -58,6 +58,65 @@ class _Items(HTMLParser):
             self.items[-1] += data
 
 
+#: The attributes by which a table of a city's stations is known.
+CITY_TABLE = {"width": "100%", "border": "0", "cellpadding": "4", "cellspacing": "1"}
+
+
+class _City(HTMLParser):
+    """The first bold link in the first row of a city table, and the first font in the first link of each cell of its second row."""
+
+    def __init__(self):
+        super().__init__()
+        self.tables, self.row, self.bold = [], 0, 0  # for each open table: whether it is a city table
+        self.name, self.stations, self.text, self.links, self.fonts = None, [], None, 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            own = dict(attrs)
+            self.tables.append(all(own.get(k) == v for k, v in CITY_TABLE.items()))
+            if self.tables[-1]:
+                self.row = 0
+        elif tag == "b" or tag == "strong":
+            self.bold += 1
+        if not (self.tables and self.tables[-1]):
+            return
+        if tag == "tr":
+            self.row += 1
+        elif tag == "td":
+            self.links = self.fonts = 0
+        elif tag == "a":
+            self.links += 1
+            self.fonts = 0
+            if self.row == 1 and self.name is None:
+                self.text = ""
+        elif tag == "font" and self.row == 2 and self.links == 1:
+            self.fonts += 1
+            if self.fonts == 1:
+                self.text = ""
+
+    def handle_data(self, data):
+        if self.text is not None and (self.row == 2 or self.bold):
+            self.text += data
+
+    def handle_endtag(self, tag):
+        if tag == "table" and self.tables:
+            self.tables.pop()
+        elif tag == "b" or tag == "strong":
+            self.bold = max(0, self.bold - 1)
+        elif self.text is not None and tag == ("a" if self.row == 1 else "font"):
+            found, self.text = self.text.strip(), None
+            if self.row == 1:
+                self.name = found or None
+            elif "站" in found:
+                self.stations.append(found)
+
+
+def city_of(html: str | None) -> dict:
+    parser = _City()
+    parser.feed(html or "")
+    return {"city": parser.name, "stations": parser.stations}
+
+
 def stops_of(html: str | None) -> list[dict] | None:
     parser = _Stops()
     parser.feed(html or "")
@@ -88,6 +147,25 @@ def extract_list_items(html: pd.Series) -> pd.Series:
     return html.map(items_of, na_action=None)
 
 
+CITY = T.StructType([T.StructField("city", T.StringType()), T.StructField("stations", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(CITY)
+def extract_city_stations(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([city_of(x) for x in html], columns=["city", "stations"])
+
+
+def city_stations(pages: DataFrame) -> DataFrame:
+    """(page_id, city, stations) of pages (page_id, html) that name stations."""
+    return pages.select("page_id", extract_city_stations("html").alias("c")).select("page_id", "c.*").where(F.size("stations") > 0)
+
+
+def city_station_totals(cities: DataFrame) -> DataFrame:
+    """Cities with stations, and stations, of cities (city, stations)."""
+    own = F.size("stations")
+    return cities.where(own > 0).agg(F.count(F.lit(1)).alias("city_count"), F.coalesce(F.sum(own), F.lit(0)).alias("station_count"))
+
+
 def ingest_pages(spark: SparkSession, source: str, target: str, checkpoint: str, files_at_once: int = 10) -> None:
     """Stop tables of new page files (Parquet: page_id, url, html) appended to target/stops, pages without
     one to target/failed. A stopped ingest goes on at its checkpoint; batches are told apart by number, so a
