@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import KM_PER_DEGREE, distance_km, in_bounds
+from ..functions.geo import KM_PER_DEGREE, distance_km, geodesic_m, in_bounds
 from ..functions.text import alt_line_name, normalize_station_name
 
 
@@ -65,6 +65,11 @@ def route_quality(points: DataFrame) -> DataFrame:
     return cumulative_km(points).groupBy("route").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("step_km"), 1).alias("km"), odd.alias("abnormal"))
 
 
+def count_abnormal_coords(points: DataFrame) -> DataFrame:
+    """Points out of bounds of each route."""
+    return points.groupBy("route").agg(F.count_if(~in_bounds(F.col("lng"), F.col("lat"))).alias("abnormal"))
+
+
 def longest_routes(points: DataFrame, n: int = 30, ascending: bool = False) -> DataFrame:
     km = route_quality(points)
     return km.orderBy(F.col("km").asc() if ascending else F.col("km").desc(), "route").limit(n).select("route", "km")
@@ -178,12 +183,19 @@ def most_shared_pairs(index: DataFrame, n: int = 10) -> DataFrame:
 
 
 def graph_edges(points: DataFrame) -> DataFrame:
-    """Undirected different edges between consecutive vertices, with their length in km."""
+    """Undirected different edges between consecutive vertices, with their length in km, and in metres on the ellipsoid."""
     line = Window.partitionBy("route").orderBy("idx")
     u, v = F.struct("lng", "lat"), F.struct(F.lead("lng").over(line).alias("lng"), F.lead("lat").over(line).alias("lat"))
     both = points.select(u.alias("u"), v.alias("v")).where(F.col("v.lng").isNotNull())
     edges = both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return edges.select(F.col("u.lng").alias("u_lng"), F.col("u.lat").alias("u_lat"), F.col("v.lng").alias("v_lng"), F.col("v.lat").alias("v_lat")).withColumn("km", distance_km(F.col("u_lng"), F.col("u_lat"), F.col("v_lng"), F.col("v_lat")))
+    return edges.select(F.col("u.lng").alias("u_lng"), F.col("u.lat").alias("u_lat"), F.col("v.lng").alias("v_lng"), F.col("v.lat").alias("v_lat")).withColumns({"km": distance_km(F.col("u_lng"), F.col("u_lat"), F.col("v_lng"), F.col("v_lat")), "meters": geodesic_m("u_lng", "u_lat", "v_lng", "v_lat")})
+
+
+def graph_counts(edges: DataFrame) -> DataFrame:
+    """Different nodes, edges and metres of graph_edges."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u_lng").alias("lng"), F.col("u_lat").alias("lat")), F.struct(F.col("v_lng").alias("lng"), F.col("v_lat").alias("lat")))).alias("n")).distinct()
+    nodes = ends.agg(F.count(F.lit(1)).alias("nodes"))
+    return edges.agg(F.count(F.lit(1)).alias("edges"), F.sum("meters").alias("meters")).join(F.broadcast(nodes))
 
 
 def nearest_node(stations: DataFrame, nodes: DataFrame, cell: float = 0.5) -> DataFrame:

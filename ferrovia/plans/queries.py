@@ -330,7 +330,7 @@ def j11_routes_near_point(spark, sf_dir):
 e AS (SELECT DISTINCT CASE WHEN o THEN u_lng ELSE v_lng END AS u_lng, CASE WHEN o THEN u_lat ELSE v_lat END AS u_lat, CASE WHEN o THEN v_lng ELSE u_lng END AS v_lng, CASE WHEN o THEN v_lat ELSE u_lat END AS v_lat FROM (SELECT *, u_lng < v_lng OR (u_lng = v_lng AND u_lat <= v_lat) AS o FROM l WHERE v_lng IS NOT NULL) y)
 SELECT *, round({KM.format(lng1="u_lng", lat1="u_lat", lng2="v_lng", lat2="v_lat")}, 6) AS km FROM e""")
 def a25_graph_edges(spark, sf_dir):
-    return network.graph_edges(view(spark, sf_dir, "v_route_points")).withColumn("km", F.round("km", 6))
+    return network.graph_edges(view(spark, sf_dir, "v_route_points")).drop("meters").withColumn("km", F.round("km", 6))
 
 
 TAGGED = duck("v_tagged_points")
@@ -614,3 +614,131 @@ def g5_rebuild_from_lines(spark, sf_dir):
     ways = ways.withColumn("points", F.when(F.col("ord") % 3 == 2, F.reverse("points")).otherwise(F.col("points")))
     ways = ways.union(ways.where("ord = 4").select("route", F.lit(999).alias("ord"), F.reverse("points")))
     return trajectories.rebuild_from_lines(ways).select("route", F.size("points").cast("long").alias("points"))
+
+
+LEGS = NAMED + ", l AS (SELECT train_code, ord, station AS a, lead(station) OVER (PARTITION BY train_code ORDER BY ord) AS b FROM named), p AS (SELECT DISTINCT l.a, l.b, x.lng AS lng1, x.lat AS lat1, y.lng AS lng2, y.lat AS lat2 FROM l JOIN v_coords x ON l.a = x.name JOIN v_coords y ON l.b = y.name)\n"
+
+
+def leg_ends(spark, sf_dir):
+    legs = journeys.train_legs_with_coords(named_stops(spark, sf_dir), view(spark, sf_dir, "v_coords"))
+    return legs.select("a", "b", "lng_a", "lat_a", "lng_b", "lat_b").distinct()
+
+
+@query(LEGS + f"SELECT a, b, round({KM.format(lng1='lng1', lat1='lat1', lng2='lng2', lat2='lat2')}, 6) AS km FROM p")
+def p1_distance_km(spark, sf_dir):
+    return leg_ends(spark, sf_dir).select("a", "b", F.round(geo.distance_km(F.col("lng_a"), F.col("lat_a"), F.col("lng_b"), F.col("lat_b")), 6).alias("km"))
+
+
+@query(LEGS + "SELECT a, b, round(2 * 6371008.8e0 * asin(sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lng2 - lng1) / 2), 2))), 2) AS meters FROM p")
+def p2_haversine_m(spark, sf_dir):
+    return leg_ends(spark, sf_dir).select("a", "b", F.round(geo.haversine_m(F.col("lng_a"), F.col("lat_a"), F.col("lng_b"), F.col("lat_b")), 2).alias("meters"))
+
+
+@query()
+def p2_geodesic_m(spark, sf_dir):
+    return leg_ends(spark, sf_dir).select("a", "b", F.round(geo.geodesic_m("lng_a", "lat_a", "lng_b", "lat_b"), 3).alias("meters"))
+
+
+@query(POINTS + "SELECT route, idx FROM v_route_points WHERE lng BETWEEN 75 AND 90 AND lat BETWEEN 20 AND 40")
+def p7_in_bounds(spark, sf_dir):
+    return view(spark, sf_dir, "v_route_points").where(geo.in_bounds(F.col("lng"), F.col("lat"), 75, 90, 20, 40)).select("route", "idx")
+
+
+@query(POINTS + "SELECT route, CAST(sum(CASE WHEN lng BETWEEN 70 AND 140 AND lat BETWEEN 15 AND 55 THEN 0 ELSE 1 END) AS BIGINT) AS abnormal FROM v_route_points GROUP BY route")
+def p8_count_abnormal_coords(spark, sf_dir):
+    return network.count_abnormal_coords(view(spark, sf_dir, "v_route_points"))
+
+
+@query(CODED + "SELECT train_code, CASE WHEN substr(train_code, 1, 1) IN ('G', 'D') THEN train_code ELSE concat(train_code, '.') END AS line, CASE WHEN substr(train_code, 1, 1) IN ('G', 'D') THEN train_code END AS number FROM trains")
+def p14_parse_train_number(spark, sf_dir):
+    """Codes of classes G and D as they are, others with a dot and nothing after it."""
+    line = F.when(F.substring("train_code", 1, 1).isin("G", "D"), F.col("train_code")).otherwise(F.concat("train_code", F.lit(".")))
+    return trains(spark, sf_dir).select("train_code", line.alias("line"), text.parse_train_number(line).alias("number"))
+
+
+@query(duck("v_stops") + "SELECT DISTINCT station, replace(replace(station, '站', '线'), '线', '') AS alt FROM v_stops")
+def p17_alt_line_name(spark, sf_dir):
+    named = view(spark, sf_dir, "v_stops").select("station").distinct()
+    return named.select("station", text.alt_line_name(F.translate("station", "站", "线")).alias("alt"))
+
+
+@query(TAGGED + "SELECT fid, CASE WHEN fid % 3 = 0 THEN name ELSE concat(name, '[', CAST(fid % 3 AS VARCHAR), ']') END AS key FROM v_tagged_points")
+def p18_route_key(spark, sf_dir):
+    ref = F.when(F.col("fid") % 3 == 0, F.lit("")).otherwise((F.col("fid") % 3).cast("string"))
+    return view(spark, sf_dir, "v_tagged_points").select("fid", text.route_key(F.col("name"), ref).alias("key"))
+
+
+@query(TAGGED + """SELECT fid FROM v_tagged_points WHERE other_tags LIKE '%"railway"=>"station"%' AND name <> ''""")
+def p5_route_features(spark, sf_dir):
+    """Points tagged as stations, their tags written as those of routes."""
+    tags = F.replace("other_tags", F.lit('"railway"=>"station"'), F.lit('"route"=>"railway"'))
+    return view(spark, sf_dir, "v_tagged_points").where(text.is_route_feature(F.col("name"), tags)).select("fid")
+
+
+@query(POINTS + "SELECT route, idx FROM v_route_points WHERE idx BETWEEN 10 AND 20")
+def g7_extract_segment(spark, sf_dir):
+    """Vertices 10 to 20 of each route, taken backwards."""
+    whole = view(spark, sf_dir, "v_route_points").groupBy("route").agg(F.array_sort(F.collect_list("idx")).alias("p"))
+    return whole.select("route", F.explode(geo.segment(F.col("p"), F.lit(20), F.lit(10))).alias("idx"))
+
+
+def whole_routes(spark, sf_dir):
+    ordered = view(spark, sf_dir, "v_route_points").groupBy("route").agg(F.array_sort(F.collect_list(F.struct("idx", "lng", "lat"))).alias("p"))
+    return ordered.select("route", F.transform("p", lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("points"))
+
+
+@query(POINTS + "SELECT route, CAST(count(*) AS BIGINT) AS points FROM v_route_points GROUP BY route")
+def g4_simplify_trajectory(spark, sf_dir):
+    """Every vertex twice: the repeats go but for the last, which is an end."""
+    twice = whole_routes(spark, sf_dir).withColumn("points", F.flatten(F.transform("points", lambda p: F.array(p, p))))
+    return twice.select("route", (F.size(trajectories.simplify_trajectory("points")) - 1).cast("long").alias("points"))
+
+
+@query()
+def g8_downsample(spark, sf_dir):
+    return whole_routes(spark, sf_dir).select("route", F.size(trajectories.downsample("points")).cast("long").alias("points"))
+
+
+@query(POINTS + "SELECT route, CAST(count(DISTINCT idx // 50) AS BIGINT) AS lines FROM v_route_points GROUP BY route")
+def w3_dedup_reversed_sublines(spark, sf_dir):
+    return trajectories.dedup_reversed_sublines(route_lines(spark, sf_dir)).groupBy("route").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(SEGMENTS + """, k AS (SELECT route, name, row_number() OVER (PARTITION BY route ORDER BY idx, name) AS at, count(*) OVER (PARTITION BY route) AS n FROM m WHERE km < 5),
+leg AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS train_code, concat('S', lpad(CAST(l_suppkey AS VARCHAR), 5, '0')) AS a, concat('S', lpad(CAST(nxt AS VARCHAR), 5, '0')) AS b, y.hop AS hop
+FROM (SELECT *, lead(l_suppkey) OVER w AS nxt, row_number() OVER w - 1 AS hop FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)) y WHERE nxt IS NOT NULL AND nxt <> l_suppkey)
+SELECT l.train_code, CAST(l.hop AS BIGINT) AS at, l.a, l.b, x.route AS line_name, CAST(x.n AS BIGINT) AS line_length, CAST(abs(x.at - y.at) AS BIGINT) AS distance FROM leg l JOIN k x ON l.a = x.name JOIN k y ON l.b = y.name AND x.route = y.route""")
+def j14_candidate_lines(spark, sf_dir):
+    """Lines as in g17_match_lines."""
+    lists = route_stations(spark, sf_dir).groupBy(F.col("route").alias("line_name")).agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("s"))
+    table = lists.select("line_name", F.hash("line_name").alias("line_ord"), F.transform("s", lambda x: x["name"]).alias("stations"))
+    found = lines.candidate_lines(train_stations(spark, sf_dir), table)
+    return found.select("train_code", F.col("at").cast("long").alias("at"), "a", "b", "line_name", F.col("line_length").cast("long").alias("line_length"), F.col("distance").cast("long").alias("distance"))
+
+
+@query(duck("v_coords") + "SELECT name, lng, lat FROM v_coords WHERE lng BETWEEN 70 AND 140 AND lat BETWEEN 15 AND 55")
+def a15_station_coords(spark, sf_dir):
+    """Each station twice, the second time as one with the station sign and elsewhere: the first by fid stays."""
+    coords = view(spark, sf_dir, "v_coords")
+    first = coords.select(F.lit(1).alias("fid"), "name", F.struct("lng", "lat").alias("point"))
+    second = coords.select(F.lit(2).alias("fid"), F.concat("name", F.lit("站")).alias("name"), F.struct((F.col("lng") + 1).alias("lng"), "lat").alias("point"))
+    return network.station_coords(first.union(second))
+
+
+@query(POINTS + "SELECT route AS name, CAST(count(*) AS BIGINT) AS points FROM v_route_points GROUP BY route")
+def a16_route_geometries(spark, sf_dir):
+    """Each route by fid: its first half, the whole of it, and a single vertex, which doesn't count."""
+    whole = whole_routes(spark, sf_dir)
+    parts = [whole.select(F.lit(fid).alias("fid"), F.col("route").alias("name"), F.slice("points", 1, n).alias("points")) for fid, n in ((1, 200), (2, 400), (3, 1))]
+    return network.route_geometries(parts[0].union(parts[1]).union(parts[2])).select("name", F.size("points").cast("long").alias("points"))
+
+
+@query("SELECT CAST(doc_id % 4 + 1 AS VARCHAR) AS run, CASE doc_id % 4 + 1 WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'CANCEL' WHEN 3 THEN 'DONE' ELSE 'FAIL' END AS label, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1, 2 UNION ALL SELECT '0', 'UNSTART', CAST(0 AS BIGINT)")
+def a24_parse_status_counts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return profile.parse_status_counts(docs.select((F.col("doc_id") % 4 + 1).cast("string").alias("run")))
+
+
+@query()
+def a25_graph_counts(spark, sf_dir):
+    return network.graph_counts(network.graph_edges(view(spark, sf_dir, "v_route_points"))).withColumn("meters", F.round("meters", 1))

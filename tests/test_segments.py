@@ -6,7 +6,7 @@ import sqlite3
 import numpy as np
 import pytest
 
-from ferrovia.functions import text, wkb
+from ferrovia.functions import geo, text, wkb
 from ferrovia.operators import network, segments, trajectories
 from ferrovia.sources import files, geopackage
 from ferrovia.streaming import pages
@@ -260,3 +260,17 @@ def test_geometry_of_unlike_lines(spark):
     blob = b"GP\0\0" + b"\0" * 4 + struct.pack("<BII", 1, 5, 3) + b"".join(map(body, parts))
     got = spark.createDataFrame([(bytearray(blob),)], "g binary").select(wkb.decode_lines("g").alias("l")).first().l
     assert [len(x) for x in got] == [2, 5, 3]
+
+
+def test_geodesic(spark):
+    """A degree of the equator and of the meridian at both ends follow from the ellipsoid; the quarter meridian is 10,001,965.729 m."""
+    at = np.array([(0, 0, 1, 0), (0, 0, 0, 90), (179.5, 0, -179.5, 0), (100, 30, 100, 30), (0, 0, 180, 0.1), (100, 0, 100, 1), (10, 89, 10, 90)], float)
+    m = geo.inverse_m(*at.T)
+    assert abs(m[0] - np.pi * geo.MAJOR_M / 180) < 1e-3 and abs(m[1] - 10001965.729) < 1e-3 and abs(m[2] - m[0]) < 1e-3 and m[3] == 0 and np.isnan(m[4])
+    assert abs(m[5] - 110574.389) < 1e-2 and abs(m[6] - 111693.865) < 1e-2
+    rows = spark.createDataFrame([(100.0, 30.0, 101.0, 31.0), (None, 30.0, 101.0, 31.0)], "a double, b double, c double, d double").coalesce(1)
+    got = rows.select(geo.geodesic_m("a", "b", "c", "d").alias("m"), geo.haversine_m(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("h")).collect()
+    assert abs(got[0].m / got[0].h - 1) < 0.006 and got[1].m is None
+    edges = network.graph_edges(spark.createDataFrame([("r", 0, 0.0, 0.0), ("r", 1, 1.0, 0.0), ("r", 2, 0.0, 0.0)], "route string, idx int, lng double, lat double"))
+    told = network.graph_counts(edges).first()
+    assert (told.nodes, told.edges) == (2, 1) and abs(told.meters - m[0]) < 1e-3
