@@ -704,7 +704,7 @@ def w3_dedup_reversed_sublines(spark, sf_dir):
     return trajectories.dedup_reversed_sublines(route_lines(spark, sf_dir)).groupBy("route").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query(SEGMENTS + """, k AS (SELECT route, name, row_number() OVER (PARTITION BY route ORDER BY idx, name) AS at, count(*) OVER (PARTITION BY route) AS n FROM m WHERE km < 5),
+@query(MATCHED + """, k AS (SELECT route, name, row_number() OVER (PARTITION BY route ORDER BY idx, name) AS at, count(*) OVER (PARTITION BY route) AS n FROM m WHERE km < 5),
 leg AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS train_code, concat('S', lpad(CAST(l_suppkey AS VARCHAR), 5, '0')) AS a, concat('S', lpad(CAST(nxt AS VARCHAR), 5, '0')) AS b, y.hop AS hop
 FROM (SELECT *, lead(l_suppkey) OVER w AS nxt, row_number() OVER w - 1 AS hop FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)) y WHERE nxt IS NOT NULL AND nxt <> l_suppkey)
 SELECT l.train_code, CAST(l.hop AS BIGINT) AS at, l.a, l.b, x.route AS line_name, CAST(x.n AS BIGINT) AS line_length, CAST(abs(x.at - y.at) AS BIGINT) AS distance FROM leg l JOIN k x ON l.a = x.name JOIN k y ON l.b = y.name AND x.route = y.route""")
