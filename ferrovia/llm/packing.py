@@ -26,7 +26,7 @@ _encoders: dict[str, object] = {}
 def encoder(path: str):
     """text to token ids, special strings being ordinary text. A .json file is read by
     tokenizers; a .tiktoken file holds the same vocabulary as ranks, gives the same ids
-    (tests/llm/test_packing.py) and takes about a third of the time."""
+    (a test in tests/llm holds them equal) and takes about a third of the time."""
     if path not in _encoders:
         if path.endswith(".tiktoken"):
             import public_tokenizers
