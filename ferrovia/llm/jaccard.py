@@ -265,12 +265,17 @@ def set_links(docs: DataFrame, k: int, percent: int, spanning: bool = True) -> D
     # larger component are in a block for each leader that they meet.
     whole = written(components(met.select(F.col("leader").alias("a"), F.col("set_id").alias("b"))), "met-components")
     sized = met.select("set_id", "n").distinct().join(whole.withColumnRenamed("node", "set_id"), "set_id")
-    weights = sized.groupBy("component").agg((F.sum(F.col("n").cast("long") + F.lit(SET_COST)) <= MOST_IN_COMPONENT).alias("one"))
-    sized = written(sized.join(weights, "component"), "met-sizes")
+    whole_size = sized.groupBy("component").agg((F.sum(F.col("n").cast("long") + F.lit(SET_COST)) <= MOST_IN_COMPONENT).alias("one"))
+    sized = written(sized.join(whole_size, "component"), "met-sizes")
     led = met.join(sized.where(~F.col("one")).select("set_id"), "set_id", "left_semi").select("leader", "set_id", "n")
     members = written(sized.where("one").select(F.col("component").alias("leader"), "set_id", "n").union(led), "members")
-    by_size = Window.partitionBy("leader").orderBy("n", "set_id").rowsBetween(Window.unboundedPreceding, -1)
-    cut = members.select("leader", "set_id", "n", F.floor(F.coalesce(F.sum(F.col("n").cast("long") + F.lit(SET_COST)).over(by_size), F.lit(0)) / F.lit(CHUNK)).cast("int").alias("chunk"))
+    # Chunks follow the sizes. Only the sizes of a block are ordered in one task, at most some
+    # thousands; a set's place within its size is drawn from its digest.
+    weights = members.groupBy("leader", "n").agg(F.sum(F.col("n").cast("long") + F.lit(SET_COST)).alias("weight"))
+    smaller = Window.partitionBy("leader").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    starts = weights.withColumn("start", F.coalesce(F.sum("weight").over(smaller), F.lit(0)))
+    place = F.col("start") + F.pmod(F.xxhash64("set_id"), F.col("weight"))
+    cut = members.join(starts, ["leader", "n"]).select("leader", "set_id", "n", F.floor(place / F.lit(CHUNK)).cast("int").alias("chunk"))
     spans = cut.groupBy("leader", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = spans.select("leader", F.col("chunk").alias("chunk_b"), F.col("low").alias("low_b"))
     near = (F.col("chunk_b") >= F.col("chunk")) & (F.lit(100) * F.col("high") >= F.lit(percent) * F.col("low_b"))
