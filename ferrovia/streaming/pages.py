@@ -111,6 +111,50 @@ class _City(HTMLParser):
                 self.stations.append(found)
 
 
+class _CityLinks(HTMLParser):
+    """Of each city table, the first link of the first cell of its body's first row, if it has a bold part."""
+
+    steps = ("tbody", "tr", "td", "a")
+
+    def __init__(self):
+        super().__init__()
+        self.tables, self.links = [], []  # for each open table: how many of the steps were met
+        self.url, self.name, self.bold = None, None, False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            own = dict(attrs)
+            self.tables.append(0 if all(own.get(k) == v for k, v in CITY_TABLE.items()) else len(self.steps))
+        elif tag == "b" and self.url is not None and self.name is None:
+            self.name, self.bold = "", True
+        elif self.tables and self.tables[-1] < len(self.steps) and tag == self.steps[self.tables[-1]]:
+            self.tables[-1] += 1
+            if tag == "a":
+                self.url, self.name = dict(attrs).get("href") or "", None
+
+    def handle_data(self, data):
+        if self.bold:
+            self.name += data
+
+    def handle_endtag(self, tag):
+        if tag == "table" and self.tables:
+            self.tables.pop()
+        elif tag == "b":
+            self.bold = False
+        elif tag == "a" and self.url is not None:
+            if self.url and self.name is not None:
+                self.links.append({"name": self.name.strip(), "url": self.url})
+            self.url, self.bold = None, False
+        elif self.tables and self.tables[-1] and tag in ("tbody", "tr", "td"):
+            self.tables[-1] = len(self.steps)
+
+
+def city_links_of(html: str | None) -> list[dict]:
+    parser = _CityLinks()
+    parser.feed(html or "")
+    return parser.links
+
+
 def city_of(html: str | None) -> dict:
     parser = _City()
     parser.feed(html or "")
@@ -160,6 +204,25 @@ def city_stations(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", extract_city_stations("html").alias("c")).select("page_id", "c.*").where(F.size("stations") > 0)
 
 
+LINKS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("url", T.StringType())]))
+
+
+@F.pandas_udf(LINKS)
+def extract_city_links(html: pd.Series) -> pd.Series:
+    return html.map(city_links_of, na_action=None)
+
+
+def city_links(pages: DataFrame, base: str | None = None, marker: str = "chengshi/") -> DataFrame:
+    """(page_id, ord, name, url): links to the pages of cities of list pages (page_id, html), in their order.
+    With a base, a url that doesn't start with http is base and what follows its last marker. Pages without
+    links, or without html, give no row."""
+    found = pages.select("page_id", F.posexplode(extract_city_links("html")).alias("ord", "link")).select("page_id", "ord", "link.name", "link.url")
+    if base is None:
+        return found
+    tail = F.concat(F.lit(base), F.substring_index("url", marker, -1))
+    return found.withColumn("url", F.when(F.col("url").startswith("http"), F.col("url")).otherwise(tail))
+
+
 def city_station_totals(cities: DataFrame) -> DataFrame:
     """Cities with stations, and stations, of cities (city, stations)."""
     own = F.size("stations")

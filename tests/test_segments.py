@@ -197,6 +197,22 @@ def city(name, cells, attrs='width="100%" border="0" cellpadding="4" cellspacing
     return f'<table {attrs}><tbody><tr><td><a href="x"><b>{name}</b></a><a><b>other</b></a></td></tr><tr>{cells}</tr><tr><td><a><font>三站</font></a></td></tr></tbody></table>'
 
 
+def test_city_links(spark):
+    def listed(row, attrs='width="100%" border="0" cellpadding="4" cellspacing="1"', body="tbody"):
+        return f"<table {attrs}><{body}>{row}</{body}></table>"
+
+    link = '<tr><td><a href="{}"><b> {} </b></a></td></tr>'
+    first = listed(link.format("../chengshi/jia.html", "甲") + link.format("no.html", "no")) + listed(link.format("http://x/yi.html", "乙"))
+    none = [
+        listed(link.format("a", "a"), 'width="90%"'), listed(link.format("a", "a"), body="thead"), listed(link.format("", "a")),
+        listed('<tr><td><a href="a">a</a><a href="b"><b>b</b></a></td></tr>'), listed("<tr></tr>" + link.format("a", "a")),
+        listed('<tr><td></td><td><a href="a"><b>a</b></a></td></tr>'), "<b>", "", None,
+    ]
+    df = spark.createDataFrame([(1, first), *((i + 2, x) for i, x in enumerate(none))], "page_id long, html string")
+    assert [tuple(r) for r in pages.city_links(df).orderBy("ord").collect()] == [(1, 0, "甲", "../chengshi/jia.html"), (1, 1, "乙", "http://x/yi.html")]
+    assert [r.url for r in pages.city_links(df, "http://b/").orderBy("ord").collect()] == ["http://b/jia.html", "http://x/yi.html"]
+
+
 def test_city_pages(spark):
     good = city("甲", "<td><a><font> 甲东站 </font><font>x站</font></a></td><td><a><font>甲西</font></a></td><td><a><font>甲南站</font></a><a><font>y站</font></a></td><td><font>z站</font></td>")
     rows = [(1, good), (2, city("乙", "<td><a><font>乙站</font></a></td>", 'width="90%"')), (3, None), (4, "<b>")]
