@@ -269,8 +269,9 @@ def set_links(docs: DataFrame, k: int, percent: int, spanning: bool = True) -> D
     sized = written(sized.join(whole_size, "component"), "met-sizes")
     led = met.join(sized.where(~F.col("one")).select("set_id"), "set_id", "left_semi").select("leader", "set_id", "n")
     members = written(sized.where("one").select(F.col("component").alias("leader"), "set_id", "n").union(led), "members")
-    # Chunks follow the sizes. Only the sizes of a block are ordered in one task, at most some
-    # thousands; a set's place within its size is drawn from its digest.
+    # Chunks follow the sizes. Only the distinct sizes of a block are ordered in one task: about
+    # 8,000 at most in a component, those of two bands in a leader's block. A set's place within
+    # its size is drawn from its digest, so a chunk holds CHUNK shingles on average.
     weights = members.groupBy("leader", "n").agg(F.sum(F.col("n").cast("long") + F.lit(SET_COST)).alias("weight"))
     smaller = Window.partitionBy("leader").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     starts = weights.withColumn("start", F.coalesce(F.sum("weight").over(smaller), F.lit(0)))
