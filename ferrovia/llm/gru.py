@@ -6,7 +6,8 @@
    bytes beyond ASCII. The output is factored: a softmax over classes, then one in the
    class; in a tail class a word has its share by count.
 3. Tasks train by truncated backpropagation in numpy on their share of the documents, from
-   common parameters, and Spark averages the parameters by tokens; so for each round.
+   common parameters, and Spark averages the parameters by tokens; so for each round. The
+   rounds share out the documents, so each is learned from once.
 4. Texts are scored whole: the state goes on from window to window. Counts of rare words come by a join.
 """
 
@@ -29,12 +30,13 @@ TAILS = 32
 #: Words whose counts every task gets; the others' come by a join.
 HEAD = 100_000
 LANES, WINDOW = 32, 24
+#: In each round another share of the training documents is learned from; together they are all.
 ROUNDS = 2
-#: In each round another share of the training documents is learned from.
-SHARE = 12
 RATE = 0.01
 END = np.uint64(0x0E4D_0F7E_C7A1_2345)
 ADD = 0.1
+#: Rows of a block of targets in one class.
+BLOCK = 8
 #: Tokens that are scored together.
 GROUP = 1 << 20
 #: Different words that a counting task holds before it emits them.
@@ -171,24 +173,48 @@ class Net:
             dh = p @ self.wc.T
         order = np.argsort(own, kind="stable")
         edges = np.searchsorted(own[order], np.arange(CLASSES + 1))
+        if grad is not None:
+            self._in_class(h, target, order, edges, out, dh, grad)
+            return out, dh
         for c in range(CLASSES):
             at = order[edges[c] : edges[c + 1]]
             if not len(at):
                 continue
-            hc, word = h[at], target[at] % PER_CLASS
-            s = hc @ self.wo[c].T + self.bo[c]
+            s = h[at] @ self.wo[c].T + self.bo[c]
             s -= s.max(1, keepdims=True)
-            q = np.exp(s)
-            total = q.sum(1, keepdims=True)
-            out[at] += s[np.arange(len(at)), word] - np.log(total[:, 0])
-            if grad is not None:
-                q /= -total
-                q[np.arange(len(at)), word] += 1
-                grad.wo[c] += q.T @ hc
-                grad.bo[c] += q.sum(0)
-                dh[at] += q @ self.wo[c]
+            out[at] += s[np.arange(len(at)), target[at] % PER_CLASS] - np.log(np.exp(s).sum(1))
         return out, dh
 
+    def _in_class(self, h: np.ndarray, target: np.ndarray, order: np.ndarray, edges: np.ndarray, out: np.ndarray, dh: np.ndarray, grad: Net) -> None:
+        """Adds the part of the softmax in the class, for all classes at once: each class's targets lie in blocks of BLOCK rows."""
+        counts = np.diff(edges)
+        blocks = -(-counts // BLOCK)
+        if not blocks.any():
+            return
+        at, kind = order[: edges[-1]], np.repeat(np.arange(CLASSES), blocks)
+        ends = np.cumsum(blocks)
+        place = np.arange(len(at)) + np.repeat((ends - blocks) * BLOCK - edges[:-1], counts)
+        hb = np.zeros((len(kind) * BLOCK, HIDDEN), h.dtype)
+        hb[place] = h[at]
+        hb = hb.reshape(-1, BLOCK, HIDDEN)
+        wo, word = self.wo[kind], target[at] % PER_CLASS
+        s = (hb @ wo.transpose(0, 2, 1) + self.bo[kind][:, None]).reshape(-1, PER_CLASS)
+        s -= s.max(1, keepdims=True)
+        q = np.exp(s)
+        total = q.sum(1, keepdims=True)
+        out[at] += s[place, word] - np.log(total[place, 0])
+        q /= -total
+        q[place, word] += 1
+        empty = np.ones(len(q), bool)
+        empty[place] = False
+        q[empty] = 0
+        q = q.reshape(-1, BLOCK, PER_CLASS)
+        here = np.flatnonzero(blocks)
+        first = (ends - blocks)[here]
+        grad.wo[here] += np.add.reduceat(q.transpose(0, 2, 1) @ hb, first)
+        grad.bo[here] += np.add.reduceat(q.sum(1), first)
+        dh[at] += (q @ wo).reshape(-1, HIDDEN)[place]
+
 
 def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
     """Texts dealt to lanes, longest first, each to the shortest lane."""
@@ -220,54 +246,84 @@ def train(net: Net, ids: np.ndarray, first: np.ndarray, moments: list[np.ndarray
     """Truncated backpropagation over texts in lanes, WINDOW steps at a time; the state goes on."""
     k = HIDDEN
     places, starts, _ = laid_out(ids, first, LANES)
-    h0 = np.zeros((len(places), k), np.float32)
-    grad = Net(np.zeros(Net.SIZE, np.float32))
-    for at in range(0, places.shape[1], WINDOW):
-        window = places[:, at : at + WINDOW]
-        live = window >= 0
-        active = int(np.count_nonzero(live[:, 0]))
+    places, starts = np.ascontiguousarray(places.T), np.ascontiguousarray(starts.T)
+    kind = net.flat.dtype
+    h0 = np.zeros((places.shape[1], k), kind)
+    grad = Net(np.zeros(Net.SIZE, kind))
+    half = np.repeat(np.array([0.5, 1.0], kind), [2 * k, k])  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
+    for at in range(0, len(places), WINDOW):
+        active = int(np.count_nonzero(places[at] >= 0))
         if active < max(2, LANES // 8):
             break  # a last lane on its own: too noisy to learn from
-        window, live, h = window[:active], live[:active], h0[:active]
-        begin = starts[:active, at : at + WINDOW]
+        window, begin = places[at : at + WINDOW, :active], starts[at : at + WINDOW, :active]
+        live, size = window >= 0, len(window)
         before = np.where(begin, Net.START, ids[window - 1])
+        keep, begun = (~begin)[:, :, None], begin.any(1).tolist()
         grad.flat[:] = 0
-        px = net.embed[before] @ net.wx + net.b
-        kept, states = [], []
-        for t in range(window.shape[1]):
-            h = np.where(begin[:, t, None], 0, h)
-            new, r, z, n, hn = net.step(px[:, t], h)
-            kept.append((h, r, z, n, hn))
-            h = new
-            states.append(h)
+        px, wh = (net.embed[before] @ net.wx + net.b) * half, net.wh * half
+        past, states = np.empty((size, active, k), kind), np.empty((size, active, k), kind)
+        gates, hidden = np.empty((size, active, 2 * k), kind), np.empty((size, active, k), kind)
+        new = np.empty((size, active, k), kind)
+        g, h = np.empty((active, 3 * k), kind), h0[:active]
+        for t in range(size):
+            if begun[t]:
+                np.multiply(h, keep[t], out=past[t])
+            else:
+                past[t] = h
+            np.matmul(past[t], wh, out=g)
+            hidden[t] = g[:, 2 * k :]
+            x, n, h = gates[t], new[t], states[t]
+            np.add(px[t, :, : 2 * k], g[:, : 2 * k], out=x)
+            np.tanh(x, out=x)
+            x *= 0.5
+            x += 0.5
+            np.multiply(x[:, :k], hidden[t], out=n)
+            n += px[t, :, 2 * k :]
+            np.tanh(n, out=n)
+            np.subtract(past[t], n, out=h)
+            h *= x[:, k:]
+            h += n
         h0[:active] = h
-        stacked = np.stack(states, 1)
-        dh_all = np.zeros_like(stacked)
-        _, dh_all[live] = net.output(stacked[live], ids[window[live]], grad)
-        dpx = np.zeros_like(px)
-        carry = np.zeros_like(h)
-        for t in range(window.shape[1] - 1, -1, -1):
-            h, r, z, n, hn = kept[t]
-            d = dh_all[:, t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h - n) * z * (1 - z)
-            dr = dn * hn * r * (1 - r)
-            dg = np.concatenate([dr, dz, dn * r], 1)
-            grad.wh += h.T @ dg
-            dpx[:, t] = np.concatenate([dr, dz, dn], 1)
-            carry = (d * z + dg @ net.wh.T) * ~begin[:, t, None]
-        grad.b += dpx.sum((0, 1))
-        flat_px, flat_in = dpx.reshape(-1, 3 * k), before.ravel()
+        d = np.zeros_like(states)
+        _, d[live] = net.output(states[live], ids[window[live]], grad)
+        # the gradients of a step are those of its state times what all steps have at hand
+        r, z = gates[:, :, :k], gates[:, :, k:]
+        dn = (1 - z) * (1 - new * new)
+        by_state = np.stack([dn * hidden * r * (1 - r), (past - new) * z * (1 - z), dn * r], 2)
+        dg, back = np.empty((size, active, 3, k), kind), net.wh.T.copy()
+        carry = np.zeros((active, k), kind)
+        for t in range(size - 1, -1, -1):
+            d[t] += carry
+            np.multiply(d[t][:, None], by_state[t], out=dg[t])
+            np.matmul(dg[t].reshape(active, 3 * k), back, out=carry)
+            carry += d[t] * z[t]
+            if begun[t]:
+                carry *= keep[t]
+        grad.wh += past.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
+        dg[:, :, 2] = d * dn
+        flat_px, flat_in = dg.reshape(-1, 3 * k), before.ravel()
+        grad.b += flat_px.sum(0)
         grad.wx += net.embed[flat_in].T @ flat_px
-        np.add.at(grad.embed, flat_in, flat_px @ net.wx.T)
-        g = grad.flat / max(1, np.count_nonzero(live))
-        norm = np.sqrt(g @ g)
-        g *= min(1.0, 1.0 / (norm + 1e-9))
+        order = np.argsort(flat_in, kind="stable")
+        words = flat_in[order]
+        edges = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+        grad.embed[words[edges]] += np.add.reduceat((flat_px @ net.wx.T)[order], edges)
+        g = grad.flat
+        g /= max(1, np.count_nonzero(live))
+        g *= min(1.0, 1.0 / (np.sqrt(g @ g) + 1e-9))
         step += 1
         m, v = moments
         m += 0.1 * (g - m)
-        v += 0.005 * (g * g - v)
-        net.flat += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.995**step)) + 1e-6)
+        g *= g
+        g -= v
+        g *= 0.005
+        v += g
+        np.sqrt(v, out=g)
+        g /= np.sqrt(1 - 0.995**step)
+        g += 1e-6
+        np.divide(m, g, out=g)
+        g *= RATE / (1 - 0.9**step)
+        net.flat += g
     return step
 
 
@@ -351,8 +407,8 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     return Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["tail"].to_numpy(np.int64), top["c"].to_numpy(np.int64), total, different, tail_c, tail_n)
 
 
-def fit(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, share: int = SHARE) -> Net:
-    """A net from docs (doc_id, text): in round i from those whose hash modulo share is i."""
+def fit(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Net:
+    """A net from all docs (doc_id, text): in round i from those whose hash modulo rounds is i."""
     net = Net.start(words.counts, words.tail_counts)
     for i in range(rounds):
         common = docs.sparkSession.sparkContext.broadcast((net.flat, words))
@@ -368,7 +424,7 @@ def fit(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, share: int = S
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(Net.SIZE, dtype=np.int32)), pa.array(own.flat.astype(np.float64) * seen), pa.array(np.full(Net.SIZE, float(seen)))], ["i", "v", "w"])
 
-        part = docs.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(share)) == i).select("text")
+        part = docs.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(rounds)) == i).select("text")
         mean = part.mapInArrow(run, "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).orderBy("i").toPandas()
         if len(mean):
             net = Net(mean["v"].to_numpy(np.float32).copy())

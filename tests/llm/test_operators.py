@@ -289,6 +289,18 @@ def test_state_goes_on_over_windows_and_lanes():
     assert np.allclose(gru.log_probabilities(net, ids, first, lanes=3, window=7), wanted, atol=1e-3)
 
 
+def test_rounds_reach_every_document(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    words = gru.vocabulary(gru.token_counts(spark.createDataFrame([(text,)], "text string")))
+    start = gru.Net.start(words.counts, words.tail_counts).flat
+    every = spark.range(64).selectExpr("id AS doc_id", "pmod(xxhash64('round', id), 12) AS part", f"'{text}' AS text").collect()
+    assert len({r.part for r in every}) == 12
+    for part in range(12):
+        of_part = [(r.doc_id, r.text) for r in every if r.part == part] * 4
+        net = gru.fit(spark.createDataFrame(of_part, "doc_id long, text string").coalesce(1), words)
+        assert not np.array_equal(net.flat, start)
+
+
 def test_model_on_odd_rows(odd, none):
     rows = gru.score_documents(odd).collect()
     assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter((d, n_words(t) + 1) for d, t, _ in ODD)
