@@ -30,6 +30,8 @@ TAILS = 32
 #: Words whose counts every task gets; the others' come by a join.
 HEAD = 100_000
 LANES, WINDOW = 32, 24
+#: A text that is spread over lanes is cut into runs of so many tokens at least.
+LEAST_RUN = 4 * WINDOW
 #: In each round another share of the training documents is learned from; together they are all.
 ROUNDS = 2
 RATE = 0.01
@@ -37,7 +39,7 @@ END = np.uint64(0x0E4D_0F7E_C7A1_2345)
 ADD = 0.1
 #: Rows of a block of targets in one class.
 BLOCK = 8
-#: Tokens that are scored together.
+#: Tokens that are learned from or scored together.
 GROUP = 1 << 20
 #: Different words that a counting task holds before it emits them.
 KEPT = 1 << 21
@@ -229,35 +231,43 @@ def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
     return sorted((x for x in out if x), key=lambda x: -sum(lengths[t] for t in x))
 
 
+def runs_of(first: np.ndarray, most: int) -> np.ndarray:
+    """Edges of the texts, a text of more than `most` tokens cut into runs of about equal length."""
+    lengths = np.diff(first)
+    cuts = np.maximum(1, -(-lengths // most))
+    number = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    return np.append(np.repeat(first[:-1], cuts) + np.repeat(lengths, cuts) * number // np.repeat(cuts, cuts), first[-1])
+
+
 def laid_out(ids: np.ndarray, first: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, starts, lengths): for each lane and step the token's place (-1 past the end) and whether a text starts there."""
-    dealt = lanes_of(np.diff(first), lanes)
-    rows = [np.concatenate([np.arange(first[t], first[t + 1]) for t in lane]) for lane in dealt]
-    lengths = np.array([len(x) for x in rows])
-    places = np.full((len(rows), int(lengths.max())), -1, np.int64)
+    """(places, texts, runs): for each lane and step the token's place (-1 past the end), whether a text starts there and
+    whether a run does. A text longer than a lane's share is spread over lanes as runs of LEAST_RUN tokens or more."""
+    edges = runs_of(first, max(2 * LEAST_RUN, -(-len(ids) // lanes)))
+    dealt = lanes_of(np.diff(edges), lanes)
+    rows = [np.concatenate([np.arange(edges[t], edges[t + 1]) for t in lane]) for lane in dealt]
+    places = np.full((len(rows), max(len(x) for x in rows)), -1, np.int64)
     for i, x in enumerate(rows):
         places[i, : len(x)] = x
-    begins = np.zeros(len(ids) + 1, bool)
-    begins[first[:-1]] = True
-    return places, begins[places] & (places >= 0), lengths
+    begins = np.zeros((2, len(ids) + 1), bool)
+    begins[0, first[:-1]] = True
+    begins[1, edges[:-1]] = True
+    return places, begins[0][places] & (places >= 0), begins[1][places] & (places >= 0)
 
 
 def train(net: Net, ids: np.ndarray, first: np.ndarray, moments: list[np.ndarray], step: int) -> int:
-    """Truncated backpropagation over texts in lanes, WINDOW steps at a time; the state goes on."""
-    k = HIDDEN
-    places, starts, _ = laid_out(ids, first, LANES)
-    places, starts = np.ascontiguousarray(places.T), np.ascontiguousarray(starts.T)
+    """Truncated backpropagation over texts in lanes, WINDOW steps at a time; the state goes on to the end of a run.
+    Every token is learned from; where few lanes are left, by smaller steps."""
+    k, enough = HIDDEN, max(2, LANES // 8)
+    places, starts, fresh = (np.ascontiguousarray(x.T) for x in laid_out(ids, first, LANES))
     kind = net.flat.dtype
     h0 = np.zeros((places.shape[1], k), kind)
     grad = Net(np.zeros(Net.SIZE, kind))
     half = np.repeat(np.array([0.5, 1.0], kind), [2 * k, k])  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
     for at in range(0, len(places), WINDOW):
         active = int(np.count_nonzero(places[at] >= 0))
-        if active < max(2, LANES // 8):
-            break  # a last lane on its own: too noisy to learn from
-        window, begin = places[at : at + WINDOW, :active], starts[at : at + WINDOW, :active]
+        window, begin = places[at : at + WINDOW, :active], fresh[at : at + WINDOW, :active]
         live, size = window >= 0, len(window)
-        before = np.where(begin, Net.START, ids[window - 1])
+        before = np.where(starts[at : at + WINDOW, :active], Net.START, ids[window - 1])
         keep, begun = (~begin)[:, :, None], begin.any(1).tolist()
         grad.flat[:] = 0
         px, wh = (net.embed[before] @ net.wx + net.b) * half, net.wh * half
@@ -322,7 +332,7 @@ def train(net: Net, ids: np.ndarray, first: np.ndarray, moments: list[np.ndarray
         g /= np.sqrt(1 - 0.995**step)
         g += 1e-6
         np.divide(m, g, out=g)
-        g *= RATE / (1 - 0.9**step)
+        g *= RATE * min(1.0, active / enough) / (1 - 0.9**step)
         net.flat += g
     return step
 
@@ -416,11 +426,10 @@ def fit(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Net:
         def run(batches: Iterator[pa.RecordBatch], common=common) -> Iterator[pa.RecordBatch]:
             flat, vocab = common.value
             own, moments, step, seen = Net(flat.copy()), [np.zeros(Net.SIZE, np.float32) for _ in range(2)], 0, 0
-            for batch in batches:
-                for _, _, hashes, tails, first in tokens(batch.column(0)):
-                    ids = vocab.lookup(hashes, tails)[0]
-                    step = train(own, ids, first, moments, step)
-                    seen += len(ids)
+            for _, _, hashes, tails, first in grouped(x for batch in batches for x in tokens(batch.column(0))):
+                ids = vocab.lookup(hashes, tails)[0]
+                step = train(own, ids, first, moments, step)
+                seen += len(ids)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(Net.SIZE, dtype=np.int32)), pa.array(own.flat.astype(np.float64) * seen), pa.array(np.full(Net.SIZE, float(seen)))], ["i", "v", "w"])
 

@@ -301,6 +301,23 @@ def test_rounds_reach_every_document(spark):
         assert not np.array_equal(net.flat, start)
 
 
+@pytest.mark.parametrize("lengths", [[9000, 8000, 7000, *[40] * 60], [5000], [50], [30, 2, 1]])
+def test_every_token_is_learned_from(lengths):
+    first = np.concatenate(([0], np.cumsum(lengths)))
+    places, starts, runs = gru.laid_out(np.zeros(first[-1], np.int64), first, gru.LANES)
+    assert sorted(places[places >= 0].tolist()) == list(range(first[-1]))
+    assert sorted(places[starts].tolist()) == first[:-1].tolist() and not (starts & ~runs).any()
+    if first[-1] >= 5000:  # the lanes end together
+        assert (places >= 0).sum(1).min() > 0.4 * places.shape[1] and len(places) > gru.LANES // 2
+    for text in range(min(3, len(lengths))):
+        ids = np.zeros(first[-1], np.int64)
+        ids[first[text + 1] - 1] = 500  # only a text's last token is a word of this class
+        net = gru.Net.start(np.ones(gru.CLASSES * gru.PER_CLASS), np.ones(gru.TAILS))
+        wo = net.wo[500 // gru.PER_CLASS].copy()
+        gru.train(net, ids, first, [np.zeros(gru.Net.SIZE, np.float32) for _ in range(2)], 0)
+        assert not np.array_equal(net.wo[500 // gru.PER_CLASS], wo)
+
+
 def test_model_on_odd_rows(odd, none):
     rows = gru.score_documents(odd).collect()
     assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter((d, n_words(t) + 1) for d, t, _ in ODD)
