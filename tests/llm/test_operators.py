@@ -146,6 +146,18 @@ def test_both_files_give_the_same_ids(docs):
         assert list(a(text)) == list(b(text))
 
 
+def test_ids_are_those_of_the_tokenizer_as_loaded(docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()} == packing.SPECIAL
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert list(encode("a<|endoftext|>b")) == [64, 50256, 65]
+    odd = ["<|endoftext|>", "x <|endoftext|> <|endoftext|><|endoftext|>\n y", "  <|endoftext|>  \n", "<|endoftext", "<|ENDOFTEXT|>", "<|end<|endoftext|>oftext|>", " 12<|endoftext|>'s", "", "\x00 \ufeff\u0301"]
+    for text in [r.text for r in docs.collect()] + [t or "" for _, t, _ in ODD] + odd:
+        assert list(encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("group", [1 << 21, 3000])
 def test_pieces(docs, odd, group):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
