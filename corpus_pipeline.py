@@ -21,21 +21,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
-#: Ids are broadcast up to this many (8 bytes each, about 100 in a hash table).
+#: Ids are broadcast up to this many (16 bytes each with the hash of the text, about 100 in a hash table).
 BROADCAST_IDS = 1_000_000
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (5 words, 0.8) the document of the least doc_id stays.
-    A wordless text is in no group. Rows that agree in doc_id and text stay once; a row without an
+    """Of each group of near duplicates (5 words, 0.8) the row of the least doc_id stays (of
+    several texts under that id, the one of the least hash). Each row is judged by its own text: a
+    wordless one is in no group. Rows that agree in doc_id and text stay once; a row without an
     id stays."""
-    found = jaccard.near_duplicates(docs, k=5, percent=80).where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    ids = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id") != F.col("component_id")).alias("gone")), "groups")
-    gone, again = ids.where("gone").select("doc_id"), ids.where("not gone and rows > 1").select("doc_id")
-    out = docs.join(broadcast_if(gone, BROADCAST_IDS), "doc_id", "left_anti")
+    key, digest = ["doc_id", "__digest"], F.xxhash64("text").alias("__digest")
+    keyed = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", digest)).alias("doc_id"), "text")
+    found = jaccard.near_duplicates(keyed, k=5, percent=80).where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id") != F.col("component_id")).alias("gone"))
+    ids = written(rows.select("doc_id.*", "rows", "gone"), "groups")
+    gone, again = ids.where("gone").select(*key), ids.where("not gone and rows > 1").select(*key)
+    docs_of = docs.select("*", digest)
+    out = docs_of.join(broadcast_if(gone, BROADCAST_IDS), key, "left_anti")
     if again.limit(1).count():
         again = broadcast_if(again, BROADCAST_IDS)
-        out = out.join(again, "doc_id", "left_anti").union(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+        out = out.join(again, key, "left_anti").union(out.join(again, key, "left_semi").dropDuplicates(["doc_id", "text"]))
     return out.select(*docs.columns)
 
 

@@ -483,3 +483,36 @@ def test_pipeline_on_odd_rows(spark, odd, none):
                 assert out.columns == frame.columns
             docs = corpus_pipeline.written(out, f"test-{name}")
         assert (docs.count() > 0) == (frame is odd)
+
+
+def test_near_duplicates_under_repeated_ids(spark):
+    import corpus_pipeline
+
+    r = np.random.default_rng(4)
+    a, b, c, d = (" ".join(f"w{i}" for i in r.integers(0, 9000, 80)) for _ in range(4))
+    rows = [
+        (1, a), (2, a + " x"), (2, b), (2, b), (3, c), (3, c + " y"), (3, c + " z"), (4, d), (5, d + " t"), (5, None),
+        (None, a), (5, "one two"), (6, "one two"), (6, "  "), (7, c + " y"), (None, d),
+    ]
+
+    def shingles(t):
+        w = WORD.findall(lower(t))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    frame = spark.createDataFrame([(i, t, "a", "en", 1, "s") for i, t in rows], "doc_id long, text string, source string, lang string, size int, shard string").repartition(3)
+    out = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicate_stage(spark, frame, SF).collect()]
+    loose = [(i, t) for (i, t), s in zip(rows, sets, strict=True) if i is None or not s]
+    of_group = defaultdict(list)
+    for (i, t), g, s in zip(rows, group, sets, strict=True):
+        if i is not None and s:
+            of_group[g].append((i, t))
+    kept = Counter(out) - Counter(loose)
+    assert not Counter(loose) - Counter(out) and sum(kept.values()) == len(of_group) == 5
+    for members in of_group.values():
+        assert [i for i, t in kept if (i, t) in members] == [min(i for i, _ in members)]
