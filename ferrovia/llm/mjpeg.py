@@ -133,7 +133,7 @@ def read_avi(data: bytes) -> tuple[np.ndarray, int, float]:
 
 
 def shots(frames: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """First and last frame of each shot."""
+    """First and last frame of each shot. The first difference has none before it: only LEAST decides."""
     n = len(frames)
     bins = (frames >> 4).astype(np.int64) + np.arange(n)[:, None] * BINS
     real = np.arange(n * FRAME).reshape(n, FRAME) < length
@@ -141,9 +141,9 @@ def shots(frames: np.ndarray, length: int) -> list[tuple[int, int]]:
     share = histogram / np.maximum(histogram.sum(1, keepdims=True), 1)
     difference = np.abs(np.diff(share, axis=0)).sum(1) / 2
     starts = [0]
-    for i in range(1, n - 1):
+    for i in range(n - 1):
         past = difference[max(0, i - WINDOW) : i]
-        if difference[i] > max(LEAST, past.mean() + SPREAD * past.std()):
+        if difference[i] > (max(LEAST, past.mean() + SPREAD * past.std()) if i else LEAST):
             starts.append(i + 1)
     return list(zip(starts, [*(s - 1 for s in starts[1:]), n - 1], strict=True))
 

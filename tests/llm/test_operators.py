@@ -361,6 +361,15 @@ def test_media_of_odd_rows_and_all_bytes(odd, none):
     assert frames.tobytes()[:length] == data and math.isclose(step, 0.04)
 
 
+def test_a_cut_after_the_first_frame():
+    low, high = np.full(mjpeg.FRAME, 10, np.uint8), np.full(mjpeg.FRAME, 200, np.uint8)
+    for n in (2, 3, 9):
+        frames = np.stack([low, *[high] * (n - 1)])
+        assert mjpeg.shots(frames, frames.size) == [(0, 0), (1, n - 1)]
+        assert mjpeg.shots(np.stack([low] * n), n * mjpeg.FRAME) == [(0, n - 1)]
+    assert mjpeg.shots(low[None], mjpeg.FRAME) == [(0, 0)]
+
+
 def test_shots_and_clips(spark):
     frames = np.repeat(np.array([10, 200, 90], np.uint8), [12, 9, 11])[:, None] * np.ones((1, mjpeg.FRAME), np.uint8)
     assert mjpeg.shots(frames, frames.size) == [(0, 11), (12, 20), (21, 31)]
