@@ -107,3 +107,13 @@ def test_search_gives_every_link_when_asked():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n int, set_id string")
     assert jaccard.near_duplicates(docs).collect() == []
+
+
+def test_long_texts_clashing_columns_and_thue_morse_words(spark):
+    parity = [bin(i).count("1") % 2 for i in range(2048)]
+    words = ["".join("ab"[x ^ flip] for x in parity) for flip in (0, 1)]
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, words[0]), (2, words[1]), (3, f"{words[0]} x y z"), (4, f"{words[1]} x y z"), (5, long), (6, long + " end"), (7, long.replace("w3 ", "")), (8, words[0]), (9, None)]
+    clash = spark.createDataFrame([(*r, 7, "s", 1, 2, "c", b"h") for r in rows], "doc_id long, text string, n int, set_id string, component_id int, part int, leader string, hashes binary")
+    got = jaccard.near_duplicates(clash, 3, 90).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute(rows, 3, 90)

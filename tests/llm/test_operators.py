@@ -469,6 +469,21 @@ def test_words_and_shingles():
     assert first.tolist() == [0, 3, 4, 4, 6, 7]
 
 
+def test_word_hashes_are_no_polynomial():
+    words = []
+    for bits in range(10, 14):  # Thue-Morse words of 1,024 to 8,192 letters and their complements
+        parity = [bin(i).count("1") % 2 for i in range(1 << bits)]
+        words += ["".join("ab"[x ^ flip] for x in parity) for flip in (0, 1)]
+    words += ["", "a", "aa", "a\0", "\0", "ab" * 4, "ab" * 4 + "a", "b" + "ab" * 4, "x" * 128, "x" * 129, "x" * 5000, "x" * 5001]
+    words += ["abcdefgh" + x for x in ("", "a", "b", "aa", "a\0", "abcdefgh", "abcdefgi")]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    hashes = textvec.segment_hashes(data, ends - [len(w) for w in words], ends)
+    assert len(set(hashes.tolist())) == len(set(words)) == len(words)
+    again = textvec.segment_hashes(np.concatenate([data[:3], data]), ends - [len(w) for w in words] + 3, ends + 3)
+    assert np.array_equal(hashes, again)
+
+
 # pipeline
 
 
