@@ -29,9 +29,9 @@ PER_CLASS = 32
 TAILS = 32
 #: Words whose counts every task gets; the others' come by a join.
 HEAD = 100_000
-LANES, WINDOW = 32, 24
+LANES, WINDOW = 96, 24
 #: A text that is spread over lanes is cut into runs of so many tokens at least.
-LEAST_RUN = 4 * WINDOW
+LEAST_RUN = 2 * WINDOW
 #: In each round another share of the training documents is learned from; together they are all.
 ROUNDS = 2
 RATE = 0.01
