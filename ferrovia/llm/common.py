@@ -16,9 +16,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is
-    unset (a test on one machine), a temporary folder is made and set."""
+    unset on a local master (a test on one machine), a temporary folder is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -52,6 +54,11 @@ def fits(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def columns_of(struct: str, names: list[str]) -> list:
+    """The columns of a struct under their own names, whatever those hold."""
+    return [F.col(struct).getField(c).alias(c) for c in names]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

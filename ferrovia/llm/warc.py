@@ -2,8 +2,8 @@
 
 Records are range-sorted by page; each task writes the files of its range, rolls them by
 compressed size, makes headers and digests anew, and moves every file from a temporary name to
-its own. A manifest, written after all tasks, names the files that count. The bytes depend
-on the records alone, so a task that runs again writes the same files.
+its own. A manifest, written after all tasks, names the files that count. Ranges, names and bytes
+depend on the records alone, so a task that runs again, and another run, writes the same files.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fits, new_path, written
+from .ranges import first_keys, range_of, sort_key
 
 ROLL_BYTES = 16 << 20
 RANGE_BYTES = 32 << 20
@@ -85,50 +86,58 @@ class _Roll:
         name = f"pages-{self.shard:06d}-{self.number:05d}.warc.gz"
         self.number += 1
         final = f"{self.path}/{name}"
-        if self.fs.get_file_info(final).type != pafs.FileType.NotFound:
-            self.fs.delete_file(final)  # an earlier run of this task left the same bytes
-        self.fs.move(self.temp, final)
+        there = self.fs.get_file_info(final)
+        if there.type == pafs.FileType.NotFound:
+            self.fs.move(self.temp, final)
+        elif there.size == self.bytes:
+            self.fs.delete_file(self.temp)  # an earlier run of this task has put the same bytes there
+        else:
+            raise FileExistsError(f"{final} holds other records")
         return name, self.records, self.bytes, self.sha.hexdigest()
 
 
 def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) under folder and return the manifest.
 
-    Of records with equal payloads of at least min_revisit_bytes, the one with the largest
+    page_id is a whole number. Of records with equal payloads of at least min_revisit_bytes, the one with the largest
     page_id is the response; the others revisit it. Rows that repeat that page_id revisit their
-    first. A null html is an empty payload, a null url gives no target, null ids count as
-    less than any other. An empty table gives an empty manifest.
+    first, in the order of their urls. A null html is an empty payload, a null url gives no target, null ids
+    count as less than any other. Rows of one page_id and payload are in one range; there are at most
+    ranges.MOST_RANGES ranges. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     data = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     narrow = pages.select("page_id", F.sha1(data).alias("digest"), F.octet_length(data).cast("long").alias("size"))
     per_digest = narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("owner"), F.max("size").alias("size"))
     per_digest = written(per_digest.withColumn("shared", (F.col("n") > 1) & (F.col("size") >= min_revisit_bytes)), "warc-digests")
-    total = per_digest.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0
+    total, rows = per_digest.agg(F.sum(F.col("size") * F.col("n")), F.sum("n")).first()
     shared = per_digest.where("shared").select("digest", "owner", "shared")
     records = pages.select("page_id", "url", "html", F.sha1(data).alias("digest"))
     records = records.join(F.broadcast(shared) if fits(shared, BROADCAST_DIGESTS) else shared, "digest", "left")
-    ranges = max(1, -(-total // range_bytes))
-    ordered = records.repartitionByRange(ranges, "page_id", "digest").sortWithinPartitions("page_id", "digest")
+    key = sort_key(F.col("page_id"), F.col("digest"))
+    firsts = first_keys(narrow.select(key.alias("key"), "size"), rows or 0, total or 0, range_bytes)
+    ordered = records.withColumn("range", range_of(key, firsts)).repartitionById(len(firsts) + 1, F.col("range")).sortWithinPartitions("range", "page_id", "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        roll = _Roll(folder, context.partitionId(), roll_bytes, context.taskAttemptId())
+        attempt, roll = TaskContext.get().taskAttemptId(), None
         done, last, copy = [], None, 0
         for batch in batches:
-            for page_id, url, html, hexed, owner, is_shared in zip(*(batch.column(i) for i in range(6)), strict=True):
-                page_id, owner, hexed = page_id.as_py(), owner.as_py(), hexed.as_py()
+            for page_id, url, html, hexed, owner, is_shared, number in zip(*(batch.column(i) for i in range(7)), strict=True):
+                page_id, owner, hexed, number = page_id.as_py(), owner.as_py(), hexed.as_py(), number.as_py()
+                if roll is None or roll.shard != number:
+                    done += [roll.close()] if roll else []
+                    roll = _Roll(folder, number, roll_bytes, attempt)
                 copy = copy + 1 if last == (page_id, hexed) else 0
                 last = (page_id, hexed)
                 digest = base64.b32encode(bytes.fromhex(hexed)).decode()
                 revisit = (owner,) if is_shared.as_py() and (page_id != owner or copy) else None
                 done.append(roll.add(record(page_id, url.as_py(), (html.as_py() or "").encode(), digest, revisit, copy)))
-        done = [x for x in [*done, roll.close()] if x]
+        done = [x for x in [*done, roll and roll.close()] if x]
         columns = list(zip(*done, strict=True)) or [[]] * 4
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["file", "records", "bytes", "sha1"])
 
-    found = ordered.select("page_id", "url", "html", "digest", "owner", "shared").mapInArrow(run, MANIFEST)
+    found = ordered.select("page_id", "url", "html", "digest", "owner", "shared", "range").mapInArrow(run, MANIFEST)
     found.write.parquet(f"{folder}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
