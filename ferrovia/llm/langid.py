@@ -1,6 +1,6 @@
 """Language labels for spans of text.
 
-A word is a run of letters of one kind of script. Script ranges narrow the languages that a
+A word is a run of letters and marks. Script ranges narrow the languages that a
 word can be in; its score in each is the log-likelihood of its byte trigrams and of the
 word; Viterbi over the words of a whole text, with a penalty for a switch, labels spans. A text's language is
 the one that labels most of its letters.
@@ -8,12 +8,15 @@ the one that labels most of its letters.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
 
@@ -26,37 +29,94 @@ SMOOTH = 0.3
 #: Share of a language's words in a script from which the script admits the language.
 SCRIPT_SHARE = 0.001
 BLOCK = 128
-SCRIPTS = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "southeast", "kana", "han", "hangul", "other")
+#: Languages at most: the most frequent ones teach, the first by name of equals.
+MOST_LANGUAGES = 256
+#: Scripts and their ranges of Unicode code points. A letter of none of these is of `other`.
+RANGES = {
+    "latin": ((0x41, 0x24F), (0x250, 0x2AF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)),
+    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "cyrillic": ((0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    "armenian": ((0x530, 0x58F), (0xFB13, 0xFB17)),
+    "hebrew": ((0x590, 0x5FF), (0xFB1D, 0xFB4F)),
+    "arabic": ((0x600, 0x6FF), (0x750, 0x77F), (0x870, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFE)),
+    "devanagari": ((0x900, 0x97F), (0xA8E0, 0xA8FF)),
+    "bengali": ((0x980, 0x9FF),),
+    "gurmukhi": ((0xA00, 0xA7F),),
+    "gujarati": ((0xA80, 0xAFF),),
+    "oriya": ((0xB00, 0xB7F),),
+    "tamil": ((0xB80, 0xBFF),),
+    "telugu": ((0xC00, 0xC7F),),
+    "kannada": ((0xC80, 0xCFF),),
+    "malayalam": ((0xD00, 0xD7F),),
+    "sinhala": ((0xD80, 0xDFF),),
+    "thai": ((0xE00, 0xE7F),),
+    "lao": ((0xE80, 0xEFF),),
+    "tibetan": ((0xF00, 0xFFF),),
+    "myanmar": ((0x1000, 0x109F), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)),
+    "georgian": ((0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)),
+    "hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)),
+    "ethiopic": ((0x1200, 0x139F), (0x2D80, 0x2DDF), (0xAB00, 0xAB2F)),
+    "khmer": ((0x1780, 0x17FF),),
+    "mongolian": ((0x1800, 0x18AF),),
+    "kana": ((0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)),
+    "han": ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)),
+}
+#: A character's kind: 0 is in no word, a mark goes on with a word of any script.
+KINDS = ("", "mark", *RANGES, "other")
 
 
-def _scripts() -> np.ndarray:
-    """The script that the first byte of a UTF-8 character tells of."""
-    out = np.full(256, SCRIPTS.index("other"), np.uint8)
-    ranges = {"latin": (0x00, 0xCB), "greek": (0xCD, 0xCF), "cyrillic": (0xD0, 0xD3), "armenian": (0xD4, 0xD5), "hebrew": (0xD6, 0xD7), "arabic": (0xD8, 0xDF), "indic": (0xE0, 0xE0), "southeast": (0xE1, 0xE1), "kana": (0xE3, 0xE3), "han": (0xE4, 0xE9), "hangul": (0xEA, 0xED)}
-    for name, (a, b) in ranges.items():
-        out[a : b + 1] = SCRIPTS.index(name)
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The kind of each code point: letters by script, marks, and 0 for all else, digits and punctuation too."""
+    out = np.zeros(0x110000, np.uint8)
+    script = np.full(0x110000, KINDS.index("other"), np.uint8)
+    for name, spans in RANGES.items():
+        for a, b in spans:
+            script[a : b + 1] = KINDS.index(name)
+    for point in range(0x323B0):  # there are no letters beyond
+        category = unicodedata.category(chr(point))[0]
+        if category == "L":
+            out[point] = script[point]
+        elif category == "M":
+            out[point] = 1
+    out[0xE0100:0xE01F0] = 1  # variation selectors
+    return out
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 the kind of the character that it is a part of."""
+    table = _kinds()
+    out = np.where(data < 128, table[data], 0).astype(np.uint8)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        padded = np.append(data, np.zeros(3, np.uint8))
+        first = padded[lead].astype(np.int64)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        point = first & (0x7F >> size)
+        for i in (1, 2, 3):
+            point = np.where(size > i, point << 6 | (padded[lead + i] & 0x3F), point)
+        kind = table[np.minimum(point, 0x10FFFF)]
+        for i in (0, 1, 2, 3):
+            at, own = lead[size > i] + i, kind[size > i]
+            out[at[at < len(data)]] = own[at < len(data)]
     return out
 
 
-SCRIPT_OF = _scripts()
-IS_LETTER = np.zeros(256, bool)
-IS_LETTER[65:91] = IS_LETTER[97:123] = IS_LETTER[128:] = True
 _GRAM = np.arange(256, dtype=np.uint32)
 _GRAM[65:91] += 32
-_GRAM[:65] = _GRAM[91:97] = _GRAM[123:128] = 32
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(starts, ends, first, places of letters, their trigrams' buckets, words' buckets, scripts)."""
-    starts, ends, first = tv.words(data, offsets, IS_LETTER)
+    kind = kinds(data)
+    starts, ends, first = tv.runs(kind > 0, offsets)
     grams = np.full(len(data) + 2, 32, np.uint32)
-    grams[1:-1] = _GRAM[data]
-    at = np.flatnonzero(IS_LETTER[data])
+    grams[1:-1] = np.where(kind > 0, _GRAM[data], np.uint32(32))
+    at = np.flatnonzero(kind)
     tri = grams[at] * np.uint32(65599) ^ grams[at + 1] * np.uint32(2654435761) ^ grams[at + 2] * np.uint32(40503 * 97)
     tri = (tri ^ (tri >> np.uint32(15))) % np.uint32(TRIGRAMS)
     word = (tv.segment_hashes(tv.LOWER[data], starts, ends) % np.uint64(WORDS)).astype(np.int64) + TRIGRAMS
-    # a word's script: of its first character that isn't Latin, else Latin
-    kind = np.where((data >= 0xC0) & (SCRIPT_OF[data] > 0), SCRIPT_OF[data], 0).astype(np.uint8)
+    # a word's script: the last in KINDS of those of its letters, so any other goes before Latin
     script = np.maximum.reduceat(kind, starts) if len(starts) else np.zeros(0, np.uint8)
     return starts, ends, first, at, tri.astype(np.int64), word, script
 
@@ -65,7 +125,7 @@ class Model:
     """Log-likelihoods by bucket and language, and the languages that each script admits."""
 
     def __init__(self, languages: list[str], counts: np.ndarray, scripts: np.ndarray):
-        """counts: (TRIGRAMS + WORDS, languages); scripts: (len(SCRIPTS), languages) of words."""
+        """counts: (TRIGRAMS + WORDS, languages); scripts: (len(KINDS), languages) of words."""
         self.languages = languages
         tri, word = counts[:TRIGRAMS] + SMOOTH, counts[TRIGRAMS:] + SMOOTH
         logs = np.concatenate([np.log(tri / tri.sum(0)), np.log(word / word.sum(0))])
@@ -155,17 +215,18 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model
     """The classifier, from docs (doc_id, text, lang) of which a hash of doc_id picks about
     docs_per_language for each language. Rows with a null among those do not teach. None if none do.
 
-    What the driver gets is bounded by that sample: for each language at most TRIGRAMS +
-    WORDS counts."""
+    Of more than MOST_LANGUAGES values of lang the most frequent teach. What the driver gets is bounded by
+    that and by the sample: for each language at most TRIGRAMS + WORDS counts."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).groupBy("lang").count().collect()}
+    per_language = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r[0]: r[1] for r in per_language.orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return None
     draw = F.crc32(F.concat(F.lit("language:"), F.col("doc_id").cast("string")).cast("binary")) / F.lit(float(1 << 32))
     share = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, docs_per_language / sizes[l]))])
     sample = usable.where(draw < share[F.col("lang")]).select("lang", "text")
-    width = TRIGRAMS + WORDS + len(SCRIPTS)
+    width = TRIGRAMS + WORDS + len(KINDS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), width), np.int64)
@@ -189,29 +250,35 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model
     return Model(languages, table[: TRIGRAMS + WORDS], table[TRIGRAMS + WORDS :])
 
 
-LABELS = "lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>"
+LABEL = "struct<lang_pred:string,score:double,spans:array<struct<first:int,last:int,lang:string>>>"
+
+
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
 def label(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataFrame:
-    """The columns of docs and lang_pred, score and spans.
+    """(record, language): the columns of docs as a struct, and a struct of lang_pred, score and spans.
 
-    spans are runs of words (from 0) of one language, score is the share of the letters'
-    bytes that lang_pred labels. A null text or one without a letter is `und` with score 0
-    and no spans, and so is every text without a model. Ties go to the first language by name.
+    docs needs text; other columns, whatever their names, are carried as they are. spans are runs of words (from
+    0) of one language, score is the share of the letters' bytes that lang_pred labels. A null text or one
+    without a letter is `und` with score 0 and no spans, and so is every text without a model. Ties go to the
+    first language by name. Rows that repeat are kept; an empty table gives none.
     """
     spark = docs.sparkSession
+    record = F.struct(*docs.columns).alias("record")
     if model is None:
-        return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast("array<struct<first:int,last:int,lang:string>>").alias("spans"))
+        none = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.array().alias("spans"))
+        return docs.select(record, none.cast(LABEL).alias("language"))
     shared = spark.sparkContext.broadcast(model)
-    text = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields) + ", " + LABELS
+    text = F.when(has_letter(F.col("text")), F.col("text"))
+    schema = T.StructType([T.StructField("record", T.StructType(docs.schema.fields)), *T.StructType.fromDDL(f"language {LABEL}").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         k = len(m.languages)
         for batch in batches:
-            for i, j, data, offsets in tv.texts(batch.column(batch.num_columns - 1)):
+            for i, j, data, offsets in tv.texts(batch.column(1)):
                 starts, ends, first, at, tri, word, script = features(data, offsets)
                 labels = viterbi(m.scores(starts, ends, at, tri, word, script), first, switch)
                 own = np.repeat(np.arange(j - i), np.diff(first))
@@ -230,7 +297,7 @@ def label(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataF
                     ["first", "last", "lang"],
                 )
                 edges = np.searchsorted(begin, first).astype(np.int32)
-                columns = [batch.column(c).slice(i, j - i) for c in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(edges), runs)], [*names, "lang_pred", "score", "spans"])
+                own = pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(edges), runs)], ["lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), own], ["record", "language"])
 
-    return docs.select(*names, text.alias("__label_text")).mapInArrow(run, schema)
+    return docs.select(record, text.alias("text")).mapInArrow(run, schema)

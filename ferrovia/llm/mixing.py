@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fits, written
+from .common import WORD, columns_of, fits, written
 
 #: Rows of the source table up to which it is broadcast (about 60 bytes each).
 BROADCAST_SOURCES = 50_000
@@ -60,33 +60,31 @@ def uniform(key: Column, seed: str) -> Column:
 def with_copies(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_ratio: float = 1.5, cap_ratio: float = 2.0, seed: str = "mix", size: Column | None = None
 ) -> DataFrame:
-    """The columns of docs, and a struct `__mix` of size, source_size, target and copies.
+    """(record, mix): the columns of docs as a struct, and a struct of size, source_size, target and copies.
 
     docs needs doc_id, text and source. A null text has size 0, a null source is a
     source of its own, a source without words has target 0 and no copies. A null doc_id
     draws by its text. Rows that agree in doc_id draw alike. An empty table stays empty.
     Any other column, whatever its name, is carried as it is.
     """
-    sized = docs.withColumn("__mix_size", n_words(F.col("text")) if size is None else size)
-    per_source = written(sized.groupBy("source").agg(F.sum("__mix_size").alias("source_size")), "mix-sources")
-    targets = source_targets(per_source, weights, total_ratio, cap_ratio)
-    targets = targets.select(F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"))
+    measured = n_words(F.col("text")) if size is None else size
+    sized = docs.select(F.struct(*docs.columns).alias("record"), F.col("source").alias("source"), measured.alias("size"))
+    per_source = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    targets = source_targets(per_source, weights, total_ratio, cap_ratio).withColumnRenamed("source", "of")
     if fits(per_source, BROADCAST_SOURCES):
-        joined = sized.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("__mix_source")), "left")
+        joined = sized.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("of")), "left")
     else:  # a source may hold a third of all rows: it is dealt over SALTS partitions
-        salted = targets.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        sized = sized.withColumn("__mix_own", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
-        joined = sized.join(salted, F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_own") == F.col("__mix_salt")), "left").drop("__mix_own", "__mix_salt")
-    rate = F.when(F.col("__mix_source_size") > 0, F.col("__mix_target") / F.col("__mix_source_size")).otherwise(0.0)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+        salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        sized = sized.withColumn("own", F.pmod(F.xxhash64("record.doc_id", "record.text"), F.lit(SALTS)).cast("int"))
+        joined = sized.join(salted, F.col("source").eqNullSafe(F.col("of")) & (F.col("own") == F.col("salt")), "left")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    key = F.coalesce(F.col("record.doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("record.text"), F.lit("")).cast("binary"))))
     copies = F.floor(rate) + F.when(uniform(key, seed) < rate - F.floor(rate), 1).otherwise(0)
-    struct = F.struct(
-        F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), copies.cast("long").alias("copies")
-    )
-    return joined.withColumn("__mix", struct).drop("__mix_size", "__mix_source", "__mix_source_size", "__mix_target")
+    return joined.select("record", F.struct("size", "source_size", "target", copies.cast("long").alias("copies")).alias("mix"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    taken = with_copies(docs, **how)
-    return taken.where(F.col("__mix.copies") > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__mix.copies").cast("int"))).alias("__mix_copy")).drop("__mix_copy")
+    taken = with_copies(docs, **how).where(F.col("mix.copies") > 0)
+    copied = taken.select("record", F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int"))).alias("copy"))
+    return copied.select(*columns_of("record", docs.columns))

@@ -14,7 +14,7 @@ from .common import documents, held_out
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken (size times copies) of every document."""
     mixed = mixing.with_copies(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "__mix.size", "__mix.source_size", "__mix.target", (F.col("__mix.size") * F.col("__mix.copies")).alias("taken"))
+    return mixed.select("record.doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
 OP1_SQL = r"""
@@ -99,8 +99,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = held_out(F.col("doc_id"), 5)
     model = langid.learn(docs.where(~out).select("doc_id", "text", "lang"))
-    found = langid.label(docs.select("doc_id", "text").withColumn("held_out", out).select("doc_id", "held_out", "text"), model)
-    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+    found = langid.label(docs.select("doc_id", "text"), model).select("record.doc_id", "language.*")
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
 def op7_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,15 +89,20 @@ def texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): the words' places in data, and for each text the number of its
     first word (one more entry than texts)."""
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = is_word[data]
+    return runs(IS_WORD[data], offsets)
+
+
+def runs(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words(), a word being a run of bytes that is_word marks."""
+    inside = np.zeros(len(is_word) + 2, bool)
+    inside[1:-1] = is_word
     begins = inside[1:] & ~inside[:-1]
     stops = inside[:-1] & ~inside[1:]
     edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < len(data))]
+    edges = edges[(edges > 0) & (edges < len(is_word))]
     both = edges[inside[edges] & inside[edges + 1]]  # a word of one text touches one of the next
     begins[both] = True
     stops[both] = True
