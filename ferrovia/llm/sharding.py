@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if, new_path, written
 
-#: Bytes of records that a bucket holds on average.
-BUCKET_BYTES = 4 << 20
+#: Bytes of records that a bucket holds on average; each is shuffled in one task's memory, so it goes by that.
+BUCKET_BYTES = 64 << 20
 #: The table of buckets is broadcast up to this many rows of about 40 bytes.
 BROADCAST_BUCKETS = 200_000
+#: Copies of a row that are made in one step.
+STEP = 10_000
 
 
 def record_size(text: Column) -> Column:
@@ -35,31 +37,41 @@ def shuffled_shards(docs: DataFrame, shards: int = 40, seed: int = 20_260_101, b
     shard if there were one more) and slot (the place in the shard, gapless from 0).
 
     doc_id and the number of shards decide the shard. A null doc_id hashes as null, so
-    all such rows share a shard (yet not a bucket). Buckets are dealt by all columns, so
-    copies of a text spread; only rows equal in every column meet, and they are
-    interchangeable. An empty table gives an empty one.
+    all such rows share a shard, which gets as many buckets as its bytes ask for. Buckets are dealt by all
+    columns, so copies of a text spread. Rows that are equal in every column are interchangeable: where
+    they would fill a quarter of a bucket, they are dealt by their number among themselves. A record of more
+    than a bucket is a bucket's alone with what is dealt there. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    size = record_size(F.col("text"))
-    total = docs.agg(F.sum(size)).first()[0] or 0
-    per_shard = max(1, -(-total // (shards * bucket_bytes)))
     dealt = docs.select(
-        F.struct(*docs.columns).alias("record"),
-        shard_of(F.col("doc_id"), shards, seed).alias("shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text"), F.hash(*docs.columns)), F.lit(per_shard)).cast("int").alias("bucket"),
+        F.struct(*docs.columns).alias("record"), shard_of(F.col("doc_id"), shards, seed).alias("shard"), record_size(F.col("text")).alias("size"),
+        F.struct(F.xxhash64(*docs.columns).alias("a"), F.xxhash64(F.lit(seed), *docs.columns).alias("b")).alias("same"),
     )
+    counts = written(dealt.groupBy("shard", "same").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")), "shard-counts")
+    per_shard = counts.groupBy("shard").agg(F.greatest(F.ceil(F.sum(F.col("n") * F.col("size")) / bucket_bytes), F.lit(1)).cast("int").alias("buckets"))
+    per_shard = written(per_shard.withColumn("before", (F.sum("buckets").over(Window.orderBy("shard")) - F.col("buckets")).cast("int")), "shards")  # a row for each shard
+    parts = per_shard.agg(F.sum("buckets")).first()[0] or 1
+    hot = counts.where((F.col("n") > 1) & (F.col("n") * F.col("size") * 4 >= bucket_bytes)).select("same")
+    rows = dealt.select("record", "shard", "same", F.lit(0).alias("copy"))
+    if hot.limit(1).count():
+        hot = broadcast_if(hot, BROADCAST_BUCKETS)
+        alike = dealt.join(hot, "same", "left_semi").groupBy("record", "shard", "same").agg(F.count(F.lit(1)).alias("n"))
+        steps = alike.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / STEP))))
+        copies = F.sequence(F.col("step") * STEP, F.least((F.col("step") + 1) * STEP, F.col("n")) - 1)
+        alike = steps.repartition(F.col("same"), F.col("step")).select("record", "shard", "same", F.explode(copies.cast("array<int>")).alias("copy"))
+        rows = rows.join(hot, "same", "left_anti").select("record", "shard", "same", "copy").union(alike)
+    bucket = F.col("before") + F.pmod(F.xxhash64(F.lit(seed + 1), "same", "copy"), F.col("buckets")).cast("int")
+    # a bucket is a partition: Spark seeds its shuffle by partition, so reruns agree
+    placed = rows.join(F.broadcast(per_shard), "shard").select("record", "shard", bucket.alias("bucket"), F.struct("same", "copy").alias("key"))
     # within a bucket the order before the shuffle must not depend on arrival
-    order = F.struct(F.xxhash64(F.lit(seed + 2), "record.doc_id", "record.text").alias("h"), F.col("record"))
-    one = F.array_sort(F.collect_list(order))
-    # Spark seeds its shuffle by partition, so buckets are put into fixed places: reruns agree
-    parts = max(1, -(-shards * per_shard // 4))
-    buckets = dealt.repartition(parts, "shard", "bucket").groupBy("shard", "bucket").agg(one.alias("records")).sortWithinPartitions("shard", "bucket")
+    one = F.array_sort(F.collect_list(F.struct("key", "record")))
+    buckets = placed.repartitionById(parts, F.col("bucket")).groupBy("shard", "bucket").agg(one.alias("records"))
     turned = buckets.select("shard", "bucket", F.posexplode(F.shuffle(F.col("records"), F.lit(seed))).alias("at", "item"))
     folder = path or new_path(spark, "shards")
     turned = turned.select(F.col("item.record").alias("record"), "bucket", "at", "shard")
     turned.write.partitionBy("shard").parquet(folder)
     back = spark.read.schema(turned.schema).parquet(folder)
-    counts = written(back.groupBy("shard", "bucket").count(), "shard-buckets")
-    starts = counts.select("shard", "bucket", (F.sum("count").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("count")).alias("start"))
+    sizes = written(back.groupBy("shard", "bucket").count(), "shard-buckets")
+    starts = sizes.select("shard", "bucket", (F.sum("count").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("count")).alias("start"))
     placed = back.join(broadcast_if(written(starts, "shard-starts"), BROADCAST_BUCKETS), ["shard", "bucket"])
     return placed.select("record", "shard", shard_of(F.col("record.doc_id"), shards + 1, seed).alias("grown_shard"), (F.col("start") + F.col("at")).cast("long").alias("slot"))
