@@ -2,9 +2,9 @@
 
 Each byte of a payload is a grey 8x8 block of a baseline JPEG frame. The DC table gives category c
 a code of 13 - c bits and the AC table gives end-of-block 3 bits, so every block takes 16 bits
-and a frame is coded and decoded as an array; a flat block of quantizer 8 decodes exactly. Frames are
-found through the RIFF index; shots begin where the difference of histograms passes an adaptive
-threshold.
+and a frame of these tables is coded and decoded as an array; a flat block of quantizer 8 decodes exactly. Any
+other baseline frame is decoded by its own tables to its luma (see jpeg.py). Frames are found through the RIFF
+index; shots begin where the difference of histograms passes an adaptive threshold, and give timed clip rows.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .jpeg import luma
 
 SIDE = 32  # blocks in a row and in a column of a frame
 FRAME = SIDE * SIDE
@@ -64,15 +67,15 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     return [HEADER + x.tobytes().replace(b"\xff", b"\xff\0") + b"\xff\xd9" for x in bits]
 
 
-def decode_frame(jpeg: bytes) -> np.ndarray:
-    """The block values of an intra frame that has the tables of encode_frames."""
-    if not jpeg.startswith(HEADER) or not jpeg.endswith(b"\xff\xd9"):
-        raise ValueError("not a frame of this profile")
-    bits = np.frombuffer(jpeg[len(HEADER) : -2].replace(b"\xff\0", b"\xff"), ">u2")
+def decode_frame(frame: bytes) -> np.ndarray:
+    """The luma of an intra frame; of one with the tables of encode_frames, in blocks of 8 x 8, a value for each."""
+    if not frame.startswith(HEADER):
+        return luma(frame)
+    bits = np.frombuffer(frame[len(HEADER) : -2].replace(b"\xff\0", b"\xff"), ">u2")
     differences = FROM_BITS[bits]
-    if len(bits) != FRAME or (differences == -999).any():
+    if not frame.endswith(b"\xff\xd9") or len(bits) != FRAME or (differences == -999).any():
         raise ValueError("a frame is damaged")
-    return (np.cumsum(differences, dtype=np.int32) + 128).astype(np.uint8)
+    return (np.cumsum(differences, dtype=np.int32) + 128).astype(np.uint8).reshape(SIDE, SIDE)
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -113,33 +116,52 @@ def _children(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, i
         start += 8 + size + size % 2
 
 
-def read_avi(data: bytes) -> tuple[np.ndarray, int, float]:
-    """(block values of all frames in the order of the index, payload length, seconds a frame)."""
+def read_avi(data: bytes) -> tuple[list[np.ndarray], int | None, float]:
+    """(luma of the frames in the order of the index, payload length if the INFO list has one, seconds a frame)."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     length, movi, index, usec = None, None, None, None
     for kind, a, b in _children(data, 12, len(data)):
         form = data[a : a + 4]
         if kind == b"LIST" and form == b"hdrl":
-            usec = next(struct.unpack_from("<I", data, x)[0] for k, x, _ in _children(data, a + 4, b) if k == b"avih")
+            usec = next((struct.unpack_from("<I", data, x)[0] for k, x, _ in _children(data, a + 4, b) if k == b"avih"), None)
         elif kind == b"LIST" and form == b"INFO":
-            length = next(int(data[x:y].rstrip(b"\0")) for k, x, y in _children(data, a + 4, b) if k == b"ICMT")
+            length = next((int(data[x:y].rstrip(b"\0")) for k, x, y in _children(data, a + 4, b) if k == b"ICMT" and data[x:y].rstrip(b"\0").isdigit()), None)
         elif kind == b"LIST" and form == b"movi":
             movi = a
         elif kind == b"idx1":
-            index = np.frombuffer(data[a:b], "<u4").reshape(-1, 4)
-    frames = [decode_frame(data[movi + int(at) + 8 : movi + int(at) + 8 + int(size)]) for _, flags, at, size in index if flags & 0x10]
-    return np.stack(frames) if frames else np.zeros((0, FRAME), np.uint8), length, usec / 1e6
-
-
-def shots(frames: np.ndarray, length: int) -> list[tuple[int, int]]:
+            index = [struct.unpack_from("<4sIII", data, x) for x in range(a, b - 15, 16)]
+    if movi is None or index is None or usec is None:
+        raise ValueError("an AVI file without a header, frames or their index")
+    frames = []
+    for kind, flags, at, size in index:
+        if kind[2:] not in (b"dc", b"db") or not flags & 0x10 or not size:
+            continue
+        start = (movi + at if data[movi + at : movi + at + 4] == kind else at) + 8  # some writers count from the start of the file
+        frames.append(decode_frame(data[start : start + size]))
+    return frames, length, usec / 1e6
+
+
+def histograms(frames: list[np.ndarray], length: int | None = None) -> np.ndarray:
+    """Shares of BINS grey levels in each frame, of the first `length` values of all if that is given."""
+    out = np.zeros((len(frames), BINS))
+    if frames and len({x.size for x in frames}) == 1:
+        values = np.stack([x.ravel() for x in frames])
+        bins = (values >> 4).astype(np.int64) + np.arange(len(frames))[:, None] * BINS
+        real = np.arange(values.size).reshape(values.shape) < (values.size if length is None else length)
+        out = np.bincount(bins[real], minlength=len(frames) * BINS).reshape(len(frames), BINS).astype(float)
+    else:
+        for i, x in enumerate(frames):
+            out[i] = np.bincount(x.ravel() >> 4, minlength=BINS)
+    return out / np.maximum(out.sum(1, keepdims=True), 1)
+
+
+def shots(frames: list[np.ndarray], length: int | None = None) -> list[tuple[int, int]]:
     """First and last frame of each shot. The first difference has none before it: only LEAST decides."""
     n = len(frames)
-    bins = (frames >> 4).astype(np.int64) + np.arange(n)[:, None] * BINS
-    real = np.arange(n * FRAME).reshape(n, FRAME) < length
-    histogram = np.bincount(bins[real], minlength=n * BINS).reshape(n, BINS)
-    share = histogram / np.maximum(histogram.sum(1, keepdims=True), 1)
-    difference = np.abs(np.diff(share, axis=0)).sum(1) / 2
+    if not n:
+        return []
+    difference = np.abs(np.diff(histograms(frames, length), axis=0)).sum(1) / 2
     starts = [0]
     for i in range(n - 1):
         past = difference[max(0, i - WINDOW) : i]
@@ -169,42 +191,48 @@ def to_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
-def clips(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) to timed clips: doc_id, clip, first_frame, last_frame, start_s, end_s."""
+CLIP = pa.struct([("clip", pa.int64()), ("first_frame", pa.int64()), ("last_frame", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())])
+DECODED = (
+    "doc_id {id}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, frames bigint, "
+    "clips array<struct<clip:bigint,first_frame:bigint,last_frame:bigint,start_s:double,end_s:double>>"
+)
+
+
+def decoded(media: DataFrame) -> DataFrame:
+    """media (doc_id, n_bytes, media) to a row each: what is read back of the payload (null for a file that to_media
+    didn't write), of the file, its number of frames and its timed clips, one for each shot."""
     kind = media.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "clips"]
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
         for batch in batches:
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                frames, length, step = read_avi(data.as_py())
-                found = shots(frames, length)
-                rows = [[doc_id] * len(found), range(len(found)), [a for a, _ in found], [b for _, b in found], [a * step for a, _ in found], [(b + 1) * step for _, b in found]]
-                kinds = (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], ["doc_id", "clip", "first_frame", "last_frame", "start_s", "end_s"])
+            rows, edges, found = [], [0], []
+            for data in batch.column(2):
+                data = data.as_buffer().to_pybytes()
+                frames, length, step = read_avi(data)
+                payload = None if length is None else b"".join(x.tobytes() for x in frames)[:length]
+                read = (None, None, None) if payload is None else (length, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]))
+                rows.append((*read, len(data), hashlib.sha256(data).hexdigest(), len(frames)))
+                found += [(i, a, b, a * step, (b + 1) * step) for i, (a, b) in enumerate(shots(frames, length))]
+                edges.append(len(found))
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)]
+            fields = [pa.array(c, f.type) for c, f in zip(list(zip(*found, strict=True)) or [[]] * CLIP.num_fields, CLIP, strict=True)]
+            clips = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(fields, [f.name for f in CLIP]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, clips], names)
 
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, clip bigint, first_frame bigint, last_frame bigint, start_s double, end_s double")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DECODED.format(id=kind))
 
 
-FEATURES = "doc_id {id}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+def clips(media: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media) to timed clips: doc_id, clip, first_frame, last_frame, start_s, end_s."""
+    return decoded(media).select("doc_id", F.explode("clips").alias("c")).select("doc_id", "c.*")
 
 
 def features(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) to one row each: the payload as read back, and its shots."""
-    kind = media.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in FEATURES.split(", ")]
-        for batch in batches:
-            rows = []
-            for data in batch.column(2):
-                data = data.as_buffer().to_pybytes()
-                frames, length, step = read_avi(data)
-                payload = frames.tobytes()[:length]
-                found = shots(frames, length)
-                feature = f"frames={len(frames)};seconds={len(frames) * step:.2f};shots={len(found)};starts={','.join(str(a) for a, _ in found)}"
-                rows.append((length, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
-
-    return media.mapInArrow(run, FEATURES.format(id=kind))
+    """(doc_id, n_bytes, media) to one row each: the payload as read back, and a feature that sums up its clips."""
+    read = decoded(media)
+    starts = F.array_join(F.transform("clips", lambda c: c["first_frame"].cast("string")), ",")
+    seconds = F.coalesce(F.array_max(F.transform("clips", lambda c: c["end_s"])), F.lit(0.0))
+    feature = F.format_string("frames=%d;seconds=%.2f;shots=%d;starts=%s", "frames", seconds, F.size("clips"), starts)
+    return read.select(*read.columns[:7], feature.alias("feature"))
