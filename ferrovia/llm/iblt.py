@@ -2,8 +2,9 @@
 
 A text is the set of digests of its paragraphs; long paragraphs are cut after words that a
 hash picks, so an edit changes few of them. Each digest goes to three cells of a sketch. The
-sketch of one version minus that of another holds what differs; peeling recovers those digests,
-and on failure both are sketched again with twice the cells.
+sketch of one version minus that of another holds what differs; peeling recovers those digests.
+Fingerprints are sketches of a fixed number of cells as text; they are read back to be compared, and only
+the pairs that fail to peel are sketched again, with twice the cells each time.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import written
+from .ranges import first_keys, hash_key, range_of, sort_key
 
 #: Cells of a fingerprint, a multiple of 3; sketches grow from there.
 CELLS = 12
@@ -68,7 +69,7 @@ class Sketches:
         self.third = cells // 3
         self.base = np.concatenate(([0], np.cumsum(cells)))
         n = int(self.base[-1])
-        self.count, self.keys, self.checks = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.count, self.keys, self.checks = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint32)
 
     def places(self, own: np.ndarray, keys: np.ndarray) -> Iterator[np.ndarray]:
         third = self.third[own].astype(np.uint64)
@@ -79,16 +80,16 @@ class Sketches:
     def add(self, own: np.ndarray, keys: np.ndarray, sign: np.ndarray | int = 1) -> None:
         sign = np.broadcast_to(np.asarray(sign, np.int64), keys.shape)
         unsigned = sign.astype(np.uint64)
-        checks = check(keys) * unsigned
+        checks = check(keys) * sign.astype(np.uint32)
         for at in self.places(own, keys):
             np.add.at(self.count, at, sign)
             np.add.at(self.keys, at, keys * unsigned)
             np.add.at(self.checks, at, checks)
 
-    def minus(self, other: Sketches) -> None:
-        self.count -= other.count
-        self.keys -= other.keys
-        self.checks -= other.checks
+    def minus(self, other: Sketches) -> Sketches:
+        out = Sketches(np.diff(self.base))
+        out.count, out.keys, out.checks = self.count - other.count, self.keys - other.keys, self.checks - other.checks
+        return out
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(whether each set is empty at the end, and own, key, sign of what was recovered)."""
@@ -99,7 +100,7 @@ class Sketches:
             one = look[np.abs(self.count[look]) == 1]
             sign = self.count[one]
             keys = self.keys[one] * sign.astype(np.uint64)
-            pure = check(keys) == self.checks[one] * sign.astype(np.uint64)
+            pure = check(keys) == self.checks[one] * sign.astype(np.uint32)
             one, sign, keys = one[pure], sign[pure], keys[pure]
             if not len(one):
                 break
@@ -118,12 +119,26 @@ class Sketches:
         return left[:-1] == 0, *parts
 
     def text(self, i: int) -> str:
+        """The sketch of set i as text, to be read by Sketches.read."""
         a, b = int(self.base[i]), int(self.base[i + 1])
-        return base64.b64encode(self.count[a:b].astype("<u2").tobytes() + self.keys[a:b].astype("<u8").tobytes() + self.checks[a:b].astype("<u4").tobytes()).decode()
+        return base64.b64encode(self.count[a:b].astype("<u4").tobytes() + self.keys[a:b].astype("<u8").tobytes() + self.checks[a:b].astype("<u4").tobytes()).decode()
+
+    @classmethod
+    def read(cls, fingerprints: list[str]) -> Sketches:
+        raw = [base64.b64decode(x) for x in fingerprints]
+        out = cls(np.array([len(x) // 16 for x in raw], np.int64))
+        for x, a, b in zip(raw, out.base[:-1].tolist(), out.base[1:].tolist(), strict=True):
+            n = b - a
+            out.count[a:b], out.keys[a:b], out.checks[a:b] = np.frombuffer(x, "<u4", n), np.frombuffer(x, "<u8", n, 4 * n), np.frombuffer(x, "<u4", n, 12 * n)
+        return out
+
+    def sizes(self) -> np.ndarray:
+        """The number of digests in each set: each is in three cells."""
+        return np.add.reduceat(self.count, self.base[:-1]) // 3 if len(self.third) else np.zeros(0, np.int64)
 
 
 def check(keys: np.ndarray) -> np.ndarray:
-    return tv.scramble(keys + np.uint64(0xC0FFEE))
+    return tv.scramble(keys + np.uint64(0xC0FFEE)).astype(np.uint32)
 
 
 def differing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,8 +155,7 @@ def differing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
         for sketch, (own, keys) in ((first, a), (second, b)):
             here = new[own] >= 0
             sketch.add(new[own[here]], keys[here])
-        first.minus(second)
-        done, own, keys, sign = first.peel()
+        done, own, keys, sign = first.minus(second).peel()
         keep = done[own]
         out.append((todo[own[keep]], keys[keep], sign[keep]))
         todo = todo[~done]
@@ -149,10 +163,28 @@ def differing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def likeness(a, b, n: int) -> np.ndarray:
-    """Shared pieces of all pieces of each pair, from the number that differ; 1 for two empty sets."""
-    d = np.bincount(differing(a, b, n)[0], minlength=n)
-    both = np.bincount(a[0], minlength=n) + np.bincount(b[0], minlength=n)
+def fingerprints(sets: tuple[np.ndarray, np.ndarray], n: int) -> list[str]:
+    """The fingerprint of each of n sets (number of the set, digest)."""
+    sketch = Sketches(np.full(n, CELLS))
+    sketch.add(*sets)
+    return [sketch.text(i) for i in range(n)]
+
+
+def likeness(a: list[str], b: list[str], sets) -> np.ndarray:
+    """Shared pieces of all pieces of each pair of fingerprints, from the number that differ; 1 for two empty sets.
+
+    sets gives the pieces of both sides as differing() takes them; the pairs whose fingerprints differ by more than
+    their cells can tell are sketched again from those, with twice the cells at least."""
+    first, second = Sketches.read(a), Sketches.read(b)
+    both = first.sizes() + second.sizes()
+    done, own, _, _ = first.minus(second).peel()
+    d = np.bincount(own, minlength=len(a))
+    left = np.flatnonzero(~done)
+    if len(left):
+        place = np.full(len(a), -1)
+        place[left] = np.arange(len(left))
+        again = [(place[own][place[own] >= 0], keys[place[own] >= 0]) for own, keys in sets]
+        d[left] = np.bincount(differing(*again, len(left), 2 * CELLS)[0], minlength=len(left))
     return np.where(both > 0, (both - d) / np.maximum(both + d, 1), 1.0)
 
 
@@ -173,14 +205,12 @@ def _rows(ids: list, texts: list[str], last: str, id_type) -> pa.RecordBatch:
     changed = [edited(a, b).encode() for a, b in zip(texts, after, strict=True)]
     own, keys = _pieces_of([x.encode() for x in [*texts, last]])
     here, there = own < n, own > 0
-    a, following = (own[here], keys[here]), (own[there] - 1, keys[there])
-    e = _pieces_of(changed)
-    sketch, sketch_e = Sketches(np.full(n, CELLS)), Sketches(np.full(n, CELLS))
-    sketch.add(*a)
-    sketch_e.add(*e)
+    a, following, e = (own[here], keys[here]), (own[there] - 1, keys[there]), _pieces_of(changed)
+    prints = fingerprints((own, keys), n + 1)
+    prints_e = fingerprints(e, n)
     arrays = [
         pa.array(ids, id_type), pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in changed]),
-        pa.array([sketch.text(i) for i in range(n)]), pa.array([sketch_e.text(i) for i in range(n)]), pa.array(likeness(a, e, n)), pa.array(likeness(a, following, n)),
+        pa.array(prints[:n]), pa.array(prints_e), pa.array(likeness(prints[:n], prints_e, (a, e))), pa.array(likeness(prints[:n], prints[1:], (a, following))),
     ]
     return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SCHEMA.split(", ")])
 
@@ -192,38 +222,26 @@ def compare_versions(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
     """For each row of docs (doc_id, text) its fingerprint, that of its edited text, and the
     likeness of both and of it and the next document's.
 
-    Documents follow in descending doc_id, null last; rows of equal id go by a hash of their text.
-    After the last comes the first; a lone row follows itself. The edited text has its last
+    doc_id is a whole number. Documents follow in descending doc_id, null last; rows of equal id go by a hash of
+    their text. After the last comes the first; a lone row follows itself. The edited text has its last
     third replaced by the head of the next text. A null text is empty, an empty text has an
-    empty sketch, and two empty ones are alike (1.0). Ranges of ids are dealt to buckets, each
+    empty sketch, and two empty ones are alike (1.0). Ranges of that order are dealt to buckets, each
     with a copy of the first row of the next; a bucket is read as a stream.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("key", sort_key(F.col("doc_id"), hash_key(F.col("text")), descending=True))
     rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     if not rows:
         return spark.createDataFrame([], SCHEMA.format(id=kind))
-    parts = max(1, min(rows, -(-size // bucket_bytes)))
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts + 1000)).first()[0] if parts > 1 else []
-    bounds = np.unique(np.array(bounds or [], np.int64))
-
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.full(len(ids), len(bounds), np.int32)
-        out[known] = len(bounds) - np.searchsorted(bounds, ids[known].to_numpy(np.int64), "right")
-        return pd.Series(out)
-
-    dealt = docs.select(bucket("doc_id").alias("bucket"), F.lit(0).alias("extra"), "doc_id", F.xxhash64("text").alias("h"), "text")
-    top = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), (-F.col("h")).alias("h"))).alias("top")
-    heads = written(dealt.groupBy("bucket").agg(top), "heads")
-    order = Window.orderBy("bucket")  # a row for each bucket
-    before = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy()))
-    heads = heads.select(before.alias("bucket_before"), F.col("top.doc_id").alias("head"), (-F.col("top.h")).alias("head_h"))
-    extra = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h")))
-    extra = extra.select(F.col("bucket_before").alias("bucket"), F.lit(1).alias("extra"), "doc_id", "h", "text")
-    ordered = dealt.union(extra).repartition(parts, "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "h")
+    firsts = first_keys(docs.select("key", F.octet_length("text").cast("long").alias("size")), rows, size, bucket_bytes)
+    dealt = docs.select(range_of(F.col("key"), firsts).alias("bucket"), F.lit(0).alias("extra"), "doc_id", "key", "text")
+    heads = dealt.groupBy("bucket").agg(F.min("key").alias("key"))  # a row for each bucket: ranges.MOST_RANGES at most
+    before = F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy()))
+    heads = F.broadcast(written(heads.select(before.alias("bucket"), "key"), "heads"))
+    extra = docs.join(heads, "key").select("bucket", F.lit(1).alias("extra"), "doc_id", "key", "text")
+    ordered = dealt.union(extra).repartitionById(len(firsts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "extra", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, texts, at, ended = [], 0, [], None, False
