@@ -1,41 +1,107 @@
-"""Connected components of a table of links, by alternating large-star and small-star steps."""
+"""Connected components of a table of links: each task contracts its own links, then large-star and
+small-star steps alternate until nothing changes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 MOST_ROUNDS = 60
+#: Links that a task contracts at once.
+AT_ONCE = 500_000
+#: A node of more links than this, and than one in MOST_HOT of all, is joined by broadcast.
+HOT, MOST_HOT = 20_000, 100_000
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For nodes 0 to n - 1 the least node that links (a, b) lead to."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        m = np.minimum(least[a], least[b])
+        np.minimum.at(least, a, m)
+        np.minimum.at(least, b, m)
+        least = least[least]
+        if np.array_equal(least, before):
+            return least
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(a, b): every node of a task's links (at most AT_ONCE at a time) with the least that it reaches by them."""
+
+    def settled(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (pa.chunked_array([x.column(i) for x in held]).combine_chunks() for i in (0, 1))
+        names = pc.unique(pa.chunked_array([a, b]))
+        names = names.take(pc.sort_indices(names))
+        codes = [pc.index_in(x, names).to_numpy() for x in (a, b)]
+        least = forest(*codes, len(names))
+        node = np.flatnonzero(least != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(node)), names.take(pa.array(least[node]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= AT_ONCE:
+                yield settled(held)
+                held, n = [], 0
+        if held:
+            yield settled(held)
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, hot: int | None) -> DataFrame:
     """One step over (a, b): large-star ties the larger neighbours of a node to the least of
-    its closed neighbourhood, small-star the smaller ones and the node itself."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    its closed neighbourhood, small-star the smaller ones and the node itself. Nodes of more than `hot` links,
+    if any, meet their least by broadcast, so no task gets all links of one."""
+    both = _both(edges)
     near = both if large else both.where(F.col("b") < F.col("a"))
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    if large:
-        out = near.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    asking = near.where(F.col("b") > F.col("a")) if large else near
+    if hot is None:
+        tied = asking.join(least.select("a", "m"), "a")
     else:
-        out = near.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).union(least.select("a", "m"))
+        few = F.broadcast(least.where(F.col("n") > hot).select("a", "m"))
+        cold = asking.join(few.select("a"), "a", "left_anti").join(least.where(F.col("n") <= hot).select("a", "m"), "a")
+        tied = cold.select("a", "b", "m").union(asking.join(few, "a").select("a", "b", "m"))
+    out = tied.select(F.col("b").alias("x"), F.col("m").alias("y"))
+    if not large:
+        out = out.union(least.select("a", "m"))
     return out.where(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) to (node, component): the least node that can be reached. Only nodes with
-    a link to another node appear. Every round is a written table; what the driver reads of it
-    is two numbers."""
-    edges = written(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
+    a link to another node appear; null ends are passed over. Every round is a written table; what the driver
+    reads of it is three numbers."""
+    edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, before = written(_contracted(edges), "links"), None
     for _ in range(MOST_ROUNDS):
-        edges = written(_star(_star(edges, True), False), "links")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if now == before or not now[0]:
+        degrees = _both(edges.distinct()).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("sum"))
+        n, total, most = degrees.agg(F.sum("n"), F.sum("sum"), F.max("n")).first()
+        if (n, total) == before or not n:
             break
-        before = now
+        before = n, total
+        hot = max(HOT, n // MOST_HOT)
+        hot = hot if most > hot else None
+        edges = written(_contracted(_star(_star(edges, True, hot), False, hot)), "links")
     else:
         raise RuntimeError(f"components not settled in {MOST_ROUNDS} rounds")
+    edges = edges.distinct()
     least = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(least)

@@ -40,6 +40,9 @@ SET_COST = 64
 MOST_IN_COMPONENT = 32 * CHUNK
 #: Sets whose digests are kept in a task to leave out repeats; then it starts anew.
 KEPT_SETS = 500_000
+#: Parts that HOT texts or more of one in SAMPLED hold are counted without gathering them; MOST_HOT of them are broadcast
+#: (16 bytes each), which leaves the others at most a share of 1 / MOST_HOT each.
+SAMPLED, HOT, MOST_HOT = 256, 64, 100_000
 #: Sets that take part in blocks are broadcast up to this many (about 40 bytes each).
 BROADCAST_SETS = 400_000
 
@@ -158,16 +161,37 @@ def digests(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "set_id binary, n int, up int, aside int, part bigint")
 
 
+def hot_parts(docs: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """(part): the most frequent parts (MOST_HOT at most) of a hash-drawn SAMPLED-th of the texts, if they are in
+    HOT of those at least; None where there are none."""
+    drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    often = digests(drawn, k, percent).groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT)
+    found = written(often.orderBy(F.col("n").desc(), "part").limit(MOST_HOT).select("part"), "hot-parts")
+    return found if found.limit(1).count() else None
+
+
+def over_parts(rows: DataFrame, hot: DataFrame | None, name: str) -> DataFrame:
+    """rows (part, set_id, ...) with often, least and most: the number of rows of the part, its least and its
+    greatest set. Rows of a part meet in a window; those of hot parts, which one task shouldn't get, are summed where they are."""
+    same = Window.partitionBy("part")
+    stats = (F.count(F.lit(1)), "often"), (F.min("set_id"), "least"), (F.max("set_id"), "most")
+    if hot is None:
+        return rows.select("*", *[f.over(same).alias(x) for f, x in stats])
+    rows = written(rows, name)
+    sums = rows.join(F.broadcast(hot), "part", "left_semi").groupBy("part").agg(*[f.alias(x) for f, x in stats])
+    cold = rows.join(F.broadcast(hot), "part", "left_anti").select(*rows.columns, *[f.over(same).alias(x) for f, x in stats])
+    return cold.union(rows.join(F.broadcast(sums), "part").select(*rows.columns, "often", "least", "most"))
+
+
 def meetings(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(leader, set_id, n): sets with the least set that shares one of their parts, after each set
     has set aside its most frequent parts. Parts that are in one set only don't travel on."""
-    same = Window.partitionBy("part")
-    least, most = F.min("set_id").over(same).alias("least"), F.max("set_id").over(same).alias("most")
-    shared = digests(docs, k, percent).select("*", F.count(F.lit(1)).over(same).alias("often"), least, most).where(F.col("least") != F.col("most"))
+    hot = hot_parts(docs, k, percent)
+    shared = over_parts(digests(docs, k, percent), hot, "digests").where(F.col("least") != F.col("most"))
     own = shared.select("set_id", "n", "up", "aside", "part", "often").repartition("set_id", "up").groupBy("set_id", "up", "part", "n", "aside", "often").agg(F.lit(1).alias("one"))
     rank = F.row_number().over(Window.partitionBy("set_id", "up").orderBy(F.col("often").desc(), "part"))
     kept = own.withColumn("rank", rank).where(F.col("rank") > F.col("aside")).select("set_id", "n", "part")
-    met = kept.select("set_id", "n", least, most).where(F.col("least") != F.col("most"))
+    met = over_parts(kept, hot, "kept").where(F.col("least") != F.col("most"))
     return written(met.select(F.col("least").alias("leader"), "set_id", "n").distinct(), "met")
 
 
