@@ -117,3 +117,13 @@ def test_long_texts_clashing_columns_and_thue_morse_words(spark):
     clash = spark.createDataFrame([(*r, 7, "s", 1, 2, "c", b"h") for r in rows], "doc_id long, text string, n int, set_id string, component_id int, part int, leader string, hashes binary")
     got = jaccard.near_duplicates(clash, 3, 90).collect()
     assert sorted((tuple(x) for x in got), key=str) == brute(rows, 3, 90)
+
+
+def test_hot_parts_are_counted_alike(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLED", 1)
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    rows = made_rows(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert jaccard.hot_parts(docs, 3, 90) is not None
+    got = jaccard.near_duplicates(docs, 3, 90).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute(rows, 3, 90)

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from ferrovia.llm import gru, iblt, langid, licenses, mixing, mjpeg, packing, queries, sharding, textvec, warc
+from ferrovia.llm import components, gru, iblt, jpeg, langid, licenses, mixing, mjpeg, packing, queries, ranges, sharding, textvec, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -23,10 +23,17 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
+#: Names that the operators and stages use themselves.
+CLASH = (
+    "size", "shard", "record", "language", "lang_pred", "score", "spans", "mix", "copies", "copy", "target", "taken", "of", "salt", "own", "source_size", "digest", "gone", "rows",
+    "again", "bucket", "at", "slot", "same", "key", "n", "set_id", "component_id", "n_shingles", "held_out", "ids", "start", "sequence_id", "text_key", "w", "media", "clips", "range",
+)
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(d, t, s, "en", 1, "clash") for d, t, s in ODD]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, size int, shard string").repartition(3)
+    rows = [(d, t, s, "en", *range(len(CLASH))) for d, t, s in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, " + ", ".join(f"`{c}` int" for c in CLASH)).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -77,10 +84,11 @@ def test_targets_and_taken_words(spark, docs):
 
 def test_mixing_odd_rows(odd, none):
     rows = mixing.with_copies(odd).collect()
-    assert len(rows) == len(ODD) and rows[0].asDict().keys() >= {"size", "shard"}
-    assert Counter(r["__mix"].size for r in rows) == Counter(n_words(t) for _, t, _ in ODD)
+    assert len(rows) == len(ODD) and all(r.record[c] == i for r in rows for i, c in enumerate(CLASH))
+    assert Counter(r.mix["size"] for r in rows) == Counter(n_words(t) for _, t, _ in ODD)
     mixed = mixing.mix(odd)
-    assert mixed.columns == odd.columns and mixed.count() == sum(r["__mix"].copies for r in rows)
+    assert mixed.columns == odd.columns and mixed.count() == sum(r.mix["copies"] for r in rows)
+    assert all(r[c] == i for r in mixed.collect() for i, c in enumerate(CLASH))
     assert mixing.mix(none).count() == 0
 
 
@@ -112,6 +120,33 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_archives_depend_on_the_records_alone(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    extra = spark.range(300).selectExpr("CAST(null AS BIGINT) AS page_id", "concat('u', id) AS url", "repeat(CAST(id % 7 AS STRING), 2000) AS html")
+    pages = pages.select("page_id", "url", "html").union(extra)
+    found = []
+    for i, frame in enumerate((pages, pages.repartition(13, "url"), pages.orderBy("html"))):
+        found.append(sorted(warc.write_warc(frame, f"file://{tmp_path}/{i}", range_bytes=1 << 20, roll_bytes=1 << 18).collect()))
+    assert found[0] == found[1] == found[2] and len({m.file.split("-")[1] for m in found[0]}) > 5
+    assert sum(m.records for m in found[0]) == pages.count()
+    folder = f"file://{tmp_path}/0"
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        warc.write_warc(pages, folder, range_bytes=1 << 20, roll_bytes=1 << 18)
+    assert not list((tmp_path / "0" / "_temporary").iterdir())  # what was there stayed, what was written again went
+
+
+def test_ranges_of_many_equal_keys(spark):
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN null ELSE id - 10000 END AS number", "hex(id % 50) AS rest")
+    keyed = rows.select("number", "rest", ranges.sort_key(rows.number, rows.rest).alias("key"), ranges.sort_key(rows.number, rows.rest, descending=True).alias("back"))
+    for key, order in (("key", lambda r: (r.number is not None, r.number or 0, r.rest)), ("back", lambda r: (r.number is None, -(r.number or 0), r.rest))):
+        firsts = ranges.first_keys(keyed.selectExpr(f"{key} AS key", "1 AS size"), 20_000, 20_000, 500)
+        assert firsts == sorted(set(firsts)) and 15 < len(firsts) < 40
+        got = sorted(keyed.withColumn("range", ranges.range_of(keyed[key], firsts)).collect(), key=order)
+        numbers = [r.range for r in got]
+        assert numbers == sorted(numbers) and set(numbers) == set(range(len(firsts) + 1))
+        assert max(Counter(numbers).values()) < 1500
+
+
 # 4 sharding
 
 
@@ -135,6 +170,37 @@ def test_shards_of_odd_rows(odd, none):
         slots[r.shard].append(r.slot)
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert sharding.shuffled_shards(none, shards=3).count() == 0
+    assert all(r.record[c] == i for r in rows for i, c in enumerate(CLASH))
+
+
+def test_key_law(spark):
+    """The shard of the largest hash, as Spark has it for each pair of id and shard."""
+    rows = queries.op4_external_shuffle(spark, SF).collect()
+    hashes = spark.createDataFrame([(r.doc_id,) for r in rows], "doc_id long").crossJoin(spark.range(41).selectExpr("CAST(id AS INT) AS s"))
+    by_doc = defaultdict(dict)
+    for r in hashes.selectExpr("doc_id", "s", "xxhash64(20260101, doc_id, s) AS h").collect():
+        by_doc[r.doc_id][r.s] = r.h
+    for r in rows:
+        h = by_doc[r.doc_id]
+        assert r.shard == max(range(40), key=h.get) and r.grown_shard == max(range(41), key=h.get)
+    moved = [r for r in rows if r.shard != r.grown_shard]
+    assert len({r.shard for r in rows}) > 30 and 0 < len(moved) < len(rows) / 10
+
+
+def test_equal_rows_are_spread(spark):
+    rows = [(1, "same text", 5)] * 3000 + [(None, f"text {i}", i) for i in range(1000)] + [(i, "other", 0) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, copy int").repartition(5)
+    found = sharding.shuffled_shards(docs, shards=4, bucket_bytes=6000)
+    got = found.collect()
+    assert Counter(tuple(r.record) for r in got) == Counter(rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    ordered = sorted((r for r in got if r.record.doc_id == 1), key=lambda r: r.slot)
+    assert max(r.slot for r in ordered) - min(r.slot for r in ordered) >= 3000 or len({r.shard for r in ordered}) == 1
+    again = sharding.shuffled_shards(docs.repartition(3), shards=4, bucket_bytes=6000).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
 
 
 # 5 packing
@@ -231,16 +297,48 @@ def test_mixed_text_has_spans(spark, docs):
             first.setdefault(r.lang, " ".join(r.text.split()[:50]))
     model = langid.learn(docs)
     mixed = spark.createDataFrame([(1, f"{first['en']} {first['de']}"), (2, None), (3, "12 34 —"), (4, "一")], "doc_id long, text string")
-    rows = {r.doc_id: r for r in langid.label(mixed, model).collect()}
+    rows = {r.doc_id: r for r in langid.label(mixed, model).select("record.doc_id", "language.*").collect()}
     assert [s.lang for s in rows[1].spans] == ["en", "de"] and rows[1].spans[0].first == 0 and abs(rows[1].spans[1].first - 50) < 6
     assert [rows[i].lang_pred for i in (2, 3)] == ["und"] * 2 and rows[3].spans == [] and rows[4].lang_pred != "und"
 
 
 def test_languages_of_odd_rows(odd, none):
-    rows = langid.label(odd, langid.learn(odd)).collect()
-    assert Counter((r.doc_id, r.lang_pred) for r in rows) == Counter((d, "en" if t and re.search(r"[^\W\d_]", t) else "und") for d, t, _ in ODD)
+    labelled = langid.label(odd, langid.learn(odd)).collect()
+    assert all(r.record[c] == i for r in labelled for i, c in enumerate(CLASH))
+    rows = [(r.record.doc_id, r.language.lang_pred) for r in labelled]
+    assert Counter(rows) == Counter((d, "en" if t and re.search(r"[^\W\d_]", t) else "und") for d, t, _ in ODD)
     assert langid.learn(none) is None and langid.label(none, None).count() == 0
-    assert {r.lang_pred for r in langid.label(odd, None).collect()} == {"und"}
+    assert {r.language.lang_pred for r in langid.label(odd, None).collect()} == {"und"}
+
+
+def test_words_are_letters_and_marks_of_scripts():
+    cases = {
+        "don’t": ["don", "t"], "giế": ["giế"], "e\u0301te\u0301": ["e\u0301te\u0301"], "a–b…c": ["a", "b", "c"], "« été »": ["été"], "x2y": ["x", "y"], "日本語、漢字": ["日本語", "漢字"], "１２": [],
+        "नमस्ते दुनिया": ["नमस्ते", "दुनिया"], "\U0001f600ok\U00020000": ["ok\U00020000"], "": [], "მზე ሰላም": ["მზე", "ሰላም"], "ab": ["ab"], "aé": ["aé"], "éa": ["éa"],
+    }
+    data = "".join(cases).encode()
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in cases])))
+    starts, ends, first, *_, script = langid.features(np.frombuffer(data, np.uint8), offsets)
+    for i, (text, wanted) in enumerate(cases.items()):
+        assert [data[a:b].decode() for a, b in zip(starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]], strict=True)] == wanted, text
+    kind = dict(zip([data[a:b].decode() for a, b in zip(starts, ends, strict=True)], script.tolist(), strict=True))
+    names = {w: langid.KINDS[k] for w, k in kind.items()}
+    assert [names[w] for w in ("giế", "e\u0301te\u0301", "日本語", "नमस्ते", "მზე", "ሰላም", "ok\U00020000")] == ["latin", "latin", "han", "devanagari", "georgian", "ethiopic", "han"]
+
+
+def test_few_languages_teach(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    rows = [(i, "one two", lang) for i, lang in enumerate(["a"] * 3 + ["b", "c", "c", "d"])]
+    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["a", "c"]
+
+
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_labels_by_hand(spark, lang):
+    """A score is the letters' share: with one language every word has it."""
+    docs = spark.createDataFrame([(1, "ab cd", lang), (2, "12", lang), (3, None, lang)], "doc_id long, text string, lang string")
+    rows = {r.record.doc_id: r.language for r in langid.label(docs, langid.learn(docs)).collect()}
+    assert [(rows[i].lang_pred, rows[i].score) for i in (2, 3)] == [("und", 0.0)] * 2
+    assert (rows[1].lang_pred, rows[1].score, len(rows[1].spans)) == (("en", 1.0, 1) if lang else ("und", 0.0, 0))
 
 
 # 7 language model
@@ -358,25 +456,132 @@ def test_media_of_odd_rows_and_all_bytes(odd, none):
     assert mjpeg.features(mjpeg.to_media(none)).count() == 0
     data = np.random.default_rng(0).integers(0, 256, 5000).astype(np.uint8).tobytes() + bytes(1024) + b"\xff" * 3000
     frames, length, step = mjpeg.read_avi(mjpeg.to_avi(data))
-    assert frames.tobytes()[:length] == data and math.isclose(step, 0.04)
+    assert np.stack(frames).tobytes()[:length] == data and math.isclose(step, 0.04)
 
 
 def test_a_cut_after_the_first_frame():
     low, high = np.full(mjpeg.FRAME, 10, np.uint8), np.full(mjpeg.FRAME, 200, np.uint8)
     for n in (2, 3, 9):
-        frames = np.stack([low, *[high] * (n - 1)])
-        assert mjpeg.shots(frames, frames.size) == [(0, 0), (1, n - 1)]
-        assert mjpeg.shots(np.stack([low] * n), n * mjpeg.FRAME) == [(0, n - 1)]
-    assert mjpeg.shots(low[None], mjpeg.FRAME) == [(0, 0)]
+        assert mjpeg.shots([low, *[high] * (n - 1)], n * mjpeg.FRAME) == [(0, 0), (1, n - 1)]
+        assert mjpeg.shots([low] * n, n * mjpeg.FRAME) == [(0, n - 1)]
+    assert mjpeg.shots([low], mjpeg.FRAME) == [(0, 0)] and mjpeg.shots([]) == []
 
 
 def test_shots_and_clips(spark):
     frames = np.repeat(np.array([10, 200, 90], np.uint8), [12, 9, 11])[:, None] * np.ones((1, mjpeg.FRAME), np.uint8)
-    assert mjpeg.shots(frames, frames.size) == [(0, 11), (12, 20), (21, 31)]
+    assert mjpeg.shots(list(frames), frames.size) == mjpeg.shots([*frames[:12], *frames[12:, :700]]) == [(0, 11), (12, 20), (21, 31)]
     media = spark.createDataFrame([(1, frames.size, bytearray(mjpeg.to_avi(frames.tobytes())))], "doc_id long, n_bytes long, media binary")
     assert [(r.clip, r.first_frame, r.last_frame, round(r.start_s, 2), round(r.end_s, 2)) for r in mjpeg.clips(media).collect()] == [(0, 0, 11, 0.0, 0.48), (1, 12, 20, 0.48, 0.84), (2, 21, 31, 0.84, 1.28)]
 
 
+def bits_of(value):
+    size = abs(value).bit_length()
+    return f"{value if value > 0 else value + (1 << size) - 1:0{size}b}" if size else ""
+
+
+def encoded(image, sampling=(1, 1), restart=0, tables=True, step=4, chroma=None):
+    """A baseline JPEG of a grey image, or of one with two flat other components at half size, and what it decodes to."""
+    h, v = sampling
+    rows, columns = image.shape
+    wide, high = -(-columns // (8 * h)), -(-rows // (8 * v))
+    padded = np.pad(image, ((0, high * 8 * v - rows), (0, wide * 8 * h - columns)), "edge").astype(float) - 128
+    blocks = padded.reshape(high * v, 8, wide * h, 8).transpose(0, 2, 1, 3)
+    coded = np.rint(jpeg.WAVES @ blocks @ jpeg.WAVES.T / step).astype(int)
+    back = np.clip(np.rint(jpeg.WAVES.T @ (coded * step) @ jpeg.WAVES + 128), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(padded.shape)[:rows, :columns]
+    zigzag = coded.reshape(high * v, wide * h, 64)[..., jpeg.ZIGZAG]
+
+    def codes(counts, symbols):
+        out, code, at = {}, 0, 0
+        for length, n in enumerate(counts, 1):
+            for symbol in symbols[at : at + n]:
+                out[symbol] = f"{code:0{length}b}"
+                code += 1
+            at, code = at + n, code << 1
+        return out
+
+    dc, ac = codes(*jpeg.DC_LUMA), codes(jpeg.AC_LUMA[0], jpeg.completed(jpeg.AC_LUMA[1]))
+    parts, text, last = [], "", [0, 0, 0]
+    for unit in range(wide * high):
+        if restart and unit and unit % restart == 0:
+            parts.append(text)
+            text, last = "", [0, 0, 0]
+        todo = [(0, zigzag[unit // wide * v + y, unit % wide * h + x]) for y in range(v) for x in range(h)]
+        todo += [(c, np.array([chroma] + [0] * 63)) for c in (1, 2)] if chroma is not None else []
+        for c, block in todo:
+            difference, last[c] = int(block[0]) - last[c], int(block[0])
+            text += dc[abs(difference).bit_length()] + bits_of(difference)
+            run = 0
+            for value in block[1 : np.max(np.flatnonzero(block), initial=0) + 1].tolist():
+                if not value:
+                    run += 1
+                    continue
+                while run > 15:
+                    text, run = text + ac[0xF0], run - 16
+                text += ac[run << 4 | abs(value).bit_length()] + bits_of(value)
+                run = 0
+            text += ac[0] if not np.max(np.flatnonzero(block), initial=0) == 63 else ""
+    parts.append(text)
+    scan = b""
+    for i, part in enumerate(parts):
+        part += "1" * (-len(part) % 8)
+        scan += int(part or "0", 2).to_bytes(len(part) // 8, "big").replace(b"\xff", b"\xff\0") + (bytes([0xFF, 0xD0 + i % 8]) if i < len(parts) - 1 else b"")
+    n = 3 if chroma is not None else 1
+    out = b"\xff\xd8" + mjpeg._segment(0xFE, b"a comment") + mjpeg._segment(0xDB, b"\0" + bytes([step] * 64))
+    if tables:
+        symbols = jpeg.completed(jpeg.AC_LUMA[1])
+        out += mjpeg._segment(0xC4, b"\0" + bytes(jpeg.DC_LUMA[0]) + bytes(jpeg.DC_LUMA[1]) + b"\x10" + bytes(jpeg.AC_LUMA[0]) + bytes(symbols))
+    out += mjpeg._segment(0xC0, b"\x08" + rows.to_bytes(2, "big") + columns.to_bytes(2, "big") + bytes([n]) + b"".join(bytes([c + 1, h << 4 | v if c == 0 else 0x11, 0]) for c in range(n)))
+    out += mjpeg._segment(0xDD, restart.to_bytes(2, "big")) if restart else b""
+    return out + mjpeg._segment(0xDA, bytes([n]) + b"".join(bytes([c + 1, 0]) for c in range(n)) + b"\0\x3f\0") + scan + b"\xff\xd9", back
+
+
+def test_frames_of_other_writers():
+    r = np.random.default_rng(3)
+    smooth = np.clip(np.add.outer(np.arange(37) * 3, np.arange(50) * 2) + r.normal(0, 25, (37, 50)), 0, 255)
+    for how in ({}, {"restart": 3}, {"tables": False}, {"sampling": (2, 2), "chroma": 9}, {"sampling": (2, 1), "chroma": -3, "restart": 2}, {"step": 1}):
+        data, wanted = encoded(smooth, **how)
+        assert np.array_equal(mjpeg.decode_frame(data), wanted), how
+    own = mjpeg.encode_frames(r.integers(0, 256, (1, mjpeg.FRAME)).astype(np.uint8))[0]
+    assert np.array_equal(jpeg.luma(own), np.kron(mjpeg.decode_frame(own), np.ones((8, 8), np.uint8)))
+    for bad in (b"", data[: len(data) // 2], data.replace(b"\xff\xc0", b"\xff\xc2"), own[:-2], mjpeg.HEADER):
+        with pytest.raises(ValueError):
+            mjpeg.decode_frame(bad)
+
+
+def test_clips_of_an_ordinary_file(spark):
+    r = np.random.default_rng(4)
+    coded = [encoded(np.clip(level + r.normal(0, 3, (24, 40)), 0, 255), sampling=(2, 1), chroma=4)[0] for level in [30] * 5 + [220] * 4]
+    movi = b"".join(mjpeg._chunk(b"00dc", x) + mjpeg._chunk(b"01wb", b"sound") for x in coded)
+    at, index = 4, []
+    for x in coded:
+        index.append(b"00dc" + np.array([0x10, at, len(x)], "<u4").tobytes())
+        at += 8 + len(x) + len(x) % 2
+        index.append(b"01wb" + np.array([0x10, at, 5], "<u4").tobytes())
+        at += 14
+    head = mjpeg._list(b"hdrl", mjpeg._chunk(b"avih", np.array([40_000, *[0] * 13], "<u4").tobytes()))
+    body = b"AVI " + head + mjpeg._list(b"movi", movi) + mjpeg._chunk(b"idx1", b"".join(index))
+    data = b"RIFF" + len(body).to_bytes(4, "little") + body
+    media = spark.createDataFrame([(1, None, bytearray(data))], "doc_id long, n_bytes long, media binary")
+    assert [(c.first_frame, c.last_frame, round(c.start_s, 2), round(c.end_s, 2)) for c in mjpeg.clips(media).collect()] == [(0, 4, 0.0, 0.2), (5, 8, 0.2, 0.36)]
+    (row,) = mjpeg.features(media).collect()
+    assert (row.payload_sha256, row.media_bytes, row.feature) == (None, len(data), "frames=9;seconds=0.36;shots=2;starts=0,5")
+
+
+def test_features_tell_of_the_shots(docs):
+    """The feature against shots of histograms that are counted one by one."""
+    for row, text in zip(mjpeg.features(mjpeg.to_media(docs.orderBy("doc_id"))).collect(), docs.orderBy("doc_id").collect(), strict=True):
+        payload = mjpeg.payload_of(text.text)
+        chunks = [payload[i : i + mjpeg.FRAME] for i in range(0, len(payload), mjpeg.FRAME)]
+        shares = [{g: n / len(c) for g, n in Counter(b >> 4 for b in c).items()} for c in chunks]
+        differences = [sum(abs(a.get(g, 0) - b.get(g, 0)) for g in range(16)) / 2 for a, b in zip(shares, shares[1:], strict=False)]
+        starts = [0]
+        for i, d in enumerate(differences):
+            past = differences[max(0, i - mjpeg.WINDOW) : i]
+            if d > (max(mjpeg.LEAST, float(np.mean(past) + mjpeg.SPREAD * np.std(past))) if i else mjpeg.LEAST):
+                starts.append(i + 1)
+        assert row.feature == f"frames={len(chunks)};seconds={len(chunks) * 0.04:.2f};shots={len(starts)};starts={','.join(map(str, starts))}"
+
+
 # 9 fingerprints
 
 
@@ -430,6 +635,24 @@ def test_peeling_recovers_the_difference(none):
     assert iblt.compare_versions(none).count() == 0
 
 
+def test_stored_fingerprints_are_compared():
+    r = np.random.default_rng(6)
+    base = [sorted(r.integers(1, 1 << 62, n).tolist()) for n in (0, 1, 5, 40, 400)]
+    a = [x for x in base for _ in range(3)]
+    b = [y for x in base for y in (x, x[: len(x) // 2], [k + 1 for k in x])]
+    flat = [(np.repeat(np.arange(len(s)), [len(x) for x in s]), np.array([k for x in s for k in x], np.uint64)) for s in (a, b)]
+    prints = [iblt.fingerprints(f, len(a)) for f in flat]
+    read = iblt.Sketches.read(prints[0])
+    assert read.sizes().tolist() == [len(x) for x in a] and [read.text(i) for i in range(len(a))] == prints[0]
+    wanted = [len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 1.0 for x, y in zip(a, b, strict=True)]
+    assert np.allclose(iblt.likeness(*prints, flat), wanted)
+    close = [x[:-1] + [5] if x else x for x in a]  # few pieces differ: the fingerprints alone tell them
+    near = np.repeat(np.arange(len(a)), [len(x) for x in close]), np.array([k for x in close for k in x], np.uint64)
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    told = iblt.likeness(prints[0], iblt.fingerprints(near, len(a)), (nothing, nothing))
+    assert np.allclose(told[6:], [(len(x) - 1) / (len(x) + 1) for x in a[6:]])
+
+
 # 10 licences
 
 
@@ -457,6 +680,88 @@ def test_licences(spark, docs, odd, none):
     assert licenses.scan(none).count() == 0
 
 
+def brute_labels(text, templates, k=3, near=3, share=0.6):
+    """Every pair of places by two loops, chained diagonals, windows of those that are too wide, and the richest of those that overlap."""
+    words = re.findall(licenses.WORD, lower(text))
+    spans = []
+    for t, (of, label, is_base) in enumerate(templates):
+        grams = len(of) - k + 1
+        runs = defaultdict(set)
+        for i in range(len(words) - k + 1):
+            for j in range(grams):
+                if words[i : i + k] == of[j : j + k]:
+                    runs[i - j].add(j)
+        for d, held in runs.items():
+            if len(held) == grams:
+                spans.append((is_base, d + min(held), d + max(held) + k - 1, label, True, grams, 1.0))
+        chains = []
+        for d in sorted(runs):
+            if chains and d - chains[-1][-1] <= near:
+                chains[-1].append(d)
+            else:
+                chains.append([d])
+        for chain in chains:
+            ends = [(d + min(runs[d]), d + max(runs[d]), d) for d in chain]
+            most = 2 * (grams + k - 1) + near
+            seats = [ends]
+            if max(e for _, e, _ in ends) - min(s for s, _, _ in ends) + k > most:
+                half = most // 2
+                cells = {c for s, _, _ in ends for c in (s // half - 1, s // half)}
+                seats = [[x for x in ends if x[0] // half in (c, c + 1)] for c in sorted(cells)]
+            for seat in seats:
+                held = set().union(*(runs[d] for _, _, d in seat))
+                if not any(len(runs[d]) == grams for _, _, d in seat) and len(held) / grams >= share:
+                    spans.append((is_base, min(s for s, _, _ in seat), max(e for _, e, _ in seat) + k - 1, label, False, len(held), len(held) / grams))
+    kept, chain, reach = [], {}, {}
+    spans = sorted(set(spans))
+    number = 0
+    for x in spans:
+        if x[0] not in reach or x[1] > reach[x[0]]:
+            number += 1
+        reach[x[0]] = max(reach.get(x[0], -1), x[2]) if x[0] in reach else x[2]
+        chain.setdefault(number, []).append(x)
+    for group in chain.values():
+        richest = max(x[5] for x in group)
+        kept += [x for x in group if x[4] or x[5] == richest]
+    return ",".join(sorted({x[3] for x in kept})), max((x[6] for x in kept), default=0.0)
+
+
+def test_method_labels_equal_brute_force(spark):
+    from ferrovia.llm import licence_texts as full
+
+    r = np.random.default_rng(8)
+    templates = licenses.template_words()
+    rows = []
+
+    def edited(text, every):
+        out = []
+        for w in text.split():
+            x = r.random()
+            out += [] if x < every / 2 else [w, "inserted"] if x < every else [w]
+        return " ".join(out)
+
+    for text, _ in full.TEXTS:
+        rows += ["before " + text + " after", edited(text, 0.04), edited(text, 0.15), edited(text, 0.4), text[: len(text) // 2], " ".join(text.split()[::-1])]
+    passage = licenses.PASSAGES[2][0]
+    rows += [" ".join([passage] * 9), " ".join(edited(passage, 0.1) for _ in range(40)), "met that the " * 300, f"{full.MIT} {full.ZLIB} {edited(full.ISC, 0.05)}", "", "Cc By Nc " * 20]
+    rows += [full.MIT.replace("Software", "\u212aoftware"), "under the MIT licen\u017fe under the MIT \u212aicense UNDER THE MIT LICENSE"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for row in licenses.scan(frame).collect():
+        labels, score = brute_labels(rows[row.doc_id], templates)
+        assert row.labels == labels and math.isclose(row.score, score), (row, labels, rows[row.doc_id][:200])
+    of = {r.doc_id: r.labels for r in licenses.scan(frame).collect()}
+    for i, (_, label) in enumerate(full.TEXTS):
+        assert label in of[6 * i].split(",") and label in of[6 * i + 1].split(",")
+    assert "gpl" not in of[6 * 10].split(",") and "agpl" in of[6 * 10].split(",")
+
+
+def test_many_templates_are_joined_by_shuffle(spark, docs, monkeypatch):
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, licenses.PASSAGES[0][0]), (-2, None)], "doc_id long, text string"))
+    wanted = sorted(map(str, licenses.scan(frame).collect()))
+    monkeypatch.setattr(licenses, "MOST_TEMPLATE_WORDS", 0)
+    assert sorted(map(str, licenses.scan(frame).collect())) == wanted
+
+
 # words
 
 
@@ -529,7 +834,7 @@ def test_near_duplicates_under_repeated_ids(spark):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 group = [group[j] if g == group[i] else g for g in group]
-    frame = spark.createDataFrame([(i, t, "a", "en", 1, "s") for i, t in rows], "doc_id long, text string, source string, lang string, size int, shard string").repartition(3)
+    frame = spark.createDataFrame([(i, t, "a", "en", 1, "s") for i, t in rows], "doc_id long, text string, source string, lang string, record int, digest string").repartition(3)
     out = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicate_stage(spark, frame, SF).collect()]
     loose = [(i, t) for (i, t), s in zip(rows, sets, strict=True) if i is None or not s]
     of_group = defaultdict(list)
@@ -540,3 +845,73 @@ def test_near_duplicates_under_repeated_ids(spark):
     assert not Counter(loose) - Counter(out) and sum(kept.values()) == len(of_group) == 5
     for members in of_group.values():
         assert [i for i, t in kept if (i, t) in members] == [min(i for i, _ in members)]
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_pipeline_by_hand(spark, tmp_path, labelled):
+    """A small table: what each stage keeps follows from its rule, copies from the seeded draw, pieces from the tokens."""
+    import corpus_pipeline
+
+    r = np.random.default_rng(9)
+    made = [" ".join(f"word{i}" for i in r.integers(0, 5000, n)) for n in (120, 90, 60, 200, 40, 3000)]
+    rows = [
+        (1, made[0], "a"), (2, made[0], "b"), (3, made[0] + " more", "a"), (4, made[1], "b"), (5, made[2], None), (6, made[3], "c"), (7, made[4], "c"), (8, made[5], "d"),
+        (9, made[5].replace("word7", "x"), "d"), (10, "12 34 !", "a"), (11, None, "a"), (12, "", "b"), (13, "one two", "b"), (14, "ONE  two", "b"), (15, "three", "e"),
+    ]
+    lang = "en" if labelled else None
+    frame = spark.createDataFrame([(*x, lang, "kept", i) for i, x in enumerate(rows)], "doc_id long, text string, source string, lang string, lang_pred string, score int")
+    frame.write.parquet(f"file://{tmp_path}/documents.parquet")
+    stay = [x for x in rows if x[0] not in (2, 3, 9, 10, 11, 12, 14)]
+    docs = frame
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+        assert all(x.lang_pred == "kept" and rows[x.score][0] == x.doc_id and x.lang == lang for x in docs.collect())
+    assert sorted((x.doc_id, x.text, x.source) for x in docs.collect()) == sorted(stay)
+    sizes = Counter()
+    for _, t, source in stay:
+        sizes[source] += n_words(t)
+    targets = filled(sizes)
+    wanted = Counter()
+    for d, t, source in stay:
+        rate = targets[source] / sizes[source]
+        draw = int(hashlib.md5(f"mix:{d}".encode()).hexdigest()[:8], 16) / 2**32
+        wanted[d] = int(rate) + (draw < rate - int(rate))
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = {d: [*encode(t), 1] for d, t, _ in stay}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got, by_sequence = defaultdict(list), Counter()
+    for p in pieces:
+        ids = np.frombuffer(bytes(p.ids), "<u4").tolist()
+        assert ids == tokens[p.doc_id][p.start : p.start + p.length] and p.doc_tokens == len(tokens[p.doc_id])
+        got[p.doc_id] += range(p.start, p.start + p.length)
+        by_sequence[p.sequence_id] += p.length
+    assert {d: Counter(x) for d, x in got.items()} == {d: Counter({i: n for i in range(len(tokens[d]))}) for d, n in wanted.items() if n}
+    assert max(by_sequence.values()) <= 2048 and len(by_sequence) <= sum(by_sequence.values()) // 2048 + 8
+
+
+# components
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT", hot)
+    monkeypatch.setattr(components, "AT_ONCE", 50)
+    r = np.random.default_rng(hot)
+    links = [(i, i + 1) for i in range(1000, 1300)] + [(5000, i) for i in range(5001, 5200)] + [(i, 6100) for i in range(6000, 6100)] + [tuple(x) for x in r.integers(0, 700, (400, 2)).tolist()]
+    links += links[:50] + [(None, 3), (8, 8)]
+    r.shuffle(links)
+    label = {}
+    for a, b in links:
+        if a is not None and a != b:
+            label.setdefault(a, a)
+            label.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if a is not None and a != b and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    frame = spark.createDataFrame([tuple(None if x is None else int(x) for x in link) for link in links], "a long, b long").repartition(7)
+    assert {tuple(x) for x in components.components(frame).collect()} == set(label.items())
+    assert components.components(frame.where("false")).count() == 0
