@@ -112,7 +112,23 @@ def format_route_fallback(stations: Column, shown: int = 5) -> Column:
     return F.when(F.size(stations) > shown, F.concat(head, F.lit(" ... → "), F.element_at(stations, -1))).otherwise(head)
 
 
-def format_train_info(code: Column, stations: Column, departs: Column) -> Column:
-    """A line per stop: number, name and departure (---- for none)."""
-    rows = F.transform(F.arrays_zip(stations.alias("s"), departs.alias("d")), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["s"], F.lit(" "), F.when(F.coalesce(x["d"], F.lit("")) == "", "----").otherwise(x["d"])))
-    return F.concat_ws("\n", code, F.array_join(rows, "\n"))
+def format_train_info(code: Column, train_class: Column, start: Column, end: Column, stations: Column, details: Column) -> Column:
+    """The text of a train: its code and class, terminals, number of stations, and a line for each stop: number, name, arrival
+    and departure (---- for none) of details (array of name, arrive, depart, no), or the numbered stations where there are none."""
+    time = lambda x: F.when(F.coalesce(x, F.lit("")) == "", "----").otherwise(x)
+    none = lambda x: F.coalesce(x, F.lit(""))
+    details = details.cast("array<struct<name:string,arrive:string,depart:string,no:int>>")
+    timed = F.transform(details, lambda x: F.concat(F.lit("    "), F.coalesce(x["no"], F.lit(0)).cast("string"), F.lit(". "), none(x["name"]), F.lit(" 到:"), time(x["arrive"]), F.lit(" 发:"), time(x["depart"])))
+    bare = F.transform(stations, lambda x, i: F.concat(F.lit("    "), (i + 1).cast("string"), F.lit(". "), none(x)))
+    rows = F.when(F.size(details) > 0, timed).otherwise(F.coalesce(bare, F.array().cast("array<string>")))
+    head = F.concat(F.lit("🚄 "), code, F.lit(" ("), none(train_class), F.lit(")"))
+    ends = F.concat(F.lit("  起讫站: "), none(start), F.lit(" → "), none(end))
+    count = F.concat(F.lit("  经停 "), F.greatest(F.size(stations), F.lit(0)).cast("string"), F.lit(" 站:"))
+    return F.array_join(F.concat(F.array(head, ends, count), rows), "\n")
+
+
+def format_basic_info(code: Column, train_class: Column, start: Column, end: Column, stations: Column) -> Column:
+    """The text of a train without times: its stations follow in one line (see format_route_fallback)."""
+    none = lambda x: F.coalesce(x, F.lit(""))
+    head = F.concat(F.lit("🚄 "), code, F.lit(" ("), none(train_class), F.lit(")\n  起讫站: "), none(start), F.lit(" → "), none(end))
+    return F.concat(head, F.lit("\n  经停 "), F.size(stations).cast("string"), F.lit(" 站: "), format_route_fallback(stations))
