@@ -1,10 +1,16 @@
-"""Conversation histories: messages (thread_id, turn, role, content)."""
+"""Conversation histories: messages (thread_id, turn, role, content), and checkpoints (thread_id, seq, ts, source, messages)
+whose messages are an array of (role, content, has_tool_calls)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The preview of a thread without one, and the date of a session whose time can't be read.
+NO_PREVIEW, NO_DATE = "新对话", "未知日期"
+#: Kinds of messages that are shown, and as whose.
+ROLES = {"HumanMessage": "user", "human": "user", "user": "user", "AIMessage": "assistant", "AIMessageChunk": "assistant", "ai": "assistant", "assistant": "assistant"}
+
 
 def append_messages(history: DataFrame, new: DataFrame) -> DataFrame:
     """new (thread_id, ord, role, content) after the last turn of its thread, in order."""
@@ -22,25 +28,42 @@ def user_threads(history: DataFrame, user: str) -> DataFrame:
     return history.where((F.col("thread_id") == user) | F.col("thread_id").startswith(f"{user}_"))
 
 
-def first_input_per_thread(history: DataFrame, shown: int = 100) -> DataFrame:
-    first = history.where(F.col("role") == "user").groupBy("thread_id").agg(F.min_by("content", "turn").alias("content"))
-    return first.select("thread_id", F.substring("content", 1, shown).alias("preview"))
+def first_input_per_thread(checkpoints: DataFrame, shown: int = 100) -> DataFrame:
+    """(thread_id, created_at, preview) of each thread's first checkpoint of source input: its time, and the head of its first
+    message, or a fixed text where that is empty."""
+    first = checkpoints.where(F.col("source") == "input").groupBy("thread_id").agg(F.min_by(F.struct("ts", F.get("messages", F.lit(0))["content"].alias("content")), "seq").alias("c"))
+    preview = F.coalesce(F.nullif(F.substring("c.content", 1, shown), F.lit("")), F.lit(NO_PREVIEW))
+    return first.select("thread_id", F.col("c.ts").alias("created_at"), preview.alias("preview"))
+
 
+def sessions_by_date(sessions: DataFrame) -> DataFrame:
+    """sessions (thread_id, created_at, preview) with date and time (HH:MM), the latest date first and in it the latest
+    session, by the text of created_at. A time that can't be read is of an unknown date, which goes before all others."""
+    at = F.try_to_timestamp("created_at")
+    dated = sessions.select(F.coalesce(F.date_format(at, "yyyy-MM-dd"), F.lit(NO_DATE)).alias("date"), F.coalesce(F.date_format(at, "HH:mm"), F.lit("")).alias("time"), "thread_id", "created_at", "preview")
+    return dated.orderBy(F.col("date").desc(), F.col("created_at").desc(), "thread_id")
 
-def session_messages(history: DataFrame) -> DataFrame:
-    """Messages of users and assistants with content, numbered anew."""
-    kept = history.where(F.col("role").isin("user", "assistant") & (F.coalesce("content", F.lit("")) != ""))
-    return kept.select("thread_id", F.row_number().over(Window.partitionBy("thread_id").orderBy("turn")).cast("long").alias("at"), "role", "content")
 
+def _latest(checkpoints: DataFrame) -> DataFrame:
+    return checkpoints.groupBy("thread_id").agg(F.max_by("messages", "seq").alias("messages"))
 
-def pending(history: DataFrame) -> DataFrame:
-    """Threads whose last message is a user's."""
-    return history.groupBy("thread_id").agg(F.max_by("role", "turn").alias("role")).where(F.col("role") == "user").select("thread_id")
 
+def _shown_as(role: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    return known[role]
 
-def sessions_by_date(sessions: DataFrame) -> DataFrame:
-    """sessions (thread_id, ts string) by date, newest first; a ts that can't be read has no date."""
-    at = F.try_to_timestamp("ts")
-    dated = sessions.select("thread_id", F.coalesce(F.date_format(at, "yyyy-MM-dd"), F.lit("unknown")).alias("date"), F.coalesce(F.date_format(at, "HH:mm"), F.lit("")).alias("time"))
-    listed = F.sort_array(F.collect_list(F.struct("time", "thread_id")), asc=False)
-    return dated.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.transform(listed, lambda x: x["thread_id"]).alias("threads"))
+
+def session_messages(checkpoints: DataFrame) -> DataFrame:
+    """(thread_id, at, role, content): the messages of users and assistants with content in each thread's latest checkpoint, numbered
+    from 1."""
+    shown = F.transform("messages", lambda m: F.struct(_shown_as(m["role"]).alias("role"), m["content"].alias("content")))
+    kept = F.filter(shown, lambda m: m["role"].isNotNull() & (F.coalesce(m["content"], F.lit("")) != ""))
+    rows = _latest(checkpoints).select("thread_id", F.posexplode(kept).alias("at", "m"))
+    return rows.select("thread_id", (F.col("at") + 1).cast("long").alias("at"), "m.role", "m.content")
+
+
+def pending_tool_calls(checkpoints: DataFrame) -> DataFrame:
+    """(thread_id) of the threads whose latest checkpoint ends in a message of an assistant with tool calls: nothing has answered them."""
+    last = F.element_at("messages", -1)
+    ends = _latest(checkpoints).where(F.size("messages") > 0).select("thread_id", last.alias("m"))
+    return ends.where((_shown_as(F.col("m.role")) == "assistant") & F.coalesce("m.has_tool_calls", F.lit(False))).select("thread_id")
