@@ -2,51 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that a task scores at once; more are taken in blocks.
-BLOCK = 1024
+#: Queries, and chunks, that a task scores against each other.
+BLOCK, PART = 4096, 16384
+#: Queries that are scored at once.
+AT_ONCE = 1024
 
 
-def retrieve_topk(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.0, most_queries: int = 100_000) -> DataFrame:
+def retrieve_topk(chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.0, block: int = BLOCK, part: int = PART) -> DataFrame:
     """(query_id, rank, chunk_id, similarity): for each of queries (query_id, embedding) the k best
     chunks (chunk_id, embedding) of at least the threshold; ties by chunk_id.
 
-    Queries are the small side and their number is checked. Each task keeps its own k best per query, so
-    what is shuffled is at most k rows per query and batch.
+    Rows without an id or embedding, with a null in it, or of another length than most queries' are left out; a vector of zeros is like
+    none (0). Queries are dealt to blocks and chunks to parts, by a hash and any number of them; every block meets every part in
+    a task, which keeps k rows for each query. The driver gets two counts.
     """
-    rows = queries.select("query_id", "embedding").limit(most_queries + 1).toPandas()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries: give them in parts")
-    ids = rows["query_id"].to_numpy()
-    matrix = np.stack([np.asarray(x, np.float64) for x in rows["embedding"]]) if len(rows) else np.zeros((0, 1))
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, matrix / np.where(norm > 0, norm, 1)))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, q = shared.value
-        for pdf in parts:
-            if not len(pdf) or not len(names):
-                continue
-            x = np.stack([np.asarray(e, np.float64) for e in pdf["embedding"]])
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            x /= np.where(n > 0, n, 1)
-            order = np.argsort(pdf["chunk_id"].to_numpy(), kind="stable")
-            x, chunk = x[order], pdf["chunk_id"].to_numpy()[order]
-            for at in range(0, len(names), BLOCK):
-                s = q[at : at + BLOCK] @ x.T
-                best = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]
-                got = np.take_along_axis(s, best, 1)
-                r, c = np.nonzero(got >= threshold)
-                yield pd.DataFrame({"query_id": names[at + r], "chunk_id": chunk[best[r, c]], "similarity": got[r, c]})
-
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    sized = queries.where(whole & F.col("query_id").isNotNull()).groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+    common = sized.orderBy(F.col("rows").desc(), "n").first()
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, similarity double"
-    found = chunks.select("chunk_id", "embedding").mapInPandas(run, kinds)
+    if common is None:
+        return chunks.sparkSession.createDataFrame([], kinds + ", rank bigint")
+    fits = whole & (F.size("embedding") == common["n"])
+    held = chunks.where(fits & F.col("chunk_id").isNotNull()).select("chunk_id", F.col("embedding").alias("vector"))
+    blocks, parts = -(-common["rows"] // block), max(1, -(-held.count() // part))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.where(fits & F.col("query_id").isNotNull()).select("query_id", F.col("embedding").alias("vector"), dealt("query_id", blocks).alias("block")).withColumn("part", every(parts))
+    held = held.withColumn("part", dealt("chunk_id", parts)).withColumn("block", every(blocks))
+
+    def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": q["query_id"][:0], "chunk_id": c["chunk_id"][:0], "similarity": np.zeros(0)})
+        if not len(q) or not len(c):
+            return none
+        c = c.sort_values("chunk_id", kind="stable")
+        x, y = (np.stack([np.asarray(e, np.float64) for e in rows["vector"]]) for rows in (q, c))
+        for m in (x, y):
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            m /= np.where(norm > 0, norm, 1)
+        names, chunk, out = q["query_id"].to_numpy(), c["chunk_id"].to_numpy(), []
+        for at in range(0, len(names), AT_ONCE):
+            s = x[at : at + AT_ONCE] @ y.T
+            best = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]
+            got = np.take_along_axis(s, best, 1)
+            r, i = np.nonzero(got >= threshold)
+            out.append(pd.DataFrame({"query_id": names[at + r], "chunk_id": chunk[best[r, i]], "similarity": got[r, i]}))
+        return pd.concat(out)
+
+    found = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInPandas(score, kinds)
     order = Window.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
