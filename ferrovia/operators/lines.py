@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 
 def candidate_lines(trains: DataFrame, lines: DataFrame) -> DataFrame:
-    """For each pair of consecutive stations of trains (train_code, stations), the lines that hold both."""
-    pairs = trains.select("train_code", "stations", F.posexplode("stations").alias("at", "a")).withColumn("b", F.get("stations", F.col("at") + 1)).where(F.col("b").isNotNull())
-    places = lines.select("line_name", "line_ord", F.array_distinct("stations").alias("names"), F.col("stations").alias("line"), F.size("stations").alias("line_length"))
-    a = places.select("line_name", "line_ord", "line", "line_length", "names", F.explode("names").alias("a"))
-    both = a.withColumn("b", F.explode("names")).where(F.col("a") != F.col("b")).drop("names")
-    hit = pairs.join(both, ["a", "b"])
-    coverage = F.size(F.array_intersect("stations", "line")) / F.col("line_length")
-    distance = F.abs(F.array_position("line", F.col("a")) - F.array_position("line", F.col("b")))
-    return hit.select("train_code", "at", "a", "b", "line_name", "line_ord", "line_length", coverage.alias("coverage"), distance.alias("distance"))
+    """For each pair of consecutive stations of trains (train_code, stations), the lines that hold both, with line_length, the share of
+    the line's stations that the train has (coverage) and their distance on the line, by the first place of each."""
+    stops = trains.select("train_code", F.posexplode("stations").alias("at", "a"), F.col("stations"))
+    pairs = stops.select("train_code", "at", "a", F.get("stations", F.col("at") + 1).alias("b")).where("b IS NOT NULL AND a <> b")
+    places = lines.select("line_name", "line_ord", F.size("stations").alias("line_length"), F.posexplode("stations").alias("place", "station"))
+    places = places.groupBy("line_name", "line_ord", "line_length", "station").agg(F.min("place").alias("place"))
+    own = trains.select("train_code", F.explode(F.array_distinct("stations")).alias("station"))
+    held = own.join(places, "station").groupBy("train_code", "line_name", "line_ord").agg(F.count(F.lit(1)).alias("held"))
+    a = places.select("line_name", "line_ord", "line_length", F.col("station").alias("a"), F.col("place").alias("pos_a"))
+    b = places.select("line_name", "line_ord", F.col("station").alias("b"), F.col("place").alias("pos_b"))
+    # different pairs first: a line's stations never meet each other, and a pair that many trains ride is looked up once
+    hit = pairs.select("a", "b").distinct().join(a, "a").join(b, ["line_name", "line_ord", "b"])
+    both = pairs.join(hit, ["a", "b"]).join(held, ["train_code", "line_name", "line_ord"])
+    return both.select(
+        "train_code", "at", "a", "b", "line_name", "line_ord", "line_length", (F.col("held") / F.col("line_length")).alias("coverage"), F.abs(F.col("pos_a") - F.col("pos_b")).alias("distance")
+    )
 
 
 def match_lines(trains: DataFrame, lines: DataFrame) -> DataFrame:
@@ -40,7 +47,8 @@ def match_lines(trains: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def line_match_stats(both: DataFrame) -> DataFrame:
-    """both (train_code, expected, found) to a count per status: exact, partial or none."""
+    """both (train_code, expected, found) to a count and share in percent (one place) per status: exact, partial or none. Every train has a
+    status, so the shares are of all."""
     common = F.size(F.array_intersect("expected", "found"))
     exact = (common == F.size(F.array_distinct("expected"))) & (F.size("expected") == F.size("found")) & (common == F.size(F.array_distinct("found")))
-    return both.groupBy(F.when(exact, "exact").when(common > 0, "partial").otherwise("none").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return both.groupBy(F.when(exact, "exact").when(common > 0, "partial").otherwise("none").alias("status")).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.round(F.col("n") * 100 / F.sum("n").over(Window.partitionBy()), 1))

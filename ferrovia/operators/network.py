@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,16 +83,18 @@ def point_count_histogram(points: DataFrame, width: int = 100) -> DataFrame:
     return counted.groupBy(F.concat_ws("-", low, low + width - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("routes"))
 
 
-def stations_on_route(stations: DataFrame, points: DataFrame, max_km: float = 5.0, margin: float = 0.03, most_points: int = 2000) -> DataFrame:
+def stations_on_route(stations: DataFrame, points: DataFrame, max_km: float = 5.0, margin: float = 0.03, most_points: int | None = None) -> DataFrame:
     """(route, name, idx, km): stations in a route's bounds (with a margin) whose nearest vertex, by squared
-    degrees, is nearer than max_km. Long routes count every (n // most_points)-th vertex.
+    degrees, is nearer than max_km. Every vertex counts; with most_points, of a longer route every (n // most_points)-th.
 
     A station that qualifies lies within a margin of the bounds, and its nearest vertex within max_km; in
     longitude that is max_km / (111 cos lat) degrees, so cells are as wide as that at `north`. Only near
     cells meet: a vertex farther than a cell can't be the nearest one of a station that is kept.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy("route"))
-    thin = points.withColumn("n", n).where((F.col("n") <= most_points) | (F.col("idx") % F.greatest(F.floor(F.col("n") / most_points), F.lit(1)) == 0)).drop("n")
+    thin = points
+    if most_points:
+        n = F.count(F.lit(1)).over(Window.partitionBy("route"))
+        thin = points.withColumn("n", n).where((F.col("n") <= most_points) | (F.col("idx") % F.greatest(F.floor(F.col("n") / most_points), F.lit(1)) == 0)).drop("n")
     cell = max_km / (KM_PER_DEGREE * 0.5)  # to 60 degrees
     near = thin.withColumn("cx", cell_of(F.col("lng"), cell)).withColumn("cy", cell_of(F.col("lat"), cell)).withColumnsRenamed({"lng": "plng", "lat": "plat"})
     met = around(stations.select("name", "lng", "lat"), cell).join(near, ["cx", "cy"])
@@ -118,12 +122,19 @@ def station_match_stats(matches: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def build_adjacency(pairs: DataFrame) -> DataFrame:
-    """pairs (route, station_a, station_b) to the sorted distinct routes of each ordered pair."""
-    return pairs.dropDuplicates(["station_a", "station_b", "route"]).groupBy("station_a", "station_b").agg(F.array_sort(F.collect_list("route")).alias("routes"))
+    """pairs (route, station_a, station_b) of consecutive stations to (station_a, station_b, entries): the different routes of each ordered
+    pair by name, with direction 1, as routes run forward only."""
+    entries = F.transform(F.array_sort(F.collect_set("route")), lambda r: F.struct(r.alias("route_name"), F.lit(1).alias("direction")))
+    return pairs.groupBy("station_a", "station_b").agg(entries.alias("entries"))
 
 
-def adjacency_stats(adjacency: DataFrame) -> DataFrame:
-    return adjacency.agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.size("routes")).cast("long").alias("edges"), F.count_if(F.size("routes") > 1).alias("shared"))
+def adjacency_stats(pairs: DataFrame) -> DataFrame:
+    """Of pairs (route, station_a, station_b): different pairs, edges (pair and route), pairs of several routes, and the stations of
+    the longest route."""
+    per_pair = pairs.groupBy("station_a", "station_b").agg(F.count_distinct("route").alias("n"))
+    counts = per_pair.agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("edges"), F.count_if(F.col("n") > 1).alias("shared"))
+    longest = pairs.groupBy("route").agg((F.count(F.lit(1)) + 1).alias("n")).agg(F.max("n").alias("longest"))
+    return counts.join(F.broadcast(longest))
 
 
 def consecutive_stations(matches: DataFrame, points: DataFrame) -> DataFrame:
@@ -175,7 +186,7 @@ def build_station_index(segments: DataFrame) -> DataFrame:
 def build_pair_index(segments: DataFrame) -> DataFrame:
     """Sorted routes of each pair of stations, both ways."""
     back = segments.select(F.col("station_b").alias("station_a"), F.col("station_a").alias("station_b"), "route")
-    return build_adjacency(segments.select("station_a", "station_b", "route").union(back))
+    return segments.select("station_a", "station_b", "route").union(back).groupBy("station_a", "station_b").agg(F.array_sort(F.collect_set("route")).alias("routes"))
 
 
 def most_shared_pairs(index: DataFrame, n: int = 10) -> DataFrame:
@@ -198,22 +209,41 @@ def graph_counts(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count(F.lit(1)).alias("edges"), F.sum("meters").alias("meters")).join(F.broadcast(nodes))
 
 
+#: Cells with nodes, up to which they are broadcast (16 bytes each); half degrees make 259,200 of the whole globe.
+MOST_CELLS = 300_000
+
+
 def nearest_node(stations: DataFrame, nodes: DataFrame, cell: float = 0.5) -> DataFrame:
-    """(name, lng, lat, degrees): the nearest of nodes (lng, lat) to each station, by Euclid in degrees, ties by
-    coordinates. Nodes of the nine cells around answer where the hit is nearer than a cell; what is left
-    looks again with cells of ten times the width, the last of 500 degrees."""
-    todo, out = stations.select("name", F.col("lng").alias("slng"), F.col("lat").alias("slat")).distinct(), None
+    """(name, lng, lat, degrees): the nearest of nodes (lng, lat) to each station, by Euclid in degrees, ties by coordinates.
+
+    A station's nearest node is in a cell that begins no farther than the nearest cell ends, so each station asks
+    those cells alone, which are picked from the table of all cells that hold nodes. Cells double until that table is small enough.
+    """
     nodes = nodes.select("lng", "lat").distinct()
+    placed = lambda size: nodes.withColumns({"cx": cell_of(F.col("lng"), size), "cy": cell_of(F.col("lat"), size)})
+    cells = placed(cell).select("cx", "cy").distinct().limit(MOST_CELLS + 1).toPandas()
+    while len(cells) > MOST_CELLS:
+        cell *= 2
+        cells = placed(cell).select("cx", "cy").distinct().limit(MOST_CELLS + 1).toPandas()
+    shared, size = nodes.sparkSession.sparkContext.broadcast(cells.to_numpy(np.int64).reshape(-1, 2)), cell
+
+    @F.pandas_udf("array<struct<cx:bigint,cy:bigint>>")
+    def asked(lng: pd.Series, lat: pd.Series) -> pd.Series:
+        held = shared.value
+        west, south = held[:, 0] * size, held[:, 1] * size
+        out = []
+        for x, y in zip(lng.to_numpy(float), lat.to_numpy(float), strict=True):
+            dx, dy = np.maximum(0, np.maximum(west - x, x - west - size)), np.maximum(0, np.maximum(south - y, y - south - size))
+            far = np.hypot(np.maximum(np.abs(west - x), np.abs(west + size - x)), np.maximum(np.abs(south - y), np.abs(south + size - y)))
+            near = held[np.hypot(dx, dy) <= far.min(initial=np.inf) + 1e-9]
+            out.append([{"cx": a, "cy": b} for a, b in near.tolist()])
+        return pd.Series(out)
+
+    todo = stations.where("lng IS NOT NULL AND lat IS NOT NULL").select("name", F.col("lng").alias("slng"), F.col("lat").alias("slat")).distinct()
+    asking = todo.select("name", "slng", "slat", F.explode(asked("slng", "slat")).alias("c")).select("name", "slng", "slat", "c.*")
     d = F.sqrt(F.pow(F.col("lng") - F.col("slng"), 2) + F.pow(F.col("lat") - F.col("slat"), 2))
-    while cell < 1000:
-        near = nodes.withColumn("cx", cell_of(F.col("lng"), cell)).withColumn("cy", cell_of(F.col("lat"), cell))
-        met = around(todo.withColumnsRenamed({"slng": "lng", "slat": "lat"}), cell).withColumnsRenamed({"lng": "slng", "lat": "slat"}).join(near, ["cx", "cy"])
-        best = met.groupBy("name", "slng", "slat").agg(F.min(F.struct(d.alias("degrees"), "lng", "lat")).alias("b")).where(F.col("b.degrees") <= cell)
-        found = best.select("name", "b.lng", "b.lat", "b.degrees")
-        out = found if out is None else out.union(found)
-        todo = todo.join(best.select("name"), "name", "left_anti")
-        cell *= 10
-    return out
+    best = asking.join(placed(size), ["cx", "cy"]).groupBy("name", "slng", "slat").agg(F.min(F.struct(d.alias("degrees"), "lng", "lat")).alias("b"))
+    return best.select("name", "b.lng", "b.lat", "b.degrees")
 
 
 def station_coords(features: DataFrame) -> DataFrame:
@@ -222,6 +252,19 @@ def station_coords(features: DataFrame) -> DataFrame:
     return named.groupBy("name").agg(F.min_by("point", "fid").alias("p")).select("name", "p.lng", "p.lat")
 
 
+def station_coord_counters(features: DataFrame) -> DataFrame:
+    """features (fid, name, point) counted: valid (a named point in bounds that is the first of its name), failed (without a name or point, or
+    out of bounds) and duplicate (a later one of a name)."""
+    name = F.coalesce(normalize_station_name(F.col("name")), F.lit(""))
+    good = (name != "") & F.coalesce(in_bounds(F.col("point.lng"), F.col("point.lat")), F.lit(False))
+    per_name = features.groupBy(F.when(good, name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("name").isNotNull()
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+    return per_name.agg(
+        F.count_if(known).alias("valid"), zero(F.sum(F.when(~known, F.col("n")))).alias("failed"), zero(F.sum(F.when(known, F.col("n") - 1))).alias("duplicate")
+    )
+
+
 def route_geometries(routes: DataFrame) -> DataFrame:
     """routes (fid, name, points) of two points and more: the last by fid of each name."""
     return routes.where(F.size("points") >= 2).groupBy("name").agg(F.max_by("points", "fid").alias("points"))

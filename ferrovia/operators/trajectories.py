@@ -15,7 +15,6 @@ from ..functions.geo import distance_km, trajectory_km
 from ..functions.wkb import LINE
 
 POINTS = "array<struct<lng:double,lat:double>>"
-MOST_POINTS = 15_000
 THRESHOLDS_KM = (10.0, 30.0, 50.0, 100.0)
 
 
@@ -106,8 +105,9 @@ def merged_along(lines: list[np.ndarray], threshold_km: float = 30.0) -> np.ndar
     return attached([lines[i] for i in np.argsort(mid[:, int(lat >= lng)], kind="stable")], threshold_km)
 
 
-def capped(xy: np.ndarray) -> np.ndarray:
-    return xy[:: len(xy) // MOST_POINTS][:MOST_POINTS] if len(xy) > MOST_POINTS else xy
+def capped(xy: np.ndarray, most_points: int | None) -> np.ndarray:
+    """xy, or of more than most_points vertices every (n // most_points)-th and of those the first most_points."""
+    return xy[:: len(xy) // most_points][:most_points] if most_points and len(xy) > most_points else xy
 
 
 def without_neighbours(lines: list[np.ndarray], near_km: float = 0.2, least: int = 10) -> list[np.ndarray]:
@@ -139,18 +139,18 @@ def chained(lines: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def parallel(sub: np.ndarray, main: np.ndarray, near_km: float = 1.5, share: float = 0.3) -> bool:
-    """Whether a line of at least `share` of main has start, middle and end nearer than near_km to vertices of main,
-    of which every 50th counts where there are over 500."""
+def parallel(sub: np.ndarray, main: np.ndarray, near_km: float = 1.5, share: float = 0.3, every: int = 1) -> bool:
+    """Whether a line of at least `share` of main has start, middle and end nearer than near_km to vertices of main; with `every`
+    above 1 only each so-manieth of them counts where there are over 500."""
     if len(sub) < 2 or not len(main) or length_km(sub) < share * length_km(main):
         return False
-    seen = main[::50] if len(main) > 500 else main
+    seen = main[::every] if len(main) > 500 else main
     return all(km_between(seen, sub[i]).min() < near_km for i in (0, len(sub) // 2, -1))
 
 
-def denoised(lines: list[np.ndarray]) -> np.ndarray:
+def denoised(lines: list[np.ndarray], most_points: int | None = None) -> np.ndarray:
     """Lines of 5 km and more (else the five longest) merged with growing thresholds until the result has
-    70 % of their length; the longest result is simplified and capped."""
+    70 % of their length; the longest result is simplified, and capped if most_points says so."""
     lines = [x for x in lines if len(x) >= 2]
     if not lines:
         return np.zeros((0, 2))
@@ -163,7 +163,7 @@ def denoised(lines: list[np.ndarray]) -> np.ndarray:
             best = found
         if length_km(best) >= 0.7 * total:
             break
-    return capped(simplified(best))
+    return capped(simplified(best), most_points)
 
 
 def downsampled(xy: np.ndarray, per_100_km: int = 25) -> np.ndarray:
@@ -186,9 +186,22 @@ def _each(f, values: list) -> pa.ListArray:
     return lines_out([None if x is None else f(x) for x in values])
 
 
+def denoise_route(sublines: Column | str, most_points: int | None = None) -> Column:
+    """denoised() of arrays of lines; the tables of national maps were made with most_points of 15,000."""
+
+    @F.arrow_udf(LINE)
+    def denoise(lists: pa.Array) -> pa.Array:
+        return _each(lambda lines: denoised([x for x in lines if x is not None], most_points), line_lists_in(lists))
+
+    return denoise(sublines)
+
+
 @F.arrow_udf(LINE)
-def denoise_route(sublines: pa.Array) -> pa.Array:
-    return _each(lambda lines: denoised([x for x in lines if x is not None]), line_lists_in(sublines))
+def merge_sublines(sublines: pa.Array, threshold_km: pa.Array) -> pa.Array:
+    """merged() of arrays of lines, within a distance of its own for each."""
+    both = zip(line_lists_in(sublines), threshold_km.to_pylist(), strict=True)
+    kept = [(None if x is None else [line for line in x if line is not None and len(line)], km) for x, km in both]
+    return lines_out([None if x is None or km is None else merged(x, km) if x else np.zeros((0, 2)) for x, km in kept])
 
 
 @F.arrow_udf(LINE)
@@ -196,9 +209,14 @@ def merge_sublines_spatial(sublines: pa.Array) -> pa.Array:
     return _each(lambda lines: merged_along([x for x in lines if x is not None]), line_lists_in(sublines))
 
 
-@F.arrow_udf(T.BooleanType())
-def is_parallel(sub: pa.Array, main: pa.Array) -> pa.Array:
-    return pa.array([a is not None and b is not None and parallel(a, b) for a, b in zip(lines_in(sub), lines_in(main), strict=True)], pa.bool_())
+def is_parallel(sub: Column | str, main: Column | str, every: int = 1) -> Column:
+    """parallel() of pairs of lines; false where one is null."""
+
+    @F.arrow_udf(T.BooleanType())
+    def found(subs: pa.Array, mains: pa.Array) -> pa.Array:
+        return pa.array([a is not None and b is not None and parallel(a, b, every=every) for a, b in zip(lines_in(subs), lines_in(mains), strict=True)], pa.bool_())
+
+    return found(sub, main)
 
 
 @F.arrow_udf(LINE)
@@ -253,16 +271,19 @@ def filter_sublines_by_bbox(routes: DataFrame, boxes: DataFrame, margin: float =
     return joined.select("route", out.alias("kept"), (F.size("sublines") - F.size(out)).alias("removed")).withColumnRenamed("kept", "sublines")
 
 
-def rebuild_from_lines(lines: DataFrame, most_lines: int = 10_000) -> DataFrame:
+def rebuild_from_lines(lines: DataFrame, most_lines: int | None = None, most_points: int | None = None) -> DataFrame:
     """(route, points) put together from the ways of a route's name, lines (route, ord, points): turned repeats and second
-    tracks go, the others are chained, simplified and capped. The first most_lines of a route by ord count, as its
-    ways are one task's; routes that come to fewer than two points are left out."""
-    first = F.row_number().over(Window.partitionBy("route").orderBy("ord"))
-    few = lines.where(F.size("points") >= 2).withColumn("first", first).where(F.col("first") <= most_lines).select("route", "ord", "points")
+    tracks go, the others are chained and simplified. All ways count, or the first most_lines of a route by ord, and all
+    vertices, or at most most_points; routes that come to fewer than two points are left out. A route's ways are one task's, as
+    each is put on the end that the ones before it make."""
+    few = lines.where(F.size("points") >= 2).select("route", "ord", "points")
+    if most_lines:
+        first = F.row_number().over(Window.partitionBy("route").orderBy("ord"))
+        few = few.withColumn("first", first).where(F.col("first") <= most_lines).drop("first")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [_xy(p) for p in pdf.sort_values("ord")["points"]]
-        xy = capped(simplified(chained(without_neighbours(parts))))
+        xy = capped(simplified(chained(without_neighbours(parts))), most_points)
         return pd.DataFrame({"route": pdf["route"].iloc[:1], "points": [_structs(xy)]})
 
     once = dedup_reversed_sublines(few)
@@ -270,7 +291,7 @@ def rebuild_from_lines(lines: DataFrame, most_lines: int = 10_000) -> DataFrame:
     return once.groupBy("route").applyInPandas(build, f"route {name}, points {POINTS}").where(F.size("points") >= 2)
 
 
-def complete_route(routes: DataFrame, boxes: DataFrame, lines: DataFrame) -> DataFrame:
+def complete_route(routes: DataFrame, boxes: DataFrame, lines: DataFrame, most_lines: int | None = None, most_points: int | None = None) -> DataFrame:
     """routes (route, points) with rebuilt: a trajectory that spans less than half of its route's box (route, minx, maxx, miny,
     maxy) on an axis gives way to the one rebuilt from lines if that is more than 1.2 times as long.
     Only such routes are rebuilt. Routes of fewer than two points go."""
@@ -280,7 +301,7 @@ def complete_route(routes: DataFrame, boxes: DataFrame, lines: DataFrame) -> Dat
     seen = routes.select("route", "points").join(boxes, "route", "left")
     short = (ratio(span("lng"), F.col("maxx") - F.col("minx")) < 0.5) | (ratio(span("lat"), F.col("maxy") - F.col("miny")) < 0.5)
     poor = seen.where((F.size("points") > 0) & short).select("route")
-    anew = rebuild_from_lines(lines.join(poor, "route", "left_semi")).withColumnRenamed("points", "anew")
+    anew = rebuild_from_lines(lines.join(poor, "route", "left_semi"), most_lines, most_points).withColumnRenamed("points", "anew")
     both = routes.select("route", "points").join(anew, "route", "left")
     better = F.coalesce(trajectory_km(F.col("anew")) > trajectory_km(F.col("points")) * 1.2, F.lit(False))
     out = both.select("route", F.when(better, F.col("anew")).otherwise(F.col("points")).alias("points"), better.alias("rebuilt"))
