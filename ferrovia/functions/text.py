@@ -53,32 +53,45 @@ def is_route_feature(name: Column, tags: Column) -> Column:
     return tags.contains('"route"=>"railway"') & (F.coalesce(name, F.lit("")) != "")
 
 
-#: The cleaning rules, (pattern, replacement) in order. (?m) with (?d): a line ends at \n alone.
-HEADINGS_KEPT = ((r"(?mdU)^##\s*(.+)$", "\n=== $1 ===\n"), (r"(?mdU)^###\s*(.+)$", "\n--- $1 ---\n"), (r"(?mdU)^####\s*(.+)$", "\n*** $1 ***\n"))
-HEADINGS_DROPPED = ((r"(?mdU)^#{1,6}\s*", ""),)
+def is_rail_line(name: Column, kind: Column, wanted: str = "rail") -> Column:
+    """Named features of one kind: railway=rail, or fclass=rail, or fclass=railway_station of stations."""
+    return F.coalesce(kind == wanted, F.lit(False)) & (F.coalesce(name, F.lit("")) != "")
+
+
+#: The cleaning rules in order, (what a text must hold for the rule to do anything, pattern, replacement). (?m) with
+#: (?d): a line ends at \n alone.
+HEADINGS_KEPT = (("##", r"(?mdU)^##\s*(.+)$", "\n=== $1 ===\n"), ("###", r"(?mdU)^###\s*(.+)$", "\n--- $1 ---\n"), ("####", r"(?mdU)^####\s*(.+)$", "\n*** $1 ***\n"))
+HEADINGS_DROPPED = (("#", r"(?mdU)^#{1,6}\s*", ""),)
 RULES = (
-    (r"\[([^\]]+)\]\(https?://[^\)]+\)", "$1"),
-    (r"\[!\[[^\]]*\]\([^\)]+\)\]\([^\)]+\)", ""),
-    (r"\[!\[[^\]]*\]\([^\)]+\)", ""),
-    (r"!\[[^\]]*\]\([^\)]+\)", ""),
-    (r"\[\[\d+\]\]\(https?://[^\)]+\)", ""),
-    (r"\[\[\d+\]\]", ""),
-    (r"<[^>]+>", ""),
-    (r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", ""),
-    (r" {2,}", " "),
-    (r"\t", "    "),
-    (r"\n{3,}", "\n\n"),
-    (r"(?mdU)^-\s*\[\d+\.?\d*\s*[^\]]*\]\(https?://[^\)]+\)\s*$", ""),
-    (r"(?mdU)^-\s*\[\d+\.?\d*\s*[^\]]*\]\s*$", ""),
+    ("](http", r"\[([^\]]+)\]\(https?://[^\)]+\)", "$1"),
+    ("[![", r"\[!\[[^\]]*\]\([^\)]+\)\]\([^\)]+\)", ""),
+    ("[![", r"\[!\[[^\]]*\]\([^\)]+\)", ""),
+    ("![", r"!\[[^\]]*\]\([^\)]+\)", ""),
+    ("]](http", r"\[\[\d+\]\]\(https?://[^\)]+\)", ""),
+    ("[[", r"\[\[\d+\]\]", ""),
+    ("<", r"<[^>]+>", ""),
+    ("\u200b", r"\x{200B}", ""),
+    ("\u200c", r"\x{200C}", ""),
+    ("\u200d", r"\x{200D}", ""),
+    ("\ufeff", r"\x{FEFF}", ""),
+    ("  ", r" {2,}", " "),
+    ("\t", r"\t", "    "),
+    ("\n\n\n", r"\n{3,}", "\n\n"),
+    ("](http", r"(?mdU)^-\s*\[\d+\.?\d*\s*[^\]]*\]\(https?://[^\)]+\)\s*$", ""),
+    ("]", r"(?mdU)^-\s*\[\d+\.?\d*\s*[^\]]*\]\s*$", ""),
 )
+SYMBOLS_ONLY, URL_ONLY = r"(?U)^[\s\-|*=#]*\z", r"(?U)^\s*https?://\S+\s*\z"
 
 
 def clean_text(text: Column, keep_structure: bool = True) -> Column:
     """Markdown, links, citations, tags and white space cleaned rule by rule; blank, symbol-only and
-    URL-only lines go. Null stays null."""
-    out = text
-    for pattern, to in (HEADINGS_KEPT if keep_structure else HEADINGS_DROPPED) + RULES:
-        out = F.regexp_replace(out, pattern, to)
-    lines = F.filter(F.split(out, "\n"), lambda x: ~stripped(x).rlike(r"(?U)^[\s\-|*=#]*$"))
-    lines = F.filter(lines, lambda x: ~stripped(x).rlike(r"^https?://\S+$"))
-    return stripped(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+    URL-only lines go. Null stays null. A rule runs where a text holds what the rule asks for."""
+
+    def rule(needed: str, pattern: str, to: str):
+        return lambda x: F.when(x.contains(needed), F.regexp_replace(x, pattern, to)).otherwise(x)
+
+    out = F.array(text)
+    for needed, pattern, to in (HEADINGS_KEPT if keep_structure else HEADINGS_DROPPED) + RULES:
+        out = F.transform(out, rule(needed, pattern, to))
+    kept = F.filter(F.split(F.element_at(out, 1), "\n"), lambda x: ~(x.rlike(SYMBOLS_ONLY) | (x.contains("://") & x.rlike(URL_ONLY))))
+    return stripped(F.array_join(kept, "\n"))
