@@ -9,8 +9,16 @@ from pyspark.sql import DataFrame
 
 def stored(df: DataFrame) -> DataFrame:
     """df computed once, its lineage cut, in the folder that spark.checkpoint.dir names (a temporary one
-    is set where it is unset, on one machine)."""
+    is set where it is unset on a local master)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it has fewer: a file of one row group is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

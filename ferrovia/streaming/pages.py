@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,23 +39,47 @@ class _Stops(HTMLParser):
             self.rows[-1][-1] += data
 
 
+#: Elements without an end tag.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
 class _Items(HTMLParser):
-    def __init__(self):
+    """Texts of the li that are children of a ul whose class has `ul_class` in it, inside a div whose class has `div_class`; of all li
+    where both are empty. An item's text has that of what is nested in it; an li ends the one before it in its list."""
+
+    def __init__(self, div_class: str, ul_class: str):
         super().__init__()
-        self.items, self.open = [], False
+        self.every, self.div_class, self.ul_class = not (div_class or ul_class), div_class, ul_class
+        self.items, self.open = [], []  # for each open element: its tag, whether it is in a fitting div, whether a fitting ul, its item
 
     def handle_starttag(self, tag, attrs):
+        if tag in VOID:
+            return
         if tag == "li":
+            lists = [i for i, x in enumerate(self.open) if x[0] in ("ul", "ol")]
+            before = [i for i, x in enumerate(self.open) if x[0] == "li" and i > (lists[-1] if lists else -1)]
+            if before:
+                del self.open[before[0] :]
+        _, inside, fits, _ = self.open[-1] if self.open else ("", not self.div_class, False, None)
+        item = None
+        if tag == "li" and (self.every or fits and inside):
+            item = len(self.items)
             self.items.append("")
-            self.open = True
+        own = dict(attrs).get("class") or ""
+        if tag == "div" and self.div_class and self.div_class in own:
+            inside = True
+        self.open.append((tag, inside, tag == "ul" and self.ul_class in own, item))
 
     def handle_endtag(self, tag):
-        if tag == "li":
-            self.open = False
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                return
 
     def handle_data(self, data):
-        if self.open:
-            self.items[-1] += data
+        for _, _, _, item in self.open:
+            if item is not None:
+                self.items[item] += data
 
 
 #: The attributes by which a table of a city's stations is known.
@@ -172,8 +196,8 @@ def stops_of(html: str | None) -> list[dict] | None:
     return [{"seq": k, "name": v} for k, v in sorted(stops.items())] or None
 
 
-def items_of(html: str | None) -> list[str]:
-    parser = _Items()
+def items_of(html: str | None, div_class: str = "", ul_class: str = "") -> list[str]:
+    parser = _Items(div_class, ul_class)
     parser.feed(html or "")
     return [x.strip() for x in parser.items]
 
@@ -186,9 +210,24 @@ def extract_stop_table(html: pd.Series) -> pd.Series:
     return html.map(stops_of, na_action=None)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def extract_list_items(html: pd.Series) -> pd.Series:
-    return html.map(items_of, na_action=None)
+#: The classes of the list of trains of a page, and of the div that it is in.
+TRAIN_DIV, TRAIN_LIST = "train_index_cz", "clearfix"
+
+
+def extract_list_items(html: Column | str, div_class: str = TRAIN_DIV, ul_class: str = TRAIN_LIST) -> Column:
+    """The trimmed texts, in order, of the items of lists whose class has ul_class in it, in a div whose class has div_class; of
+    all items where both are empty. Null and other pages give none."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def items(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda x: items_of(x, div_class, ul_class), na_action=None)
+
+    return items(html)
+
+
+def numbered_items(items: Column) -> Column:
+    """Items as numbered lines, which sources.files.read_train_number_files reads."""
+    return F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
 
 
 CITY = T.StructType([T.StructField("city", T.StringType()), T.StructField("stations", T.ArrayType(T.StringType()))])
