@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import chat, journeys, lines, network, profile, retrieval, segments as track, timetable, trajectories
-from ..sources.stored import stored
+from ..sources.stored import spread, stored
 from ..streaming import pages
-from .views import duck, view
+from .views import also, duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,30 +35,45 @@ def trains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timetable.build_trains(coded_stops(spark, sf_dir))
 
 
+def train_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stops of the trains, one number for each code."""
+    rows = trains(spark, sf_dir).select("train_code", F.posexplode("station_details").alias("at", "s"))
+    return rows.select("train_code", (F.col("at") + 1).cast("long").alias("ord"), F.col("s.name").alias("station"), "s.depart")
+
+
 CODED = duck("v_stops", "v_train_codes") + """,
 codes AS (SELECT train_no, arg_max(train_code, ord) AS train_code FROM v_train_codes GROUP BY train_no),
-stops AS (SELECT s.ord, s.station, s.depart, coalesce(c.train_code, CAST(s.train_no AS VARCHAR)) AS train_code FROM v_stops s LEFT JOIN codes c ON s.train_no = c.train_no),
-trains AS (SELECT train_code, arg_min(station, ord) AS from_station, arg_max(station, ord) AS to_station, CAST(count(*) AS BIGINT) AS n_stops FROM stops GROUP BY train_code)
+coded AS (SELECT s.*, coalesce(c.train_code, CAST(s.train_no AS VARCHAR)) AS train_code FROM v_stops s LEFT JOIN codes c ON s.train_no = c.train_no),
+stops AS (SELECT * FROM coded WHERE (train_code, train_ord) IN (SELECT (train_code, max(train_ord)) FROM coded GROUP BY train_code)),
+trains AS (SELECT train_code, max(train_ord) AS ord, arg_min(start_station, ord) AS from_station, arg_min(end_station, ord) AS to_station, arg_min(train_class, ord) AS train_class,
+  string_agg(station, '|' ORDER BY ord) AS stations, string_agg(concat(CAST(station_no AS VARCHAR), ' ', station, ' ', arrive, ' ', depart), '|' ORDER BY ord) AS details, CAST(count(*) AS BIGINT) AS n_stops
+  FROM stops GROUP BY train_code)
 """
 PREFIX = "CASE WHEN regexp_matches(train_code, '^[A-Za-z]') THEN substr(train_code, 1, 1) ELSE 'P' END"
 RANK = "CASE substr(train_code, 1, 1) WHEN 'G' THEN 0 WHEN 'D' THEN 1 WHEN 'C' THEN 2 WHEN 'Z' THEN 3 WHEN 'T' THEN 4 WHEN 'K' THEN 5 ELSE 9 END"
 
 
-@query(CODED + "SELECT train_code, from_station, to_station, n_stops FROM trains")
+@query(CODED + "SELECT train_code, ord, from_station, to_station, train_class, stations, details, n_stops FROM trains")
 def a1_build_trains(spark, sf_dir):
-    return trains(spark, sf_dir).select("train_code", "from_station", "to_station", "n_stops")
+    details = F.transform("station_details", lambda x: F.concat_ws(" ", x["no"].cast("string"), x["name"], x["arrive"], x["depart"]))
+    return trains(spark, sf_dir).select("train_code", "ord", "from_station", "to_station", "train_class", F.array_join("stations", "|").alias("stations"), F.array_join(details, "|").alias("details"), "n_stops")
 
 
-@query(CODED + "SELECT train_code, ord, station FROM stops")
+@query(CODED + "SELECT train_code, ord, station FROM coded")
 def j1_attach_train_code(spark, sf_dir):
     return coded_stops(spark, sf_dir).select("train_code", "ord", "station")
 
 
-@query(CODED + """, first AS (SELECT least(from_station, to_station) AS a, greatest(from_station, to_station) AS b, from_station, to_station, train_code FROM trains),
-g AS (SELECT a, b, CAST(count(*) AS BIGINT) AS train_count, arg_min(from_station, train_code) AS f, arg_min(to_station, train_code) AS t, count(DISTINCT from_station) AS ways FROM first GROUP BY a, b)
-SELECT concat(f, CASE WHEN ways > 1 THEN '/' ELSE '→' END, t) AS route_name, train_count FROM g""")
+@query(CODED + """, k AS (SELECT *, least(from_station, to_station) AS a, greatest(from_station, to_station) AS b, CASE WHEN regexp_matches(train_code, '^[A-Za-z]') THEN substr(train_code, 1, 1) ELSE 'Z' END AS letter FROM trains),
+g AS (SELECT a, b, CAST(count(*) AS BIGINT) AS train_count, arg_min(from_station, ord) AS f, arg_min(to_station, ord) AS t, count(DISTINCT from_station) AS ways FROM k GROUP BY a, b),
+o AS (SELECT a, b, train_code, row_number() OVER (PARTITION BY a, b ORDER BY letter, train_code) AS no FROM k),
+e AS (SELECT a, b, string_agg(train_code, '|' ORDER BY no) AS example_codes FROM o WHERE no <= 5 GROUP BY a, b),
+w AS (SELECT o.a, o.b, s.station, min(o.no * 1000000 + s.ord) AS place FROM o JOIN stops s ON o.train_code = s.train_code GROUP BY o.a, o.b, s.station),
+n AS (SELECT a, b, string_agg(station, '|' ORDER BY place) AS stations FROM w GROUP BY a, b)
+SELECT concat(f, CASE WHEN ways > 1 THEN '/' ELSE '→' END, t) AS route_name, train_count, stations, example_codes FROM g JOIN e USING (a, b) JOIN n USING (a, b)""")
 def a2_group_routes(spark, sf_dir):
-    return timetable.group_routes(trains(spark, sf_dir).withColumn("ord", F.col("train_code"))).select("route_name", "train_count")
+    found = timetable.group_routes(trains(spark, sf_dir))
+    return found.select("route_name", "train_count", F.array_join("stations", "|").alias("stations"), F.array_join("example_codes", "|").alias("example_codes"))
 
 
 @query(CODED + f"SELECT {PREFIX} AS prefix, CAST(count(*) AS BIGINT) AS n FROM trains GROUP BY 1")
@@ -105,24 +120,25 @@ def s2_station_vocabulary(spark, sf_dir):
 
 @query(CODED + "SELECT * FROM (SELECT train_code, ord, station AS station_a, lead(station) OVER (PARTITION BY train_code ORDER BY ord) AS station_b FROM stops) x WHERE station_b IS NOT NULL")
 def w1_adjacent_pairs(spark, sf_dir):
-    return timetable.adjacent_pairs(coded_stops(spark, sf_dir))
+    return timetable.adjacent_pairs(train_stops(spark, sf_dir))
 
 
-PAIRS = CODED + ", p AS (SELECT * FROM (SELECT train_code AS route, station AS station_a, lead(station) OVER (PARTITION BY train_code ORDER BY ord) AS station_b FROM stops) x WHERE station_b IS NOT NULL),\nadj AS (SELECT station_a, station_b, count(DISTINCT route) AS n FROM p GROUP BY station_a, station_b)\n"
+PAIRS = CODED + ", p AS (SELECT * FROM (SELECT train_code AS route, station AS station_a, lead(station) OVER (PARTITION BY train_code ORDER BY ord) AS station_b FROM stops) x WHERE station_b IS NOT NULL),\nadj AS (SELECT station_a, station_b, count(DISTINCT route) AS n, string_agg(DISTINCT concat(route, ':1'), ',' ORDER BY concat(route, ':1')) AS entries FROM p GROUP BY station_a, station_b)\n"
 
 
-def adjacency(spark, sf_dir):
-    return network.build_adjacency(timetable.adjacent_pairs(coded_stops(spark, sf_dir)).withColumnRenamed("train_code", "route"))
+def route_pairs(spark, sf_dir):
+    return timetable.adjacent_pairs(train_stops(spark, sf_dir)).withColumnRenamed("train_code", "route")
 
 
-@query(PAIRS + "SELECT station_a, station_b, CAST(n AS BIGINT) AS n FROM adj")
+@query(PAIRS + "SELECT station_a, station_b, entries FROM adj")
 def a7_build_adjacency(spark, sf_dir):
-    return adjacency(spark, sf_dir).select("station_a", "station_b", F.size("routes").cast("long").alias("n"))
+    shown = F.array_sort(F.transform("entries", lambda e: F.concat_ws(":", e["route_name"], e["direction"].cast("string"))))
+    return network.build_adjacency(route_pairs(spark, sf_dir)).select("station_a", "station_b", F.array_join(shown, ",").alias("entries"))
 
 
-@query(PAIRS + "SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(sum(n) AS BIGINT) AS edges, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS shared FROM adj")
+@query(PAIRS + ", l AS (SELECT route, count(*) + 1 AS n FROM p GROUP BY route)\nSELECT CAST(count(*) AS BIGINT) AS pairs, CAST(sum(n) AS BIGINT) AS edges, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS shared, (SELECT CAST(max(n) AS BIGINT) FROM l) AS longest FROM adj")
 def a8_adjacency_stats(spark, sf_dir):
-    return network.adjacency_stats(adjacency(spark, sf_dir))
+    return network.adjacency_stats(route_pairs(spark, sf_dir))
 
 
 @query(CODED + f"""SELECT from_station, to_station, CAST(rank AS BIGINT) AS rank, train_code FROM (
@@ -142,8 +158,8 @@ r AS (SELECT DISTINCT from_station, to_station FROM trains WHERE from_station <>
 SELECT r.from_station, r.to_station, a.train_code, a.depart, b.ord - a.ord AS hops
 FROM r JOIN l a ON a.station = r.from_station JOIN l b ON b.station = r.to_station AND b.train_code = a.train_code WHERE b.ord > a.ord""")
 def j4_trains_passing(spark, sf_dir):
-    stops = coded_stops(spark, sf_dir)
-    return journeys.trains_passing(timetable.build_trains(stops).where("from_station <> to_station").select("from_station", "to_station"), stops)
+    asked = trains(spark, sf_dir).where("from_station <> to_station").select("from_station", "to_station")
+    return journeys.trains_passing(asked, train_stops(spark, sf_dir))
 
 
 LOOKUP = CODED + ", asked AS (SELECT DISTINCT upper(trim(concat(' g', CAST(train_no AS VARCHAR)))) AS train_code FROM v_train_codes)\n"
@@ -184,9 +200,18 @@ def j6_station_coverage(spark, sf_dir):
     return journeys.station_coverage(named_stops(spark, sf_dir), view(spark, sf_dir, "v_coords"))
 
 
-@query(NAMED + ", d AS (SELECT DISTINCT station AS name FROM v_stops) SELECT d.name, c.name AS resolved FROM d LEFT JOIN v_coords c ON replace(d.name, '站', '') = c.name")
+ASKED = "SELECT DISTINCT concat(CASE WHEN ord % 3 = 0 THEN '北京' ELSE '' END, substr(station, 1, 3), CASE WHEN ord % 2 = 0 THEN ' ' ELSE '' END, substr(station, 4), CASE WHEN ord % 5 = 0 THEN '站' ELSE '' END) AS name FROM v_stops"
+
+
+@query(NAMED + f""", d AS ({ASKED}), c AS (SELECT name, CASE WHEN name LIKE '%7' THEN concat(name, '站') ELSE name END AS own FROM v_coords),
+t AS (SELECT name, replace(name, ' ', '') AS plain, rtrim(replace(name, ' ', ''), '站') AS bare FROM d)
+SELECT t.name, coalesce(c1.own, c2.own, c3.own, c4.own) AS resolved FROM t LEFT JOIN c c1 ON c1.own = plain LEFT JOIN c c2 ON c2.own = concat(plain, '站') LEFT JOIN c c3 ON c3.own = bare
+LEFT JOIN c c4 ON starts_with(bare, '北京') AND c4.own = substr(bare, 3)""")
 def p12_resolve_station(spark, sf_dir):
-    return journeys.resolve_station(view(spark, sf_dir, "v_stops").select(F.col("station").alias("name")).distinct(), view(spark, sf_dir, "v_coords"))
+    """Names with spaces, signs and a city in front; of the stations with coordinates those that end in 7 have the sign."""
+    names = spark.sql(ASKED.replace("FROM v_stops", "FROM {stops}"), stops=view(spark, sf_dir, "v_stops"))
+    own = F.when(F.col("name").endswith("7"), F.concat("name", F.lit("站"))).otherwise(F.col("name"))
+    return journeys.resolve_station(names, view(spark, sf_dir, "v_coords").withColumn("name", own))
 
 
 @query(NAMED + """, k AS (SELECT n.* FROM named n WHERE n.station IN (SELECT name FROM v_coords)), r AS (SELECT *, row_number() OVER (PARTITION BY train_code ORDER BY ord) AS i, count(*) OVER (PARTITION BY train_code) AS n FROM k)
@@ -195,9 +220,9 @@ def w6_endpoint_roles(spark, sf_dir):
     return journeys.endpoint_roles(named_stops(spark, sf_dir), view(spark, sf_dir, "v_coords"))
 
 
-@query(NAMED + "SELECT train_code, min(lng) AS west, max(lng) AS east, min(lat) AS south, max(lat) AS north, round(avg(lng), 6) AS lng, round(avg(lat), 6) AS lat FROM named n JOIN v_coords c ON n.station = c.name GROUP BY train_code")
+@query(NAMED + "SELECT train_code, min(lng) AS west, max(lng) AS east, min(lat) AS south, max(lat) AS north, round(avg(lng), 9) AS lng, round(avg(lat), 9) AS lat FROM named n JOIN v_coords c ON n.station = c.name GROUP BY train_code")
 def a23_trip_bounds(spark, sf_dir):
-    return journeys.trip_bounds(named_stops(spark, sf_dir), view(spark, sf_dir, "v_coords")).withColumns({"lng": F.round("lng", 6), "lat": F.round("lat", 6)})
+    return journeys.trip_bounds(named_stops(spark, sf_dir), view(spark, sf_dir, "v_coords")).withColumns({"lng": F.round("lng", 9), "lat": F.round("lat", 9)})
 
 
 @query(duck("v_stops") + "SELECT DISTINCT station, replace(station, '站', '') AS name FROM v_stops")
@@ -216,10 +241,15 @@ def p16_format_route_fallback(spark, sf_dir):
     return trains(spark, sf_dir).select("train_code", journeys.format_route_fallback(F.col("stations")).alias("line"))
 
 
-@query(CODED + "SELECT train_code, concat(train_code, chr(10), string_agg(concat(CAST(ord AS VARCHAR), '. ', station, ' ', depart), chr(10) ORDER BY ord)) AS info FROM stops GROUP BY train_code")
+@query(CODED + """, r AS (SELECT train_code, string_agg(concat('    ', CAST(station_no AS VARCHAR), '. ', station, ' 到:', CASE WHEN arrive = '' THEN '----' ELSE arrive END, ' 发:', depart), chr(10) ORDER BY ord) AS timed,
+string_agg(concat('    ', CAST(ord AS VARCHAR), '. ', station), chr(10) ORDER BY ord) AS bare FROM stops GROUP BY train_code),
+h AS (SELECT train_code, n_stops, concat('🚄 ', train_code, ' (', train_class, ')', chr(10), '  起讫站: ', from_station, ' → ', to_station, chr(10), '  经停 ', CAST(n_stops AS VARCHAR), ' 站:') AS head FROM trains)
+SELECT train_code, concat(head, chr(10), CASE WHEN n_stops % 2 = 0 THEN timed ELSE bare END) AS info FROM h JOIN r USING (train_code)""")
 def p15_format_train_info(spark, sf_dir):
+    """Trains of an odd number of stops are shown without their times."""
     every = trains(spark, sf_dir)
-    return every.select("train_code", journeys.format_train_info(F.col("train_code"), F.col("stations"), F.col("departs")).alias("info"))
+    details = F.when(F.col("n_stops") % 2 == 0, F.col("station_details"))
+    return every.select("train_code", journeys.format_train_info(*[F.col(c) for c in ("train_code", "train_class", "from_station", "to_station", "stations")], details).alias("info"))
 
 
 POINTS = duck("v_route_points")
@@ -357,19 +387,53 @@ def a11_duplicate_names(spark, sf_dir):
     return profile.duplicate_names(view(spark, sf_dir, "v_tagged_points"))
 
 
-@query(TAGGED + "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(CASE WHEN name <> '' THEN 1 ELSE 0 END) AS BIGINT) AS named FROM v_tagged_points")
+@query(TAGGED + "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(CASE WHEN name <> '' THEN 1 ELSE 0 END) AS BIGINT) AS named, 'fid:bigint,name:string,other_tags:string' AS columns FROM v_tagged_points")
 def a13_table_profile(spark, sf_dir):
     return profile.table_profile(view(spark, sf_dir, "v_tagged_points"))
 
 
-@query()
+#: White space as RE2 names it.
+_SPACE = r"\t\n\x{0B}\f\r \x{85}\p{Z}"
+
+
+def _re2(pattern: str) -> str:
+    out = pattern.replace("(?mdU)", "(?m)").replace("(?U)", "").replace(r"[\s", f"[{_SPACE}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]").replace(r"\d", r"\p{Nd}")
+    return "'" + out.replace("'", "''") + "'"
+
+
+def _clean_sql() -> str:
+    out = "text"
+    for _, pattern, to in text.HEADINGS_KEPT + text.RULES:
+        new = "concat(" + ", chr(10), ".join("'" + x.replace("$1", r"\1") + "'" for x in to.split("\n")) + ")"
+        out = f"regexp_replace({out}, {_re2(pattern)}, {new}, 'g')"
+    lines = f"list_filter(string_split({out}, chr(10)), lambda x: NOT regexp_matches(x, {_re2(text.SYMBOLS_ONLY)}) AND NOT regexp_matches(x, {_re2(text.URL_ONLY)}))"
+    return f"regexp_replace(array_to_string({lines}, chr(10)), '^[{_SPACE}]+|[{_SPACE}]+\\z', '', 'g')"
+
+
+CLEANED = duck("v_dirty_docs") + f""", c AS (SELECT doc_id, text AS old, {_clean_sql()} AS text FROM v_dirty_docs),
+z AS (SELECT doc_id, CAST(length(old) AS BIGINT) AS original_size, text, CAST(length(text) AS BIGINT) AS new_size FROM c)
+"""
+REDUCTION = "CASE WHEN original_size > 0 THEN (1 - new_size / original_size) * 100 ELSE 0e0 END"
+
+
+def cleaned_docs(spark, sf_dir):
+    return profile.cleaned(spread(view(spark, sf_dir, "v_dirty_docs")))
+
+
+@query(CLEANED + f"SELECT doc_id, original_size, text, new_size, round({REDUCTION}, 6) AS reduction FROM z")
 def p19_clean_text(spark, sf_dir):
-    return profile.cleaned(view(spark, sf_dir, "v_dirty_docs"))
+    return cleaned_docs(spark, sf_dir).withColumn("reduction", F.round("reduction", 6))
 
 
-@query()
+@query(CLEANED + f"""SELECT CAST(count(*) AS BIGINT) AS files, CAST(count(text) AS BIGINT) AS ok, CAST(count(*) - count(text) AS BIGINT) AS failed, 100e0 AS success, CAST(sum(original_size) AS BIGINT) AS original_size,
+CAST(sum(new_size) AS BIGINT) AS new_size, round((1 - sum(new_size) / sum(original_size)) * 100, 4) AS reduction, round(avg({REDUCTION}), 4) AS mean_reduction FROM z""")
 def a19_cleaning_report(spark, sf_dir):
-    return profile.cleaning_report(profile.cleaned(view(spark, sf_dir, "v_dirty_docs")))
+    return profile.cleaning_report(cleaned_docs(spark, sf_dir))
+
+
+@query(CLEANED + f"SELECT doc_id, true AS ok, original_size, new_size, round({REDUCTION}, 2) AS reduction FROM z")
+def a19_cleaning_details(spark, sf_dir):
+    return profile.cleaning_details(cleaned_docs(spark, sf_dir))
 
 
 MESSAGES = duck("v_messages")
@@ -388,25 +452,44 @@ def c2_clear_session(spark, sf_dir):
     return chat.clear_session(history, history.where("role = 'system'")).select("thread_id", "turn")
 
 
-@query(MESSAGES + "SELECT thread_id, substr(arg_min(content, turn), 1, 100) AS preview FROM v_messages WHERE role = 'user' GROUP BY thread_id")
+#: A checkpoint after each message; some have a time that can't be read.
+CHECKPOINTS = MESSAGES + """, c AS (SELECT thread_id, turn AS seq, CASE WHEN role = 'user' THEN 'input' ELSE 'loop' END AS source, CASE WHEN n % 17 = 3 THEN 'none'
+ELSE concat('2025-0', CAST(n % 9 + 1 AS VARCHAR), '-1', CAST(n % 7 AS VARCHAR), 'T0', CAST(n % 5 AS VARCHAR), ':3', CAST(turn % 10 AS VARCHAR), ':1', CAST(n % 6 AS VARCHAR)) END AS ts, role, content
+FROM (SELECT *, length(thread_id) * 31 + length(content) AS n FROM v_messages) x),
+f AS (SELECT thread_id, arg_min(ts, seq) AS created_at, min(seq) AS seq FROM c WHERE source = 'input' GROUP BY thread_id),
+s AS (SELECT f.thread_id, f.created_at, CASE WHEN x.content = '' THEN '新对话' ELSE substr(x.content, 1, 100) END AS preview FROM f JOIN (SELECT thread_id, arg_min(content, seq) AS content FROM c GROUP BY thread_id) x ON f.thread_id = x.thread_id)
+"""
+
+
+def checkpoints(spark, sf_dir):
+    """A thread's checkpoint after each of its messages holds all up to that."""
+    n = F.length("thread_id") * 31 + F.length("content")
+    ts = F.when(n % 17 == 3, "none").otherwise(F.concat(F.lit("2025-0"), (n % 9 + 1).cast("string"), F.lit("-1"), (n % 7).cast("string"), F.lit("T0"), (n % 5).cast("string"), F.lit(":3"), (F.col("turn") % 10).cast("string"), F.lit(":1"), (n % 6).cast("string")))
+    message = F.struct("role", "content", (F.col("role").eqNullSafe("assistant") & (F.length("content") % 3 == 0)).alias("has_tool_calls"))
+    so_far = F.collect_list(message).over(Window.partitionBy("thread_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    source = F.when(F.col("role") == "user", "input").otherwise("loop")
+    return view(spark, sf_dir, "v_messages").select("thread_id", F.col("turn").cast("long").alias("seq"), ts.alias("ts"), source.alias("source"), so_far.alias("messages"))
+
+
+@query(CHECKPOINTS + "SELECT thread_id, created_at, preview FROM s")
 def c3_first_input_per_thread(spark, sf_dir):
-    return chat.first_input_per_thread(view(spark, sf_dir, "v_messages"))
+    return chat.first_input_per_thread(checkpoints(spark, sf_dir))
 
 
-@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+@query(CHECKPOINTS + "SELECT CASE WHEN created_at = 'none' THEN '未知日期' ELSE substr(created_at, 1, 10) END AS date, CASE WHEN created_at = 'none' THEN '' ELSE substr(created_at, 12, 5) END AS time, thread_id, created_at, preview FROM s")
 def c4_sessions_by_date(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("thread_id"), F.col("ts").cast("string").alias("ts"))
-    return chat.sessions_by_date(events).select("date", "n")
+    return chat.sessions_by_date(chat.first_input_per_thread(checkpoints(spark, sf_dir)))
 
 
-@query(MESSAGES + "SELECT thread_id, CAST(row_number() OVER (PARTITION BY thread_id ORDER BY turn) AS BIGINT) AS at, role, content FROM v_messages WHERE role IN ('user', 'assistant') AND content <> ''")
+@query(MESSAGES + "SELECT thread_id, CAST(row_number() OVER (PARTITION BY thread_id ORDER BY turn) AS BIGINT) AS place, role, content FROM v_messages WHERE role IN ('user', 'assistant') AND content <> ''")
 def c5_session_messages(spark, sf_dir):
-    return chat.session_messages(view(spark, sf_dir, "v_messages"))
+    numbered = F.row_number().over(Window.partitionBy("thread_id").orderBy("at")).cast("long")
+    return chat.session_messages(checkpoints(spark, sf_dir)).select("thread_id", numbered.alias("place"), "role", "content")
 
 
-@query(MESSAGES + "SELECT thread_id FROM (SELECT thread_id, arg_max(role, turn) AS role FROM v_messages GROUP BY thread_id) x WHERE role = 'user'")
-def c6_pending(spark, sf_dir):
-    return chat.pending(view(spark, sf_dir, "v_messages"))
+@query(MESSAGES + "SELECT thread_id FROM (SELECT thread_id, arg_max(role, turn) AS role, arg_max(content, turn) AS content FROM v_messages GROUP BY thread_id) x WHERE role = 'assistant' AND length(content) % 3 = 0")
+def c6_pending_tool_calls(spark, sf_dir):
+    return chat.pending_tool_calls(checkpoints(spark, sf_dir))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
@@ -429,34 +512,55 @@ def g17_match_lines(spark, sf_dir):
     return lines.match_lines(rides.select("train_code", F.transform("s", lambda x: x["station"]).alias("stations")), table)
 
 
+AT = POINTS + ", v AS (SELECT route, idx, lng, lat, CAST(row_number() OVER (PARTITION BY route ORDER BY idx) - 1 AS BIGINT) AS at FROM v_route_points)\n"
+
+
+def by_vertex(lines):
+    """(route, points) to a row per vertex."""
+    return lines.select("route", F.posexplode("points").alias("at", "p")).select("route", F.col("at").cast("long").alias("at"), "p.lng", "p.lat")
+
+
 def route_lines(spark, sf_dir):
     """Each route as sub-lines of 50 vertices, every third turned round and one repeated."""
     points = view(spark, sf_dir, "v_route_points")
     part = points.groupBy("route", F.floor(F.col("idx") / 50).cast("int").alias("ord")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "lng", "lat"))), lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("points"))
     part = part.withColumn("points", F.when(F.col("ord") % 3 == 2, F.reverse("points")).otherwise(F.col("points")))
-    return part.union(part.where("ord = 4").select("route", F.lit(99).alias("ord"), F.reverse("points")))
+    return part.union(part.where("ord = 4").select("route", F.lit(99_999).alias("ord"), F.reverse("points")))
 
 
-@query(POINTS + "SELECT route, CAST(count(*) AS BIGINT) AS points FROM v_route_points GROUP BY route")
+@query(STEPS + """, w AS (SELECT route, idx // 50 AS ord, sum(CASE WHEN idx % 50 = 0 THEN 0 ELSE step_km END) AS km FROM s GROUP BY route, idx // 50),
+k AS (SELECT v.* FROM v_route_points v JOIN w ON v.route = w.route AND v.idx // 50 = w.ord WHERE w.km >= 5 AND (v.idx % 50 > 0 OR v.idx = 0))
+SELECT route, CAST(row_number() OVER (PARTITION BY route ORDER BY idx) - 1 AS BIGINT) AS at, lng, lat FROM k""")
 def g3_denoise_route(spark, sf_dir):
-    """Sub-lines without repeats, denoised to one trajectory: all vertices are found again but the shared ones."""
+    """Sub-lines without repeats, denoised to one trajectory: all vertices in order but those at which a line meets the one before it,
+    and but a last line of less than 5 km."""
     once = trajectories.dedup_reversed_sublines(route_lines(spark, sf_dir))
-    whole = once.groupBy("route").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "points"))), lambda x: x["points"]).alias("sublines"), F.count(F.lit(1)).alias("n"))
-    return whole.select("route", (F.size(trajectories.denoise_route("sublines")) + F.col("n") - 1).cast("long").alias("points"))
+    whole = once.groupBy("route").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "points"))), lambda x: x["points"]).alias("sublines"))
+    return by_vertex(whole.select("route", trajectories.denoise_route("sublines").alias("points")))
 
 
-@query()
+@query(NAMED + f""", l AS (SELECT train_code, ord, station AS a, lead(station) OVER (PARTITION BY train_code ORDER BY ord) AS b FROM named),
+g AS (SELECT l.train_code, l.ord, x.lng AS lng1, x.lat AS lat1, y.lng AS lng2, y.lat AS lat2 FROM l JOIN v_coords x ON l.a = x.name JOIN v_coords y ON l.b = y.name),
+e AS (SELECT *, lag(lng2) OVER (PARTITION BY train_code ORDER BY ord) AS lng0, lag(lat2) OVER (PARTITION BY train_code ORDER BY ord) AS lat0 FROM g),
+p AS (SELECT train_code, ord * 2 AS o, lng1 AS lng, lat1 AS lat FROM e WHERE lng0 IS NULL OR greatest(abs(lng1 - lng0), abs(lat1 - lat0)) >= 0.001 UNION ALL SELECT train_code, ord * 2 + 1, lng2, lat2 FROM e),
+q AS (SELECT *, lag(lng) OVER (PARTITION BY train_code ORDER BY o) AS plng, lag(lat) OVER (PARTITION BY train_code ORDER BY o) AS plat FROM p),
+m AS (SELECT train_code, count(*) AS points, sum(coalesce({KM.format(lng1="plng", lat1="plat", lng2="lng", lat2="lat")}, 0e0)) AS km FROM q GROUP BY train_code)
+SELECT m.train_code, CAST(c.legs AS BIGINT) AS legs, CAST(m.points AS BIGINT) AS points, round(m.km, 3) AS km FROM m JOIN (SELECT train_code, count(*) AS legs FROM g GROUP BY train_code) c ON m.train_code = c.train_code""")
 def g14_stitch_trip(spark, sf_dir):
     """Trips of all trains over stations with coordinates, as straight legs put together."""
     legs = journeys.train_legs_with_coords(named_stops(spark, sf_dir), view(spark, sf_dir, "v_coords"))
     trips = trajectories.stitch_trip(trajectories.straight_legs(legs))
-    return trips.select("train_code", "legs", F.size("points").alias("points"), F.round("km", 3).alias("km"))
+    return trips.select("train_code", F.col("legs").cast("long").alias("legs"), F.size("points").cast("long").alias("points"), F.round("km", 3).alias("km"))
 
 
-@query("SELECT page_id, CAST((length(html) - length(replace(html, '<li>', ''))) // 4 AS BIGINT) AS items FROM pages")
+@query("""SELECT page_id, string_agg(concat(CAST(i AS VARCHAR), '. ', trim(x)), chr(10) ORDER BY i) AS items FROM (
+SELECT page_id, unnest(regexp_extract_all(list, '<li>(?:<a [^>]*>)?([^<]*)(?:</a>)?</li>', 1)) AS x, generate_subscripts(regexp_extract_all(list, '<li>(?:<a [^>]*>)?([^<]*)(?:</a>)?</li>', 1), 1) AS i
+FROM (SELECT page_id, regexp_extract(html, '(?s)<nav><ul>(.*?)</ul></nav>', 1) AS list FROM pages) a) b GROUP BY page_id""")
 def h2_extract_list_items(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return rows.select("page_id", F.size(pages.extract_list_items("html")).cast("long").alias("items"))
+    """The items of the pages' menus, which get the classes of lists of trains; other lists don't."""
+    marked = F.replace("html", F.lit("<nav><ul>"), F.lit('<nav><div class="box train_index_cz"><ul class="clearfix">'))
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("items", pages.extract_list_items(marked)).where(F.size("items") > 0)
+    return rows.select("page_id", F.array_join(pages.numbered_items(F.col("items")), "\n").alias("items"))
 
 
 @query(TAGGED + "SELECT name, CAST(count(*) AS BIGINT) AS n FROM v_tagged_points WHERE name <> '' GROUP BY name ORDER BY n DESC, name LIMIT 30")
@@ -471,9 +575,9 @@ def j10_nearest_node(spark, sf_dir):
     return found.select("name", F.round("degrees", 6).alias("degrees"))
 
 
-@query(STEPS + ", k AS (SELECT route, CAST(count(*) AS BIGINT) AS points, round(sum(step_km), 1) AS km FROM s WHERE contains(route, 'N_2') GROUP BY route)\nSELECT k.route, k.points, k.km, min(p.lat) AS south, max(p.lat) AS north FROM k JOIN v_route_points p ON k.route = p.route GROUP BY k.route, k.points, k.km")
+@query(STEPS + ", k AS (SELECT route, CAST(count(*) AS BIGINT) AS points, round(sum(step_km), 1) AS km FROM s WHERE contains(route, '2') GROUP BY route)\nSELECT k.route, k.points, k.km, min(p.lat) AS south, max(p.lat) AS north FROM k JOIN v_route_points p ON k.route = p.route GROUP BY k.route, k.points, k.km")
 def a27_routes_by_name(spark, sf_dir):
-    return network.routes_by_name(view(spark, sf_dir, "v_route_points"), "N_2")
+    return network.routes_by_name(view(spark, sf_dir, "v_route_points"), "2")
 
 
 @query(POINTS + "SELECT route, idx FROM v_route_points WHERE idx < 10")
@@ -482,11 +586,15 @@ def w5_first_lines(spark, sf_dir):
     return network.first_lines(points).select("route", "idx")
 
 
-@query(MATCHED + ", k AS (SELECT route, name FROM m WHERE km < 5) SELECT DISTINCT x.name AS a, y.name AS b, x.route FROM k x JOIN k y ON x.route = y.route WHERE x.name < y.name")
+LEGS_NAMED = also("v_stops") + """, named AS (SELECT CAST(train_no AS VARCHAR) AS train_code, ord, replace(station, '站', '') AS station FROM v_stops),
+leg AS (SELECT train_code, ord, station AS a, b FROM (SELECT *, lead(station) OVER (PARTITION BY train_code ORDER BY ord) AS b FROM named) x WHERE b IS NOT NULL)
+"""
+
+
+@query(MATCHED + LEGS_NAMED + ", k AS (SELECT route, name FROM m WHERE km < 5)\nSELECT DISTINCT leg.a, leg.b, x.route FROM leg JOIN k x ON leg.a = x.name JOIN k y ON leg.b = y.name AND x.route = y.route")
 def s3_routes_in_common(spark, sf_dir):
-    found = matches(spark, sf_dir).select("name", "route")
-    both = found.join(found.withColumnRenamed("name", "b"), "route").where("name < b").select(F.col("name").alias("a"), "b")
-    return network.routes_in_common(both, found)
+    """Routes that pass both stations of a leg of a train."""
+    return network.routes_in_common(named_legs(spark, sf_dir).select("a", "b"), matches(spark, sf_dir).select("name", "route"))
 
 
 @query(NAMED + "SELECT n.train_code AS route, n.ord - 1 AS at, n.station AS name, c.lng, c.lat FROM named n JOIN v_coords c ON n.station = c.name")
@@ -528,16 +636,15 @@ def named_legs(spark, sf_dir):
     return legs.where("b IS NOT NULL")
 
 
-@query(MATCHED + """, k AS (SELECT route, name, row_number() OVER (PARTITION BY route ORDER BY idx, name) AS at FROM m WHERE km < 5),
-named AS (SELECT CAST(l_orderkey AS VARCHAR) AS train_code, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS ord, concat('S', lpad(CAST(l_suppkey AS VARCHAR), 5, '0')) AS station FROM lineitem),
-leg AS (SELECT DISTINCT train_code, station AS a, b FROM (SELECT *, lead(station) OVER (PARTITION BY train_code ORDER BY ord) AS b FROM named) x WHERE b IS NOT NULL AND b <> station),
+@query(MATCHED + LEGS_NAMED + """, k AS (SELECT route, name, row_number() OVER (PARTITION BY route ORDER BY idx, name) AS at FROM m WHERE km < 5),
+asked AS (SELECT DISTINCT train_code, a, b FROM leg WHERE a <> b),
 cov AS (SELECT n.train_code, k.route, count(DISTINCT k.name) AS cov FROM named n JOIN k ON n.station = k.name GROUP BY n.train_code, k.route),
-r AS (SELECT l.train_code, l.a, l.b, x.route, abs(x.at - y.at) + 1 AS stations, row_number() OVER (PARTITION BY l.train_code, l.a, l.b ORDER BY 100 * c.cov - abs(x.at - y.at) - 1 DESC, x.route) AS rk
-FROM leg l JOIN k x ON l.a = x.name JOIN k y ON l.b = y.name AND x.route = y.route JOIN cov c ON c.train_code = l.train_code AND c.route = x.route)
-SELECT train_code, a, b, route, CAST(stations AS BIGINT) AS stations FROM r WHERE rk = 1""")
+r AS (SELECT l.train_code, l.a, l.b, x.route, x.at AS i, y.at AS j, row_number() OVER (PARTITION BY l.train_code, l.a, l.b ORDER BY 100 * c.cov - abs(x.at - y.at) - 1 DESC, x.route) AS rk
+FROM asked l JOIN k x ON l.a = x.name JOIN k y ON l.b = y.name AND x.route = y.route JOIN cov c ON c.train_code = l.train_code AND c.route = x.route)
+SELECT r.train_code, r.a, r.b, r.route, string_agg(k.name, '|' ORDER BY CASE WHEN i > j THEN -k.at ELSE k.at END) AS stations FROM r JOIN k ON k.route = r.route AND k.at BETWEEN least(i, j) AND greatest(i, j) WHERE rk = 1 GROUP BY r.train_code, r.a, r.b, r.route""")
 def j13_common_routes(spark, sf_dir):
     found = track.common_routes(named_legs(spark, sf_dir), train_stations(spark, sf_dir), route_stations(spark, sf_dir))
-    return found.withColumn("stations", F.size("stations").cast("long"))
+    return found.withColumn("stations", F.array_join("stations", "|"))
 
 
 def found_legs(spark, sf_dir):
@@ -605,15 +712,15 @@ def a17_build_station_index(spark, sf_dir):
     return network.build_station_index(segments(spark, sf_dir)).withColumn("routes", F.array_join("routes", ","))
 
 
-@query(POINTS + "SELECT route, CAST(count(*) AS BIGINT) AS points FROM v_route_points GROUP BY route")
+@query(AT + "SELECT route, v.at, lng, lat FROM v")
 def g5_rebuild_from_lines(spark, sf_dir):
     """Ways of 5 vertices that share their ends, some turned round and one repeated, chained to the whole route again."""
     points = view(spark, sf_dir, "v_route_points")
     seats = points.withColumn("ord", F.explode(F.array(F.floor(F.col("idx") / 4), F.floor((F.col("idx") - 1) / 4)))).where("ord >= 0").distinct()
     ways = seats.groupBy("route", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "lng", "lat"))), lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("points"))
     ways = ways.withColumn("points", F.when(F.col("ord") % 3 == 2, F.reverse("points")).otherwise(F.col("points")))
-    ways = ways.union(ways.where("ord = 4").select("route", F.lit(999).alias("ord"), F.reverse("points")))
-    return trajectories.rebuild_from_lines(ways).select("route", F.size("points").cast("long").alias("points"))
+    ways = ways.union(ways.where("ord = 4").select("route", F.lit(9_999_999).alias("ord"), F.reverse("points")))
+    return by_vertex(trajectories.rebuild_from_lines(ways))
 
 
 LEGS = NAMED + ", l AS (SELECT train_code, ord, station AS a, lead(station) OVER (PARTITION BY train_code ORDER BY ord) AS b FROM named), p AS (SELECT DISTINCT l.a, l.b, x.lng AS lng1, x.lat AS lat1, y.lng AS lng2, y.lat AS lat2 FROM l JOIN v_coords x ON l.a = x.name JOIN v_coords y ON l.b = y.name)\n"
@@ -639,9 +746,9 @@ def p2_geodesic_m(spark, sf_dir):
     return leg_ends(spark, sf_dir).select("a", "b", F.round(geo.geodesic_m("lng_a", "lat_a", "lng_b", "lat_b"), 3).alias("meters"))
 
 
-@query(POINTS + "SELECT route, idx FROM v_route_points WHERE lng BETWEEN 75 AND 90 AND lat BETWEEN 20 AND 40")
+@query(POINTS + "SELECT route, idx FROM v_route_points WHERE lng BETWEEN 75 AND 80 AND lat BETWEEN 15.3 AND 20")
 def p7_in_bounds(spark, sf_dir):
-    return view(spark, sf_dir, "v_route_points").where(geo.in_bounds(F.col("lng"), F.col("lat"), 75, 90, 20, 40)).select("route", "idx")
+    return view(spark, sf_dir, "v_route_points").where(geo.in_bounds(F.col("lng"), F.col("lat"), 75, 80, 15.3, 20)).select("route", "idx")
 
 
 @query(POINTS + "SELECT route, CAST(sum(CASE WHEN lng BETWEEN 70 AND 140 AND lat BETWEEN 15 AND 55 THEN 0 ELSE 1 END) AS BIGINT) AS abnormal FROM v_route_points GROUP BY route")
@@ -675,11 +782,12 @@ def p5_route_features(spark, sf_dir):
     return view(spark, sf_dir, "v_tagged_points").where(text.is_route_feature(F.col("name"), tags)).select("fid")
 
 
-@query(POINTS + "SELECT route, idx FROM v_route_points WHERE idx BETWEEN 10 AND 20")
+@query(POINTS + "SELECT route, CAST(20 - idx AS BIGINT) AS at, idx FROM v_route_points WHERE idx BETWEEN 10 AND 20 UNION ALL SELECT concat(route, '+'), CAST(idx - 10 AS BIGINT), idx FROM v_route_points WHERE idx BETWEEN 10 AND 20")
 def g7_extract_segment(spark, sf_dir):
-    """Vertices 10 to 20 of each route, taken backwards."""
+    """Vertices 10 to 20 of each route, taken backwards, and forwards (marked +)."""
     whole = view(spark, sf_dir, "v_route_points").groupBy("route").agg(F.array_sort(F.collect_list("idx")).alias("p"))
-    return whole.select("route", F.explode(geo.segment(F.col("p"), F.lit(20), F.lit(10))).alias("idx"))
+    both = whole.select("route", geo.segment(F.col("p"), F.lit(20), F.lit(10)).alias("s")).union(whole.select(F.concat("route", F.lit("+")), geo.segment(F.col("p"), F.lit(10), F.lit(20))))
+    return both.select("route", F.posexplode("s").alias("at", "idx")).withColumn("at", F.col("at").cast("long"))
 
 
 def whole_routes(spark, sf_dir):
@@ -687,33 +795,36 @@ def whole_routes(spark, sf_dir):
     return ordered.select("route", F.transform("p", lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("points"))
 
 
-@query(POINTS + "SELECT route, CAST(count(*) AS BIGINT) AS points FROM v_route_points GROUP BY route")
+@query(AT + "SELECT route, v.at, lng, lat FROM v UNION ALL SELECT route, v.at + 1, lng, lat FROM v WHERE (route, v.at) IN (SELECT (route, max(v.at)) FROM v GROUP BY route)")
 def g4_simplify_trajectory(spark, sf_dir):
     """Every vertex twice: the repeats go but for the last, which is an end."""
     twice = whole_routes(spark, sf_dir).withColumn("points", F.flatten(F.transform("points", lambda p: F.array(p, p))))
-    return twice.select("route", (F.size(trajectories.simplify_trajectory("points")) - 1).cast("long").alias("points"))
+    return by_vertex(twice.select("route", trajectories.simplify_trajectory("points").alias("points")))
 
 
 @query()
 def g8_downsample(spark, sf_dir):
-    return whole_routes(spark, sf_dir).select("route", F.size(trajectories.downsample("points")).cast("long").alias("points"))
+    return by_vertex(whole_routes(spark, sf_dir).select("route", trajectories.downsample("points").alias("points")))
 
 
-@query(POINTS + "SELECT route, CAST(count(DISTINCT idx // 50) AS BIGINT) AS lines FROM v_route_points GROUP BY route")
+@query(POINTS + """, e AS (SELECT route, idx // 50 AS ord, arg_min(lng, idx) AS west, arg_max(lng, idx) AS east, count(*) AS n FROM v_route_points GROUP BY route, idx // 50)
+SELECT route, CAST(ord AS BIGINT) AS ord, CAST(n AS BIGINT) AS points, CASE WHEN ord % 3 = 2 THEN east ELSE west END AS lng FROM e""")
 def w3_dedup_reversed_sublines(spark, sf_dir):
-    return trajectories.dedup_reversed_sublines(route_lines(spark, sf_dir)).groupBy("route").agg(F.count(F.lit(1)).alias("lines"))
+    """Which sub-lines stay, their vertices and where they begin."""
+    kept = trajectories.dedup_reversed_sublines(route_lines(spark, sf_dir))
+    return kept.select("route", F.col("ord").cast("long").alias("ord"), F.size("points").cast("long").alias("points"), F.element_at("points", 1)["lng"].alias("lng"))
 
 
-@query(MATCHED + """, k AS (SELECT route, name, row_number() OVER (PARTITION BY route ORDER BY idx, name) AS at, count(*) OVER (PARTITION BY route) AS n FROM m WHERE km < 5),
-leg AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS train_code, concat('S', lpad(CAST(l_suppkey AS VARCHAR), 5, '0')) AS a, concat('S', lpad(CAST(nxt AS VARCHAR), 5, '0')) AS b, y.hop AS hop
-FROM (SELECT *, lead(l_suppkey) OVER w AS nxt, row_number() OVER w - 1 AS hop FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)) y WHERE nxt IS NOT NULL AND nxt <> l_suppkey)
-SELECT l.train_code, CAST(l.hop AS BIGINT) AS at, l.a, l.b, x.route AS line_name, CAST(x.n AS BIGINT) AS line_length, CAST(abs(x.at - y.at) AS BIGINT) AS distance FROM leg l JOIN k x ON l.a = x.name JOIN k y ON l.b = y.name AND x.route = y.route""")
+@query(MATCHED + LEGS_NAMED + """, k AS (SELECT route, name, row_number() OVER (PARTITION BY route ORDER BY idx, name) AS at, count(*) OVER (PARTITION BY route) AS n FROM m WHERE km < 5),
+cov AS (SELECT n.train_code, k.route, count(DISTINCT k.name) AS cov FROM named n JOIN k ON n.station = k.name GROUP BY n.train_code, k.route)
+SELECT l.train_code, CAST(l.ord - 1 AS BIGINT) AS at, l.a, l.b, x.route AS line_name, CAST(x.n AS BIGINT) AS line_length, CAST(abs(x.at - y.at) AS BIGINT) AS distance, round(c.cov / x.n, 9) AS coverage
+FROM leg l JOIN k x ON l.a = x.name JOIN k y ON l.b = y.name AND x.route = y.route JOIN cov c ON c.train_code = l.train_code AND c.route = x.route WHERE l.a <> l.b""")
 def j14_candidate_lines(spark, sf_dir):
     """Lines as in g17_match_lines."""
     lists = route_stations(spark, sf_dir).groupBy(F.col("route").alias("line_name")).agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("s"))
     table = lists.select("line_name", F.hash("line_name").alias("line_ord"), F.transform("s", lambda x: x["name"]).alias("stations"))
     found = lines.candidate_lines(train_stations(spark, sf_dir), table)
-    return found.select("train_code", F.col("at").cast("long").alias("at"), "a", "b", "line_name", F.col("line_length").cast("long").alias("line_length"), F.col("distance").cast("long").alias("distance"))
+    return found.select("train_code", F.col("at").cast("long").alias("at"), "a", "b", "line_name", F.col("line_length").cast("long").alias("line_length"), F.col("distance").cast("long").alias("distance"), F.round("coverage", 9).alias("coverage"))
 
 
 @query(duck("v_coords") + "SELECT name, lng, lat FROM v_coords WHERE lng BETWEEN 70 AND 140 AND lat BETWEEN 15 AND 55")
@@ -725,12 +836,22 @@ def a15_station_coords(spark, sf_dir):
     return network.station_coords(first.union(second))
 
 
-@query(POINTS + "SELECT route AS name, CAST(count(*) AS BIGINT) AS points FROM v_route_points GROUP BY route")
+@query(duck("v_coords") + "SELECT CAST(count(*) FILTER (lng BETWEEN 70 AND 140 AND lat BETWEEN 15 AND 55) AS BIGINT) AS valid, CAST(2 * count(*) FILTER (NOT (lng BETWEEN 70 AND 140 AND lat BETWEEN 15 AND 55)) + 1 AS BIGINT) AS failed, CAST(count(*) FILTER (lng BETWEEN 70 AND 140 AND lat BETWEEN 15 AND 55) AS BIGINT) AS duplicate FROM v_coords")
+def a15_station_coord_counters(spark, sf_dir):
+    """Each station twice, the second time with the station sign, and a point without a name."""
+    coords = view(spark, sf_dir, "v_coords")
+    first = coords.select(F.lit(1).alias("fid"), "name", F.struct("lng", "lat").alias("point"))
+    second = coords.select(F.lit(2).alias("fid"), F.concat("name", F.lit("站 ")).alias("name"), F.struct("lng", "lat").alias("point"))
+    nameless = coords.agg(F.lit(3).alias("fid"), F.lit(" ").alias("name"), F.struct(F.max("lng").alias("lng"), F.max("lat").alias("lat")).alias("point"))
+    return network.station_coord_counters(first.union(second).union(nameless))
+
+
+@query(AT + ", b AS (SELECT route, max(v.at) AS n FROM v GROUP BY route)\nSELECT v.route AS name, v.at, v.lng, v.lat FROM v JOIN b ON v.route = b.route WHERE v.at < b.n")
 def a16_route_geometries(spark, sf_dir):
-    """Each route by fid: its first half, the whole of it, and a single vertex, which doesn't count."""
-    whole = whole_routes(spark, sf_dir)
-    parts = [whole.select(F.lit(fid).alias("fid"), F.col("route").alias("name"), F.slice("points", 1, n).alias("points")) for fid, n in ((1, 200), (2, 400), (3, 1))]
-    return network.route_geometries(parts[0].union(parts[1]).union(parts[2])).select("name", F.size("points").cast("long").alias("points"))
+    """Each route by fid: the whole of it, all but its last vertex, and a single one, which doesn't count."""
+    whole = whole_routes(spark, sf_dir).withColumn("n", F.size("points"))
+    parts = [whole.select(F.lit(fid).alias("fid"), F.col("route").alias("name"), F.slice("points", F.lit(1), n).alias("points")) for fid, n in ((1, F.col("n")), (2, F.col("n") - 1), (3, F.lit(1)))]
+    return by_vertex(network.route_geometries(parts[0].union(parts[1]).union(parts[2])).withColumnRenamed("name", "route")).withColumnRenamed("route", "name")
 
 
 @query("SELECT CAST(doc_id % 4 + 1 AS VARCHAR) AS run, CASE doc_id % 4 + 1 WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'CANCEL' WHEN 3 THEN 'DONE' ELSE 'FAIL' END AS label, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1, 2 UNION ALL SELECT '0', 'UNSTART', CAST(0 AS BIGINT)")
@@ -739,6 +860,30 @@ def a24_parse_status_counts(spark, sf_dir):
     return profile.parse_status_counts(docs.select((F.col("doc_id") % 4 + 1).cast("string").alias("run")))
 
 
+@query("SELECT run, CAST(rank AS BIGINT) AS rank, doc_id FROM (SELECT CAST(doc_id % 4 + 1 AS VARCHAR) AS run, doc_id, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) AS rank FROM documents) x WHERE rank <= 5")
+def a24_parse_status_samples(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return profile.parse_status_samples(docs.select((F.col("doc_id") % 4 + 1).cast("string").alias("run"), "doc_id"))
+
+
+@query(TAGGED + """SELECT fid, name FROM v_tagged_points WHERE regexp_extract(other_tags, '"railway"=>"([^"]*)"', 1) = 'switch' AND name <> ''""")
+def p6_is_rail_line(spark, sf_dir):
+    points = view(spark, sf_dir, "v_tagged_points").withColumn("tags", text.parse_tags(F.col("other_tags")))
+    return points.where(text.is_rail_line(F.col("name"), F.col("tags")["railway"], "switch")).select("fid", "name")
+
+
+@query(STEPS + ", k AS (SELECT route, round(sum(step_km), 1) AS km FROM s GROUP BY route)\nSELECT route, km FROM k ORDER BY km, route LIMIT 20")
+def t3_shortest_routes(spark, sf_dir):
+    return network.longest_routes(view(spark, sf_dir, "v_route_points"), 20, ascending=True)
+
+
+@query(duck("v_route_points") + """, n AS (SELECT DISTINCT lng, lat FROM v_route_points), l AS (SELECT lng AS u_lng, lat AS u_lat, lead(lng) OVER (PARTITION BY route ORDER BY idx) AS v_lng, lead(lat) OVER (PARTITION BY route ORDER BY idx) AS v_lat FROM v_route_points),
+e AS (SELECT DISTINCT least((u_lng, u_lat), (v_lng, v_lat)) AS u, greatest((u_lng, u_lat), (v_lng, v_lat)) AS v FROM l WHERE v_lng IS NOT NULL)
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM n) AS nodes, CAST(count(*) AS BIGINT) AS edges FROM e""")
+def a25_graph_sizes(spark, sf_dir):
+    return network.graph_counts(network.graph_edges(view(spark, sf_dir, "v_route_points"))).drop("meters")
+
+
 @query()
 def a25_graph_counts(spark, sf_dir):
     return network.graph_counts(network.graph_edges(view(spark, sf_dir, "v_route_points"))).withColumn("meters", F.round("meters", 1))

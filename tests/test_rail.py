@@ -137,6 +137,8 @@ def test_train_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("G2\n")
     merged = timetable.merge_train_files(files.read_train_number_files(spark, {str(tmp_path / "a.txt"): "x", str(tmp_path / "none.txt"): "z", str(tmp_path / "b.txt"): "y"}))
     assert sorted(map(tuple, merged.collect())) == [("G1", "x", False), ("G2", "x", True)]
+    with pytest.warns(UserWarning, match="none.txt"):
+        files.read_train_number_files(spark, {str(tmp_path / "none.txt"): "z"})
     files.write_code_class_lines(merged, str(tmp_path / "out"))
     assert sorted(map(tuple, files.read_code_class_lines(spark, str(tmp_path / "out")).collect())) == [("G1", "x"), ("G2", "x")]
 
@@ -192,7 +194,7 @@ def test_boxes_and_line_statistics(spark):
     boxes = spark.createDataFrame([("r", 0.0, 1.0, 0.0, 1.0), ("s", 0.0, 1.0, 0.0, 1.0)], "route string, minx double, maxx double, miny double, maxy double")
     assert {r.route: (len(r.sublines), r.removed) for r in trajectories.filter_sublines_by_bbox(routes, boxes).collect()} == {"r": (1, 1), "s": (1, 0), "t": (1, 0)}
     both = spark.createDataFrame([("1", ["a", "b"], ["b", "a"]), ("2", ["a"], ["a", "b"]), ("3", ["a"], [])], "train_code string, expected array<string>, found array<string>")
-    assert sorted(map(tuple, lines.line_match_stats(both).collect())) == [("exact", 1), ("none", 1), ("partial", 1)]
+    assert sorted(map(tuple, lines.line_match_stats(both).collect())) == [("exact", 1, 33.3), ("none", 1, 33.3), ("partial", 1, 33.3)]
 
 
 def test_corpus_files(spark, tmp_path):
@@ -206,3 +208,160 @@ def test_corpus_files(spark, tmp_path):
     files.write_tables({"one": corpus, "two": corpus.withColumn("n", F.lit(1)).drop("text")}, str(tmp_path / "t"))
     got = files.read_union_shards(spark, [str(tmp_path / "t" / "one"), str(tmp_path / "t" / "two")]).collect()
     assert sorted(((r.text, r.n) for r in got), key=str) == [("x\ny", None), (None, 1)]
+    (tmp_path / "t" / "bad").mkdir()
+    (tmp_path / "t" / "bad" / "x.parquet").write_text("no table")
+    (tmp_path / "t" / "two" / "part-9.parquet").write_text("cut off")
+    with pytest.warns(UserWarning) as told:
+        some = files.read_union_shards(spark, [str(tmp_path / "t" / x) for x in ("bad", "none", "one", "two")])
+        assert files.read_union_shards(spark, [str(tmp_path / "t" / "none")]) is None
+    assert len(told) == 3 and sorted(((r.text, r.n) for r in some.collect()), key=str) == [("x\ny", None), (None, 1)]
+
+
+def test_tables_as_json(spark, tmp_path):
+    pairs = spark.createDataFrame([("a", "b", ["r"])], "station_a string, station_b string, routes array<string>")
+    files.write_tables({"pairs": pairs, "names": pairs.select("routes")}, str(tmp_path), "json")
+    read = lambda name: [json.loads(x) for p in (tmp_path / name).glob("part*") for x in p.read_text().splitlines()]
+    assert read("pairs") == [{"key": "a|b", "routes": ["r"]}] and read("names") == [{"routes": ["r"]}]
+    with pytest.raises(ValueError, match="csv"):
+        files.write_tables({"pairs": pairs}, str(tmp_path), "csv")
+
+
+def test_stop_lists_in_every_form(spark, tmp_path):
+    stop = lambda name: {"station_name": name, "station_no": "1", "start_station_name": "甲", "end_station_name": "乙", "train_class_name": "G"}
+    lists = {"n1": [stop("甲"), stop("乙")], "n2": [], "n3": [stop("丙")]}
+    (tmp_path / "o.json").write_text(json.dumps(lists))
+    (tmp_path / "l.json").write_text("\n".join(json.dumps({"train_no": k, "train_ord": i, "stops": v}) for i, (k, v) in enumerate(lists.items())))
+    kind = f"train_no string, train_ord long, stops array<{files.STOP_TYPE}>"
+    spark.read.schema(kind).json(str(tmp_path / "l.json")).write.parquet(str(tmp_path / "p"))
+    rows = [sorted(map(tuple, files.read_train_list(spark, str(tmp_path / x), form).collect())) for x, form in (("o.json", "object"), ("l.json", "lines"), ("p", "parquet"))]
+    assert rows[0] == rows[1] == rows[2] and [r[:4] for r in rows[0]] == [("n1", 0, 0, "甲"), ("n1", 0, 1, "乙"), ("n3", 2, 0, "丙")]
+    (tmp_path / "c.json").write_text(json.dumps({"G1": "n1", "G2": "n3", "G3": 7}))
+    assert [tuple(r) for r in files.read_train_codes(spark, str(tmp_path / "c.json")).collect()] == [("G1", "n1", 0), ("G2", "n3", 1), ("G3", "7", 2)]
+
+
+def test_the_last_number_of_a_code_and_its_first_stop_count(spark):
+    rows = [
+        ("n1", 0, 1, "甲", "", "08:00", "1", "起", "终", "G"), ("n1", 0, 2, "乙", "09:00", "----", "x", "", "", ""),
+        ("n2", 1, 2, " 丁 ", "07:10", "07:11", "2", "不", "对", "K"), ("n2", 1, 1, "丙", "----", "07:00", "1", " 首 ", "尾", "D"), ("n3", 2, 1, "戊", None, None, None, None, None, None),
+    ]
+    stops = spark.createDataFrame(rows, "train_no string, train_ord long, ord long, station string, arrive string, depart string, station_no string, start_station string, end_station string, train_class string")
+    codes = spark.createDataFrame([("G1", "n1", 0), ("G1", "n2", 1), ("D9", "n3", 2), ("D8", "n3", 3)], "train_code string, train_no string, ord int")
+    got = {r.train_code: r for r in timetable.build_trains(timetable.attach_train_code(stops, codes)).collect()}
+    assert set(got) == {"G1", "D8"} and (got["G1"].from_station, got["G1"].to_station, got["G1"].train_class, got["G1"].ord) == ("首", "尾", "D", 1)
+    assert got["G1"].stations == ["丙", "丁"] and [tuple(x) for x in got["G1"].station_details] == [("丙", "----", "07:00", 1), ("丁", "07:10", "07:11", 2)]
+    assert (got["D8"].from_station, got["D8"].to_station, got["D8"].departs) == ("戊", "戊", [""])
+    frame = timetable.build_trains(timetable.attach_train_code(stops, codes)).where("train_code = 'G1'")
+    columns = [F.col(c) for c in ("train_code", "train_class", "from_station", "to_station", "stations")]
+    timed, bare, basic = frame.select(journeys.format_train_info(*columns, F.col("station_details")), journeys.format_train_info(*columns, F.array()), journeys.format_basic_info(*columns)).first()
+    assert timed == "🚄 G1 (D)\n  起讫站: 首 → 尾\n  经停 2 站:\n    1. 丙 到:---- 发:07:00\n    2. 丁 到:07:10 发:07:11"
+    assert bare == "🚄 G1 (D)\n  起讫站: 首 → 尾\n  经停 2 站:\n    1. 丙\n    2. 丁" and basic == "🚄 G1 (D)\n  起讫站: 首 → 尾\n  经停 2 站: 丙 → 丁"
+
+
+def test_checkpoints(spark):
+    say = lambda *rows: [(r, c, t) for r, c, t in rows]
+    one = say(("human", "q" * 120, False))
+    rows = [
+        ("user_1", 3, "2025-02-01T10:00:30Z", "loop", [*one, ("ai", "", True)]), ("user_1", 1, "2025-02-01T09:59:00Z", "input", one), ("user_1", 4, "z", "input", [*one, ("ai", "", True), ("tool", "t", False), ("AIMessageChunk", "done", False)]),
+        ("user_2", 1, "2025-02-01T09:59:40Z", "input", say(("HumanMessage", "", False))), ("user_2", 2, "", "loop", say(("HumanMessage", "", False), ("AIMessage", "x", True))),
+        ("user_3", 1, "2025-02-02T00:00:00Z", "input", []), ("user_4", 1, "bad", "input", say(("user", "hi", False))), ("user_5", 1, "2025-02-01T11:00:00Z", "loop", say(("tool", "", True))),
+    ]
+    frame = spark.createDataFrame(rows, "thread_id string, seq long, ts string, source string, messages array<struct<role:string,content:string,has_tool_calls:boolean>>").repartition(3)
+    first = chat.first_input_per_thread(frame)
+    assert {r.thread_id: (r.created_at[:16], r.preview) for r in first.collect()} == {"user_1": ("2025-02-01T09:59", "q" * 100), "user_2": ("2025-02-01T09:59", "新对话"), "user_3": ("2025-02-02T00:00", "新对话"), "user_4": ("bad", "hi")}
+    assert [tuple(r)[:3] for r in chat.sessions_by_date(first).collect()] == [("未知日期", "", "user_4"), ("2025-02-02", "00:00", "user_3"), ("2025-02-01", "09:59", "user_2"), ("2025-02-01", "09:59", "user_1")]
+    assert sorted((r.thread_id, r.role, r.content) for r in chat.session_messages(frame).collect()) == [("user_1", "assistant", "done"), ("user_1", "user", "q" * 120), ("user_2", "assistant", "x"), ("user_4", "user", "hi")]
+    assert [r.thread_id for r in chat.pending_tool_calls(frame).collect()] == ["user_2"]
+
+
+def test_items_of_marked_lists():
+    html = '<ul class="clearfix"><li>out</ul><div class="x train_index_cz2"><ul class="a clearfix"><li> 甲<b>1</b><br> <li>乙<ul><li>in</li></ul>!</li></ul><ul><li>other</ul><p><ul class=clearfix><li>丙</div><ul class=clearfix><li>after</ul>'
+    assert pages.items_of(html, "train_index_cz", "clearfix") == ["甲1", "乙in!", "丙"]
+    assert pages.items_of(html) == ["out", "甲1", "乙in!", "in", "other", "丙", "after"] and pages.items_of(None) == []
+    assert pages.items_of(html, ul_class="clearfix") == ["out", "甲1", "乙in!", "丙", "after"]
+
+
+def test_nearest_nodes_equal_brute_force(spark):
+    r = np.random.default_rng(5)
+    nodes = np.concatenate([r.uniform((70, 15), (140, 55), (300, 2)), np.round(r.uniform((99, 29), (101, 31), (500, 2)), 1)])
+    places = np.concatenate([r.uniform((60, 0), (150, 70), (60, 2)), np.round(r.uniform((99, 29), (101, 31), (60, 2)), 1) + 0.05])
+    asked = spark.createDataFrame([(str(i), float(x), float(y)) for i, (x, y) in enumerate(places)] + [("none", None, 3.0)], "name string, lng double, lat double")
+    for cell in (0.5, 7.0):
+        got = {int(x.name): (x.degrees, x.lng, x.lat) for x in network.nearest_node(asked, spark.createDataFrame(nodes.tolist(), "lng double, lat double"), cell).collect()}
+        for i, p in enumerate(places):
+            d = np.hypot(*(nodes - p).T)
+            assert abs(got[i][0] - d.min()) < 1e-9 and d[(nodes == got[i][1:]).all(1)].min() == pytest.approx(d.min())
+        assert len(got) == len(places)
+
+
+def test_retrieval_in_blocks_equals_one(spark):
+    r = np.random.default_rng(6)
+    vectors = np.round(r.normal(0, 1, (230, 6)), 1)
+    vectors[5], vectors[6] = 0, vectors[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, None), (901, [1.0]), (902, [None] * 6), (None, [1.0] * 6)]
+    table = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
+    chunks, queries = table.withColumnRenamed("id", "chunk_id"), table.withColumnRenamed("id", "query_id")
+    got = {(x.query_id, x["rank"]): (x.chunk_id, x.similarity) for x in retrieval.retrieve_topk(chunks, queries, k=4, threshold=0.1, block=50, part=60).collect()}
+    unit = vectors / np.where(np.linalg.norm(vectors, axis=1, keepdims=True) > 0, np.linalg.norm(vectors, axis=1, keepdims=True), 1)
+    wanted = {}
+    for i, s in enumerate(np.round(unit @ unit.T, 12)):
+        best = sorted((-x, j) for j, x in enumerate(s) if x >= 0.1)[:4]
+        wanted |= {(i, n + 1): (j, -x) for n, (x, j) in enumerate(best)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in wanted.items()} and all(abs(got[k][1] - wanted[k][1]) < 1e-9 for k in got)
+    assert retrieval.retrieve_topk(chunks, queries.limit(0)).count() == retrieval.retrieve_topk(chunks.limit(0), queries).count() == 0
+
+
+def plain_lines(ride, table):
+    """The lines of a ride, leg by leg."""
+    names, last = [], None
+    for a, b in zip(ride, ride[1:], strict=False):
+        held = []
+        for order, (name, stations) in enumerate(table):
+            if a in stations and b in stations and a != b:
+                coverage = len(set(ride) & set(stations)) / len(stations)
+                held.append((len(stations), -coverage, -abs(stations.index(a) - stations.index(b)), order, name))
+        if not held:
+            continue
+        best = min(held)
+        if last and last[0] in [x[-1] for x in held] and best[0] >= last[1]:
+            continue
+        if not last or best[-1] != last[0]:
+            names.append(best[-1])
+            last = best[-1], best[0]
+    return names
+
+
+def test_lines_equal_plain_loops(spark):
+    r = np.random.default_rng(7)
+    names = [f"s{i}" for i in range(12)]
+    table = [(f"l{i}", [names[k] for k in r.permutation(12)[: r.integers(2, 6)]]) for i in range(25)]
+    rides = [(f"t{i}", [names[k] for k in r.integers(0, 12, r.integers(2, 9))]) for i in range(60)]
+    got = lines.match_lines(spark.createDataFrame(rides, "train_code string, stations array<string>"), spark.createDataFrame([(n, i, s) for i, (n, s) in enumerate(table)], "line_name string, line_ord int, stations array<string>")).collect()
+    assert {x.train_code: x.line_names for x in got} == {t: n for t, ride in rides if (n := plain_lines(ride, table))}
+
+
+def test_reports(spark):
+    from ferrovia.operators import profile
+
+    docs = spark.createDataFrame([(1, "<b>ab</b>"), (2, None), (3, ""), (4, "abcd")], "doc_id long, text string")
+    told = profile.cleaned(docs)
+    assert profile.cleaning_report(told).first().asDict() == {"files": 4, "ok": 3, "failed": 1, "success": 75.0, "original_size": 13, "new_size": 6, "reduction": 53.8462, "mean_reduction": 25.9259}
+    assert sorted((r.doc_id, r.ok, r.original_size, r.new_size, r.reduction) for r in profile.cleaning_details(told).collect()) == [(1, True, 9, 2, 77.78), (2, False, None, None, None), (3, True, 0, 0, 0.0), (4, True, 4, 4, 0.0)]
+    assert profile.cleaning_report(told.limit(0)).first().asDict() == {"files": 0, "ok": 0, "failed": 0, "success": 0.0, "original_size": 0, "new_size": 0, "reduction": 0.0, "mean_reduction": 0.0}
+    runs = spark.createDataFrame([(str(i % 2), i) for i in range(30, 0, -1)], "run string, doc_id long")
+    assert sorted(map(tuple, profile.parse_status_samples(runs, 2).collect())) == [("0", 1, 2), ("0", 2, 4), ("1", 1, 1), ("1", 2, 3)]
+    assert tuple(profile.table_profile(spark.createDataFrame([(1, ""), (2, "x")], "fid int, name string")).first()) == (2, 1, "fid:int,name:string")
+    points = spark.createDataFrame([(1, "甲", (100.0, 30.0)), (2, "甲站", (101.0, 30.0)), (3, " ", (100.0, 30.0)), (4, "乙", None), (5, "丙", (1.0, 1.0))], "fid int, name string, point struct<lng:double,lat:double>")
+    assert tuple(network.station_coord_counters(points).first()) == (1, 3, 1)
+    pairs = spark.createDataFrame([("r", "a", "b"), ("r", "b", "a"), ("q", "a", "b"), ("q", "a", "b")], "route string, station_a string, station_b string")
+    assert sorted((r.station_a, [tuple(e) for e in r.entries]) for r in network.build_adjacency(pairs).collect()) == [("a", [("q", 1), ("r", 1)]), ("b", [("r", 1)])]
+    assert tuple(network.adjacency_stats(pairs).first()) == (2, 3, 1, 3)
+
+
+def test_caps_are_asked_for(spark):
+    zigzag = np.stack([100 + 0.01 * np.arange(400), 30 + 0.001 * (np.arange(400) % 2)], 1)
+    assert len(trajectories.denoised([zigzag])) == 400 and len(trajectories.denoised([zigzag], 150)) == 150
+    df = spark.createDataFrame([(1, [[tuple(map(float, p)) for p in zigzag]], 5.0)], f"i int, sublines array<{trajectories.POINTS}>, km double")
+    sizes = df.select(F.size(trajectories.denoise_route("sublines")), F.size(trajectories.denoise_route("sublines", 150)), F.size(trajectories.merge_sublines("sublines", "km"))).first()
+    assert tuple(sizes) == (400, 150, 400)
+    far = [(101.305, 30.0), (101.5, 30.0), (103.99, 30.0)]
+    assert trajectories.parallel(np.array(far), zigzag, near_km=0.6) and not trajectories.parallel(np.array(far), np.repeat(zigzag, 2, 0), near_km=0.6, every=50)
