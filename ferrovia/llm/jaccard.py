@@ -219,18 +219,17 @@ def search(sets: list[np.ndarray], percent: int, split: int | None = None, mu: f
     n = len(sets)
     sizes = np.array([len(x) for x in sets], np.int64)
     every = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), sizes)
     order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
+    every, owner = every[order], np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+    del order
     begin = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-    keys, stop = every[begin], np.append(begin[1:], len(every))
-    shared = stop - begin > 1
-    keys, begin, stop = keys[shared], begin[shared], stop[shared]
-    rank = np.repeat(np.arange(len(keys)), stop - begin)
-    postings = np.concatenate([owner[a:b] for a, b in zip(begin, stop, strict=True)]) if len(keys) else np.zeros(0, np.int64)
-    stop = np.cumsum(stop - begin)
-    begin = np.concatenate(([0], stop[:-1])) if len(stop) else stop
-    probe = rank * n + postings  # sorted: the lists for binary search
+    lengths = np.diff(np.append(begin, len(every)))
+    shared = lengths > 1
+    keys, postings, lengths = every[begin[shared]], owner[np.repeat(shared, lengths)], lengths[shared]
+    del every, owner, begin
+    stop = np.cumsum(lengths)
+    begin = stop - lengths
+    probe = np.repeat(np.arange(len(keys)) * n, lengths) + postings  # sorted: the lists for binary search
     label = np.arange(n)
     links = []
     for q in range(n):
