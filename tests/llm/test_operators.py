@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from ferrovia.llm import components, gru, iblt, jpeg, langid, licenses, mixing, mjpeg, packing, queries, ranges, sharding, textvec, warc
@@ -326,6 +327,24 @@ def test_words_are_letters_and_marks_of_scripts():
     assert [names[w] for w in ("giế", "e\u0301te\u0301", "日本語", "नमस्ते", "მზე", "ሰላም", "ok\U00020000")] == ["latin", "latin", "han", "devanagari", "georgian", "ethiopic", "han"]
 
 
+def test_labels_follow_from_the_spans(spark, docs):
+    """lang_pred and score recomputed from the spans and the words between them."""
+    model = langid.learn(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.label(docs.select("doc_id", "text"), model).collect():
+        data = (texts[r.record.doc_id] or "").encode()
+        starts, ends, *_ = langid.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        letters, at = Counter(), 0
+        for span in r.language.spans:
+            assert span.first == at
+            letters[span.lang] += int((ends - starts)[span.first : span.last + 1].sum())
+            at = span.last + 1
+        assert at == (len(starts) if r.language.lang_pred != "und" else 0)
+        if letters:
+            best = max(sorted(letters), key=letters.get)
+            assert r.language.lang_pred == best and math.isclose(r.language.score, letters[best] / sum(letters.values()))
+
+
 def test_few_languages_teach(spark, monkeypatch):
     monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
     rows = [(i, "one two", lang) for i, lang in enumerate(["a"] * 3 + ["b", "c", "c", "d"])]
@@ -399,6 +418,49 @@ def test_state_goes_on_over_windows_and_lanes():
     assert np.allclose(gru.log_probabilities(net, ids, first, lanes=3, window=7), wanted, atol=1e-3)
 
 
+def test_scores_equal_plain_loops(spark, monkeypatch):
+    """The score of every text by a network written out step by step, in tail classes by the words' counts."""
+    r = np.random.default_rng(12)
+    net = gru.Net(r.normal(0, 0.4, gru.Net.SIZE).astype(np.float32))
+    monkeypatch.setattr(gru, "fit", lambda *_: net)
+    some = [f"w{i}" for i in range(1500)]
+    rows = [(i, " ".join(some[k] for k in np.minimum(r.zipf(1.3, r.integers(0, 400)), 1500) - 1)) for i in range(40)] + [(90, None), (91, "neverseen W1 w1"), (92, "é日本")]
+    rows += [(200 + i, " ".join(some)) for i in range(3)]
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows}
+    words = {d: [*WORD.findall(lower(t)), None] for d, t in rows}
+    counts = Counter(w for d, x in words.items() if not held[d] for w in x)
+    total, different = sum(counts.values()), len(counts)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = gru.vocabulary(gru.token_counts(frame.where(~frame.doc_id.isin([d for d in held if held[d]]))))
+    p = {name: getattr(net, name).astype(float) for name in gru.Net.SHAPES}
+    sig, k, own = lambda x: 1 / (1 + np.exp(-x)), gru.HIDDEN, gru.CLASSES * gru.PER_CLASS
+
+    def log_softmax(x):
+        return x - x.max() - np.log(np.exp(x - x.max()).sum())
+
+    def number(w):
+        hashes, tails = next((h, t) for _, _, h, t, _ in gru.tokens(pa.array([w or ""])))
+        return int(vocab.lookup(hashes[:1], tails[:1])[0][0])
+
+    numbers = {w: number(w) for x in words.values() for w in x}
+    for row in gru.score_documents(frame).collect():
+        h, before, score = np.zeros(k), gru.Net.START, 0.0
+        for w in words[row.doc_id]:
+            x, g = p["embed"][before] @ p["wx"] + p["b"], h @ p["wh"]
+            gate, keep = sig(x[:k] + g[:k]), sig(x[k : 2 * k] + g[k : 2 * k])
+            new = np.tanh(x[2 * k :] + gate * g[2 * k :])
+            h, t = new + keep * (h - new), numbers[w]
+            classes = log_softmax(h @ p["wc"] + p["bc"])
+            if t < own:
+                score += (classes[t // gru.PER_CLASS] + log_softmax(p["wo"][t // gru.PER_CLASS] @ h + p["bo"][t // gru.PER_CLASS])[t % gru.PER_CLASS]) / math.log(10)
+            else:
+                base = math.log10((counts[w] + 0.1) / (total + 0.1 * (different + 1)))
+                score += classes[t - own + gru.CLASSES] / math.log(10) + base - vocab.tail_log[t - own]
+            before = t
+        assert math.isclose(row.score, score, rel_tol=1e-3, abs_tol=1e-2), (row, score)
+    assert max(numbers.values()) >= own > min(numbers.values())
+
+
 def test_rounds_reach_every_document(spark):
     text = " ".join(f"w{i}" for i in range(100))
     words = gru.vocabulary(gru.token_counts(spark.createDataFrame([(text,)], "text string")))
@@ -889,6 +951,15 @@ def test_pipeline_by_hand(spark, tmp_path, labelled):
     assert max(by_sequence.values()) <= 2048 and len(by_sequence) <= sum(by_sequence.values()) // 2048 + 8
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    from ferrovia.llm import common
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_folder(Fake(conf=Fake(get=lambda *_: None), sparkContext=Fake(master="spark://host:7077")))
+
+
 # components
 
 
