@@ -365,3 +365,20 @@ def test_caps_are_asked_for(spark):
     assert tuple(sizes) == (400, 150, 400)
     far = [(101.305, 30.0), (101.5, 30.0), (103.99, 30.0)]
     assert trajectories.parallel(np.array(far), zigzag, near_km=0.6) and not trajectories.parallel(np.array(far), np.repeat(zigzag, 2, 0), near_km=0.6, every=50)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    from ferrovia.sources.stored import stored
+
+    session = Fake(conf=Fake(get=lambda *_: None), sparkContext=Fake(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        stored(Fake(sparkSession=session))
+
+
+def test_few_partitions_are_spread(spark):
+    from ferrovia.sources.stored import spread
+
+    few, many = spark.range(100, numPartitions=1), spark.range(100, numPartitions=20)
+    assert spread(few).rdd.getNumPartitions() == 8 and spread(few).count() == 100 and spread(many) is many
