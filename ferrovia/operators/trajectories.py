@@ -173,13 +173,11 @@ def downsampled(xy: np.ndarray, per_100_km: int = 25) -> np.ndarray:
     target = max(2, int(km * per_100_km / 100))
     if target >= n or km < 0.01:
         return xy
-    along, step, kept = np.cumsum(steps), km / (target - 1), [0]
-    following = step
-    for i in range(1, n - 1):
-        if along[i - 1] >= following:
-            kept.append(i)
-            following += step
-    return xy[[*kept, n - 1]]
+    # the k-th of the kept is the first vertex at k steps along, or the one after the (k - 1)-th if that is farther on
+    wanted = np.cumsum(np.full(target + 1, km / (target - 1)))
+    number = np.arange(1, target + 2)
+    kept = number + np.maximum.accumulate(np.searchsorted(np.cumsum(steps), wanted) + 1 - number)
+    return xy[[0, *kept[kept < n - 1], n - 1]]
 
 
 def _each(f, values: list) -> pa.ListArray:

@@ -382,3 +382,22 @@ def test_few_partitions_are_spread(spark):
 
     few, many = spark.range(100, numPartitions=1), spark.range(100, numPartitions=20)
     assert spread(few).rdd.getNumPartitions() == 8 and spread(few).count() == 100 and spread(many) is many
+
+
+def test_thinning_equals_a_walk():
+    r = np.random.default_rng(11)
+    for n in (2, 3, 30, 400, 3000):
+        for scale in (0.00001, 0.002, 0.05):
+            xy = np.cumsum(np.concatenate([[(100, 30)], r.normal(0, scale, (n - 1, 2)) * (r.random((n - 1, 1)) < 0.7)]), 0)
+            steps = trajectories.km_between(xy[:-1], xy[1:])
+            km = float(steps.sum())
+            target = max(2, int(km * 25 / 100))
+            kept = list(range(n))
+            if not (target >= n or km < 0.01):
+                along, following, kept = np.cumsum(steps), km / (target - 1), [0]
+                for i in range(1, n - 1):
+                    if along[i - 1] >= following:
+                        kept.append(i)
+                        following += km / (target - 1)
+                kept.append(n - 1)
+            assert np.array_equal(trajectories.downsampled(xy), xy[kept])
