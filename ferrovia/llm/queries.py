@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gru, iblt, jaccard, langid, licenses, mixing, mjpeg, packing, sharding, warc
+from . import divergence, gru, iblt, jaccard, langid, licenses, mixing, mjpeg, packing, sharding, warc
 from .common import documents, held_out
 
 
@@ -123,13 +123,53 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that set each apart."""
+    return divergence.audit(documents(spark, sf_dir), least_docs=30, top=50)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (
+  SELECT o.lang, o.source, coalesce(s.n, 0) AS n, coalesce(l.v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM d) o
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) s ON s.lang = o.lang AND s.source = o.source
+  LEFT JOIN l ON l.lang = o.lang),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5) // (g.n + 5 * g.v) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * (k.n + 5) // (l.n + 5 * l.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM f QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_source_mixing, op2_warc_round_trip, op3_ngram_jaccard, op4_external_shuffle, op5_cost_balanced_packing,
         op6_language_id, op7_gated_recurrent_lm, op8_motion_jpeg, op9_iblt_fingerprint, op10_license_scan,
+        op11_source_divergence,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL, "op2_warc_round_trip": OP2_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op2_warc_round_trip": OP2_SQL, "op11_source_divergence": OP11_SQL}
