@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, gru, iblt, jaccard, langid, licenses, mixing, mjpeg, packing, sharding, warc
+from . import divergence, gru, iblt, jaccard, langid, licenses, mixing, mjpeg, negatives, neighbours, packing, sharding, warc
 from .common import documents, held_out
 
 
@@ -162,14 +162,65 @@ FROM f QUALIFY part = 'pair' OR rank <= 50
 """
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95."""
+    return neighbours.near_vectors(embeddings(spark, sf_dir), cosine=0.95)
+
+
+OP12_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT a AS vec_id, b AS seen FROM l UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.seen)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(c.least, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(c.least, e.vec_id)) AS kept
+FROM embeddings e
+LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = e.vec_id
+LEFT JOIN (SELECT vec_id, min(seen) AS least FROM r GROUP BY vec_id) c ON c.vec_id = e.vec_id
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive; every seventh row's label is moved on first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = embeddings(spark, sf_dir).select("vec_id", label.alias("label"), "embedding")
+    mined = negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, top=5, low=80, high=100, scale=256)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INT) AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_source_mixing, op2_warc_round_trip, op3_ngram_jaccard, op4_external_shuffle, op5_cost_balanced_packing,
         op6_language_id, op7_gated_recurrent_lm, op8_motion_jpeg, op9_iblt_fingerprint, op10_license_scan,
-        op11_source_divergence,
+        op11_source_divergence, op12_embedding_dedup, op13_hard_negatives,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL, "op2_warc_round_trip": OP2_SQL, "op11_source_divergence": OP11_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op2_warc_round_trip": OP2_SQL, "op11_source_divergence": OP11_SQL, "op12_embedding_dedup": OP12_SQL, "op13_hard_negatives": OP13_SQL}
