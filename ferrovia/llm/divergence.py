@@ -210,7 +210,7 @@ def share(count: Column, total: Column, terms: Column, scale: int, add: int) ->
     return F.lit(1).cast("long") + F.call_function("div", upper, lower)
 
 
-def _distances(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _distances(left: pd.DataFrame, right: pd.DataFrame, sources: int) -> pd.DataFrame:
     """Sums of |p - p'| over the terms at hand for each pair of a source of block a and one of block b."""
     right = right.sort_values("idx")
     index, zero = right["idx"].to_numpy(), right["zero"].to_numpy()
@@ -220,7 +220,7 @@ def _distances(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if len(left):
         column = pd.MultiIndex.from_frame(terms).get_indexer(pd.MultiIndex.from_frame(left[["digest", "sub"]]))
         matrix[np.searchsorted(index, left["idx"].to_numpy()), column] = left["p"].to_numpy()
-    block = index // SOURCES
+    block = index // sources
     rows = []
     other = np.flatnonzero(block == b)
     for i in np.flatnonzero(block == a).tolist():
@@ -229,13 +229,12 @@ def _distances(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             sums = np.abs(matrix[to] - matrix[i]).sum(axis=1)
             rows.append((np.full(len(to), index[i]), index[to], sums))
             rows.append((index[to], np.full(len(to), index[i]), sums))
-    if not rows:
-        return pd.DataFrame({"lang": [], "idx": [], "other": [], "sum": [], "terms": []})
+    rows = rows or [(index[:0], index[:0], zero[:0])]
     i, j, sums = (np.concatenate(x) for x in zip(*rows, strict=True))
-    return pd.DataFrame({"lang": lang, "idx": i, "other": j, "sum": sums, "terms": len(terms)})
+    return pd.DataFrame({"lang": pd.Series([lang] * len(i), dtype=object), "idx": i, "other": j, "sum": sums, "terms": np.full(len(i), len(terms))})
 
 
-def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, scale: int = 1_000_000_000, add: int = 5, bits: int = 64) -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, scale: int = 1_000_000_000, add: int = 5, bits: int = 64, sources: int = SOURCES, slice_terms: int = TERMS) -> DataFrame:
     """(lang, source, part, item, value, rank) of docs (text, lang, source): part `pair` holds each other source of the
     language and how far its term shares are from the group's, part `term` the terms that the group
     uses more than its language does, up to `top`.
@@ -263,9 +262,12 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, scale: int = 1_0
     shares = written(shares.withColumn("value", F.col("p") - share(F.col("lang_n"), F.col("lang_total"), F.col("terms"), scale, add)), "shares")
 
     # sources meet in blocks and over slices of the terms; a term that no source of two blocks has counts by their zeros
-    sizes = written(groups.groupBy("lang").agg((F.floor(F.max("idx") / SOURCES) + 1).cast("int").alias("blocks"), F.greatest(F.ceil(F.max("terms") / TERMS), F.lit(1)).cast("int").alias("slices")), "sizes")
+    sizes = written(groups.groupBy("lang").agg((F.floor(F.max("idx") / sources) + 1).cast("int").alias("blocks"), F.greatest(F.ceil(F.max("terms") / slice_terms), F.lit(1)).cast("int").alias("slices")), "sizes")
     sizes = broadcast_if(sizes, BROADCAST_GROUPS)
-    block = F.floor(F.col("idx") / SOURCES).cast("int")
+    block = F.floor(F.col("idx") / sources).cast("int")
+
+    def distances(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _distances(left, right, sources)
 
     def seated(df: DataFrame, *columns: str) -> DataFrame:
         met = df.select(*columns, "slice", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
@@ -274,7 +276,7 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, scale: int = 1_0
     left = seated(shares.join(sizes, "lang").withColumn("slice", F.pmod(F.xxhash64("digest", "sub"), F.col("slices")).cast("int")), "lang", "digest", "sub", "idx", "p")
     right = seated(groups.join(sizes, "lang").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))), "lang", "idx", "zero")
     keys = ["lang", "slice", "a", "b"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_distances, "lang string, idx int, other int, sum bigint, terms bigint")
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(distances, "lang string, idx int, other int, sum bigint, terms bigint")
     met = met.groupBy("lang", "idx", "other").agg(F.sum("sum").alias("sum"), F.sum("terms").alias("met"))
     own = groups.select("lang", "idx", "source", "terms", "zero")
     others = groups.select("lang", F.col("idx").alias("other"), F.col("source").alias("item"), F.col("zero").alias("other_zero"))
