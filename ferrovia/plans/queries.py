@@ -320,11 +320,6 @@ seg AS (SELECT station_a, station_b, route, i, j, direct_km, km FROM dk WHERE j
 """
 
 
-NEAREST = duck("v_route_points", "v_coords") + f""", d AS (SELECT c.name AS place, p.route, p.idx, c.lng, c.lat, {KM.format(lng1="c.lng", lat1="c.lat", lng2="p.lng", lat2="p.lat")} AS km FROM v_coords c JOIN v_route_points p ON abs(p.lng - c.lng) < 0.5 AND abs(p.lat - c.lat) < 0.5),
-box AS (SELECT route, min(lng) AS w, max(lng) AS e, min(lat) AS s, max(lat) AS n FROM v_route_points GROUP BY route),
-p1 AS (SELECT d.*, row_number() OVER (PARTITION BY place, d.route ORDER BY km, idx) AS rk FROM d JOIN box b ON d.route = b.route
-WHERE km <= 15 AND d.lng BETWEEN b.w - 15 / 111e0 AND b.e + 15 / 111e0 AND d.lat BETWEEN b.s - 15 / 111e0 AND b.n + 15 / 111e0)
-"""
 LOCATED = duck("v_route_points", "v_coords") + f""", d AS (SELECT p.route, c.name, p.idx, {KM.format(lng1="c.lng", lat1="c.lat", lng2="p.lng", lat2="p.lat")} AS km FROM v_coords c JOIN v_route_points p ON abs(p.lng - c.lng) < 0.3 AND abs(p.lat - c.lat) < 0.3),
 w AS (SELECT *, row_number() OVER (PARTITION BY route, name ORDER BY km, idx) AS rk FROM d)
 """
@@ -648,31 +643,96 @@ def j13_common_routes(spark, sf_dir):
 
 
 def found_legs(spark, sf_dir):
-    return track.find_segments(
-        named_legs(spark, sf_dir), train_stations(spark, sf_dir), stored(view(spark, sf_dir, "v_coords")), stored(stored_segments(spark, sf_dir)),
-        stored(route_stations(spark, sf_dir)), stored(view(spark, sf_dir, "v_route_points")),
-    )
+    """Every leg of every train by reference, and the points that the references are into."""
+    points = stored(view(spark, sf_dir, "v_route_points"))
+    near = stored(network.stations_on_route(view(spark, sf_dir, "v_coords"), points))
+    at = near.select("route", "name", F.row_number().over(Window.partitionBy("route").orderBy("idx", "name")).alias("at"))
+    kept = stored(network.build_segments(near, points).select("station_a", "station_b", "route", "i", "j", "km"))
+    return track.find_references(named_legs(spark, sf_dir), train_stations(spark, sf_dir), stored(view(spark, sf_dir, "v_coords")), kept, stored(at), points), points
+
+
+def _near_sql(km: int, name: str) -> str:
+    """Vertices near each station, at most 8 of a route and over 50 apart, as a table of that name (place, route, idx, km)."""
+    return f""",
+{name}_d AS (SELECT c.name AS place, p.route, p.idx, c.lng, c.lat, {KM.format(lng1="c.lng", lat1="c.lat", lng2="p.lng", lat2="p.lat")} AS km FROM v_coords c JOIN v_route_points p ON abs(p.lng - c.lng) < {km / 30:g} AND abs(p.lat - c.lat) < {km / 30:g}),
+{name}_m AS (SELECT x.place, x.route, x.idx, x.km FROM {name}_d x JOIN (SELECT route, min(lng) AS w, max(lng) AS e, min(lat) AS s, max(lat) AS n FROM v_route_points GROUP BY route) y ON x.route = y.route
+  WHERE x.km <= {km} AND x.lng BETWEEN y.w - {km} / 111e0 AND y.e + {km} / 111e0 AND x.lat BETWEEN y.s - {km} / 111e0 AND y.n + {km} / 111e0),
+{name}_v AS (SELECT DISTINCT place, route, min({{'km': km, 'idx': idx}}) OVER (PARTITION BY place, route ORDER BY idx RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM {name}_m),
+{name} AS (SELECT place, route, v.idx AS idx, v.km AS km FROM (SELECT place, route, unnest(list_reduce(list_transform(list_sort(list(v)), lambda x: [x]),
+  lambda kept, x: CASE WHEN len(kept) < 8 AND len(list_filter(kept, lambda k: abs(k.idx - x[1].idx) <= 50)) = 0 THEN list_concat(kept, x) ELSE kept END)) AS v FROM {name}_v GROUP BY place, route) x)"""
+
+
+def _stretch_sql(pairs: str, near: str, name: str) -> str:
+    """The best stretch for each of pairs (a, b, direct_km), as a table of that name (a, b, route, i, j, km)."""
+    return f""",
+{name} AS (SELECT a, b, route, i, j, km FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY gain - off_a - off_b - km * 0.01e0 DESC, route, i, j) AS rk FROM (
+  SELECT *, CASE WHEN direct_km <= 0.1e0 THEN 0e0 WHEN km <= 1.5e0 * direct_km THEN 100e0 WHEN km <= 2 * direct_km THEN 50e0 WHEN km <= 3 * direct_km THEN 20e0 ELSE 0e0 END AS gain FROM (
+  SELECT q.a, q.b, q.direct_km, x.route, x.idx AS i, y.idx AS j, x.km AS off_a, y.km AS off_b, abs(u.rkm - w.rkm) AS km FROM {pairs} q JOIN {near} x ON x.place = q.a JOIN {near} y ON y.place = q.b AND y.route = x.route
+  JOIN cu u ON u.route = x.route AND u.idx = x.idx JOIN cu w ON w.route = y.route AND w.idx = y.idx WHERE x.idx <> y.idx) o
+  WHERE direct_km <= 0.1e0 OR km BETWEEN 0.5e0 * direct_km AND 4 * direct_km) g) r WHERE rk = 1)"""
+
+
+_DIRECT = KM.format(lng1="x.lng", lat1="x.lat", lng2="y.lng", lat2="y.lat")
+FOUND = SEGMENTS + LEGS_NAMED + f""",
+rides AS (SELECT DISTINCT train_code, a, b FROM leg WHERE a IN (SELECT name FROM v_coords) AND b IN (SELECT name FROM v_coords)),
+pr AS (SELECT p.a, p.b, x.lng AS lng1, x.lat AS lat1, y.lng AS lng2, y.lat AS lat2, {_DIRECT} AS direct_km FROM (SELECT DISTINCT a, b FROM rides) p JOIN v_coords x ON p.a = x.name JOIN v_coords y ON p.b = y.name),
+both_ways AS (SELECT station_a AS a, station_b AS b, route, i, j, km FROM seg UNION ALL SELECT station_b, station_a, route, j, i, km FROM seg),
+sh AS (SELECT a, b, route, i, j, km FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY km, route, i, j) AS rk FROM both_ways) x WHERE rk = 1),
+held AS (SELECT sh.* FROM pr JOIN sh ON pr.a = sh.a AND pr.b = sh.b WHERE pr.direct_km < 0.1e0 OR sh.km <= 3 * pr.direct_km),
+lf AS (SELECT r.* FROM rides r LEFT JOIN held h ON r.a = h.a AND r.b = h.b WHERE h.a IS NULL),
+num AS (SELECT route, name, row_number() OVER (PARTITION BY route ORDER BY idx, name) AS no FROM k),
+ix AS (SELECT DISTINCT n.route, n.name, n.no FROM num n JOIN (SELECT station_a AS name, route FROM seg UNION SELECT station_b, route FROM seg) s ON n.route = s.route AND n.name = s.name),
+cov AS (SELECT n.train_code, k.route, count(DISTINCT k.name) AS cov FROM named n JOIN k ON n.station = k.name GROUP BY n.train_code, k.route),
+way AS (SELECT train_code, a, b, route, i, j FROM (SELECT l.train_code, l.a, l.b, x.route, x.no AS i, y.no AS j, row_number() OVER (PARTITION BY l.train_code, l.a, l.b ORDER BY 100 * c.cov - abs(x.no - y.no) - 1 DESC, x.route) AS rk
+  FROM lf l JOIN ix x ON l.a = x.name JOIN ix y ON l.b = y.name AND x.route = y.route JOIN cov c ON c.train_code = l.train_code AND c.route = x.route WHERE l.a <> l.b) r WHERE rk = 1),
+hop AS (SELECT w.train_code, w.a, w.b, abs(n.no - w.i) AS "at", n.name AS x, m.name AS y FROM way w JOIN num n ON n.route = w.route AND n.no BETWEEN least(w.i, w.j) AND greatest(w.i, w.j) JOIN num m ON m.route = w.route AND m.no = n.no + CASE WHEN w.i <= w.j THEN 1 ELSE -1 END AND m.no BETWEEN least(w.i, w.j) AND greatest(w.i, w.j)),
+piece AS (SELECT h.train_code, h.a, h.b, h."at", s.route, s.i, s.j, coalesce(s.km, {_DIRECT}) AS km, coalesce(u.lng, x.lng) AS plng, coalesce(u.lat, x.lat) AS plat, coalesce(w.lng, y.lng) AS qlng, coalesce(w.lat, y.lat) AS qlat
+  FROM hop h JOIN v_coords x ON h.x = x.name JOIN v_coords y ON h.y = y.name LEFT JOIN sh s ON s.a = h.x AND s.b = h.y LEFT JOIN cu u ON u.route = s.route AND u.idx = s.i LEFT JOIN cu w ON w.route = s.route AND w.idx = s.j),
+joint AS (SELECT *, lag(qlng) OVER w AS blng, lag(qlat) OVER w AS blat FROM piece WINDOW w AS (PARTITION BY train_code, a, b ORDER BY piece."at")),
+own AS (SELECT train_code, a, b, count(*) AS pieces, string_agg(coalesce(concat(route, ':', CAST(i AS VARCHAR), '-', CAST(j AS VARCHAR)), '-'), ' ' ORDER BY joint."at") AS line,
+  sum(CASE WHEN route IS NULL THEN 2 ELSE abs(i - j) + 1 END - CASE WHEN blng IS NOT NULL AND (route IS NULL OR (abs(blng - plng) < 0.001e0 AND abs(blat - plat) < 0.001e0)) THEN 1 ELSE 0 END) AS points,
+  sum(km + CASE WHEN blng IS NULL THEN 0e0 ELSE {KM.format(lng1="blng", lat1="blat", lng2="plng", lat2="plat")} END) AS km FROM joint GROUP BY train_code, a, b),
+op AS (SELECT DISTINCT pr.* FROM pr JOIN lf ON pr.a = lf.a AND pr.b = lf.b LEFT JOIN own ON own.train_code = lf.train_code AND own.a = lf.a AND own.b = lf.b WHERE own.a IS NULL)""" + _near_sql(15, "n15") + _stretch_sql("op", "n15", "t15") + """,
+op2 AS (SELECT op.* FROM op LEFT JOIN t15 ON op.a = t15.a AND op.b = t15.b WHERE t15.a IS NULL)""" + _near_sql(30, "n30") + _stretch_sql("op2", "n30", "t30") + """,
+one AS (SELECT a, b, 'cache' AS source, route, i, j, km FROM held UNION ALL SELECT a, b, 'trajectory', route, i, j, km FROM t15 UNION ALL SELECT a, b, 'trajectory_wide', route, i, j, km FROM t30),
+every AS (SELECT pr.a, pr.b, coalesce(one.source, 'fallback') AS source, one.route, one.i, one.j, coalesce(one.km, pr.direct_km) AS km FROM pr LEFT JOIN one ON pr.a = one.a AND pr.b = one.b),
+found AS (SELECT leg.train_code, leg.ord AS seq, leg.a, leg.b, CASE WHEN e.a IS NULL THEN 'no_station' WHEN o.a IS NOT NULL THEN 'intermediate' ELSE e.source END AS source,
+  CASE WHEN o.a IS NOT NULL THEN o.line WHEN e.route IS NOT NULL THEN concat(e.route, ':', CAST(e.i AS VARCHAR), '-', CAST(e.j AS VARCHAR)) WHEN e.a IS NOT NULL THEN '-' END AS pieces,
+  CAST(CASE WHEN o.a IS NOT NULL THEN o.points WHEN e.route IS NOT NULL THEN abs(e.i - e.j) + 1 WHEN e.a IS NOT NULL THEN 2 END AS BIGINT) AS points, CASE WHEN o.a IS NOT NULL THEN o.km ELSE e.km END AS km
+  FROM leg LEFT JOIN every e ON leg.a = e.a AND leg.b = e.b LEFT JOIN own o ON o.train_code = leg.train_code AND o.a = leg.a AND o.b = leg.b)
+"""
 
 
-@query()
+@query(FOUND + "SELECT train_code, seq, a, b, source, pieces, points, round(km, 6) AS km FROM found")
 def g13_find_segments(spark, sf_dir):
-    """Every leg of every train, with what its track was found by and the vertices of that."""
-    return found_legs(spark, sf_dir).select("train_code", "seq", "a", "b", "source", F.size("points").cast("long").alias("points"))
+    """Every leg of every train with what its track was found by: its pieces as line:i-j (- is straight), their vertices and km."""
+    found, _ = found_legs(spark, sf_dir)
+    spelled = F.transform("pieces", lambda x: F.coalesce(F.concat(x["route"], F.lit(":"), x["i"].cast("string"), F.lit("-"), x["j"].cast("string")), F.lit("-")))
+    there = F.col("pieces").isNotNull()
+    told = found.withColumns({"points": F.when(there, track.vertices_of(F.col("pieces"))), "km": F.when(there, F.round(track.km_of(F.col("pieces")), 6))})
+    return told.withColumn("pieces", F.when(there, F.array_join(spelled, " "))).select("train_code", "seq", "a", "b", "source", "pieces", "points", "km")
+
+
+@query(FOUND + """SELECT train_code, count(*) FILTER (source IN ('cache', 'intermediate', 'trajectory')) AS found, count(*) FILTER (source = 'trajectory_wide') AS wide, count(*) FILTER (source = 'fallback') AS fallback,
+count(*) FILTER (source = 'no_station') AS no_station, round(sum(coalesce(km, 0e0)), 4) AS km, coalesce(string_agg(concat(a, '→', b), ',' ORDER BY seq) FILTER (source = 'no_station'), '') AS unmatched FROM found GROUP BY train_code""")
+def a22_trip_kinds(spark, sf_dir):
+    found, _ = found_legs(spark, sf_dir)
+    return track.trip_kinds(found).withColumns({"km": F.round("km", 4), "unmatched": F.array_join("unmatched", ",")})
 
 
 @query()
 def a22_trip_summary(spark, sf_dir):
-    return track.trip_summary(found_legs(spark, sf_dir)).withColumn("km", F.round("km", 3))
+    return track.trip_totals(*found_legs(spark, sf_dir)).withColumn("km", F.round("km", 3))
 
 
-@query(NEAREST + "SELECT place, route, idx, round(km, 6) AS km FROM p1 WHERE rk = 1")
+@query(duck("v_route_points", "v_coords") + _near_sql(15, "n15") + "\nSELECT place, route, idx, round(km, 6) AS km FROM n15")
 def g10_nearby_vertices(spark, sf_dir):
-    """Of the vertices near each station the first of each route: the nearest one."""
     near = track.nearby_vertices(view(spark, sf_dir, "v_coords").withColumnRenamed("name", "place"), view(spark, sf_dir, "v_route_points"))
-    return near.groupBy("place", "route").agg(F.min(F.struct("km", "idx")).alias("v")).select("place", "route", "v.idx", F.round("v.km", 6).alias("km"))
+    return near.withColumn("km", F.round("km", 6))
 
 
-@query()
+@query(SEGMENTS + LEGS_NAMED + f""",
+pr AS (SELECT p.a, p.b, {_DIRECT} AS direct_km FROM (SELECT DISTINCT a, b FROM leg WHERE a <> b) p JOIN v_coords x ON p.a = x.name JOIN v_coords y ON p.b = y.name)""" + _near_sql(15, "n15") + _stretch_sql("pr", "n15", "t15") + "\nSELECT a, b, route, i, j, round(km, 6) AS km FROM t15")
 def g11_trajectory_segment(spark, sf_dir):
     """The best stretch between the stations of every leg."""
     pairs = named_legs(spark, sf_dir).where("a <> b").select("a", "b").distinct()

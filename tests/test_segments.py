@@ -290,3 +290,25 @@ def test_geodesic(spark):
     edges = network.graph_edges(spark.createDataFrame([("r", 0, 0.0, 0.0), ("r", 1, 1.0, 0.0), ("r", 2, 0.0, 0.0)], "route string, idx int, lng double, lat double"))
     told = network.graph_counts(edges).first()
     assert (told.nodes, told.edges) == (2, 1) and abs(told.meters - m[0]) < 1e-3
+
+
+def test_trips_by_reference_equal_trips_by_vertices(spark, rails, places):
+    """What is told of thinned legs makes the same line as their vertices, whatever the pieces."""
+    points, coords = point_rows(spark, rails), place_rows(spark, places | {"m0": (100.2, 30.0), "m1": (100.6, 30.0), "m2": (101.0, 30.0), "lost": (80.0, 20.0)})
+    segs = spark.createDataFrame([("m0", "m1", "straight", 20, 60, along(rails["straight"][20:61]))], "station_a string, station_b string, route string, i long, j long, km double")
+    at = spark.createDataFrame([("straight", 1, "m0"), ("straight", 2, "m1"), ("straight", 3, "m2")], "route string, at int, name string")
+    index = segs.union(spark.createDataFrame([("m2", "m9", "straight", 0, 1, 9e9)], segs.schema))
+    names = ["m0", "m1", "m2", "lost", "nowhere", *places]
+    rides = {f"t{k}": [names[(k * 3 + i * (k + 1)) % len(names)] for i in range(6)] for k in range(12)}
+    legs = spark.createDataFrame([(t, i + 1, a, b) for t, s in rides.items() for i, (a, b) in enumerate(zip(s, s[1:]))], "train_code string, seq long, a string, b string")
+    trains = spark.createDataFrame(list(rides.items()), "train_code string, stations array<string>")
+    found = segments.find_references(legs, trains, coords, index, at, points).cache()
+    assert {r.source for r in found.select("source").distinct().collect()} >= {"cache", "intermediate", "trajectory", "fallback", "no_station"}
+    whole = segments.with_vertices(found, points).cache()
+    sizes = found.join(whole.select("train_code", "seq", "points"), ["train_code", "seq"]).where(F.col("pieces").isNotNull())
+    assert all(r.n == r.m for r in sizes.select(segments.vertices_of(F.col("pieces")).alias("n"), F.size("points").alias("m")).collect())
+    want = {r.train_code: r for r in segments.trip_summary(whole).collect()}
+    got = {r.train_code: r for r in segments.trip_totals(found, points).collect()}
+    assert got.keys() == want.keys()
+    for t, r in got.items():
+        assert abs(r.km - want[t].km) < 1e-6 and r.asDict() | {"km": 0} == want[t].asDict() | {"km": 0}
