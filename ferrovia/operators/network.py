@@ -2,47 +2,31 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEGREE, distance_km, geodesic_m, in_bounds
 from ..functions.text import alt_line_name, normalize_station_name
-
-
-def cell_of(value: Column, size: float) -> Column:
-    return F.floor(value / F.lit(size)).cast("long")
-
-
-def around(df: DataFrame, size: float) -> DataFrame:
-    """Rows of df (lng, lat) in their own grid cell and the eight around it, as cx and cy."""
-    by = [F.lit(-1), F.lit(0), F.lit(1)]
-    wide = df.withColumn("cx", F.explode(F.array(*[cell_of(F.col("lng"), size) + d for d in by])))
-    return wide.withColumn("cy", F.explode(F.array(*[cell_of(F.col("lat"), size) + d for d in by])))
+from . import pyramid
 
 
 def locate_stations(stations: DataFrame, points: DataFrame, max_km: float = 5.0) -> DataFrame:
     """(route, name, idx, km): the nearest vertex, in km, of its own route to each of stations (route, name, lng, lat),
     the first of equals; stations farther than max_km from their route are left out."""
-    size = max_km / (KM_PER_DEGREE * 0.5)  # to 60 degrees
-    near = points.select("route", "idx", F.col("lng").alias("plng"), F.col("lat").alias("plat"), cell_of(F.col("lng"), size).alias("cx"), cell_of(F.col("lat"), size).alias("cy"))
-    met = around(stations.select("route", "name", "lng", "lat"), size).join(near, ["route", "cx", "cy"])
-    best = met.groupBy("route", "name").agg(F.min(F.struct(distance_km(F.col("lng"), F.col("lat"), F.col("plng"), F.col("plat")).alias("km"), "idx")).alias("b"))
+    asked = pyramid.around(stations.select("route", "name", "lng", "lat"), max_km)
+    met = pyramid.boxed(asked, points.select("route", "idx", "lng", "lat"), ["route"])
+    best = met.groupBy("route", "name").agg(F.min(F.struct(distance_km(F.col("plng"), F.col("plat"), F.col("lng"), F.col("lat")).alias("km"), "idx")).alias("b"))
     return best.where(F.col("b.km") <= max_km).select("route", "name", "b.idx", "b.km")
 
 
-def stations_near_lines(routes: DataFrame, lines: DataFrame, stations: DataFrame, margin: float = 0.015, cell: float = 0.5) -> DataFrame:
+def stations_near_lines(routes: DataFrame, lines: DataFrame, stations: DataFrame, margin: float = 0.015) -> DataFrame:
     """(route, stations): from_station and to_station of routes (route, from_station, to_station), then the stations inside the
     box (route, fid, minx, maxx, miny, maxy) and margin of a line of the route, by fid and name, each name once. Routes
     without ends have no stations. See first_lines for a limit on lines."""
     ended = routes.where(F.concat_ws("", "from_station", "to_station") != "")
-    low, high = (lambda c: cell_of(F.col(c) - margin, cell)), (lambda c: cell_of(F.col(c) + margin, cell))
-    boxes = lines.join(ended.select("route"), "route", "left_semi").withColumn("cx", F.explode(F.sequence(low("minx"), high("maxx"))))
-    boxes = boxes.withColumn("cy", F.explode(F.sequence(low("miny"), high("maxy"))))
-    placed = stations.select("name", "lng", "lat", cell_of(F.col("lng"), cell).alias("cx"), cell_of(F.col("lat"), cell).alias("cy"))
-    inside = F.col("lng").between(F.col("minx") - margin, F.col("maxx") + margin) & F.col("lat").between(F.col("miny") - margin, F.col("maxy") + margin)
-    first = boxes.join(placed, ["cx", "cy"]).where(inside).groupBy("route", "name").agg(F.min("fid").alias("fid"))
+    sides = {"west": F.col("minx") - margin, "east": F.col("maxx") + margin, "south": F.col("miny") - margin, "north": F.col("maxy") + margin}
+    boxes = lines.join(ended.select("route"), "route", "left_semi").select("route", "fid", *[x.alias(c) for c, x in sides.items()])
+    first = pyramid.boxed(boxes, stations.select("name", "lng", "lat")).groupBy("route", "name").agg(F.min("fid").alias("fid"))
     found = first.groupBy("route").agg(F.transform(F.array_sort(F.collect_list(F.struct("fid", "name"))), lambda x: x["name"]).alias("found"))
     ends = F.filter(F.array("from_station", "to_station"), lambda x: F.coalesce(x, F.lit("")) != "")
     with_found = routes.join(found, "route", "left")
@@ -87,32 +71,29 @@ def stations_on_route(stations: DataFrame, points: DataFrame, max_km: float = 5.
     """(route, name, idx, km): stations in a route's bounds (with a margin) whose nearest vertex, by squared
     degrees, is nearer than max_km. Every vertex counts; with most_points, of a longer route every (n // most_points)-th.
 
-    A station that qualifies lies within a margin of the bounds, and its nearest vertex within max_km; in
-    longitude that is max_km / (111 cos lat) degrees, so cells are as wide as that at `north`. Only near
-    cells meet: a vertex farther than a cell can't be the nearest one of a station that is kept.
+    A vertex nearer than max_km is in the station's box, and so is one that is nearer by squared degrees: of a station that is kept the box is
+    as wide and tall as the degrees from it to its nearest vertex can be.
     """
     thin = points
     if most_points:
         n = F.count(F.lit(1)).over(Window.partitionBy("route"))
         thin = points.withColumn("n", n).where((F.col("n") <= most_points) | (F.col("idx") % F.greatest(F.floor(F.col("n") / most_points), F.lit(1)) == 0)).drop("n")
-    cell = max_km / (KM_PER_DEGREE * 0.5)  # to 60 degrees
-    near = thin.withColumn("cx", cell_of(F.col("lng"), cell)).withColumn("cy", cell_of(F.col("lat"), cell)).withColumnsRenamed({"lng": "plng", "lat": "plat"})
-    met = around(stations.select("name", "lng", "lat"), cell).join(near, ["cx", "cy"])
-    d2 = F.pow(F.col("plng") - F.col("lng"), 2) + F.pow(F.col("plat") - F.col("lat"), 2)
+    asked = pyramid.around(stations.select("name", "lng", "lat"), max_km)
+    square = asked.withColumns({"south": F.col("plat") - (F.col("east") - F.col("plng")), "north": F.col("plat") + (F.col("east") - F.col("plng"))})
+    met = pyramid.boxed(square, thin.select("route", "idx", "lng", "lat"))
+    d2 = F.pow(F.col("lng") - F.col("plng"), 2) + F.pow(F.col("lat") - F.col("plat"), 2)
     best = met.groupBy("route", "name").agg(F.min_by(F.struct("idx", "plng", "plat", "lng", "lat"), F.struct(d2, "idx")).alias("b"))
-    km = distance_km(F.col("b.lng"), F.col("b.lat"), F.col("b.plng"), F.col("b.plat"))
+    km = distance_km(F.col("b.plng"), F.col("b.plat"), F.col("b.lng"), F.col("b.lat"))
     box = points.groupBy("route").agg(F.min("lng").alias("w"), F.max("lng").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"))
-    inside = F.col("b.lng").between(F.col("w") - margin, F.col("e") + margin) & F.col("b.lat").between(F.col("s") - margin, F.col("n") + margin)
+    inside = F.col("b.plng").between(F.col("w") - margin, F.col("e") + margin) & F.col("b.plat").between(F.col("s") - margin, F.col("n") + margin)
     return best.withColumn("km", km).where(F.col("km") < max_km).join(box, "route").where(inside).select("route", "name", F.col("b.idx").alias("idx"), F.round("km", 2).alias("km"))
 
 
 def routes_near_point(places: DataFrame, points: DataFrame, max_km: float = 15.0) -> DataFrame:
     """(place, route, km): routes with a vertex nearer than max_km to a place, longitude by the place's latitude."""
-    cell = max_km / (KM_PER_DEGREE * 0.5)
-    near = points.withColumn("cx", cell_of(F.col("lng"), cell)).withColumn("cy", cell_of(F.col("lat"), cell)).withColumnsRenamed({"lng": "plng", "lat": "plat"})
-    met = around(places.select("place", "lng", "lat"), cell).join(near, ["cx", "cy"])
-    north = (F.col("plat") - F.col("lat")) * KM_PER_DEGREE
-    east = (F.col("plng") - F.col("lng")) * KM_PER_DEGREE * F.cos(F.radians("lat"))
+    met = pyramid.boxed(pyramid.around(places.select("place", "lng", "lat"), max_km), points.select("route", "lng", "lat"))
+    north = (F.col("lat") - F.col("plat")) * KM_PER_DEGREE
+    east = (F.col("lng") - F.col("plng")) * KM_PER_DEGREE * F.cos(F.radians("plat"))
     return met.groupBy("place", "route").agg(F.min(F.sqrt(north * north + east * east)).alias("km")).where(F.col("km") < max_km)
 
 
@@ -209,41 +190,11 @@ def graph_counts(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count(F.lit(1)).alias("edges"), F.sum("meters").alias("meters")).join(F.broadcast(nodes))
 
 
-#: Cells with nodes, up to which they are broadcast (16 bytes each); half degrees make 259,200 of the whole globe.
-MOST_CELLS = 300_000
-
-
-def nearest_node(stations: DataFrame, nodes: DataFrame, cell: float = 0.5) -> DataFrame:
-    """(name, lng, lat, degrees): the nearest of nodes (lng, lat) to each station, by Euclid in degrees, ties by coordinates.
-
-    A station's nearest node is in a cell that begins no farther than the nearest cell ends, so each station asks
-    those cells alone, which are picked from the table of all cells that hold nodes. Cells double until that table is small enough.
-    """
-    nodes = nodes.select("lng", "lat").distinct()
-    placed = lambda size: nodes.withColumns({"cx": cell_of(F.col("lng"), size), "cy": cell_of(F.col("lat"), size)})
-    cells = placed(cell).select("cx", "cy").distinct().limit(MOST_CELLS + 1).toPandas()
-    while len(cells) > MOST_CELLS:
-        cell *= 2
-        cells = placed(cell).select("cx", "cy").distinct().limit(MOST_CELLS + 1).toPandas()
-    shared, size = nodes.sparkSession.sparkContext.broadcast(cells.to_numpy(np.int64).reshape(-1, 2)), cell
-
-    @F.pandas_udf("array<struct<cx:bigint,cy:bigint>>")
-    def asked(lng: pd.Series, lat: pd.Series) -> pd.Series:
-        held = shared.value
-        west, south = held[:, 0] * size, held[:, 1] * size
-        out = []
-        for x, y in zip(lng.to_numpy(float), lat.to_numpy(float), strict=True):
-            dx, dy = np.maximum(0, np.maximum(west - x, x - west - size)), np.maximum(0, np.maximum(south - y, y - south - size))
-            far = np.hypot(np.maximum(np.abs(west - x), np.abs(west + size - x)), np.maximum(np.abs(south - y), np.abs(south + size - y)))
-            near = held[np.hypot(dx, dy) <= far.min(initial=np.inf) + 1e-9]
-            out.append([{"cx": a, "cy": b} for a, b in near.tolist()])
-        return pd.Series(out)
-
-    todo = stations.where("lng IS NOT NULL AND lat IS NOT NULL").select("name", F.col("lng").alias("slng"), F.col("lat").alias("slat")).distinct()
-    asking = todo.select("name", "slng", "slat", F.explode(asked("slng", "slat")).alias("c")).select("name", "slng", "slat", "c.*")
-    d = F.sqrt(F.pow(F.col("lng") - F.col("slng"), 2) + F.pow(F.col("lat") - F.col("slat"), 2))
-    best = asking.join(placed(size), ["cx", "cy"]).groupBy("name", "slng", "slat").agg(F.min(F.struct(d.alias("degrees"), "lng", "lat")).alias("b"))
-    return best.select("name", "b.lng", "b.lat", "b.degrees")
+def nearest_node(stations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(name, lng, lat, degrees): the nearest of nodes (lng, lat) to each station, by Euclid in degrees, ties by coordinates. Stations
+    without coordinates are left out; nodes that repeat count once."""
+    asked = stations.select("name", F.col("lng").alias("plng"), F.col("lat").alias("plat")).distinct()
+    return pyramid.nearest(asked, nodes.select("lng", "lat").distinct()).select("name", "lng", "lat", "degrees")
 
 
 def station_coords(features: DataFrame) -> DataFrame:

@@ -564,10 +564,10 @@ def t4_top_names(spark, sf_dir):
 
 
 @query(duck("v_route_points", "v_coords") + """, d AS (SELECT c.name, p.lng, p.lat, sqrt(pow(p.lng - c.lng, 2) + pow(p.lat - c.lat, 2)) AS degrees FROM v_coords c CROSS JOIN v_route_points p)
-SELECT name, round(min(degrees), 6) AS degrees FROM d GROUP BY name""")
+SELECT name, round(degrees, 6) AS degrees, lng, lat FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY degrees, lng, lat) AS rk FROM d) x WHERE rk = 1""")
 def j10_nearest_node(spark, sf_dir):
     found = network.nearest_node(view(spark, sf_dir, "v_coords"), view(spark, sf_dir, "v_route_points"))
-    return found.select("name", F.round("degrees", 6).alias("degrees"))
+    return found.select("name", F.round("degrees", 6).alias("degrees"), "lng", "lat")
 
 
 @query(STEPS + ", k AS (SELECT route, CAST(count(*) AS BIGINT) AS points, round(sum(step_km), 1) AS km FROM s WHERE contains(route, '2') GROUP BY route)\nSELECT k.route, k.points, k.km, min(p.lat) AS south, max(p.lat) AS north FROM k JOIN v_route_points p ON k.route = p.route GROUP BY k.route, k.points, k.km")
