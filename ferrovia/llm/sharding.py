@@ -7,19 +7,33 @@ are DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, new_path, written
 
-#: Bytes of records that a bucket holds on average; each is shuffled in one task's memory, so it goes by that.
-BUCKET_BYTES = 64 << 20
+#: Of a task's share of the heap, what the records of a bucket take: they are gathered in an array, sorted, shuffled and written,
+#: each of which holds them once more.
+BUCKET_SHARE = 32
+#: Bytes of records that a bucket holds on average, at most.
+MOST_BUCKET_BYTES = 32 << 20
 #: The table of buckets is broadcast up to this many rows of about 40 bytes.
 BROADCAST_BUCKETS = 200_000
 #: Copies of a row that are made in one step.
 STEP = 10_000
 
 
+def bucket_bytes_of(spark: SparkSession) -> int:
+    """Bytes of a bucket, by the heap that a task of the session's executors has to itself."""
+    context, runtime = spark.sparkContext, spark._jvm.java.lang.Runtime.getRuntime()
+    if context.master.startswith("local"):
+        heap, cores = runtime.maxMemory(), context.defaultParallelism
+    else:
+        heap = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(context.getConf().get("spark.executor.memory", "1g"))
+        cores = int(context.getConf().get("spark.executor.cores", "1"))
+    return max(1 << 20, min(MOST_BUCKET_BYTES, heap // max(1, cores) // BUCKET_SHARE))
+
+
 def record_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(16).cast("long")
 
@@ -31,7 +45,7 @@ def shard_of(doc_id: Column, shards: int, seed: int) -> Column:
     return F.array_max(scores)["s"]
 
 
-def shuffled_shards(docs: DataFrame, shards: int = 40, seed: int = 20_260_101, bucket_bytes: int = BUCKET_BYTES, path: str | None = None) -> DataFrame:
+def shuffled_shards(docs: DataFrame, shards: int = 40, seed: int = 20_260_101, bucket_bytes: int | None = None, path: str | None = None) -> DataFrame:
     """Write docs as a parquet table partitioned by shard, in shuffled order, and return it
     as read back: the columns of docs in a struct `record`, with shard, grown_shard (the
     shard if there were one more) and slot (the place in the shard, gapless from 0).
@@ -40,9 +54,10 @@ def shuffled_shards(docs: DataFrame, shards: int = 40, seed: int = 20_260_101, b
     all such rows share a shard, which gets as many buckets as its bytes ask for. Buckets are dealt by all
     columns, so copies of a text spread. Rows that are equal in every column are interchangeable: where
     they would fill a quarter of a bucket, they are dealt by their number among themselves. A record of more
-    than a bucket is a bucket's alone with what is dealt there. An empty table gives an empty one.
+    than a bucket is a bucket's alone with what is dealt there. bucket_bytes, if not given, goes by the memory of a task. An empty table gives an empty one.
     """
     spark = docs.sparkSession
+    bucket_bytes = bucket_bytes or bucket_bytes_of(spark)
     dealt = docs.select(
         F.struct(*docs.columns).alias("record"), shard_of(F.col("doc_id"), shards, seed).alias("shard"), record_size(F.col("text")).alias("size"),
         F.struct(F.xxhash64(*docs.columns).alias("a"), F.xxhash64(F.lit(seed), *docs.columns).alias("b")).alias("same"),
