@@ -9,11 +9,13 @@
    many documents share draws none together.
    Sizes go by bands of ratio t, and a set takes part in its own band and the next one up.
    Sets that meet, directly or through others, are a block, unless they are too many.
-3. In a block: T-occurrence search. Short inverted lists are merged by a heap, long
+3. In a block too large for one task the least set is held against all others first, a few times over; those
+   that link are joined and don't meet one another again.
+4. In a block: T-occurrence search. Short inverted lists are merged by a heap, long
    ones set aside by DivideSkip and probed by binary search, and sets that reach the
    overlap that the sizes ask for are linked. A large block is cut by size into chunks
    of bounded bytes, and pairs of chunks are searched.
-4. Components of the links; members of a set share its fate.
+5. Components of the links; members of a set share its fate.
 """
 
 from __future__ import annotations
@@ -38,6 +40,11 @@ CHUNK = 1 << 20
 SET_COST = 64
 #: A component of up to so many shingles is one block.
 MOST_IN_COMPONENT = 32 * CHUNK
+#: Before the sets of a larger one meet in chunks, so many times the least set that is joined to none is held against all others
+#: like it, and those that link are joined to it.
+ROUNDS = 3
+#: A chunk's number holds the round in which its sets were joined (0 if they are not) above so many bits.
+GROUP_BITS = 40
 #: Sets whose digests are kept in a task to leave out repeats; then it starts anew.
 KEPT_SETS = 500_000
 #: Parts that HOT texts or more of one in SAMPLED hold are counted without gathering them; MOST_HOT of them are broadcast
@@ -205,14 +212,14 @@ def contents(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "set_id binary, hashes binary")
 
 
-def search(sets: list[np.ndarray], percent: int, split: int | None = None, mu: float = 0.01, spanning: bool = True) -> list[tuple[int, int]]:
+def search(sets: list[np.ndarray], percent: int, split: int | None = None, mu: float = 0.01, spanning: bool = True, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """T-occurrence search among sets in ascending order of size; links as pairs of places.
 
     Each set asks for sets at or after its place that share T of its shingles, T being
     what the least of those needs. Its longest lists (L of them, by the DivideSkip rule) are
     set aside; the others are merged by a heap, and a set that occurs T - L times in them is
     sought in the long lists by binary search. With `split`, only pairs across that place
-    count. With `spanning`, a pair whose members are joined by links already is left
+    count; with `side`, only pairs of different sides. With `spanning`, a pair whose members are joined by links already is left
     out, so components are the same and the links at most one less than the sets; without,
     all links come.
     """
@@ -268,7 +275,7 @@ def search(sets: list[np.ndarray], percent: int, split: int | None = None, mu: f
         if times >= need:
             counts[last] = times
         for c, times in counts.items():
-            if spanning and label[c] == label[q]:
+            if spanning and label[c] == label[q] or side is not None and side[c] == side[q]:
                 continue
             wanted = least_overlap(size, int(sizes[c]), percent)
             found = np.searchsorted(probe, long * n + c)
@@ -290,35 +297,84 @@ def set_links(docs: DataFrame, k: int, percent: int, spanning: bool = True) -> D
     sized = met.select("set_id", "n").distinct().join(whole.withColumnRenamed("node", "set_id"), "set_id")
     whole_size = sized.groupBy("component").agg((F.sum(F.col("n").cast("long") + F.lit(SET_COST)) <= MOST_IN_COMPONENT).alias("one"))
     sized = written(sized.join(whole_size, "component"), "met-sizes")
-    led = met.join(sized.where(~F.col("one")).select("set_id"), "set_id", "left_semi").select("leader", "set_id", "n")
-    members = written(sized.where("one").select(F.col("component").alias("leader"), "set_id", "n").union(led), "members")
+    led = met.join(sized.where(~F.col("one")).select("set_id"), "set_id", "left_semi").select("leader", "set_id", "n", F.lit(0).cast("long").alias("group"))
+    joined = None
+    if spanning and led.limit(1).count():
+        led, joined = _joined(written(led, "led"), docs, k, percent)
+    whole = sized.where("one").select(F.col("component").alias("leader"), "set_id", "n", F.lit(0).cast("long").alias("group"))
+    members = written(whole.union(led), "members")
     # Chunks follow the sizes. Only the distinct sizes of a block are ordered in one task: about
     # 8,000 at most in a component, those of two bands in a leader's block. A set's place within
     # its size is drawn from its digest, so a chunk holds CHUNK shingles on average.
-    weights = members.groupBy("leader", "n").agg(F.sum(F.col("n").cast("long") + F.lit(SET_COST)).alias("weight"))
-    smaller = Window.partitionBy("leader").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    weights = members.groupBy("leader", "group", "n").agg(F.sum(F.col("n").cast("long") + F.lit(SET_COST)).alias("weight"))
+    smaller = Window.partitionBy("leader", "group").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     starts = weights.withColumn("start", F.coalesce(F.sum("weight").over(smaller), F.lit(0)))
     place = F.col("start") + F.pmod(F.xxhash64("set_id"), F.col("weight"))
-    cut = members.join(starts, ["leader", "n"]).select("leader", "set_id", "n", F.floor(place / F.lit(CHUNK)).cast("int").alias("chunk"))
-    spans = cut.groupBy("leader", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = spans.select("leader", F.col("chunk").alias("chunk_b"), F.col("low").alias("low_b"))
-    near = (F.col("chunk_b") >= F.col("chunk")) & (F.lit(100) * F.col("high") >= F.lit(percent) * F.col("low_b"))
+    chunk = F.col("group") * F.lit(1 << GROUP_BITS) + F.floor(place / F.lit(CHUNK)).cast("long")
+    cut = members.join(starts, ["leader", "group", "n"]).select("leader", "set_id", "n", "group", chunk.alias("chunk"))
+    spans = cut.groupBy("leader", "group", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = spans.select("leader", F.col("group").alias("group_b"), F.col("chunk").alias("chunk_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    close = lambda high, low: F.lit(100) * F.col(high) >= F.lit(percent) * F.col(low)
+    # sets that are joined in one round are joined already
+    open_ = (F.col("group") != F.col("group_b")) | (F.col("group") == 0)
+    near = (F.col("chunk_b") >= F.col("chunk")) & close("high", "low_b") & close("high_b", "low") & open_
     pairs = spans.join(other, "leader").where(near).select("leader", F.col("chunk").alias("a"), F.col("chunk_b").alias("b"))
     sides = pairs.select("leader", "a", "b", F.col("a").alias("chunk")).union(pairs.where("a < b").select("leader", "a", "b", F.col("b").alias("chunk")))
-    seats = sides.join(cut, ["leader", "chunk"])
+    seats = sides.join(cut.drop("group"), ["leader", "chunk"])
     wanted = written(members.select("set_id").distinct(), "wanted")
     stored = contents(docs, k).join(F.broadcast(wanted) if fits(wanted, BROADCAST_SETS) else wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chunk", "n", "set_id"], kind="stable")
+        groups = pdf["chunk"].to_numpy() >> GROUP_BITS
+        mixed = bool((groups != groups[0]).any())  # chunks of different rounds overlap in their sizes
+        pdf = pdf.sort_values(["n", "set_id"] if mixed else ["chunk", "n", "set_id"], kind="stable")
         chunks = pdf["chunk"].to_numpy()
-        split = int(np.searchsorted(chunks, chunks[0], "right")) if chunks[0] != chunks[-1] else None
+        split = int(np.searchsorted(chunks, chunks[0], "right")) if not mixed and chunks[0] != chunks[-1] else None
         ids = pdf["set_id"].tolist()
-        found = search([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], percent, split, spanning=spanning)
+        found = search([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], percent, split, spanning=spanning, side=chunks if mixed else None)
         return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]})
 
     blocks = seats.join(stored, "set_id").select("leader", "a", "b", "chunk", "n", "set_id", "hashes")
-    return blocks.groupBy("leader", "a", "b").applyInPandas(block, "a binary, b binary")
+    links = blocks.groupBy("leader", "a", "b").applyInPandas(block, "a binary, b binary")
+    return links if joined is None else links.union(joined)
+
+
+def _joined(led: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """led (leader, set_id, n, group) with the round (from 1) in which a set was joined to the least one of its block that was
+    not yet, and the links (a, b) for that. A set is held against one other a round, in tasks of about four chunks of them."""
+    ids = written(led.select("set_id").distinct(), "led-sets")
+    held = contents(docs, k).join(F.broadcast(ids) if fits(ids, BROADCAST_SETS) else ids, "set_id", "left_semi").dropDuplicates(["set_id"])
+    held, links = written(held, "led-contents"), None
+
+    def against(members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if not len(members) or not len(pivots):
+            return pd.DataFrame({"leader": [], "set_id": [], "pivot": []})
+        pivot = np.frombuffer(pivots["pivot_hashes"].iloc[0], np.uint64)
+        good = []
+        for x in members["hashes"]:
+            x = np.frombuffer(x, np.uint64)
+            at = np.searchsorted(pivot, x)
+            overlap = int(np.count_nonzero(pivot[np.minimum(at, len(pivot) - 1)] == x))
+            good.append(100 * overlap >= percent * (len(x) + len(pivot) - overlap))
+        out = members[["leader", "set_id"]][np.array(good, bool)].copy()
+        out["pivot"] = [pivots["pivot"].iloc[0]] * len(out)
+        return out
+
+    for round_ in range(1, ROUNDS + 1):
+        open_ = led.where("group = 0")
+        size = F.col("n").cast("long") + F.lit(SET_COST)
+        pivots = open_.groupBy("leader").agg(F.min("set_id").alias("set_id"), F.ceil(F.sum(size) / (4 * CHUNK)).cast("int").alias("parts"))
+        pivots = written(pivots, "pivots")
+        asked = open_.join(pivots.select("leader", "parts"), "leader").select("leader", "set_id", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int").alias("part"))
+        asked = asked.join(held, "set_id")
+        each = pivots.join(held, "set_id").select("leader", "set_id", "hashes", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).toDF("of", "pivot", "pivot_hashes", "of_part")
+        found = asked.groupBy("leader", "part").cogroup(each.groupBy("of", "of_part")).applyInPandas(against, "leader binary, set_id binary, pivot binary")
+        found = written(found, "joined")
+        new = found.select("set_id", F.col("pivot").alias("a")).where("set_id <> a").select("a", F.col("set_id").alias("b"))
+        links = new if links is None else links.union(new)
+        done = found.select("leader", "set_id", F.lit(round_).cast("long").alias("now"))
+        led = written(led.join(done, ["leader", "set_id"], "left").select("leader", "set_id", "n", F.coalesce("now", "group").alias("group")), "led")
+    return led, links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -127,3 +127,35 @@ def test_hot_parts_are_counted_alike(spark, monkeypatch):
     assert jaccard.hot_parts(docs, 3, 90) is not None
     got = jaccard.near_duplicates(docs, 3, 90).collect()
     assert sorted((tuple(x) for x in got), key=str) == brute(rows, 3, 90)
+
+
+def test_copies_of_one_text_are_joined_without_meeting_each_other(spark, monkeypatch):
+    """Near copies of a text in a block too large for one task: one round joins nearly all, and what is left meets them; still exact."""
+    import random
+
+    r = random.Random(21)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(r.choice((1, 1, 1, 2, 4))):
+            words[r.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard, "CHUNK", 1000)
+    monkeypatch.setattr(jaccard, "MOST_IN_COMPONENT", 2000)
+    seen = []
+    plain = jaccard._joined
+
+    def told(*x):
+        led, links = plain(*x)
+        seen.append((led.count(), led.where("group = 0").count(), led.select("group").distinct().count()))
+        return led, links
+
+    monkeypatch.setattr(jaccard, "_joined", told)
+    got = jaccard.near_duplicates(docs, 3, 90).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute(rows, 3, 90)
+    ((every, left, groups),) = seen
+    assert every >= 100 and groups > 1 and left < every
+    assert jaccard.set_links(docs, 3, 90, spanning=False).count() > 1000  # all links still come when asked for, and by no round
+    assert len(seen) == 1
