@@ -1,9 +1,10 @@
 """Language labels for spans of text.
 
 A word is a run of letters and marks. Script ranges narrow the languages that a
-word can be in; its score in each is the log-likelihood of its byte trigrams and of the
-word; Viterbi over the words of a whole text, with a penalty for a switch, labels spans. A text's language is
-the one that labels most of its letters.
+word can be in: only those that the scripts of a text admit are scored and carried through Viterbi. A word's score is the
+log-likelihood of its byte trigrams and of the word; Viterbi over the words of a whole text, with a penalty for a switch, labels spans. A
+text's language is the one that labels most of its letters. A long text goes by in windows: what Viterbi knows at each window's start is
+kept on the way there, and the windows are labelled on the way back.
 """
 
 from __future__ import annotations
@@ -20,17 +21,18 @@ from pyspark.sql import types as T
 
 from . import textvec as tv
 
-#: Documents of each language from which the classifier learns, about (a hash picks them).
-DOCS_PER_LANGUAGE = 3000
+#: Documents of each language, and of all, from which the classifier learns, about (a hash picks them). Every language teaches.
+DOCS_PER_LANGUAGE, DOCS_IN_ALL = 3000, 150_000
 TRIGRAMS = 1 << 15
 WORDS = 1 << 15
 SWITCH = 15.0
 SMOOTH = 0.3
 #: Share of a language's words in a script from which the script admits the language.
 SCRIPT_SHARE = 0.001
-BLOCK = 128
-#: Languages at most: the most frequent ones teach, the first by name of equals.
-MOST_LANGUAGES = 256
+#: Words of a block, and those before it from which it starts.
+BLOCK, WARM = 256, 32
+#: Bytes of a text that are scored at once, and trigrams.
+WINDOW, GRAMS = 1 << 20, 1 << 16
 #: Scripts and their ranges of Unicode code points. A letter of none of these is of `other`.
 RANGES = {
     "latin": ((0x41, 0x24F), (0x250, 0x2AF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)),
@@ -130,117 +132,230 @@ class Model:
         tri, word = counts[:TRIGRAMS] + SMOOTH, counts[TRIGRAMS:] + SMOOTH
         logs = np.concatenate([np.log(tri / tri.sum(0)), np.log(word / word.sum(0))])
         self.logs = (logs - logs.mean(1, keepdims=True)).astype(np.float32)
-        admitted = scripts > SCRIPT_SHARE * np.maximum(scripts.sum(0), 1)
-        admitted[~admitted.any(1)] = True
-        self.barred = np.where(admitted, 0, -1e4).astype(np.float32)
+        self.admitted = scripts > SCRIPT_SHARE * np.maximum(scripts.sum(0), 1)
+        self.admitted[~self.admitted.any(1)] = True
 
-    def scores(self, starts, ends, at, tri, word, script) -> np.ndarray:
-        """(words, languages)."""
+    def candidates(self, script: np.ndarray) -> np.ndarray:
+        """The languages that one of these scripts admits."""
+        return np.flatnonzero(self.admitted[np.unique(script)].any(0))
+
+    def scores(self, starts, ends, at, tri, word, script, of: np.ndarray | None = None) -> np.ndarray:
+        """(words, languages): of those in `of`, or of all; barred where the word's script doesn't admit one."""
+        of = np.arange(len(self.languages)) if of is None else of
         if not len(starts):
-            return np.zeros((0, len(self.languages)), np.float32)
+            return np.zeros((0, len(of)), np.float32)
+        logs = self.logs if len(of) == len(self.languages) else np.ascontiguousarray(self.logs[:, of])
+        out = logs[word] + np.where(self.admitted[:, of], np.float32(0), np.float32(-1e4))[script]
         inner = np.searchsorted(at, starts)
-        return np.add.reduceat(self.logs[tri], inner, axis=0) + self.logs[word] + self.barred[script]
+        step = max(1, GRAMS // max(1, len(of) // 16))
+        for i in range(0, len(tri), step):  # a word may go on in the next piece
+            first, last = np.searchsorted(inner, i, "right") - 1, np.searchsorted(inner, min(i + step, len(tri)))
+            out[first:last] += np.add.reduceat(logs[tri[i : i + step]], np.maximum(inner[first:last] - i, 0), axis=0)
+        return out
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
-    """The best label of each word, texts being runs of words from first[i] to first[i + 1].
+    """The best label of each word, texts being runs of words from first[i] to first[i + 1]."""
+    return viterbi_between(scores, first, switch)[0]
+
+
+def _forward(scores: np.ndarray, begin: np.ndarray, length: np.ndarray, v: np.ndarray, switch: float, stays: np.ndarray | None = None, jumps: np.ndarray | None = None) -> np.ndarray:
+    """What is known of each label at the end of runs of words, from what was before them (v). Where a word's label stayed, and
+    from which one it jumped, goes to stays and jumps."""
+    order = np.argsort(-length, kind="stable")
+    begin, length, v = begin[order], length[order], v[order].astype(np.float32)
+    for t in range(int(length.max(initial=0))):
+        m = int(np.searchsorted(-length, -t, "left"))
+        x, at = v[:m], begin[:m] + t
+        best = x.argmax(1)
+        jump = (x[np.arange(m), best] - np.float32(switch))[:, None]
+        if stays is not None:
+            jumps[at], stays[at] = best, np.packbits(x >= jump, axis=1)
+        np.maximum(x, jump, out=x)
+        x += scores[at]
+        x -= x.max(1, keepdims=True)
+    out = np.empty_like(v)
+    out[order] = v
+    return out
+
+
+def _backward(label: np.ndarray, at: np.ndarray, stays: np.ndarray, jumps: np.ndarray) -> np.ndarray:
+    """The labels before words that have these labels (one for each word, or several)."""
+    rows = at if label.ndim == 1 else at[:, None]
+    stay = (stays[rows, label >> 3] >> (7 - (label & 7)).astype(np.uint8)) & 1
+    return np.where(stay == 1, label, jumps[rows])
 
-    Texts are cut into blocks; all blocks run side by side from every label before them, then
-    the blocks of a text are chained, and a second run from the known labels traces back.
+
+def viterbi_between(scores: np.ndarray, first: np.ndarray, switch: float, start: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """viterbi() of texts that something precedes, with what is known of each language there (start), and that end in a known
+    language (end); and what is known of each language at their end, and the language before them.
+
+    Texts are cut into blocks that run side by side, each from what WARM words before it tell. A block
+    that starts from something else than the one before it ended in runs again from that, until all agree; then
+    it makes no difference where they began. Back again, each block says what every label at its end leads to before it.
     """
     n, k = scores.shape
-    if not n:
-        return np.zeros(0, np.int64)
     counts = np.diff(first)
+    start = np.zeros((len(counts), k), np.float32) if start is None else start.astype(np.float32)
     blocks = -(-counts // BLOCK)
     begin_of = np.concatenate(([0], np.cumsum(blocks)))
-    number = np.arange(begin_of[-1]) - np.repeat(begin_of[:-1], blocks)
-    begin = np.repeat(first[:-1], blocks) + number * BLOCK
-    length = np.minimum(BLOCK, np.repeat(first[1:], blocks) - begin)
+    text = np.repeat(np.arange(len(counts)), blocks)
+    number = np.arange(begin_of[-1]) - begin_of[text]
+    begin = first[:-1][text] + number * BLOCK
+    length = np.minimum(BLOCK, first[1:][text] - begin)
+    stays, jumps = np.zeros((n, (k + 7) // 8), np.uint8), np.zeros(n, np.int16 if k < 1 << 15 else np.int32)
+    warm = np.minimum(WARM, begin - first[:-1][text])
+    v = np.where((warm == number * BLOCK)[:, None], start[text], np.float32(0))
+    v = _forward(scores, begin - warm, warm, v, switch)
+    # all that later words see of it: how far labels lie below the best, a switch at most
+    seen = lambda x: np.maximum(x - x.max(1, keepdims=True), np.float32(-switch))
+    alpha = _forward(scores, begin, length, v, switch, stays, jumps)
+    later = np.flatnonzero(number > 0)
+    while len(later):
+        later = later[np.abs(seen(v[later]) - seen(alpha[later - 1])).max(1) > 1e-3]
+        v[later] = alpha[later - 1]
+        alpha[later] = _forward(scores, begin[later], length[later], v[later], switch, stays, jumps)
+        later = later[later + 1 < len(number)] + 1
+        later = later[number[later] > 0]
+    # what each label at a block's end leads to before the block
     order = np.argsort(-length, kind="stable")
-    begin, length = begin[order], length[order]
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    active = np.searchsorted(-length, -np.arange(1, BLOCK + 1), "right")
-    v = np.full((len(order), k, k), -1e9, np.float32)
-    v[:, np.arange(k), np.arange(k)] = 0
-    for t in range(BLOCK):
-        m = active[t]
-        if not m:
+    leads = np.tile(np.arange(k), (len(order), 1))
+    for t in range(int(length.max(initial=0)) - 1, -1, -1):
+        m = int(np.searchsorted(-length[order], -t, "left"))
+        leads[:m] = _backward(leads[:m], begin[order[:m]] + t, stays, jumps)
+    of = np.empty_like(leads)
+    of[order] = leads
+    last = start.copy()
+    held = np.flatnonzero(blocks)
+    last[held] = alpha[begin_of[held + 1] - 1]
+    entry = (last.argmax(1) if end is None else end).astype(np.int64)
+    after = np.zeros(len(number), np.int64)
+    for j in range(int(blocks.max(initial=0)) - 1, -1, -1):
+        own = np.flatnonzero(blocks > j)
+        after[begin_of[own] + j] = entry[own]
+        entry[own] = of[begin_of[own] + j, entry[own]]
+    out, label = np.zeros(n, np.int64), after[order]
+    for t in range(int(length.max(initial=0)) - 1, -1, -1):
+        m = int(np.searchsorted(-length[order], -t, "left"))
+        at = begin[order[:m]] + t
+        out[at] = label[:m]
+        label[:m] = _backward(label[:m], at, stays, jumps)
+    return out, last, entry
+
+
+def windows(data: np.ndarray, size: int = WINDOW) -> Iterator[tuple[int, int]]:
+    """A text cut where no word is: pieces of about `size` bytes, longer only where a word is."""
+    i = 0
+    while len(data) - i > size:
+        j, step = 0, size
+        while not j and i + step < len(data):
+            part = data[i : i + step]
+            open_ = np.flatnonzero((kinds(part)[:-4] == 0) & ((part[1:-3] & 0xC0) != 0x80))
+            j, step = (int(open_[-1]) + 1 if len(open_) else 0), 2 * step
+        if not j:
             break
-        x = v[:m]
-        np.maximum(x, x.max(2, keepdims=True) - np.float32(switch), out=x)
-        x += scores[begin[:m] + t][:, None, :]
-    texts = np.flatnonzero(blocks)
-    texts = texts[np.argsort(-blocks[texts], kind="stable")]
-    most = int(blocks.max())
-    alpha = np.zeros((len(texts), k), np.float32)
-    back = []
-    for j in range(most):
-        m = int(np.searchsorted(-blocks[texts], -j, "left"))
-        total = alpha[:m, :, None] + v[place[begin_of[texts[:m]] + j]]
-        back.append(total.argmax(1))
-        alpha[:m] = total.max(1)
-        alpha[:m] -= alpha[:m].max(1, keepdims=True)
-    before, after = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-    label = alpha.argmax(1)
-    for j in range(most - 1, -1, -1):
-        m = len(back[j])
-        at = place[begin_of[texts[:m]] + j]
-        after[at] = label[:m]
-        label[:m] = back[j][np.arange(m), label[:m]]
-        before[at] = label[:m]
-    w = np.full((len(order), k), -1e9, np.float32)
-    w[np.arange(len(order)), before] = 0
-    trace = []
-    for t in range(BLOCK):
-        m = active[t]
-        if not m:
-            break
-        x = w[:m]
-        best = x.argmax(1)
-        jump = x[np.arange(m), best][:, None] - np.float32(switch)
-        trace.append(np.where(x >= jump, np.arange(k), best[:, None]).astype(np.int16))
-        np.maximum(x, jump, out=x)
-        x += scores[begin[:m] + t]
-    out = np.zeros(n, np.int64)
-    for t in range(len(trace) - 1, -1, -1):
-        m = active[t]
-        out[begin[:m] + t] = after[:m]
-        after[:m] = trace[t][np.arange(m), after[:m]]
-    return out
+        yield i, i + j
+        i += j
+    yield i, len(data)
+
+
+def _scored(model: Model, data: np.ndarray, found: tuple, of: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """model.scores() of the chosen words, each different one scored once."""
+    starts, ends, _, _, tri, word, script = found
+    _, one, back = np.unique(tv.segment_hashes(tv.LOWER[data], starts[chosen], ends[chosen]), return_index=True, return_inverse=True)
+    one = chosen[one]
+    size = ends - starts
+    begin, length = (np.cumsum(size) - size)[one], size[one]
+    stop = np.cumsum(length)
+    grams = np.repeat(begin - (stop - length), length) + np.arange(int(length.sum()))
+    return model.scores(stop - length, stop, np.arange(len(grams)), tri[grams], word[one], script[one], of)[back.ravel()]
+
+
+def labelled(model: Model, data: np.ndarray, offsets: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, labels, bytes of letters) of the words of texts; a text of more than WINDOW bytes comes alone."""
+    if len(offsets) == 2 and len(data) > WINDOW:
+        return _labelled_long(model, data, switch)
+    starts, ends, first, at, tri, word, script = features(data, offsets)
+    labels = np.zeros(len(starts), np.int64)
+    # texts whose scripts admit the same languages go together
+    own = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    seen = np.zeros((len(offsets) - 1, len(KINDS)), bool)
+    seen[own, script] = True
+    sets, which = np.unique(np.packbits((seen.astype(np.uint8) @ model.admitted.astype(np.uint8)) > 0, axis=1), axis=0, return_inverse=True)
+    of_word = which.ravel()[own]
+    for g in range(len(sets)):
+        chosen = np.flatnonzero(of_word == g)
+        if len(chosen):
+            of = model.candidates(script[chosen])
+            edges = np.concatenate(([0], np.cumsum(np.diff(first)[which.ravel() == g])))
+            labels[chosen] = of[viterbi(_scored(model, data, (starts, ends, first, at, tri, word, script), of, chosen), edges, switch)]
+    return first, labels, ends - starts
+
+
+def _labelled_long(model: Model, data: np.ndarray, switch: float, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cuts = list(windows(data, size))
+    pieces = lambda i, j: features(data[i:j], np.array([0, j - i]))
+    scripts = np.unique(np.concatenate([np.unique(pieces(i, j)[6]) for i, j in cuts]))
+    of = model.candidates(scripts) if len(scripts) else np.arange(len(model.languages))
+
+    def piece(i: int, j: int):
+        found = pieces(i, j)
+        return _scored(model, data[i:j], found, of, np.arange(len(found[0]))), found[2], found[1] - found[0]
+
+    known = [np.zeros((1, len(of)), np.float32)]
+    for i, j in cuts:
+        scores, first, _ = piece(i, j)
+        known.append(viterbi_between(scores, first, switch, known[-1])[1])
+    end, labels, letters = known[-1].argmax(1), [], []
+    for (i, j), start in zip(cuts[::-1], known[-2::-1], strict=True):
+        scores, first, size = piece(i, j)
+        got, _, end = viterbi_between(scores, first, switch, start, end)
+        labels.append(of[got].astype(np.int32))
+        letters.append(size)
+    labels, letters = np.concatenate(labels[::-1]), np.concatenate(letters[::-1])
+    return np.array([0, len(labels)]), labels.astype(np.int64), letters
 
 
 def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model | None:
     """The classifier, from docs (doc_id, text, lang) of which a hash of doc_id picks about
     docs_per_language for each language. Rows with a null among those do not teach. None if none do.
 
-    Of more than MOST_LANGUAGES values of lang the most frequent teach. What the driver gets is bounded by
-    that and by the sample: for each language at most TRIGRAMS + WORDS counts."""
+    Every value of lang teaches. What the driver gets is bounded by the sample (DOCS_IN_ALL documents, one of each language at least): for
+    each language at most TRIGRAMS + WORDS counts; so is the model, 256 KB for each language."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     per_language = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r[0]: r[1] for r in per_language.orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in per_language.collect()}
     languages = sorted(sizes)
     if not languages:
         return None
+    number = {x: i for i, x in enumerate(languages)}
+    wanted = max(1, min(docs_per_language, DOCS_IN_ALL // len(languages)))
     draw = F.crc32(F.concat(F.lit("language:"), F.col("doc_id").cast("string")).cast("binary")) / F.lit(float(1 << 32))
-    share = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, docs_per_language / sizes[l]))])
+    share = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, wanted / sizes[l]))])
     sample = usable.where(draw < share[F.col("lang")]).select("lang", "text")
     width = TRIGRAMS + WORDS + len(KINDS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(languages), width), np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            keys, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return keys, np.bincount(back.ravel(), weights=np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
+
         for batch in batches:
-            of = np.array([languages.index(x) for x in batch.column(0).to_pylist()], np.int64)
+            of = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
             for i, j, data, offsets in tv.texts(batch.column(1)):
-                starts, ends, first, at, tri, word, script = features(data, offsets)
-                own = np.repeat(of[i:j], np.diff(first))
-                if len(starts):
-                    sums += np.bincount(own * width + word, minlength=sums.size).reshape(sums.shape)
-                    sums += np.bincount(own * width + TRIGRAMS + WORDS + script, minlength=sums.size).reshape(sums.shape)
-                    sums += np.bincount(np.repeat(own, ends - starts) * width + tri, minlength=sums.size).reshape(sums.shape)
-        l, b = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(l.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(sums[l, b])], ["l", "b", "n"])
+                for a, b in windows(data) if j == i + 1 else ((0, len(data)),):
+                    starts, ends, first, at, tri, word, script = features(data[a:b], offsets if j > i + 1 else np.array([0, b - a]))
+                    own = np.repeat(of[i:j], np.diff(first)) * width
+                    if len(starts):
+                        keys = np.concatenate([own + word, own + TRIGRAMS + WORDS + script, np.repeat(own, ends - starts) + tri])
+                        held.append(np.unique(keys, return_counts=True))
+            if len(held) > 64:
+                held[:] = [summed()]
+        if held:
+            keys, n = summed()
+            yield pa.RecordBatch.from_arrays([pa.array((keys // width).astype(np.int32)), pa.array((keys % width).astype(np.int32)), pa.array(n)], ["l", "b", "n"])
 
     rows = sample.mapInArrow(count, "l int, b int, n bigint").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
     if not len(rows):
@@ -279,10 +394,9 @@ def label(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataF
         k = len(m.languages)
         for batch in batches:
             for i, j, data, offsets in tv.texts(batch.column(1)):
-                starts, ends, first, at, tri, word, script = features(data, offsets)
-                labels = viterbi(m.scores(starts, ends, at, tri, word, script), first, switch)
+                first, labels, size = labelled(m, data, offsets, switch)
                 own = np.repeat(np.arange(j - i), np.diff(first))
-                letters = np.bincount(own * k + labels, weights=(ends - starts).astype(float), minlength=(j - i) * k).reshape(j - i, k)
+                letters = np.bincount(own * k + labels, weights=size.astype(float), minlength=(j - i) * k).reshape(j - i, k)
                 total = letters.sum(1)
                 best = letters.argmax(1)
                 score = np.where(total > 0, letters[np.arange(j - i), best] / np.maximum(total, 1), 0.0)

@@ -345,10 +345,140 @@ def test_labels_follow_from_the_spans(spark, docs):
             assert r.language.lang_pred == best and math.isclose(r.language.score, letters[best] / sum(letters.values()))
 
 
-def test_few_languages_teach(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
-    rows = [(i, "one two", lang) for i, lang in enumerate(["a"] * 3 + ["b", "c", "c", "d"])]
-    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["a", "c"]
+def test_every_language_teaches(spark):
+    """Far more languages than a script has words for, each with one text: all are learned and told apart."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join(letters[(i * 7 + j * (i % 5 + 1)) % 26] * 3 + letters[i % 26] + letters[i // 26] * 2 for j in range(30)), f"l{i:03}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert model.languages == sorted(r[2] for r in rows)
+    found = {r.record.doc_id: r.language.lang_pred for r in langid.label(docs, model).collect()}
+    assert sum(found[i] == lang for i, _, lang in rows) >= 295
+
+
+def test_counts_scores_and_labels_by_plain_loops(spark):
+    """learn(), scores and labels recomputed letter by letter."""
+    import math
+    import unicodedata
+    from collections import Counter
+
+    texts = [("en", "The cat sat, on the mat 12 times"), ("de", "Der Köter saß auf der Straße"), ("ru", "кот и пёс"), ("el", "η γάτα"), ("en", "cat"), ("de", "")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.learn(docs, docs_per_language=1 << 30)
+    assert model.languages == ["de", "el", "en", "ru"]
+
+    def words_of(text):
+        out = [""]
+        for c in text:
+            if unicodedata.category(c)[0] in "LM":
+                out[-1] += c
+            elif out[-1]:
+                out.append("")
+        return [w for w in out if w]
+
+    def lower(w):
+        return bytes(b + 32 if 65 <= b <= 90 else b for b in w.encode())
+
+    def buckets(w):
+        padded, tri = b" " + lower(w) + b" ", []
+        for i in range(len(padded) - 2):
+            x = (padded[i] * 65599 % 2**32) ^ (padded[i + 1] * 2654435761 % 2**32) ^ (padded[i + 2] * (40503 * 97) % 2**32)
+            tri.append((x ^ (x >> 15)) % langid.TRIGRAMS)
+        data = np.frombuffer(lower(w), np.uint8)
+        word = int(langid.tv.segment_hashes(data, np.array([0]), np.array([len(data)]))[0]) % langid.WORDS
+        return tri, word
+
+    tris, words, scripts = ({x: Counter() for x in model.languages} for _ in range(3))
+    for lang, text in texts:
+        for w in words_of(text):
+            tri, word = buckets(w)
+            tris[lang].update(tri)
+            words[lang][word] += 1
+            point = max(ord(c) for c in w)
+            scripts[lang]["cyrillic" if 0x400 <= point <= 0x52F else "greek" if 0x370 <= point <= 0x3FF else "latin"] += 1
+
+    def log(table, size, lang, bucket):
+        one = {x: math.log((table[x][bucket] + langid.SMOOTH) / (sum(table[x].values()) + langid.SMOOTH * size)) for x in model.languages}
+        return one[lang] - sum(one.values()) / len(one)
+
+    for text in ("The Köter sat auf the mat", "кот cat γάτα пёс", "zzz qqq"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        offsets = np.array([0, len(data)])
+        starts, ends, first, *rest = langid.features(data, offsets)
+        scores = model.scores(starts, ends, *rest)
+        path, plain = [], []
+        for i, w in enumerate(words_of(text)):
+            tri, word = buckets(w)
+            point = max(ord(c) for c in w)
+            script = "cyrillic" if 0x400 <= point <= 0x52F else "greek" if 0x370 <= point <= 0x3FF else "latin"
+            for j, lang in enumerate(model.languages):
+                open_ = scripts[lang][script] > langid.SCRIPT_SHARE * max(1, sum(scripts[lang].values()))
+                want = sum(log(tris, langid.TRIGRAMS, lang, t) for t in tri) + log(words, langid.WORDS, lang, word)
+                if open_:
+                    assert abs(scores[i, j] - want) < 1e-3
+                else:
+                    assert scores[i, j] < -5000
+            plain.append(scores[i].astype(float))
+        best = {j: (plain[0][j], [j]) for j in range(4)}  # Viterbi over whole paths
+        for row in plain[1:]:
+            best = {j: max(((v - (15.0 if p[-1] != j else 0.0) + row[j], p + [j]) for v, p in best.values()), key=lambda x: x[0]) for j in range(4)}
+        path = max(best.values(), key=lambda x: x[0])[1]
+        assert langid.labelled(model, data, offsets, 15.0)[1].tolist() == path
+
+
+@pytest.mark.parametrize("block,warm", [(4, 0), (4, 2), (7, 7), (256, 32)])
+def test_blocks_change_no_label(monkeypatch, block, warm):
+    """Blocks agree with one walk over each text whatever they start from, texts of no words too."""
+    monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "WARM", warm)
+    rng = np.random.default_rng(block + warm)
+    for k in (1, 2, 5, 11):
+        counts = rng.integers(0, 60, 12)
+        first = np.concatenate(([0], np.cumsum(counts)))
+        scores = (rng.normal(size=(first[-1], k)) * 3).astype(np.float32)
+        start = rng.normal(size=(12, k)).astype(np.float32) * 9
+        got, last, entry = langid.viterbi_between(scores, first, 5.0, start)
+        for i in range(12):
+            v, back = start[i].astype(float), []
+            for row in scores[first[i] : first[i + 1]].astype(float):
+                best = int(v.argmax())
+                back.append([j if v[j] >= v[best] - 5 else best for j in range(k)])
+                v = np.maximum(v, v[best] - 5) + row
+            label, path = int(v.argmax()), []
+            for step in back[::-1]:
+                path.append(label)
+                label = step[label]
+            assert got[first[i] : first[i + 1]].tolist() == path[::-1] and entry[i] == label
+            assert np.abs((last[i] - last[i].max()).clip(-5) - (v - v.max()).clip(-5)).max() < 1e-2
+
+
+@pytest.mark.parametrize("k", [3, 12])
+def test_windows_change_no_label(k):
+    rng = np.random.default_rng(k)
+    counts = rng.integers(0, 5, (langid.TRIGRAMS + langid.WORDS, k)).astype(float)
+    model = langid.Model([f"l{i:02}" for i in range(k)], counts, np.ones((len(langid.KINDS), k)))
+    words = ["été", "кот", "word", "日本語", "x", "naïve", "e\u0301a"]
+    text = "".join(words[i] + " .,\n。"[j] for i, j in zip(rng.integers(0, 7, 3000), rng.integers(0, 5, 3000))) + "q" * 900 + "語" * 400 + " end"
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, first, *rest = langid.features(data, np.array([0, len(data)]))
+    whole = langid.viterbi(model.scores(starts, ends, *rest), first, 3.0)
+    _, labels, letters = langid._labelled_long(model, data, 3.0, size=400)
+    assert labels.tolist() == whole.tolist() and letters.tolist() == (ends - starts).tolist() and len(set(labels.tolist())) > 1
+    assert len(list(langid.windows(data, 400))) > 30
+
+
+def test_only_admitted_languages_are_scored():
+    scripts = np.zeros((len(langid.KINDS), 20))
+    latin, cyrillic = langid.KINDS.index("latin"), langid.KINDS.index("cyrillic")
+    scripts[latin, :12], scripts[cyrillic, 12:] = 5, 5
+    model = langid.Model([f"l{i:02}" for i in range(20)], np.ones((langid.TRIGRAMS + langid.WORDS, 20)), scripts)
+    assert model.candidates(np.array([cyrillic])).tolist() == list(range(12, 20)) and len(model.candidates(np.array([latin, cyrillic]))) == 20
+    seen, plain = [], model.scores
+    model.scores = lambda *x: seen.append(len(x[-1])) or plain(*x)
+    parts = [x.encode() for x in ("кот и пёс", "a cat", "", "кот cat")]
+    data, offsets = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+    langid.labelled(model, data, offsets, 15.0)
+    assert sorted(seen) == [8, 12, 20]
 
 
 @pytest.mark.parametrize("lang", [None, "en"])
