@@ -36,11 +36,25 @@ def first_input_per_thread(checkpoints: DataFrame, shown: int = 100) -> DataFram
     return first.select("thread_id", F.col("c.ts").alias("created_at"), preview.alias("preview"))
 
 
+#: A time as ISO 8601 writes it: a calendar date alone, or with a time of at least hours, and that with a fraction and an offset; with signs
+#: between the parts or without.
+_OFFSET = r"(?:[+-](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d(?:[.,]\d+)?)?)?)?"
+_ISO = (
+    r"^(\d{4})-(\d{2})-(\d{2})(?:[\s\S]([01]\d|2[0-3])(?::([0-5]\d)(?::[0-5]\d(?:[.,]\d+)?)?)?" + _OFFSET + r")?$",
+    r"^(\d{4})(\d{2})(\d{2})(?:[\s\S]([01]\d|2[0-3])(?::?([0-5]\d)(?::?[0-5]\d(?:[.,]\d+)?)?)?" + _OFFSET + r")?$",
+)
+
+
 def sessions_by_date(sessions: DataFrame) -> DataFrame:
     """sessions (thread_id, created_at, preview) with date and time (HH:MM), the latest date first and in it the latest
-    session, by the text of created_at. A time that can't be read is of an unknown date, which goes before all others."""
-    at = F.try_to_timestamp("created_at")
-    dated = sessions.select(F.coalesce(F.date_format(at, "yyyy-MM-dd"), F.lit(NO_DATE)).alias("date"), F.coalesce(F.date_format(at, "HH:mm"), F.lit("")).alias("time"), "thread_id", "created_at", "preview")
+    session, by the text of created_at. Date and time are those that the text says, whatever its offset or the session's time zone. A text that
+    is no whole date of the calendar, or has a time that is none, is of an unknown date, which goes before all others."""
+    text = F.replace(F.col("created_at").cast("string"), F.lit("Z"), F.lit("+00:00"))
+    iso = F.coalesce(*[F.when(text.rlike(x), F.array(*[F.regexp_extract(text, x, i) for i in range(1, 6)])) for x in _ISO])
+    day = F.concat_ws("-", *[F.col("iso")[i] for i in range(3)])
+    real = F.col("iso").isNotNull() & (F.col("iso")[0] != "0000") & F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).isNotNull()
+    clock = F.concat(F.when(F.col("iso")[3] == "", "00").otherwise(F.col("iso")[3]), F.lit(":"), F.when(F.col("iso")[4] == "", "00").otherwise(F.col("iso")[4]))
+    dated = sessions.withColumn("iso", iso).select(F.when(real, day).otherwise(NO_DATE).alias("date"), F.when(real, clock).otherwise("").alias("time"), "thread_id", "created_at", "preview")
     return dated.orderBy(F.col("date").desc(), F.col("created_at").desc(), "thread_id")
 
 

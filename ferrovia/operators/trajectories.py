@@ -70,20 +70,94 @@ def simplified(xy: np.ndarray, limit: float = 0.0005) -> np.ndarray:
     return xy[[*kept, len(xy) - 1]]
 
 
+class FreeEnds:
+    """Both ends of lines in a grid of about two to a cell, from which lines are taken out; the nearest to a point is found ring by ring."""
+
+    def __init__(self, starts: np.ndarray, ends: np.ndarray):
+        self.xy = np.concatenate([starts, ends])
+        self.n, self.alive, self.left = len(starts), np.ones(len(starts), bool), len(starts)
+        spread = np.ptp(self.xy, axis=0)
+        self.origin = self.xy.min(axis=0)
+        self.width = max(float(np.sqrt(max(spread[0], 1e-9) * max(spread[1], 1e-9) / max(1, self.n))), float(spread.max()) / (1 << 20), 1e-9)
+        self.cells: dict[tuple[int, int], np.ndarray] = {}
+        at = np.floor((self.xy - self.origin) / self.width).astype(np.int64)
+        order = np.lexsort((at[:, 1], at[:, 0]))
+        edges = np.flatnonzero(np.concatenate(([True], (np.diff(at[order], axis=0) != 0).any(axis=1))))
+        for i, j in zip(edges, [*edges[1:], len(order)]):
+            self.cells[tuple(at[order[i]].tolist())] = order[i:j]
+        self.high = at.max(axis=0)
+        # the least km of a degree of longitude anywhere here
+        self.km = 111 * min(1.0, float(np.cos(np.radians(min(90.0, np.abs(self.xy[:, 1]).max())))))
+
+    def take(self, line: int) -> None:
+        self.alive[line] = False
+        self.left -= 1
+
+    def _ring(self, x: int, y: int, r: int):
+        if r == 0:
+            return [(x, y)] if (x, y) in self.cells else []
+        if (2 * r + 1) ** 2 > 4 * len(self.cells):  # fewer cells are left than the ring has
+            return [c for c in self.cells if max(abs(c[0] - x), abs(c[1] - y)) == r]
+        low, high = max(0, x - r), min(int(self.high[0]), x + r)
+        out = [(i, j) for j in (y - r, y + r) if 0 <= j <= self.high[1] for i in range(low, high + 1)]
+        out += [(i, j) for i in (x - r, x + r) if 0 <= i <= self.high[0] for j in range(max(0, y - r + 1), min(int(self.high[1]), y + r - 1) + 1)]
+        return [c for c in out if c in self.cells]
+
+    def nearest(self, point: np.ndarray, ends_first: bool, most_km: float) -> tuple[float, int, int] | None:
+        """(km, which, line) of the nearest end closer than most_km: which is 0 for the kind that goes first of equals (ends or starts), 1 for
+        the other, then the first line of equals."""
+        if not self.left:
+            return None
+        x, y = np.floor((point - self.origin) / self.width).astype(np.int64).tolist()
+        first, r = max(-x, x - int(self.high[0]), -y, y - int(self.high[1]), 0), 0
+        best, limit, r = None, most_km, first
+        last = max(x, int(self.high[0]) - x, y, int(self.high[1]) - y)
+        while r <= last and (r - 1) * self.width * self.km <= limit:
+            for c in self._ring(x, y, r):
+                held = self.cells[c]
+                live = held[self.alive[held % self.n]]
+                if len(live) < len(held):
+                    if not len(live):
+                        del self.cells[c]
+                        continue
+                    self.cells[c] = live
+                km = km_between(point, self.xy[live])
+                which = (live >= self.n) != ends_first
+                i = np.lexsort((live % self.n, which, km))[0]
+                found = float(km[i]), int(which[i]), int(live[i] % self.n)
+                if found[0] < most_km and (best is None or found < best):
+                    best, limit = found, found[0]
+            r += 1
+        return best
+
+
 def attached(lines: list[np.ndarray], threshold_km: float) -> np.ndarray:
     """To the first line, again and again, the one whose end is closest to a free end is joined while that is
-    nearer than the threshold; a joined line loses its meeting vertex."""
-    out, left = lines[0], list(lines[1:])
-    while left:
-        starts, ends = np.array([x[0] for x in left]), np.array([x[-1] for x in left])
-        ways = np.stack([km_between(out[-1], starts), km_between(out[-1], ends), km_between(out[0], ends), km_between(out[0], starts)])
-        way, i = np.unravel_index(int(ways.argmin()), ways.shape)
-        if not ways[way, i] < threshold_km:
-            break
-        line = left.pop(i)
-        line = line if way in (0, 2) else line[::-1]
-        out = np.concatenate([out, line[1:]] if way < 2 else [line[:-1], out])
-    return out
+    nearer than the threshold; a joined line loses its meeting vertex. Free ends stand in a grid, what is nearest to either end of
+    the line is looked up again only after that end moved or its line was taken, and all are put together once."""
+    if len(lines) < 2:
+        return lines[0]
+    rest = lines[1:]
+    free = FreeEnds(np.array([x[0] for x in rest]), np.array([x[-1] for x in rest]))
+    before, after = [], [lines[0]]
+    head, tail = lines[0][0], lines[0][-1]
+    at_tail, at_head = free.nearest(tail, False, threshold_km), free.nearest(head, True, threshold_km)
+    while at_tail or at_head:
+        on_tail = at_head is None or at_tail is not None and at_tail[0] <= at_head[0]
+        _, which, i = at_tail if on_tail else at_head
+        line = rest[i] if which == 0 else rest[i][::-1]
+        free.take(i)
+        if on_tail:
+            after.append(line[1:])
+            tail = line[-1] if len(line) > 1 else tail
+        else:
+            before.append(line[:-1])
+            head = line[0] if len(line) > 1 else head
+        if on_tail or at_tail is not None and at_tail[2] == i:
+            at_tail = free.nearest(tail, False, threshold_km)
+        if not on_tail or at_head is not None and at_head[2] == i:
+            at_head = free.nearest(head, True, threshold_km)
+    return np.concatenate([*before[::-1], *after])
 
 
 def merged(lines: list[np.ndarray], threshold_km: float) -> np.ndarray:

@@ -447,9 +447,10 @@ def c2_clear_session(spark, sf_dir):
     return chat.clear_session(history, history.where("role = 'system'")).select("thread_id", "turn")
 
 
-#: A checkpoint after each message; some have a time that can't be read.
-CHECKPOINTS = MESSAGES + """, c AS (SELECT thread_id, turn AS seq, CASE WHEN role = 'user' THEN 'input' ELSE 'loop' END AS source, CASE WHEN n % 17 = 3 THEN 'none'
-ELSE concat('2025-0', CAST(n % 9 + 1 AS VARCHAR), '-1', CAST(n % 7 AS VARCHAR), 'T0', CAST(n % 5 AS VARCHAR), ':3', CAST(turn % 10 AS VARCHAR), ':1', CAST(n % 6 AS VARCHAR)) END AS ts, role, content
+#: A checkpoint after each message; some have a time that can't be read, half a date, a date that isn't one, or an offset.
+_TS = """CASE n % 17 WHEN 3 THEN 'none' WHEN 5 THEN '2025-03' WHEN 6 THEN '23:30' WHEN 9 THEN '2025-02-30T01:02:03' WHEN 7 THEN '2025-01-01T23:30:00+08:00' WHEN 8 THEN '2024-12-31 00:10:00.5Z'
+ELSE concat('2025-0', CAST(n % 9 + 1 AS STRING), '-1', CAST(n % 7 AS STRING), 'T0', CAST(n % 5 AS STRING), ':3', CAST(turn % 10 AS STRING), ':1', CAST(n % 6 AS STRING)) END"""
+CHECKPOINTS = MESSAGES + f""", c AS (SELECT thread_id, turn AS seq, CASE WHEN role = 'user' THEN 'input' ELSE 'loop' END AS source, {_TS} AS ts, role, content
 FROM (SELECT *, length(thread_id) * 31 + length(content) AS n FROM v_messages) x),
 f AS (SELECT thread_id, arg_min(ts, seq) AS created_at, min(seq) AS seq FROM c WHERE source = 'input' GROUP BY thread_id),
 s AS (SELECT f.thread_id, f.created_at, CASE WHEN x.content = '' THEN '新对话' ELSE substr(x.content, 1, 100) END AS preview FROM f JOIN (SELECT thread_id, arg_min(content, seq) AS content FROM c GROUP BY thread_id) x ON f.thread_id = x.thread_id)
@@ -457,13 +458,15 @@ s AS (SELECT f.thread_id, f.created_at, CASE WHEN x.content = '' THEN '新对话
 
 
 def checkpoints(spark, sf_dir):
-    """A thread's checkpoint after each of its messages holds all up to that."""
-    n = F.length("thread_id") * 31 + F.length("content")
-    ts = F.when(n % 17 == 3, "none").otherwise(F.concat(F.lit("2025-0"), (n % 9 + 1).cast("string"), F.lit("-1"), (n % 7).cast("string"), F.lit("T0"), (n % 5).cast("string"), F.lit(":3"), (F.col("turn") % 10).cast("string"), F.lit(":1"), (n % 6).cast("string")))
+    """A thread's checkpoint after each of its messages. The last one holds all of them; of the others nothing reads more than the first
+    message, so they hold that alone."""
     message = F.struct("role", "content", (F.col("role").eqNullSafe("assistant") & (F.length("content") % 3 == 0)).alias("has_tool_calls"))
-    so_far = F.collect_list(message).over(Window.partitionBy("thread_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
-    source = F.when(F.col("role") == "user", "input").otherwise("loop")
-    return view(spark, sf_dir, "v_messages").select("thread_id", F.col("turn").cast("long").alias("seq"), ts.alias("ts"), source.alias("source"), so_far.alias("messages"))
+    rows = view(spark, sf_dir, "v_messages").withColumn("n", F.length("thread_id") * 31 + F.length("content")).withColumn("message", message)
+    threads = rows.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("turn", "message"))).alias("all"), F.max("turn").alias("last"))
+    held = F.transform("all", lambda x: x["message"])
+    messages = F.when(F.col("turn") == F.col("last"), held).otherwise(F.slice(held, 1, 1)).alias("messages")
+    source = F.when(F.col("role") == "user", "input").otherwise("loop").alias("source")
+    return rows.join(threads, "thread_id").select("thread_id", F.col("turn").cast("long").alias("seq"), F.expr(_TS).alias("ts"), source, messages)
 
 
 @query(CHECKPOINTS + "SELECT thread_id, created_at, preview FROM s")
@@ -471,7 +474,8 @@ def c3_first_input_per_thread(spark, sf_dir):
     return chat.first_input_per_thread(checkpoints(spark, sf_dir))
 
 
-@query(CHECKPOINTS + "SELECT CASE WHEN created_at = 'none' THEN '未知日期' ELSE substr(created_at, 1, 10) END AS date, CASE WHEN created_at = 'none' THEN '' ELSE substr(created_at, 12, 5) END AS time, thread_id, created_at, preview FROM s")
+@query(CHECKPOINTS + """SELECT CASE WHEN bad THEN '未知日期' ELSE substr(created_at, 1, 10) END AS date, CASE WHEN bad THEN '' ELSE substr(created_at, 12, 5) END AS time, thread_id, created_at, preview
+FROM (SELECT *, created_at IN ('none', '2025-03', '23:30', '2025-02-30T01:02:03') AS bad FROM s) x""")
 def c4_sessions_by_date(spark, sf_dir):
     return chat.sessions_by_date(chat.first_input_per_thread(checkpoints(spark, sf_dir)))
 
@@ -498,6 +502,19 @@ def j15_retrieve_topk(spark, sf_dir):
     return hits.select("query_id", "chunk_id", "rank")
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.query_id, c.vec_id AS chunk_id, list_cosine_similarity(q.e, c.embedding) AS similarity FROM q JOIN embeddings c ON c.vec_id % 20 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, chunk_id) AS rank FROM s WHERE similarity >= 0.4),
+t AS (SELECT query_id, string_agg(concat(CAST(rank AS VARCHAR), '. chunk ', CAST(chunk_id AS VARCHAR), CASE chunk_id % 3 WHEN 0 THEN concat('（来源: file ', CAST(chunk_id % 7 AS VARCHAR), '）') ELSE '' END), concat(chr(10), chr(10)) ORDER BY rank) AS text FROM r WHERE rank <= 5 GROUP BY query_id)
+SELECT q.query_id, coalesce(t.text, '未找到相关消息') AS text FROM q LEFT JOIN t ON q.query_id = t.query_id""")
+def j15_hit_texts(spark, sf_dir):
+    """What each query is told; queries find no chunk among themselves, some none at all, and some chunks have no source or an empty one."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    chunks, asked = rows.where("vec_id % 20 <> 0").withColumnRenamed("vec_id", "chunk_id"), rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    source = F.when(F.col("chunk_id") % 3 == 0, F.concat(F.lit("file "), (F.col("chunk_id") % 7).cast("string"))).when(F.col("chunk_id") % 3 == 1, "")
+    texts = chunks.select("chunk_id", F.concat(F.lit("chunk "), F.col("chunk_id").cast("string")).alias("content"), source.alias("source"))
+    return retrieval.format_hits(retrieval.retrieve_topk(chunks, asked, threshold=0.4), texts, asked)
+
+
 @query()
 def g17_match_lines(spark, sf_dir):
     """Lines are the routes with the stations that J9 finds on them; trains ride over normalized names."""
