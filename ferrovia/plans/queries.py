@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import chat, journeys, lines, network, profile, retrieval, segments as track, timetable, trajectories
-from ..sources.stored import spread, stored
+from ..sources import files, text_export
+from ..sources.stored import scratch, spread, stored
 from ..streaming import pages
 from .views import also, duck, view
 
@@ -431,6 +432,15 @@ def a19_cleaning_details(spark, sf_dir):
     return profile.cleaning_details(cleaned_docs(spark, sf_dir))
 
 
+@query("SELECT concat('doc', CAST(doc_id AS VARCHAR), '_清理后.txt') AS file_name, coalesce(text, '') AS text FROM documents")
+def io12_text_export(spark, sf_dir):
+    """Every document written as a text file, and the files read back; the shared folder must be a mount."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), "text")
+    folder = scratch(spark, "documents")
+    text_export.write_text_files(docs, folder.removeprefix("file://").removeprefix("file:"))
+    return files.read_text_corpus(spark, folder).select("file_name", "text")
+
+
 MESSAGES = duck("v_messages")
 
 

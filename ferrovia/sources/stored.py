@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _shared(spark: SparkSession) -> None:
+    """Sees to it that checkpoints have a folder: the one that spark.checkpoint.dir names, or a temporary one on a local master."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not spark.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of checkpoints; it is deleted when the application ends."""
+    _shared(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df computed once, its lineage cut, in the folder that spark.checkpoint.dir names (a temporary one
     is set where it is unset on a local master)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 

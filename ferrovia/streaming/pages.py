@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -270,13 +270,23 @@ def city_station_totals(cities: DataFrame) -> DataFrame:
 
 def ingest_pages(spark: SparkSession, source: str, target: str, checkpoint: str, files_at_once: int = 10) -> None:
     """Stop tables of new page files (Parquet: page_id, url, html) appended to target/stops, pages without
-    one to target/failed. A stopped ingest goes on at its checkpoint; batches are told apart by number, so a
-    batch that is done again takes the place of the first."""
+    one to target/failed, and how many there were of both to target/counts, taken as they are written. A stopped ingest goes on at its
+    checkpoint; batches are told apart by number, so a batch that is done again takes the place of the first, its counts too."""
 
     def batch(df: DataFrame, number: int) -> None:
         found = df.select("page_id", "url", extract_stop_table("html").alias("stops"))
-        found.where(F.col("stops").isNotNull()).write.mode("overwrite").parquet(f"{target}/stops/batch={number}")
-        found.where(F.col("stops").isNull()).select("page_id", "url").write.mode("overwrite").parquet(f"{target}/failed/batch={number}")
+        good, bad = Observation(f"good-{number}"), Observation(f"bad-{number}")
+        n = F.count(F.lit(1)).alias("n")
+        found.where(F.col("stops").isNotNull()).observe(good, n).write.mode("overwrite").parquet(f"{target}/stops/batch={number}")
+        found.where(F.col("stops").isNull()).select("page_id", "url").observe(bad, n).write.mode("overwrite").parquet(f"{target}/failed/batch={number}")
+        counts = df.sparkSession.range(1).select(F.lit(good.get["n"]).cast("long").alias("ok"), F.lit(bad.get["n"]).cast("long").alias("failed"))
+        counts.write.mode("overwrite").parquet(f"{target}/counts/batch={number}")
 
     stream = spark.readStream.schema("page_id long, url string, html string").option("maxFilesPerTrigger", files_at_once).parquet(source)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def ingest_totals(spark: SparkSession, target: str) -> DataFrame:
+    """(batches, ok, failed) of all that ingest_pages has written to target, over every run."""
+    counts = spark.read.parquet(f"{target}/counts")
+    return counts.agg(F.count(F.lit(1)).alias("batches"), F.sum("ok").alias("ok"), F.sum("failed").alias("failed"))

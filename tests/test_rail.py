@@ -1,4 +1,6 @@
 import json
+import os
+import shutil
 import struct
 
 import numpy as np
@@ -160,6 +162,14 @@ def test_resumed_ingest_equals_one_run(spark, tmp_path):
     pages.ingest_pages(spark, source, target, mark, files_at_once=1)
     assert sorted((r.page_id, [tuple(s) for s in r.stops]) for r in spark.read.parquet(f"{target}/stops").collect()) == [(1, [(1, "丙")]), (3, [(1, "丙")])]
     assert [r.page_id for r in spark.read.parquet(f"{target}/failed").collect()] == [2]
+    assert tuple(pages.ingest_totals(spark, target).first()) == (2, 2, 1)
+    # a run that stopped before it could say that its last batch was done does that again
+    shutil.rmtree(f"{target}/counts/batch=1")
+    os.remove(f"{mark}/commits/1")
+    for x in (f"{mark}/commits/.1.crc",):
+        os.path.exists(x) and os.remove(x)
+    pages.ingest_pages(spark, source, target, mark, files_at_once=1)
+    assert tuple(pages.ingest_totals(spark, target).first()) == (2, 2, 1)
 
 
 def test_nearest_node_far_and_near(spark):
