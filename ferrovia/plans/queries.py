@@ -392,23 +392,31 @@ def a13_table_profile(spark, sf_dir):
 _SPACE = r"\t\n\x{0B}\f\r \x{85}\p{Z}"
 
 
-def _re2(pattern: str) -> str:
-    out = pattern.replace("(?mdU)", "(?m)").replace("(?U)", "").replace(r"[\s", f"[{_SPACE}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]").replace(r"\d", r"\p{Nd}")
-    return "'" + out.replace("'", "''") + "'"
-
-
-def _clean_sql() -> str:
-    out = "text"
-    for _, pattern, to in text.HEADINGS_KEPT + text.RULES:
-        new = "concat(" + ", chr(10), ".join("'" + x.replace("$1", r"\1") + "'" for x in to.split("\n")) + ")"
-        out = f"regexp_replace({out}, {_re2(pattern)}, {new}, 'g')"
-    lines = f"list_filter(string_split({out}, chr(10)), lambda x: NOT regexp_matches(x, {_re2(text.SYMBOLS_ONLY)}) AND NOT regexp_matches(x, {_re2(text.URL_ONLY)}))"
-    return f"regexp_replace(array_to_string({lines}, chr(10)), '^[{_SPACE}]+|[{_SPACE}]+\\z', '', 'g')"
-
-
-CLEANED = duck("v_dirty_docs") + f""", c AS (SELECT doc_id, text AS old, {_clean_sql()} AS text FROM v_dirty_docs),
+#: What cleaning does, written out for RE2 on its own, so that a wrong or missing rule of the library shows; {s} is a class of white space.
+_HEADED = ((r"(?m)^##{s}*(.+)$", r"concat(chr(10), '=== \1 ===', chr(10))"), (r"(?m)^###{s}*(.+)$", r"concat(chr(10), '--- \1 ---', chr(10))"), (r"(?m)^####{s}*(.+)$", r"concat(chr(10), '*** \1 ***', chr(10))"))
+_BARE = ((r"(?m)^#{{1,6}}{s}*", "''"),)
+_STEPS = (
+    (r"\[([^\]]+)\]\(https?://[^)]+\)", r"'\1'"), (r"\[!\[[^\]]*\]\([^)]+\)\]\([^)]+\)", "''"), (r"\[!\[[^\]]*\]\([^)]+\)", "''"), (r"!\[[^\]]*\]\([^)]+\)", "''"),
+    (r"\[\[\p{{Nd}}+\]\]\(https?://[^)]+\)", "''"), (r"\[\[\p{{Nd}}+\]\]", "''"), (r"<[^>]+>", "''"), (r"[\x{{200B}}-\x{{200D}}\x{{FEFF}}]", "''"), (r" {{2,}}", "' '"), (r"\t", "'    '"),
+    (r"\n{{3,}}", "concat(chr(10), chr(10))"), (r"(?m)^-{s}*\[\p{{Nd}}+\.?\p{{Nd}}*{s}*[^\]]*\]\(https?://[^)]+\){s}*$", "''"), (r"(?m)^-{s}*\[\p{{Nd}}+\.?\p{{Nd}}*{s}*[^\]]*\]{s}*$", "''"),
+)
+
+
+def _clean_sql(heads) -> str:
+    out, space = "text", f"[{_SPACE}]"
+    for pattern, new in (*heads, *_STEPS):
+        out = f"regexp_replace({out}, '{pattern.format(s=space)}', {new}, 'g')"
+    lines = f"list_filter(string_split({out}, chr(10)), lambda x: NOT regexp_matches(x, '^[{_SPACE}|*=#-]*\\z') AND NOT regexp_matches(x, '^{space}*https?://[^{_SPACE}]+{space}*\\z'))"
+    return f"regexp_replace(array_to_string({lines}, chr(10)), '^{space}+|{space}+\\z', '', 'g')"
+
+
+def _cleaned(heads) -> str:
+    return duck("v_dirty_docs") + f""", c AS (SELECT doc_id, text AS old, {_clean_sql(heads)} AS text FROM v_dirty_docs),
 z AS (SELECT doc_id, CAST(length(old) AS BIGINT) AS original_size, text, CAST(length(text) AS BIGINT) AS new_size FROM c)
 """
+
+
+CLEANED = _cleaned(_HEADED)
 REDUCTION = "CASE WHEN original_size > 0 THEN (1 - new_size / original_size) * 100 ELSE 0e0 END"
 
 
@@ -421,6 +429,12 @@ def p19_clean_text(spark, sf_dir):
     return cleaned_docs(spark, sf_dir).withColumn("reduction", F.round("reduction", 6))
 
 
+@query(_cleaned(_BARE) + "SELECT doc_id, text FROM z")
+def p19_clean_text_plain(spark, sf_dir):
+    """Cleaned without the structure: signs of headings go."""
+    return spread(view(spark, sf_dir, "v_dirty_docs")).select("doc_id", text.clean_text(F.col("text"), keep_structure=False).alias("text"))
+
+
 @query(CLEANED + f"""SELECT CAST(count(*) AS BIGINT) AS files, CAST(count(text) AS BIGINT) AS ok, CAST(count(*) - count(text) AS BIGINT) AS failed, 100e0 AS success, CAST(sum(original_size) AS BIGINT) AS original_size,
 CAST(sum(new_size) AS BIGINT) AS new_size, round((1 - sum(new_size) / sum(original_size)) * 100, 4) AS reduction, round(avg({REDUCTION}), 4) AS mean_reduction FROM z""")
 def a19_cleaning_report(spark, sf_dir):
