@@ -903,7 +903,13 @@ def g4_simplify_trajectory(spark, sf_dir):
     return by_vertex(twice.select("route", trajectories.simplify_trajectory("points").alias("points")))
 
 
-@query()
+@query(STEPS + """, cu AS (SELECT s.route, s.idx, p.lng, p.lat, sum(step_km) OVER (PARTITION BY s.route ORDER BY s.idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM s JOIN v_route_points p ON s.route = p.route AND s.idx = p.idx),
+r AS (SELECT route, count(*) AS n, max(cum) AS km, greatest(2, CAST(floor(max(cum) * 25 / 100) AS BIGINT)) AS target FROM cu GROUP BY route),
+w AS (SELECT route, n, k, k * km / (target - 1) AS wanted FROM (SELECT *, unnest(generate_series(1, target + 1)) AS k FROM r WHERE target < n AND km >= 0.01e0) x),
+v AS (SELECT w.route, w.n, w.k, coalesce(cu.idx, w.n) AS v FROM w ASOF LEFT JOIN cu ON w.route = cu.route AND w.wanted <= cu.cum),
+h AS (SELECT route, n, k + max(v - k) OVER (PARTITION BY route ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS idx FROM v),
+e AS (SELECT route, idx FROM h WHERE idx < n - 1 UNION SELECT route, 0 FROM r UNION SELECT route, n - 1 FROM r UNION SELECT cu.route, cu.idx FROM cu JOIN r ON cu.route = r.route WHERE r.target >= r.n OR r.km < 0.01e0)
+SELECT cu.route, CAST(row_number() OVER (PARTITION BY cu.route ORDER BY cu.idx) - 1 AS BIGINT) AS at, cu.lng, cu.lat FROM e JOIN cu ON e.route = cu.route AND e.idx = cu.idx""")
 def g8_downsample(spark, sf_dir):
     return by_vertex(whole_routes(spark, sf_dir).select("route", trajectories.downsample("points").alias("points")))
 
