@@ -205,12 +205,14 @@ def io11_code_class_lines(spark, sf_dir):
 
 @query(CODED + "SELECT train_code AS name, train_class AS class, CAST(n_stops AS INT) AS station_count, stations AS station_list FROM trains")
 def io7_read_train_info(spark, sf_dir):
-    """A file for each train as people write them: in a fence or not, alone, in a list or under trains, with items of lists unquoted or a comma at the end."""
-    rows = trains(spark, sf_dir).withColumn("n", F.length("train_code") + F.col("ord"))
+    """A file for every 2,000 numbers of trains as people write them: a list or under trains, in a fence or not, with items of lists unquoted, or a comma at the end."""
+    rows = trains(spark, sf_dir)
     pairs = F.array_join(F.transform("stations", lambda x, i: F.concat(F.lit('"'), (i + 1).cast("string"), F.lit('": "'), x, F.lit('"'))), ", ")
     one = F.concat(F.lit('{"name": "'), "train_code", F.lit('", "class": "'), "train_class", F.lit('", "station_count": '), F.col("n_stops").cast("string"), F.lit(', "line_names": [京沪线, "b"], "stations": {'), pairs, F.lit("}}"))
-    text = F.when(F.col("n") % 4 == 0, one).when(F.col("n") % 4 == 1, F.concat(F.lit("["), one, F.lit("],\n"))).when(F.col("n") % 4 == 2, F.concat(F.lit('{"trains": ['), one, F.lit("]}"))).otherwise(F.concat(F.lit("```json\n"), one, F.lit("\n```")))
-    folder = written_texts(spark, rows.select(F.concat("train_code", F.lit(".json")).alias("file_name"), text.alias("text")), "train-info")
+    parts = rows.groupBy(F.floor(F.col("ord") / 2000).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("train_code", one.alias("e")))), lambda x: x["e"]), ",\n").alias("all"))
+    listed, under = F.concat(F.lit("["), "all", F.lit("]")), F.concat(F.lit('{"trains": ['), "all", F.lit("]}"))
+    text = F.when(F.col("part") % 3 == 0, F.concat(F.lit("```json\n"), listed, F.lit("\n```"))).when(F.col("part") % 3 == 1, under).otherwise(F.concat(listed, F.lit(",\n")))
+    folder = written_texts(spark, parts.select(F.concat("part", F.lit(".json")).alias("file_name"), text.alias("text")), "train-info")
     return files.read_train_info_lenient(spark, folder).select("name", "class", "station_count", F.array_join("station_list", "|").alias("station_list"))
 
 
