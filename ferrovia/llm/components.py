@@ -1,5 +1,5 @@
 """Connected components of a table of links: each task contracts its own links, then large-star and
-small-star steps alternate until nothing changes."""
+small-star steps alternate until every node is tied to one that is tied to none."""
 
 from __future__ import annotations
 
@@ -62,44 +62,54 @@ def _contracted(edges: DataFrame) -> DataFrame:
 
 
 def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return edges.select(F.explode(ways).alias("way")).select("way.a", "way.b")
 
 
 def _star(edges: DataFrame, large: bool, hot: int | None) -> DataFrame:
     """One step over (a, b): large-star ties the larger neighbours of a node to the least of
-    its closed neighbourhood, small-star the smaller ones and the node itself. Nodes of more than `hot` links,
-    if any, meet their least by broadcast, so no task gets all links of one."""
-    both = _both(edges)
-    near = both if large else both.where(F.col("b") < F.col("a"))
+    its closed neighbourhood, small-star the smaller ones and the node itself. A link gives one link at most, so they don't grow.
+    Nodes of more than `hot` links, if any, meet their least by broadcast, so no task gets all links of one."""
+    near = _both(edges) if large else edges  # b < a in all links
     least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
     asking = near.where(F.col("b") > F.col("a")) if large else near
     if hot is None:
-        tied = asking.join(least.select("a", "m"), "a")
+        met = asking.join(least.select("a", "m"), "a")
     else:
         few = F.broadcast(least.where(F.col("n") > hot).select("a", "m"))
         cold = asking.join(few.select("a"), "a", "left_anti").join(least.where(F.col("n") <= hot).select("a", "m"), "a")
-        tied = cold.select("a", "b", "m").union(asking.join(few, "a").select("a", "b", "m"))
-    out = tied.select(F.col("b").alias("x"), F.col("m").alias("y"))
-    if not large:
-        out = out.union(least.select("a", "m"))
-    return out.where(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        met = cold.select("a", "b", "m").union(asking.join(few, "a").select("a", "b", "m"))
+    if large:
+        out = met.select("b", "m")
+    else:  # the least one's own link ties the node, the others' tie them
+        out = met.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("b"), "m")
+    return out.toDF("a", "b").where(F.col("a") != F.col("b"))
+
+
+def _unsettled(edges: DataFrame) -> tuple[int, int]:
+    """(nodes that are tied to several others, or to one that is tied itself; the most links of a node): repeats of a link count
+    as links."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.lit(None).cast(edges.schema["b"].dataType).alias("to")))
+    seen = edges.select(F.explode(ends).alias("end")).select("end.node", "end.to")
+    counts = seen.groupBy("node").agg(F.min("to").alias("least"), F.max("to").alias("most"), F.count("to").alias("up"), F.count(F.lit(1)).alias("n"))
+    open_ = (F.col("up") > 0) & ((F.col("least") != F.col("most")) | (F.col("n") > F.col("up")))
+    n, most = counts.agg(F.count(F.when(open_, 1)), F.max("n")).first()
+    return n, most or 0
 
 
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) to (node, component): the least node that can be reached. Only nodes with
-    a link to another node appear; null ends are passed over. Every round is a written table; what the driver
-    reads of it is three numbers."""
-    edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = written(_contracted(edges), "links"), None
+    a link to another node appear; null ends are passed over. Every round is a written table, contracted by the tasks that
+    read it: the fewer its bytes, the fewer these are and the more each of them sees. What the driver reads of a round is two numbers."""
+    edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     for _ in range(MOST_ROUNDS):
-        degrees = _both(edges.distinct()).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("sum"))
-        n, total, most = degrees.agg(F.sum("n"), F.sum("sum"), F.max("n")).first()
-        if (n, total) == before or not n:
+        edges = written(_contracted(written(edges, "links")), "contracted")
+        n, most = _unsettled(edges)
+        if not n:
             break
-        before = n, total
-        hot = max(HOT, n // MOST_HOT)
+        hot = max(HOT, edges.count() // MOST_HOT)
         hot = hot if most > hot else None
-        edges = written(_contracted(_star(_star(edges, True, hot), False, hot)), "links")
+        edges = _star(_star(edges, True, hot), False, hot)
     else:
         raise RuntimeError(f"components not settled in {MOST_ROUNDS} rounds")
     edges = edges.distinct()

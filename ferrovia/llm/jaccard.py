@@ -11,8 +11,8 @@
    Sets that meet, directly or through others, are a block, unless they are too many.
 3. In a block too large for one task the least set is held against all others first, a few times over; those
    that link are joined and don't meet one another again.
-4. In a block: T-occurrence search. Short inverted lists are merged by a heap, long
-   ones set aside by DivideSkip and probed by binary search, and sets that reach the
+4. In a block: T-occurrence search. Short inverted lists are counted, long ones set aside by
+   DivideSkip and probed by binary search (counted where many sets ask), and sets that reach the
    overlap that the sizes ask for are linked. A large block is cut by size into chunks
    of bounded bytes, and pairs of chunks are searched.
 5. Components of the links; members of a set share its fate.
@@ -20,7 +20,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -45,6 +44,8 @@ MOST_IN_COMPONENT = 32 * CHUNK
 ROUNDS = 3
 #: A chunk's number holds the round in which its sets were joined (0 if they are not) above so many bits.
 GROUP_BITS = 40
+#: A binary search takes as long as counting so many postings.
+PROBE = 32
 #: Sets whose digests are kept in a task to leave out repeats; then it starts anew.
 KEPT_SETS = 500_000
 #: Parts that HOT texts or more of one in SAMPLED hold are counted without gathering them; MOST_HOT of them are broadcast
@@ -212,13 +213,21 @@ def contents(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "set_id binary, hashes binary")
 
 
+def _postings(postings: np.ndarray, begin: np.ndarray, stop: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """The lists, one after the other."""
+    lengths = stop[lists] - begin[lists]
+    ends = np.cumsum(lengths)
+    return postings[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[lists] - ends + lengths, lengths)]
+
+
 def search(sets: list[np.ndarray], percent: int, split: int | None = None, mu: float = 0.01, spanning: bool = True, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """T-occurrence search among sets in ascending order of size; links as pairs of places.
 
     Each set asks for sets at or after its place that share T of its shingles, T being
     what the least of those needs. Its longest lists (L of them, by the DivideSkip rule) are
-    set aside; the others are merged by a heap, and a set that occurs T - L times in them is
-    sought in the long lists by binary search. With `split`, only pairs across that place
+    set aside; how often a set occurs in the others is counted, leaving out those that are joined to it already, and sets
+    that occur T - L times are sought in the long lists: by binary search where they are few, else by counting those
+    lists too. With `split`, only pairs across that place
     count; with `side`, only pairs of different sides. With `spanning`, a pair whose members are joined by links already is left
     out, so components are the same and the links at most one less than the sets; without,
     all links come.
@@ -261,30 +270,31 @@ def search(sets: list[np.ndarray], percent: int, split: int | None = None, mu: f
         aside = min(t_low - 1, int(t_low / (mu * math.log2(longest) + 1)))
         long, short = lists[:aside], lists[aside:]
         need = t_low - aside
-        counts: dict[int, int] = {}
-        last, times = -1, 0
-        for c in heapq.merge(*(postings[begin[s] + np.searchsorted(postings[begin[s] : stop[s]], low) : stop[s]].tolist() for s in short)):
-            if c >= end:
-                break
-            if c == last:
-                times += 1
-            else:
-                if times >= need:
-                    counts[last] = times
-                last, times = c, 1
-        if times >= need:
-            counts[last] = times
-        for c, times in counts.items():
-            if spanning and label[c] == label[q] or side is not None and side[c] == side[q]:
-                continue
-            wanted = least_overlap(size, int(sizes[c]), percent)
-            found = np.searchsorted(probe, long * n + c)
+        c = _postings(postings, begin, stop, short)
+        c = c[(c >= low) & (c < end)]
+        if spanning:
+            c = c[label[c] != label[q]]
+        if side is not None:
+            c = c[side[c] != side[q]]
+        times = np.bincount(c - low, minlength=end - low)
+        c = np.flatnonzero(times >= need)
+        times, c = times[c], c + low
+        if not len(c):
+            continue
+        if len(c) * len(long) * PROBE > int((stop[long] - begin[long]).sum()):
+            times = times + np.bincount(_postings(postings, begin, stop, long), minlength=n)[c]
+        elif len(long):
+            asked = (long * n + c[:, None]).ravel()
+            found = np.searchsorted(probe, asked)
             found[found == len(probe)] = 0
-            if times + int(np.count_nonzero(probe[found] == long * n + c)) >= wanted:
-                links.append((q, c))
-                if spanning:
-                    a, b = label[q], label[c]
-                    label[label == b] = a
+            times = times + (probe[found] == asked).reshape(len(c), len(long)).sum(1)
+        for c in c[times >= least_overlap(size, sizes[c], percent)].tolist():
+            if spanning and label[c] == label[q]:
+                continue
+            links.append((q, c))
+            if spanning:
+                a, b = label[q], label[c]
+                label[label == b] = a
     return links
 
 

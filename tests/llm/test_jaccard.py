@@ -159,3 +159,44 @@ def test_copies_of_one_text_are_joined_without_meeting_each_other(spark, monkeyp
     assert every >= 100 and groups > 1 and left < every
     assert jaccard.set_links(docs, 3, 90, spanning=False).count() > 1000  # all links still come when asked for, and by no round
     assert len(seen) == 1
+
+
+def test_near_copies_that_share_most_lists_are_searched_by_counts():
+    """900 sets that share most of their shingles: a heap merged nearly all of them for each one."""
+    import time
+
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    base = r.integers(0, 1 << 60, 150).astype(np.uint64)
+    sets = []
+    for i in range(900):
+        x = base.copy()
+        x[r.choice(150, int(r.integers(0, 24)), replace=False)] = i
+        sets.append(np.unique(x))
+    sets.sort(key=len)
+    began = time.process_time()
+    found = jaccard.search(sets, 90)
+    every = set(jaccard.search(sets, 90, spanning=False))
+    took = time.process_time() - began
+    held = np.array([np.isin(np.append(base, np.arange(900, dtype=np.uint64)), x) for x in sets]).astype(int)
+    both, sizes = held @ held.T, np.array([len(x) for x in sets])
+    wanted = np.argwhere(np.triu(100 * both >= 90 * (sizes[:, None] + sizes - both), 1))
+    assert every == {tuple(x) for x in wanted.tolist()} and every.issuperset(found)
+    label, joined = np.arange(900), np.arange(900)
+    for links, of in ((wanted.tolist(), label), (found, joined)):
+        for i, j in links:
+            of[of == of[j]] = of[i]
+    assert len(set(label.tolist())) == len(set(joined.tolist())) == 900 - len(found)
+    assert took < 4
+
+
+def test_links_that_are_settled_take_no_round(spark, monkeypatch):
+    from ferrovia.llm import components
+
+    def star(*_):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(components, "_star", star)
+    links = spark.createDataFrame([(i // 40 * 40, i) for i in range(200) if i % 40] * 2, "a long, b long").repartition(6)
+    assert {tuple(x) for x in components.components(links).collect()} == {(i, i // 40 * 40) for i in range(200)}
