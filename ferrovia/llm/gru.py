@@ -29,6 +29,8 @@ PER_CLASS = 32
 TAILS = 32
 #: Words whose counts every task gets; the others' come by a join.
 HEAD = 100_000
+#: They are looked up among those of equal leading bits.
+LEAD = 18
 LANES, WINDOW = 96, 24
 #: A text that is spread over lanes is cut into runs of so many tokens at least.
 LEAST_RUN = 2 * WINDOW
@@ -161,18 +163,21 @@ class Net:
         (targets from CLASSES * PER_CLASS on). With grad, the gradients of the sum too."""
         n = len(target)
         own = np.where(target < CLASSES * PER_CLASS, target // PER_CLASS, target - CLASSES * PER_CLASS + CLASSES)
-        logits = h @ self.wc + self.bc
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1, keepdims=True)
-        out = logits[np.arange(n), own] - np.log(total[:, 0])
+        every = np.arange(n)
+        logits = self.wc.T @ h.T  # a target a column: numpy takes the most and the sum of long rows faster
+        logits += self.bc[:, None]
+        logits -= logits.max(0)
+        out = logits[own, every]
+        p = np.exp(logits, out=logits)
+        total = p.sum(0)
+        out -= np.log(total)
         dh = None
         if grad is not None:
             p /= -total
-            p[np.arange(n), own] += 1
-            grad.wc += h.T @ p
-            grad.bc += p.sum(0)
-            dh = p @ self.wc.T
+            p[own, every] += 1
+            grad.wc += (p @ h).T
+            grad.bc += p.sum(1)
+            dh = (self.wc @ p).T.copy()
         order = np.argsort(own, kind="stable")
         edges = np.searchsorted(own[order], np.arange(CLASSES + 1))
         if grad is not None:
@@ -182,9 +187,11 @@ class Net:
             at = order[edges[c] : edges[c + 1]]
             if not len(at):
                 continue
-            s = h[at] @ self.wo[c].T + self.bo[c]
-            s -= s.max(1, keepdims=True)
-            out[at] += s[np.arange(len(at)), target[at] % PER_CLASS] - np.log(np.exp(s).sum(1))
+            s = self.wo[c] @ h[at].T
+            s += self.bo[c][:, None]
+            s -= s.max(0)
+            own = s[target[at] % PER_CLASS, np.arange(len(at))]
+            out[at] += own - np.log(np.exp(s, out=s).sum(0))
         return out, dh
 
     def _in_class(self, h: np.ndarray, target: np.ndarray, order: np.ndarray, edges: np.ndarray, out: np.ndarray, dh: np.ndarray, grad: Net) -> None:
@@ -202,9 +209,10 @@ class Net:
         wo, word = self.wo[kind], target[at] % PER_CLASS
         s = (hb @ wo.transpose(0, 2, 1) + self.bo[kind][:, None]).reshape(-1, PER_CLASS)
         s -= s.max(1, keepdims=True)
-        q = np.exp(s)
-        total = q.sum(1, keepdims=True)
-        out[at] += s[place, word] - np.log(total[place, 0])
+        own = s[place, word]
+        q = np.exp(s, out=s)
+        total = q @ np.ones((PER_CLASS, 1), q.dtype)
+        out[at] += own - np.log(total[place, 0])
         q /= -total
         q[place, word] += 1
         empty = np.ones(len(q), bool)
@@ -354,7 +362,8 @@ def log_probabilities(net: Net, ids: np.ndarray, first: np.ndarray, lanes: int =
     begins[ends - lengths_of[order]] = True
     lengths = np.array([int(lengths_of[x].sum()) for x in dealt])
     base = np.cumsum(lengths) - lengths
-    table = net.embed @ net.wx + net.b
+    k, half = HIDDEN, np.repeat(np.array([0.5, 1.0], np.float32), [2 * HIDDEN, HIDDEN])  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
+    table, wh = (net.embed @ net.wx + net.b) * half, net.wh * half
     h = np.zeros((len(dealt), HIDDEN), np.float32)
     longest = int(lengths[0])
     active = np.searchsorted(-lengths, -np.arange(1, longest + 1), "right").tolist()
@@ -363,8 +372,20 @@ def log_probabilities(net: Net, ids: np.ndarray, first: np.ndarray, lanes: int =
         for t in range(at, min(at + window, longest)):
             m = active[t]
             here = base[:m] + t
-            h = np.where(begins[here, None], np.float32(0), h[:m])
-            h = net.step(table[before[here]], h)[0]
+            h, new = h[:m], begins[here]
+            if new.any():
+                h = np.where(new[:, None], np.float32(0), h)
+            g, x = h @ wh, table[before[here]]
+            gates = x[:, : 2 * k] + g[:, : 2 * k]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            n = gates[:, :k] * g[:, 2 * k :]
+            n += x[:, 2 * k :]
+            np.tanh(n, out=n)
+            h = h - n
+            h *= gates[:, k:]
+            h += n
             states.append(h)
             where.append(here)
         place = np.concatenate(where)
@@ -395,12 +416,19 @@ class Vocabulary:
         order = np.argsort(h)
         self.h, self.word = h[order], word[order]
         self.base = (np.log10(c[order] + ADD) - self.scale).astype(np.float64)
+        self.edges = np.append(np.searchsorted(self.h, np.arange(1 << LEAD, dtype=np.uint64) << np.uint64(64 - LEAD)), len(self.h)).astype(np.int32)
+        self.deep = int(np.diff(self.edges).max()).bit_length()
 
     def lookup(self, hashes: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(input and target numbers, base log10 where known, whether the count is known here)."""
         if not len(self.h):
             return CLASSES * PER_CLASS + tails.astype(np.int64), np.zeros(len(hashes)), np.zeros(len(hashes), bool)
-        at = np.searchsorted(self.h, hashes)
+        lead = (hashes >> np.uint64(64 - LEAD)).astype(np.int64)
+        at, end = self.edges[lead], self.edges[lead + 1]
+        for _ in range(self.deep):
+            mid = (at + end) >> 1
+            less = (self.h[np.minimum(mid, len(self.h) - 1)] < hashes) & (at < end)
+            at, end = np.where(less, mid + 1, at), np.where(less, end, mid)
         at[at == len(self.h)] = 0
         here = self.h[at] == hashes
         word = np.where(here, self.word[at], -1)

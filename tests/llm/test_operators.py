@@ -1116,3 +1116,29 @@ def test_components(spark, monkeypatch, hot):
     frame = spark.createDataFrame([tuple(None if x is None else int(x) for x in link) for link in links], "a long, b long").repartition(7)
     assert {tuple(x) for x in components.components(frame).collect()} == set(label.items())
     assert components.components(frame.where("false")).count() == 0
+
+
+def test_words_are_looked_up_in_less_than_a_binary_search_of_all():
+    import time
+
+    r = np.random.default_rng(4)
+    h = np.unique(r.integers(0, 1 << 64, 100_000, dtype=np.uint64))
+    h = np.unique(np.concatenate((h, h[:50] + np.uint64(1), np.array([0, 1, 2, (1 << 64) - 1], np.uint64))))
+    r.shuffle(h)
+    tail = r.integers(0, gru.TAILS, len(h))
+    c = np.arange(len(h), 0, -1)
+    words = gru.Vocabulary(h, tail, c, int(c.sum()), len(h), np.bincount(tail, c, gru.TAILS), np.bincount(tail, minlength=gru.TAILS).astype(float))
+    asked = np.concatenate((h, h + np.uint64(1), r.choice(h, 800_000), r.integers(0, 1 << 64, 1000, dtype=np.uint64)))
+    kinds = np.full(len(asked), 5)
+    times = {words.lookup: [], np.searchsorted: []}
+    for _ in range(5):
+        for f, args in ((words.lookup, (asked, kinds)), (np.searchsorted, (words.h, asked))):
+            began = time.process_time()
+            f(*args)
+            times[f].append(time.process_time() - began)
+    ids, base, known = words.lookup(asked, kinds)
+    at = np.minimum(np.searchsorted(words.h, asked), len(h) - 1)
+    there = words.h[at] == asked
+    assert np.array_equal(known, there) and np.array_equal(base, np.where(there, words.base[at], 0))
+    assert np.array_equal(ids, np.where(there & (words.word[at] >= 0), words.word[at], gru.CLASSES * gru.PER_CLASS + 5))
+    assert min(times[words.lookup]) < min(times[np.searchsorted])
