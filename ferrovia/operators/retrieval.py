@@ -94,11 +94,27 @@ def _dense(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def in_single(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of x with those of y, all sums in single precision in the order of the coordinates, as SQL takes them over lists of
+    floats; a vector of zeros is like none (0)."""
+    dot, own, other = (np.zeros(len(x), np.float32) for _ in range(3))
+    x, y = np.ascontiguousarray(x.T, np.float32), np.ascontiguousarray(y.T, np.float32)
+    for a, b in zip(x, y, strict=True):
+        dot += a * b
+        own += a * a
+        other += b * b
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cosine = np.clip(dot / np.sqrt(own * other), np.float32(-1), np.float32(1))
+    return np.where(np.isnan(cosine), 0.0, cosine.astype(np.float64))
+
+
 def retrieve_topk(
-    chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.0, block: int = BLOCK, part: int = PART, cells: int | None = None, scored: list | None = None
+    chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.0, block: int = BLOCK, part: int = PART, cells: int | None = None, scored: list | None = None,
+    places: int = 12, single: bool = False,
 ) -> DataFrame:
     """(query_id, rank, chunk_id, similarity): for each of queries (query_id, embedding) the k best
-    chunks (chunk_id, embedding) of at least the threshold; ties by chunk_id.
+    chunks (chunk_id, embedding) of at least the threshold; ties by chunk_id. Similarities that are equal to so many
+    places are a tie; with single they are those of in_single.
 
     Rows without an id or embedding, with a null in it, or of another length than most queries' are left out; a vector of zeros is like
     none (0). The chunks of a cell are dealt to parts and the queries that ask it to blocks, by a hash and any number of them. cells is the number
@@ -141,15 +157,17 @@ def retrieve_topk(
 
         return run
 
-    order = Window.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "chunk_id")
+    order = Window.partitionBy("query_id").orderBy(F.round("similarity", places).desc(), "chunk_id")
+    # a chunk that ties with the k-th, or that single precision puts before it, may be so much less like the query
+    slack = 10.0**-places + (single and (common["n"] + 4) * 2.0**-22)
     best = lambda found: found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
     ask = f"query_id {query_type}, vector array<double>, cell int"
-    farthest = float(np.sqrt(max(0.0, 2 - 2 * max(threshold, -1.0))))
-    met = stored(_scored(asked.withColumn("bound", F.lit(0.0)).mapInArrow(asking(False), ask), placed, k, threshold, block, part, kinds, scored))
+    farthest = float(np.sqrt(max(0.0, 2 - 2 * max(threshold - slack, -1.0))))
+    met = stored(_scored(asked.withColumn("bound", F.lit(0.0)).mapInArrow(asking(False), ask), placed, k, threshold, block, part, kinds, scored, places, single, slack))
     near = stored(best(met))
-    last = near.where(F.col("rank") == k).select("query_id", F.sqrt(F.greatest(2 - 2 * F.col("similarity"), F.lit(0.0))).alias("bound"))
+    last = near.where(F.col("rank") == k).select("query_id", F.sqrt(F.greatest(2 - 2 * (F.col("similarity") - slack), F.lit(0.0))).alias("bound"))
     open_ = asked.join(last, "query_id", "left").select("query_id", "vector", F.least(F.coalesce("bound", F.lit(2.0)), F.lit(farthest)).alias("bound"))
-    more = _scored(open_.mapInArrow(asking(True), ask), placed, k, threshold, block, part, kinds, scored)
+    more = _scored(open_.mapInArrow(asking(True), ask), placed, k, threshold, block, part, kinds, scored, places, single, slack)
     return best(near.drop("rank").union(more))
 
 
@@ -177,7 +195,7 @@ def _index(held: DataFrame, dim: int, cells: int | None) -> tuple[DataFrame, Cel
     return placed, stats
 
 
-def _scored(asked: DataFrame, placed: DataFrame, k: int, threshold: float, block: int, part: int, kinds: str, scored: list | None) -> DataFrame:
+def _scored(asked: DataFrame, placed: DataFrame, k: int, threshold: float, block: int, part: int, kinds: str, scored: list | None, places: int, single: bool, slack: float) -> DataFrame:
     """The k best chunks of each cell for each query that asks it (query_id, vector, cell)."""
     asked = stored(asked)
     sizes = lambda df, n, c: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / n).cast("int").alias(c))
@@ -195,14 +213,20 @@ def _scored(asked: DataFrame, placed: DataFrame, k: int, threshold: float, block
         if not len(q) or not len(c):
             return none
         c = c.sort_values("chunk_id", kind="stable")
-        x, y = (units(np.stack([np.asarray(e, np.float64) for e in rows["vector"]])) for rows in (q, c))
+        u, v = (np.stack([np.asarray(e, np.float64) for e in rows["vector"]]) for rows in (q, c))
+        x, y = units(u), units(v)
         names, chunk, out = q["query_id"].to_numpy(), c["chunk_id"].to_numpy(), []
         for at in range(0, len(names), AT_ONCE):
             s = x[at : at + AT_ONCE] @ y.T
-            best = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]
-            got = np.take_along_axis(s, best, 1)
-            r, i = np.nonzero(got >= threshold)
-            out.append(pd.DataFrame({"query_id": names[at + r], "chunk_id": chunk[best[r, i]], "similarity": got[r, i]}))
+            last = np.partition(s, -k, axis=1)[:, -k] if k < s.shape[1] else np.full(len(s), -np.inf)
+            r, i = np.nonzero(s >= np.maximum(last, threshold)[:, None] - 2 * slack)
+            got = in_single(u[at + r], v[i]) if single else s[r, i]
+            held = got >= threshold
+            r, i, got = r[held], i[held], got[held]
+            order = np.lexsort((i, -np.round(got, places), r))
+            r, i, got = r[order], i[order], got[order]
+            rank = np.arange(len(r)) - np.searchsorted(r, r)
+            out.append(pd.DataFrame({"query_id": names[at + r], "chunk_id": chunk[i], "similarity": got})[rank < k])
         return pd.concat(out)
 
     key = ["cell", "block", "part"]

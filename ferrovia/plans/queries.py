@@ -522,7 +522,7 @@ SELECT query_id, chunk_id, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 5""
 def j15_retrieve_topk(spark, sf_dir):
     """Queries are the rows whose id is divisible by 20, against all rows."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    hits = retrieval.retrieve_topk(rows.select(F.col("vec_id").alias("chunk_id"), "embedding"), rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+    hits = retrieval.retrieve_topk(rows.select(F.col("vec_id").alias("chunk_id"), "embedding"), rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), places=6, single=True)
     return hits.select("query_id", "chunk_id", "rank")
 
 
@@ -536,7 +536,7 @@ def j15_hit_texts(spark, sf_dir):
     chunks, asked = rows.where("vec_id % 20 <> 0").withColumnRenamed("vec_id", "chunk_id"), rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
     source = F.when(F.col("chunk_id") % 3 == 0, F.concat(F.lit("file "), (F.col("chunk_id") % 7).cast("string"))).when(F.col("chunk_id") % 3 == 1, "")
     texts = chunks.select("chunk_id", F.concat(F.lit("chunk "), F.col("chunk_id").cast("string")).alias("content"), source.alias("source"))
-    return retrieval.format_hits(retrieval.retrieve_topk(chunks, asked, threshold=0.4), texts, asked)
+    return retrieval.format_hits(retrieval.retrieve_topk(chunks, asked, threshold=0.4, places=6, single=True), texts, asked)
 
 
 @query()

@@ -39,6 +39,33 @@ def test_index_equals_full_comparison(spark, kind):
             assert sum(near) < 0.2 * 40 * len(x)
 
 
+def test_ties_are_those_of_the_asked_places(spark):
+    """Similarities that agree to six places go by chunk, also where the index would have left the farther one out."""
+    turned = [[float(np.cos(a)), float(np.sin(a))] for a in (0.1 + 2e-6, 0.1 + 1e-6, 0.1, 1.0)]
+    chunks = spark.createDataFrame(list(enumerate(turned)), "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    near = [c for c, _ in sorted(enumerate(turned), key=lambda x: (-round(x[1][0], 6), x[0]))][:2]
+    for cells in (1, 4):
+        ask = lambda **more: [r.chunk_id for r in retrieval.retrieve_topk(chunks, asked, 2, cells=cells, **more).orderBy("rank").collect()]  # noqa: E731, B023
+        assert ask() == [2, 1] and ask(places=6) == near == [0, 1]
+
+
+def test_single_precision_is_that_of_sql(spark):
+    """On lists of floats SQL sums in single precision: what it ranks by six places is ranked so here."""
+    duckdb = pytest.importorskip("duckdb")
+    x = np.random.default_rng(3).normal(size=(400, 64)).astype(np.float32)
+    x[200:] = x[:200] * np.float32(1.7)  # as near as their doubles, but for rounding
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    table = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    got = {tuple(r) for r in retrieval.retrieve_topk(table, table.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), places=6, single=True).select("query_id", "chunk_id", "rank").collect()}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t (id BIGINT, e FLOAT[])")
+    db.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    sql = """SELECT q, c, CAST(rank AS BIGINT) FROM (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY round(s, 6) DESC, c) AS rank
+    FROM (SELECT a.id AS q, b.id AS c, list_cosine_similarity(a.e, b.e) AS s FROM t a, t b WHERE a.id % 20 = 0) WHERE s >= 0) WHERE rank <= 5"""
+    assert got == set(db.execute(sql).fetchall())
+
+
 def test_index_of_nothing(spark):
     chunks = spark.createDataFrame([(1, [1.0, 0.0])], "chunk_id long, embedding array<double>")
     asked = chunks.withColumnRenamed("chunk_id", "query_id")
