@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import few, kept
+from .segments import sharing
+
 
 def candidate_lines(trains: DataFrame, lines: DataFrame) -> DataFrame:
     """For each pair of consecutive stations of trains (train_code, stations), the lines that hold both, with line_length, the share of
@@ -12,8 +15,9 @@ def candidate_lines(trains: DataFrame, lines: DataFrame) -> DataFrame:
     stops = trains.select("train_code", F.posexplode("stations").alias("at", "a"), F.col("stations"))
     pairs = stops.select("train_code", "at", "a", F.get("stations", F.col("at") + 1).alias("b")).where("b IS NOT NULL AND a <> b")
     places = lines.select("line_name", "line_ord", F.size("stations").alias("line_length"), F.posexplode("stations").alias("place", "station"))
-    places = places.groupBy("line_name", "line_ord", "line_length", "station").agg(F.min("place").alias("place"))
-    own = trains.select("train_code", F.explode(F.array_distinct("stations")).alias("station"))
+    places = kept(places.groupBy("line_name", "line_ord", "line_length", "station").agg(F.min("place").alias("place")))
+    pairs = kept(sharing(pairs, places.select(F.col("station").alias("name"), "line_name"), "line_name"))
+    own = trains.join(few(pairs.select("train_code").distinct()), "train_code", "left_semi").select("train_code", F.explode(F.array_distinct("stations")).alias("station"))
     held = own.join(places, "station").groupBy("train_code", "line_name", "line_ord").agg(F.count(F.lit(1)).alias("held"))
     a = places.select("line_name", "line_ord", "line_length", F.col("station").alias("a"), F.col("place").alias("pos_a"))
     b = places.select("line_name", "line_ord", F.col("station").alias("b"), F.col("place").alias("pos_b"))
