@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance_km
+from ..sources.stored import few, kept
 
 #: Order of classes in answers.
 PRIORITY = ("G", "D", "C", "Z", "T", "K")
@@ -55,16 +56,18 @@ def trains_passing(requests: DataFrame, stops: DataFrame) -> DataFrame:
     def plain(c: str) -> Column:
         return F.replace(F.col(c), F.lit(" "), F.lit(""))
 
-    last = stops.select("train_code", "ord", "depart", plain("station").alias("station")).groupBy("train_code", "station").agg(F.max_by("depart", "ord").alias("depart"), F.max("ord").alias("ord"))
-    asked = requests.select(plain("from_station").alias("from_station"), plain("to_station").alias("to_station")).distinct()
+    asked = kept(requests.select(plain("from_station").alias("from_station"), plain("to_station").alias("to_station")).distinct())
     # pairs of stops of a train, at stations that are asked for, then the requests: a hub's
     # trains never meet all the requests that name the hub
-    ends = asked.select(F.explode(F.array("from_station", "to_station")).alias("station")).distinct()
-    last = last.join(ends, "station", "left_semi")
-    a = last.select("train_code", F.col("station").alias("from_station"), "depart", "ord")
-    b = last.select("train_code", F.col("station").alias("to_station"), F.col("ord").alias("to_ord"))
-    rides = a.join(b, "train_code").where(F.col("to_ord") > F.col("ord"))
-    return rides.join(asked, ["from_station", "to_station"]).select("from_station", "to_station", "train_code", "depart", (F.col("to_ord") - F.col("ord")).alias("hops"))
+    ends = few(kept(asked.select(F.explode(F.array("from_station", "to_station")).alias("station")).distinct()))
+    at = stops.select("train_code", "ord", "depart", plain("station").alias("station")).join(ends, "station", "left_semi")
+    last = at.groupBy("train_code", "station").agg(F.max_by("depart", "ord").alias("depart"), F.max("ord").alias("ord"))
+    whole = kept(last.groupBy("train_code").agg(F.collect_list(F.struct("station", "ord", "depart")).alias("s")))
+    a = whole.select("train_code", F.explode("s").alias("a"), "s")
+    later = F.filter("s", lambda x: x["ord"] > F.col("a.ord"))
+    rides = a.select("train_code", F.col("a.station").alias("from_station"), F.col("a.depart").alias("depart"), F.col("a.ord").alias("ord"), F.explode(later).alias("b"))
+    rides = rides.select("train_code", "from_station", F.col("b.station").alias("to_station"), "depart", (F.col("b.ord") - F.col("ord")).alias("hops"))
+    return rides.join(asked, ["from_station", "to_station"]).select("from_station", "to_station", "train_code", "depart", "hops")
 
 
 def train_legs_with_coords(stops: DataFrame, coords: DataFrame) -> DataFrame:

@@ -159,8 +159,10 @@ r AS (SELECT DISTINCT from_station, to_station FROM trains WHERE from_station <>
 SELECT r.from_station, r.to_station, a.train_code, a.depart, b.ord - a.ord AS hops
 FROM r JOIN l a ON a.station = r.from_station JOIN l b ON b.station = r.to_station AND b.train_code = a.train_code WHERE b.ord > a.ord""")
 def j4_trains_passing(spark, sf_dir):
-    asked = trains(spark, sf_dir).where("from_station <> to_station").select("from_station", "to_station")
-    return journeys.trains_passing(asked, train_stops(spark, sf_dir))
+    every = kept(trains(spark, sf_dir).select("train_code", "from_station", "to_station", "station_details"))
+    asked = every.where("from_station <> to_station").select("from_station", "to_station")
+    rows = every.select("train_code", F.posexplode("station_details").alias("at", "s"))
+    return journeys.trains_passing(asked, rows.select("train_code", (F.col("at") + 1).cast("long").alias("ord"), F.col("s.name").alias("station"), "s.depart"))
 
 
 LOOKUP = CODED + ", asked AS (SELECT DISTINCT upper(trim(concat(' g', CAST(train_no AS VARCHAR)))) AS train_code FROM v_train_codes)\n"
